@@ -48,9 +48,8 @@ def tag(tags: Column, name: str, required: bool = True) -> Column:
     value = F.substring_index(found, ":", -1)
     if not required:
         return value
-    return F.when(
-        found.isNull(), F.raise_error(F.lit(f"cannot find {name} in alignment record")).cast("string")
-    ).otherwise(value)
+    missing = F.raise_error(F.lit(f"cannot find {name} in alignment record"))
+    return F.coalesce(value, missing.cast("string"))
 
 
 def sample_name(path: Column, keep_folder: bool = False) -> Column:
@@ -63,7 +62,7 @@ def sample_names(paths: Iterable[str]) -> list[str]:
     """Unique sample names for a list of files, in order."""
     names: list[str] = []
     for path in paths:
-        name = path.rsplit("/", 1)[-1].split(".", 1)[0]
+        name = path.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
         while name in names:
             name += "-"
         if name.startswith("-"):
