@@ -175,7 +175,7 @@ def read_score(sam: DataFrame) -> DataFrame:
 
 
 def dedup_reads(sam: DataFrame, by: str = "seq", keep_unmapped: bool = False) -> DataFrame:
-    """One record per position, strand and (``by``) ``seq``, ``seq`` and ``xm``, or the
+    """One record per position, strand and (``by``) ``seq`` or ``xm`` string, or the
     most frequent sequence (``'consensus'``). Reverse reads are placed at their 3' end.
 
     Each step keeps the first record per key in a partial aggregate, so copies of one
@@ -187,7 +187,7 @@ def dedup_reads(sam: DataFrame, by: str = "seq", keep_unmapped: bool = False) ->
     place = ["rname", "loc", "reverse"]
     if by == "xm":
         keyed = keyed.withColumn("xm", s.tag(F.col("tags"), "XM"))
-    sub = ["seq", "xm"] if by == "xm" else ["seq"]
+    sub = ["xm"] if by == "xm" else ["seq"]
     record = F.struct(*[F.col(c) for c in sam.columns])
     firsts = keyed.groupBy(*place, *sub).agg(
         F.min_by(record, "line_no").alias("record"), F.count(F.lit(1)).alias("copies")
@@ -214,7 +214,7 @@ def dedup_summary(sam: DataFrame, by: str = "seq", keep_unmapped: bool = False)
     place = ["rname", "loc", "reverse"]
     if by == "xm":
         keyed = keyed.withColumn("xm", s.tag(F.col("tags"), "XM"))
-    sub = ["seq", "xm"] if by == "xm" else ["seq"]
+    sub = ["xm"] if by == "xm" else ["seq"]
     variants = keyed.groupBy(*place, *sub).agg(F.count(F.lit(1)).alias("copies"))
     places = variants.groupBy(*place).agg(
         F.sum("copies").alias("reads"), F.count(F.lit(1)).alias("variants")

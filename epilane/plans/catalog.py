@@ -214,7 +214,7 @@ def read_score(spark, folder):
 
 
 def _dedup(spark, folder, by):
-    return reads.dedup_reads(tables.alignments(spark, folder), by).select(
+    return reads.dedup_reads(tables.copied_alignments(spark, folder), by).select(
         "line_no", "qname", "flag", "rname", "pos", "cigar", "seq"
     )
 
@@ -232,7 +232,7 @@ def dedup_consensus(spark, folder):
 
 
 def dedup_summary(spark, folder):
-    return reads.dedup_summary(tables.alignments(spark, folder))
+    return reads.dedup_summary(tables.copied_alignments(spark, folder))
 
 
 def dups_ranked(spark, folder):

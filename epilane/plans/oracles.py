@@ -165,3 +165,399 @@ ORACLES = {
                 from flat where (an >= 0.1 and ar < an / 2) or (an <= -0.1 and ar > an / 2)""",
     ),
 }
+
+
+def _calls_cte(skip: int, paired: str, same_chrom: str = "true") -> str:
+    """Calls by direct case analysis of the three CIGARs of the derived reads."""
+    return f"""
+raw_calls as (select a.line_no, a.qname, a.rname as chrom, a.flag, a.cigar, t.i, substr(a.xm, cast(t.i + 1 as int), 1) as call,
+    case when a.xg = 'GA' then 1 else 0 end as rc, a.pos, ({paired}) as paired
+  from aln a cross join (select unnest(range(32)) as i) t
+  where (a.flag & {skip}) = 0 and substr(a.xm, cast(t.i + 1 as int), 1) in ('z', 'Z')),
+placed_calls as (select line_no, qname, chrom, call, paired,
+    pos + i - rc + case cigar
+      when '16M2I14M' then case when i < 16 then 0 when i = 16 then -1 else -2 end
+      when '10M3D22M' then case when i < 10 or (i = 10 and rc = 1) then 0 else 3 end
+      else 0 end as loc,
+    cigar = '16M2I14M' and i in (16 + rc, 17 + rc) as ins
+  from raw_calls),
+first_mates as (select qname, min(line_no) as line_no, arg_min(rname, line_no) as chrom from aln a where (a.flag & {skip}) = 0 and ({paired}) group by 1),
+first_sites as (select distinct f.qname, f.line_no, f.chrom, c.loc from first_mates f join placed_calls c on c.line_no = f.line_no),
+calls as (select c.line_no, c.qname, c.chrom, c.loc, c.call, c.ins from placed_calls c
+  left join first_sites f on f.qname = c.qname and f.loc = c.loc and f.line_no <> c.line_no and c.paired and {same_chrom}
+  where f.qname is null)
+"""
+
+
+_CALLS = _calls_cte(2308, "(a.flag & 1) = 1 and a.rnext in ('=', a.rname)")
+_CALLS_OLD = _calls_cte(4, "(a.flag & 1) = 1", "f.chrom = c.chrom")
+
+_LINKED = """
+hits as (select w.name, c.qname, c.loc as pos, count(case when c.call = 'z' then 1 end) as u, count(case when c.call = 'Z' then 1 end) as m
+  from windows w join calls c on c.chrom = w.chrom and c.loc >= w.start and c.loc < w.end_ group by 1, 2, 3),
+region_sites as (select distinct name, pos from hits),
+region_reads as (select distinct name, qname from hits),
+patterns as (select r.name, r.qname, count(*) as sites,
+    string_agg(case when h.u = 1 then '0' when h.m = 1 then '1' else '-' end, '' order by s.pos) as pattern
+  from region_reads r join region_sites s on s.name = r.name
+  left join hits h on h.name = r.name and h.qname = r.qname and h.pos = s.pos group by 1, 2)
+"""
+
+_SPANS = """
+spans as (select *, pos - 1 as st, pos - 1 + 32 + case cigar when '16M2I14M' then -2 when '10M3D22M' then 3 else 0 end as en,
+    (flag & 16) <> 0 as rev from aln where (flag & 2308) = 0),
+chroms as (select chrom, max(end_) as length from windows group by 1),
+frags as (
+  select arg_max(rname, line_no) as chrom, min(case when rev then en else st end) as st, max(case when rev then en else st end) as en, qname
+  from spans where (flag & 2) <> 0 group by qname having count(*) = 2
+  union all
+  select rname, case when rev then least(en - 60, st) else st end, case when rev then en else greatest(st + 60, en) end, qname
+  from spans where (flag & 2) = 0)
+"""
+
+_RC = "case when (flag & 16) <> 0 then translate(reverse(seq), 'ACGTN', 'TGCAN') else seq end"
+_RQ = "case when (flag & 16) <> 0 then reverse(qual) else qual end"
+
+_DEDUP = """
+copies as (select line_no, qname, flag, rname, pos, cigar, repeat(substr(seq, 1, 1), 32) as seq, repeat(substr(xm, 1, 1), 32) as xm from aln),
+keyed as (select *, case when (flag & 16) <> 0 then pos + 32 + case cigar when '16M2I14M' then -2 when '10M3D22M' then 3 else 0 end else pos end as loc,
+    (flag & 16) <> 0 as rev from copies where (flag & 4) = 0)
+"""
+_DEDUP_OUT = "line_no, qname, flag, rname, pos, cigar, seq"
+
+_KEYS_TEXT = """
+scored as (select a.line_no, cast(sum(ascii(substr(a.qual, cast(t.i + 1 as int), 1)) - 33) as bigint) as score
+  from aln a cross join (select unnest(range(32)) as i) t group by 1),
+dupkeys as (select a.line_no, a.qname, a.flag, s.score,
+    concat('(''', a.rname, ''', ', case when (a.flag & 16) <> 0 then a.pos + case a.cigar when '16M2I14M' then 30 when '10M3D22M' then 35 else 32 end else a.pos end,
+      ', ', {splices}'''', case when (a.flag & 16) <> 0 then '-' else '+' end, ''')') as key
+  from aln a join scored s on s.line_no = a.line_no where (a.flag & 4) = 0)
+"""
+_DUPKEYS = _KEYS_TEXT.replace("{splices}", "'(), ', ")
+_DUPKEYS_PICARD = _KEYS_TEXT.replace("{splices}", "")
+
+_PILE = """
+over as (select w.name, w.chrom, a.line_no, a.qname, a.pos, a.cigar, a.xm, a.seq,
+    a.pos + 32 + case a.cigar when '16M2I14M' then -2 when '10M3D22M' then 3 else 0 end as loc3
+  from windows w join aln a on a.rname = w.chrom
+  where (a.pos between w.start and w.end_)
+     or (a.pos + 32 + case a.cigar when '16M2I14M' then -2 when '10M3D22M' then 3 else 0 end between w.start and w.end_)
+     or (a.pos <= w.start and a.pos + 32 + case a.cigar when '16M2I14M' then -2 when '10M3D22M' then 3 else 0 end >= w.end_)),
+bounds as (select name, chrom, min(pos) as min_loc, max(loc3) as max_loc from over group by 1, 2)
+"""
+_ALIGN = """
+insp as (select distinct name, pos + 16 as p from over where cigar = '16M2I14M'),
+texts as (select name, 'read' as kind, line_no, qname, pos, loc3 - 1 as last, cigar, {text} as txt from over),
+basepos as (select r.name, r.kind, r.line_no, r.qname, r.pos, r.cigar, p.p,
+    case r.cigar
+      when '16M2I14M' then case when p.p < r.pos + 16 then substr(txt, cast(p.p - r.pos + 1 as int), 1) else substr(txt, cast(p.p - r.pos + 3 as int), 1) end
+      when '10M3D22M' then case when p.p < r.pos + 10 then substr(txt, cast(p.p - r.pos + 1 as int), 1)
+                                when p.p < r.pos + 13 then '-' else substr(txt, cast(p.p - r.pos - 2 as int), 1) end
+      else substr(txt, cast(p.p - r.pos + 1 as int), 1) end as base,
+    case when r.cigar = '16M2I14M' and p.p = r.pos + 16 then substr(txt, 17, 2) else '--' end as insert
+  from (select * from texts{more}) r, lateral (select unnest(range(cast(r.pos as bigint), cast(r.last + 1 as bigint))) as p) p),
+aligned as (select b.name, b.kind, b.line_no, b.qname, b.pos,
+    string_agg(case when i.p is not null and b.p > b.pos then concat(b.insert, b.base) else b.base end, '' order by b.p) as text
+  from basepos b left join insp i on i.name = b.name and i.p = b.p group by 1, 2, 3, 4, 5),
+pads as (select a.name, a.pos, a.pos - d.min_loc + 2 * count(i.p) as pad
+  from (select distinct name, pos from aligned) a join bounds d on d.name = a.name
+  left join insp i on i.name = a.name and i.p <= a.pos group by a.name, a.pos, d.min_loc),
+rows_ as (select a.*, cast(p.pad as bigint) as pad from aligned a join pads p on p.name = a.name and p.pos = a.pos)
+"""
+_GENOME_ROWS = """
+ union all select b.name, 'genome', null, 'genome', b.min_loc, b.max_loc - 1, '', upper(substr(g.seq, cast(b.min_loc as int), cast(b.max_loc - b.min_loc as int)))
+  from bounds b join chroms g on g.chrom = b.chrom"""
+_MASKED = "translate(xm, 'hHxX', '....')"
+
+_MATRIX = """
+widths as (select b.name, b.min_loc, b.max_loc - b.min_loc + 2 * count(i.p) as width from bounds b left join insp i on i.name = b.name and i.p < b.max_loc
+  group by b.name, b.min_loc, b.max_loc),
+letters as (select r.name, r.line_no, r.pad + t.k as col, substr(r.text, cast(t.k + 1 as int), 1) as c
+  from rows_ r, lateral (select unnest(range(length(r.text))) as k) t),
+loci as (select distinct l.name, l.col from letters l join widths w on w.name = l.name where l.c in ('z', 'Z') and l.col < w.width),
+steps as (select name, col, case when col - lag(col) over (partition by name order by col) = 1 then 0 else 1 end as opens from loci),
+runs as (select name, col, sum(opens) over (partition by name order by col) as run from steps),
+halves as (select name, col, (row_number() over (partition by name, run order by col) - 1) % 2 as half from runs),
+gencols as (select b.name, p.p, k.k, row_number() over (partition by b.name order by p.p, k.k) - 1 as col,
+    case when k.k < 2 and p.p > b.min_loc then 1 else 0 end as gap
+  from bounds b, lateral (select unnest(range(cast(b.min_loc as bigint), cast(b.max_loc as bigint))) as p) p, lateral (select unnest(range(3)) as k) k
+  left join insp i on i.name = b.name and i.p = p.p where k.k = 2 or i.p is not null),
+tally as (select name, col, sum(gap) over (partition by name order by col) as gaps from gencols),
+sites2 as (select h.name, h.col as col0, case when n.half = 1 then n.col end as col1, h.col + w.min_loc - t.gaps as chr_pos
+  from halves h left join halves n on n.name = h.name and n.col = h.col + 1
+  join tally t on t.name = h.name and t.col = h.col join widths w on w.name = h.name where h.half = 0),
+cells as (select r.name, r.line_no, r.qname, r.pos, s.col0, s.col1, s.chr_pos, r.pad, r.pad + length(r.text) as stop,
+    case when s.col0 < r.pad then ' ' when s.col0 >= r.pad + length(r.text) then null else substr(r.text, cast(s.col0 - r.pad + 1 as int), 1) end as c0,
+    case when s.col1 < r.pad then ' ' when s.col1 >= r.pad + length(r.text) then null else substr(r.text, cast(s.col1 - r.pad + 1 as int), 1) end as c1
+  from rows_ r join sites2 s on s.name = r.name),
+marks as (select *, case
+    when c0 is null then '-'
+    when col1 is null and c0 = ' ' then '-'
+    when col1 is not null and c1 = ' ' then '-'
+    when c0 = 'z' then '0' when c0 = 'Z' then '1'
+    when col1 is null then 'x'
+    when c1 is null then '-'
+    when c1 = 'z' then '0' when c1 = 'Z' then '1' else 'x' end as mark from cells)
+"""
+
+_SCORED = """
+scored as (select chrom, start, end_, cpg, g1, g2, mu1, mu2, diff, round(1 - abs(diff), 3) as pval from pairs where diff is not null)
+"""
+_TESTS = ("counts", _SITES, _CLUSTERED, _REGIONS, _GROUPED, _SCORED)
+
+ORACLES |= {
+    "cpg_calls": _with("aln", _CALLS, body="select * from calls"),
+    "cpg_calls_old": _with("aln", _CALLS_OLD, body="select * from calls"),
+    "cpg_counts": _with(
+        "aln", _CALLS,
+        body="""select chrom, loc as pos, count(case when call = 'Z' then 1 end) as meth, count(case when call = 'z' then 1 end) as unmeth,
+                  round(100.0 * count(case when call = 'Z' then 1 end) / count(*), 6) as pct
+                from calls where not ins group by 1, 2 having count(*) >= 2""",
+    ),
+    "cpg_summary": _with(
+        "aln", _CALLS,
+        "base as (select count(*) as reads, count(case when (flag & 4) = 0 then 1 end) as mapped from aln where (flag & 2304) = 0)",
+        "agg as (select count(*) as calls, count(case when call = 'Z' then 1 end) as methylated from calls)",
+        body="""select reads, mapped, calls, methylated, calls - methylated as unmethylated,
+                  round(100.0 * methylated / calls, 6) as pct from base cross join agg""",
+    ),
+    "linked_methylation": _with(
+        "aln windows", _CALLS, _LINKED,
+        body="""select w.name, w.chrom, w.start, w.end_ as "end", coalesce(p.sites, 0) as sites, p.qname,
+                  coalesce(p.pattern, '<none>') as pattern from windows w left join patterns p on p.name = w.name""",
+    ),
+    "linked_sites": _with(
+        "aln windows", _CALLS, _LINKED,
+        body="select name, pos, row_number() over (partition by name order by pos) - 1 as idx from region_sites",
+    ),
+    "sam_to_bed": _with(
+        "aln windows", _SPANS,
+        body="""select f.chrom, greatest(st, 0) as start, least(en, length) as "end", qname,
+                  (st < 0 or en > length) as clamped from frags f left join chroms c on c.chrom = f.chrom""",
+    ),
+    "sam_to_fastq": _with(
+        "aln",
+        "firsts as (select *, row_number() over (partition by qname order by line_no) as k from aln where (flag & 2304) = 0)",
+        body=f"select qname as name, {_RC} as seq, {_RQ} as qual from firsts where k = 1",
+    ),
+    "sam_to_fastq_pe": _with(
+        "aln",
+        body=f"""select case when (flag & 2) = 0 then 'unpaired' when (flag & 64) <> 0 then '1' else '2' end as "end",
+                   concat(qname, case when (flag & 2) = 0 then '' when (flag & 64) <> 0 then ' /1' else ' /2' end) as name,
+                   {_RC} as seq, {_RQ} as qual from aln where (flag & 2304) = 0""",
+    ),
+    "filter_reads_keep": _with(
+        "aln",
+        body="""select line_no, qname, flag, rname, pos, cigar, seq, qual from aln
+                where qname in (select concat('r', o_orderkey) from orders where o_orderstatus = 'F')""",
+    ),
+    "filter_reads_drop": _with(
+        "aln",
+        body="""select line_no, qname, flag, rname, pos, cigar, seq, qual from aln
+                where qname not in (select concat('r', o_orderkey) from orders where o_orderstatus = 'F')""",
+    ),
+    "alignments_per_read": _with(
+        "aln",
+        body="""select qname, count(case when (flag & 128) = 0 then 1 end) as first, count(case when (flag & 128) <> 0 then 1 end) as last
+                from aln where (flag & 4) = 0 group by 1""",
+    ),
+    "read_score": _with(
+        "aln", _DUPKEYS,
+        body="""select qname, 'pair' as kind, cast(sum(score) as bigint) as score from dupkeys where (flag & 2304) = 0 and (flag & 1) = 1 and (flag & 8) = 0 group by 1
+                union all select qname, 'single', arg_max(score, line_no) from dupkeys where (flag & 2304) = 0 and ((flag & 1) = 0 or (flag & 8) <> 0) group by 1""",
+    ),
+    "dedup_seq": _with(
+        "aln", _DEDUP,
+        "ranked as (select *, row_number() over (partition by rname, loc, rev, seq order by line_no) as k from keyed)",
+        body=f"select {_DEDUP_OUT} from ranked where k = 1",
+    ),
+    "dedup_xm": _with(
+        "aln", _DEDUP,
+        "ranked as (select *, row_number() over (partition by rname, loc, rev, xm order by line_no) as k from keyed)",
+        body=f"select {_DEDUP_OUT} from ranked where k = 1",
+    ),
+    "dedup_consensus": _with(
+        "aln", _DEDUP,
+        "counted as (select *, count(*) over (partition by rname, loc, rev, seq) as c, min(line_no) over (partition by rname, loc, rev, seq) as f from keyed)",
+        "ranked as (select *, row_number() over (partition by rname, loc, rev order by c desc, f, line_no) as k from counted)",
+        body=f"select {_DEDUP_OUT} from ranked where k = 1",
+    ),
+    "dedup_summary": _with(
+        "aln", _DEDUP,
+        "marked as (select row_number() over (partition by rname, loc, rev order by line_no) as a, row_number() over (partition by rname, loc, rev, seq order by line_no) as b from keyed)",
+        body="""select count(*) as reads, count(case when a = 1 then 1 end) as uniq, count(case when a > 1 and b = 1 then 1 end) as not_seq,
+                  count(case when b > 1 then 1 end) as dups from marked""",
+    ),
+    "dups_se": _with(
+        "aln", _DUPKEYS,
+        "named as (select *, concat(qname, '#', line_no) as name from dupkeys where (flag & 2304) = 0)",
+        "ranked as (select *, row_number() over (partition by key order by score desc, name) as k, first_value(name) over (partition by key order by score desc, name) as parent from named)",
+        body="select name as qname, concat('aln:', key) as aln, parent, 'single-end' as type from ranked where k > 1",
+    ),
+    "dups_input": _with(
+        "aln", _DUPKEYS,
+        """p as (select a.qname, least(a.line_no, b.line_no) as line_no, a.key as aln0, b.key as aln1,
+             concat('(', least(a.key, b.key), ', ', greatest(a.key, b.key), ')') as key
+           from dupkeys a join dupkeys b on b.qname = a.qname and (a.flag & 64) <> 0 and (b.flag & 128) <> 0
+             and (a.flag & 8) = 0 and (b.flag & 8) = 0)""",
+        "po as (select key, arg_min(qname, line_no) as parent, min(line_no) as line_no from p group by 1)",
+        """ends as (select aln0 as key, p.line_no, p.qname from p join po on po.key = p.key and po.line_no = p.line_no
+           union all select aln1, p.line_no, p.qname from p join po on po.key = p.key and po.line_no = p.line_no)""",
+        """s as (select qname, line_no, key, min(line_no) over (partition by qname) as first from dupkeys
+             where (flag & 1) = 0 or (flag & 8) <> 0)""",
+        "claims as (select key, 0 as stage, line_no as a, line_no as b, qname from ends union all select key, 1, first, line_no, qname from s)",
+        "so as (select key, qname as parent, row_number() over (partition by key order by stage, a, b) as k from claims)",
+        """sh as (select s.qname, s.key, so.parent, row_number() over (partition by s.qname order by s.line_no) as k
+             from s join so on so.key = s.key and so.k = 1 where so.parent <> s.qname)""",
+        body="""select p.qname, concat('aln:', p.key) as aln, po.parent, 'paired-end' as type from p join po on po.key = p.key where po.parent <> p.qname
+                union all select qname, concat('aln:', key), parent, 'single-end' from sh where k = 1""",
+    ),
+    "dups_picard": _with(
+        "aln", _DUPKEYS_PICARD,
+        "prim as (select * from dupkeys where (flag & 256) = 0)",
+        """p as (select qname, min(line_no) as line_no, arg_min(key, line_no) as aln0, arg_max(key, line_no) as aln1 from prim
+             where (flag & 8) = 0 group by 1 having count(*) > 1)""",
+        "pk as (select *, concat('(', least(aln0, aln1), ', ', greatest(aln0, aln1), ')') as key from p)",
+        "pr as (select *, first_value(qname) over (partition by key order by line_no) as parent from pk)",
+        """ends as (select aln0 as key, line_no, qname from pr where parent = qname union all select aln1, line_no, qname from pr where parent = qname)""",
+        "eo as (select key, arg_max(qname, line_no) as parent from ends group by 1)",
+        "s as (select *, first_value(qname) over (partition by key order by line_no) as first from prim where (flag & 8) <> 0)",
+        body="""select qname, concat('aln:', key) as aln, parent, 'paired-end' as type from pr where parent <> qname
+                union all select s.qname, concat('aln:', s.key), coalesce(eo.parent, s.first), 'SE->PE' from s left join eo on eo.key = s.key
+                where eo.parent is not null or s.first <> s.qname""",
+    ),
+    "context_quality": _with(
+        "aln",
+        """ch as (select substr(xm, cast(t.i + 1 as int), 1) as c, ascii(substr(qual, cast(t.i + 1 as int), 1)) - 33 as q
+             from aln cross join (select unnest(range(32)) as i) t)""",
+        body="""select c as context, count(case when q < 30 then 1 end) as bad, count(case when q >= 30 then 1 end) as good,
+                  round(count(case when q < 30 then 1 end) / count(*), 6) as bad_frac from ch where c in ('h', 'H', 'x', 'X', 'z', 'Z') group by 1""",
+    ),
+    "base_quality": _with(
+        "aln",
+        "firsts as (select *, row_number() over (partition by qname order by line_no) as k from aln where (flag & 2304) = 0)",
+        f"fq as (select {_RC} as seq, {_RQ} as qual from firsts where k = 1)",
+        """ch as (select substr(seq, cast(t.i + 1 as int), 1) as c, ascii(substr(qual, cast(t.i + 1 as int), 1)) - 33 as q
+             from fq cross join (select unnest(range(32)) as i) t)""",
+        body="select c as base, round(avg(q), 6) as mean, round(stddev_pop(q), 6) as std, count(*) as n from ch group by 1",
+    ),
+    "region_reads": _with(
+        "aln windows", _PILE,
+        body="""select o.name, o.line_no, o.qname, o.pos, o.pos - b.min_loc as pad,
+                  case when cigar = '10M3D22M' then concat(substr(xm, 1, 10), '---', substr(xm, 11)) else xm end as text
+                from over o join bounds b on b.name = o.name""",
+    ),
+    "region_genome": _with(
+        "aln windows genome", _GENOME_TEXT, _PILE,
+        body="""select b.name, b.chrom, b.min_loc, b.max_loc,
+                  upper(substr(g.seq, cast(b.min_loc as int), cast(b.max_loc - b.min_loc as int))) as seq
+                from bounds b join chroms g on g.chrom = b.chrom""",
+    ),
+    "region_alignment": _with(
+        "aln windows genome", _GENOME_TEXT, _PILE,
+        _ALIGN.replace("{text}", _MASKED).replace("{more}", _GENOME_ROWS),
+        body="select name, kind, line_no, qname, pos, pad, text from rows_",
+    ),
+    "region_alignment_seq": _with(
+        "aln windows", _PILE, _ALIGN.replace("{text}", "seq").replace("{more}", ""),
+        body="select name, kind, line_no, qname, pos, pad, text from rows_",
+    ),
+    "region_cpg_matrix": _with(
+        "aln windows", _PILE, _ALIGN.replace("{text}", "xm").replace("{more}", ""), _MATRIX,
+        body="""select r.name, r.line_no, r.qname, r.pos, coalesce(string_agg(m.mark, '' order by m.col0), '') as pattern
+                from rows_ r left join marks m on m.name = r.name and m.line_no = r.line_no group by 1, 2, 3, 4""",
+    ),
+    "region_cpg_summary": _with(
+        "aln windows", _PILE, _ALIGN.replace("{text}", "xm").replace("{more}", ""), _MATRIX,
+        body="""select name, chr_pos, concat(chr_pos, case when col1 is not null then '+1' else '' end) as site,
+                  count(case when mark = '1' then 1 end) as meth, count(case when mark = '0' then 1 end) as unmeth
+                from marks group by 1, 2, 3""",
+    ),
+    "cpg_motif_count": _with(
+        "genome",
+        body="""select chrom, chunk_no, cast((length(seq) - length(replace(upper(seq), 'CG', ''))) / 2 as int) as cpg from genome""",
+    ),
+    "extract_segments": _with(
+        "bed genome", _GENOME_TEXT,
+        body="""select b.chrom, b.start as pos, b.end_ - b.start as len, upper(substr(g.seq, b.start + 1, b.end_ - b.start)) as seq,
+                  b.end_ >= length(g.seq) as past_end from bed b left join chroms g on g.chrom = b.chrom""",
+    ),
+    "extract_segments_rc": _with(
+        "bed genome", _GENOME_TEXT,
+        body="""select b.chrom, b.start as pos, b.end_ - b.start as len,
+                  translate(reverse(upper(substr(g.seq, b.start + 1, b.end_ - b.start))), 'ACGTN', 'TGCAN') as seq,
+                  b.end_ >= length(g.seq) as past_end from bed b left join chroms g on g.chrom = b.chrom""",
+    ),
+    "gene_matrix": """
+select p_brand as "Symbol", cast(max(p_size) as bigint) as "Length",
+  """ + ", ".join(
+        f"cast(round(sum(case when l_returnflag = '{f}' then cast(l_quantity as bigint) * l_linenumber / 2 end)) as bigint) as \"{f}\""
+        for f in "ANR"
+    ) + " from lineitem join part on l_partkey = p_partkey group by 1",
+    "significant_genes": _with(
+        "gene_diff",
+        "rows_ as (select * from gene_diff where sample_1 <> 's2' and sample_2 <> 's2')",
+        body="""select gene, sample_1, sample_2, case when status = 'OK' then fold else 0 end as value from rows_
+                where gene in (select gene from rows_ where significant = 'yes')""",
+    ),
+    "heatmap": _with(
+        "gene_diff",
+        "top as (select max(case when significant = 'yes' and not isinf(fold) then abs(fold) end) as top from gene_diff)",
+        """folds as (select gene, case when sample_1 = 's3' then sample_2 else sample_1 end as sample,
+             case when sample_1 = 's3' then 1 else -1 end as sgn,
+             case when status <> 'OK' then 0 when isinf(fold) then case when fold > 0 then top else 0 - top end else fold end as v
+           from gene_diff cross join top where (sample_1 = 's3' or sample_2 = 's3')
+             and gene in (select gene from gene_diff where significant = 'yes'))""",
+        body="select gene, "
+        + ", ".join(
+            f"max(case when sample = '{s}' then case when sgn = 1 then v else 0 - v end end) as {s}"
+            for s in ("s1", "s2", "s4", "s5", "s6")
+        )
+        + " from folds group by 1",
+    ),
+    "bh_fdr": _with(
+        *_TESTS,
+        """ranked as (select *, pval * count(*) over (partition by g1, g2)
+             / count(*) over (partition by g1, g2 order by pval range between unbounded preceding and current row) as raw from scored)""",
+        body="""select chrom, start, end_ as "end", cpg, g1, g2, round(mu1, 6) as mu1, round(mu2, 6) as mu2, round(diff, 6) as diff, pval,
+                  round(least(1.0, min(raw) over (partition by g1, g2 order by pval desc range between unbounded preceding and current row)), 6) as fdr
+                from ranked""",
+    ),
+    "dmr_filter": _with(
+        *_TESTS,
+        """passing as (select chrom, start from scored where cpg >= 3 and abs(diff) >= 0.02 and pval <= 1 and diff >= 0
+             group by 1, 2 having count(*) >= 2)""",
+        body="""select s.chrom, s.start, s.end_ as "end", s.cpg, g1, g2, round(mu1, 6) as mu1, round(mu2, 6) as mu2, round(diff, 6) as diff, pval
+                from scored s join passing p on p.chrom = s.chrom and p.start = s.start""",
+    ),
+    "group_means": _with(
+        *_TESTS,
+        "sides as (select chrom, start, end_, cpg, g1 as grp, mu1 as mu from scored union all select chrom, start, end_, cpg, g2, mu2 from scored)",
+        body='select chrom, start, end_ as "end", cpg, grp as "group", round(avg(mu), 6) as mu from sides group by 1, 2, 3, 4, 5',
+    ),
+    "attach_tests": _with(
+        *_TESTS,
+        "allregions as (select chrom, region_start as start, max(pos) as end_, count(*) as cpg from clustered group by 1, 2)",
+        body="""select r.chrom, r.start, r.end_ as "end", r.cpg, t.g1, t.g2, round(t.diff, 6) as diff, t.pval
+                from allregions r left join scored t on t.chrom = r.chrom and t.start = r.start""",
+    ),
+    "sites_natural_order": _with(
+        "counts",
+        body="select chrom, pos, sample, cast(substr(chrom, 4) as bigint) as chrom_no from counts order by 4, 2, 3",
+    ),
+    "chrom_first_seen": _with(
+        "counts",
+        "seen as (select *, row_number() over (partition by chrom order by sample, pos) as k from counts)",
+        body="select chrom, sample, pos from seen where k = 1",
+    ),
+    "sam_roundtrip": _with(
+        "aln", body="select qname, flag, rname, pos, cigar, rnext, pnext, seq, qual, xm, xg from aln"
+    ),
+    "counts_roundtrip": _with("counts", body="select sample, chrom, pos, meth, unmeth from counts"),
+    "fasta_roundtrip": _with(
+        "genome", _GENOME_TEXT,
+        body="""select chrom, k as chunk_no, k * 100 as offset, substr(seq, cast(k * 100 + 1 as int), 100) as seq
+                from chroms, lateral (select unnest(range(0, cast(ceil(length(seq) / 100.0) as bigint))) as k) t""",
+    ),
+}
+ORACLES["fastq_roundtrip"] = ORACLES["sam_to_fastq"]

@@ -150,3 +150,17 @@ def alignments(spark, folder):
             F.concat(F.lit("XM:Z:"), "xm"), F.concat(F.lit("XG:Z:"), "xg")
         ).alias("tags"),
     )
+
+
+def copied_alignments(spark, folder):
+    """Alignments with low-complexity sequences and calls, so that positions hold
+    copies of one sequence."""
+
+    def flat(col):
+        return F.repeat(F.substring(col, 1, 1), F.lit(32))
+
+    df = alignments(spark, folder)
+    xm = F.substring_index(F.get("tags", F.lit(0)), ":", -1)
+    return df.withColumn("seq", flat("seq")).withColumn(
+        "tags", F.array(F.concat(F.lit("XM:Z:"), flat(xm)), F.get("tags", F.lit(1)))
+    )

@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from epilane.functions import sam as s
 
 TAB = "\t"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed6(values: pd.Series) -> pd.Series:
     """Six decimals of the exact binary value, ties to even; Spark's own format rounds
     the shortest decimal half up."""

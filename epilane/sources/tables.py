@@ -13,30 +13,38 @@ from epilane.sources.lines import line_tile, numbered_lines, required_fields
 
 TAB = "\t"
 
-COUNT_FIELDS = "chrom string, pos bigint, c3 string, c4 string, meth bigint, unmeth bigint"
+def _count_rows(spark: SparkSession, paths) -> DataFrame:
+    """Six tab fields per line; any other number fails."""
+    lines = numbered_lines(spark, paths).filter(F.col("line") != "")
+    fields = required_fields(F.col("line"), 6, "counts record", exact=True)
+    return lines.withColumn("f", fields).select(
+        "file",
+        F.get("f", F.lit(0)).alias("chrom"),
+        F.get("f", F.lit(1)).cast("bigint").alias("pos"),
+        F.get("f", F.lit(4)).cast("bigint").alias("meth"),
+        F.get("f", F.lit(5)).cast("bigint").alias("unmeth"),
+    )
 
 
 def read_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``sample,chrom,pos,meth,unmeth`` of one counts file per sample; other than six
-    fields fail. Files with distinct names are one scan."""
+    """``sample,chrom,pos,meth,unmeth`` of one counts file (or folder of parts) per
+    sample. Paths with distinct last steps are one scan."""
     if isinstance(paths, str):
         paths = [paths]
-    reader = spark.read.schema(COUNT_FIELDS).option("sep", TAB).option("mode", "FAILFAST")
     names = sample_names(paths)
     bases = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
     if len(set(bases)) == len(bases):
-        # A path is a file or a folder of parts; its last step names the sample.
-        steps = F.split(F.col("_metadata.file_path"), "/")
+        steps = F.split("file", "/")
         known = F.create_map(*[F.lit(v) for pair in zip(bases, names) for v in pair])
         sample = F.coalesce(
             F.try_element_at(known, F.element_at(steps, -1)),
             F.try_element_at(known, F.element_at(steps, -2)),
         )
-        table = reader.csv(paths).withColumn("sample", sample)
+        table = _count_rows(spark, paths).withColumn("sample", sample)
     else:
         table = reduce(
             DataFrame.unionByName,
-            [reader.csv(p).withColumn("sample", F.lit(n)) for p, n in zip(paths, names)],
+            [_count_rows(spark, p).withColumn("sample", F.lit(n)) for p, n in zip(paths, names)],
         )
     return table.select("sample", "chrom", "pos", "meth", "unmeth")
 
