@@ -239,17 +239,22 @@ def cpg_summary(sam: DataFrame, version: str = "canonical", mode: str = "fail")
     counted = F.lit(True)
     if version == "canonical":
         counted = ~s.flag(F.col("flag"), s.NOT_PRIMARY)
+    none = F.lit(None).cast("bigint")
     reads = sam.filter(counted).agg(
         F.count(F.lit(1)).alias("reads"),
         F.count_if(~s.flag(F.col("flag"), s.UNMAPPED)).alias("mapped"),
     )
     totals = read_calls(sam, version, mode).agg(
-        F.coalesce(F.sum(F.size("calls")), F.lit(0)).cast("bigint").alias("calls"),
-        F.coalesce(
-            F.sum(F.size(F.filter("calls", lambda c: c["call"] == "Z"))), F.lit(0)
-        ).cast("bigint").alias("methylated"),
+        F.sum(F.size("calls")).alias("calls"),
+        F.sum(F.size(F.filter("calls", lambda c: c["call"] == "Z"))).alias("methylated"),
     )
-    return reads.join(totals, F.lit(True)).select(
+    # Two rows of totals side by side, without a join.
+    both = reads.select("*", none.alias("calls"), none.alias("methylated")).unionByName(
+        totals.select("*", none.alias("reads"), none.alias("mapped"))
+    )
+    return both.agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("reads", "mapped", "calls", "methylated")]
+    ).select(
         "reads",
         "mapped",
         "calls",

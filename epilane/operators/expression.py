@@ -62,16 +62,15 @@ def baseline_folds(diff: DataFrame, baseline: str, exclude: list[str] | None = N
         F.coalesce(
             F.max(F.when((F.col("significant") == "yes") & ~infinite, F.abs("fold"))), F.lit(0.0)
         ).alias("top")
-    )
+    ).scalar()
     from_base, to_base = F.col("sample_1") == baseline, F.col("sample_2") == baseline
-    finite = F.when(F.abs("value") == float("inf"), F.signum("value") * F.col("top")).otherwise(
+    finite = F.when(F.abs("value") == float("inf"), F.signum("value") * top).otherwise(
         F.col("value")
     )
     signed = F.when(from_base, finite).otherwise(-finite) + F.lit(0.0)
     return (
         rows.join(_significant(rows), "gene", "left_semi")
         .filter(from_base | to_base)
-        .join(F.broadcast(top), F.lit(True))
         .select(
             "gene",
             F.when(from_base, F.col("sample_2")).otherwise(F.col("sample_1")).alias("sample"),
@@ -104,7 +103,6 @@ def heatmap(
     """``gene,<sample>...``: fold changes against ``baseline``, one column per partner."""
     samples = samples or baseline_samples(diff, baseline, exclude)
     folds = baseline_folds(diff, baseline, exclude)
-
     return folds.groupBy("gene").agg(
         *[F.max(F.when(F.col("sample") == name, F.col("value"))).alias(name) for name in samples]
     )

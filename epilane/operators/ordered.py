@@ -8,6 +8,9 @@ The largest sort is one tile; the totals hold one row per tile.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +58,11 @@ def running(
             for name, (kind, _) in aggs.items()
         ],
     )
+    # Tiles with nothing before them need no carry; with many small groups that is
+    # nearly all of them.
+    carried = carried.filter(
+        reduce(or_, [F.col(f"_c_{name}").isNotNull() for name in aggs])
+    )
     local = tiled.withColumns(
         {f"_l_{name}": _FOLD[kind][0](col).over(inside) for name, (kind, col) in aggs.items()}
     )

@@ -561,3 +561,87 @@ select p_brand as "Symbol", cast(max(p_size) as bigint) as "Length",
     ),
 }
 ORACLES["fastq_roundtrip"] = ORACLES["sam_to_fastq"]
+
+ORACLES["split_regions_integer"] = _with(
+    "counts", _SITES, _CLUSTERED,
+    """levels as (
+  select chrom, pos, region_start, max(pos) over (partition by chrom, region_start) - region_start as span, 0 as level,
+    count(*) over (partition by chrom, region_start) as n from clustered
+  union all
+  select chrom, pos, new_start, max(pos) over (partition by chrom, new_start) - new_start, level + 1, n from (
+    select *, min(pos) over (partition by chrom, region_start, piece) as new_start from (
+      select *, least(cast(ceil(span / 150.0) as bigint) - 1,
+          (greatest(pos - region_start, 1) - 1) // (span // cast(ceil(span / 150.0) as bigint))) as piece
+      from levels where span > 150) x) y)""",
+    "last as (select *, row_number() over (partition by chrom, pos order by level desc) as k from levels where n >= 2)",
+    body="""select chrom, region_start as start, max(pos) as "end", count(*) as cpg from last where k = 1 group by 1, 2""",
+)
+ORACLES["dups_ranked"] = _with(
+    "aln", _DUPKEYS,
+    """p as (select a.qname, a.key as aln0, b.key as aln1, a.score + b.score as score,
+         concat('(', least(a.key, b.key), ', ', greatest(a.key, b.key), ')') as key
+       from dupkeys a join dupkeys b on b.qname = a.qname and (a.flag & 64) <> 0 and (b.flag & 128) <> 0
+         and (a.flag & 8) = 0 and (b.flag & 8) = 0)""",
+    "pr as (select *, first_value(qname) over (partition by key order by score desc, qname) as parent from p)",
+    """ends as (select aln0 as key, qname, score from pr where parent = qname union all select aln1, qname, score from pr where parent = qname)""",
+    "pe_owner as (select key, qname as parent, row_number() over (partition by key order by score desc, qname) as k from ends)",
+    "single_rows as (select * from dupkeys where (flag & 1) = 0 or (flag & 8) <> 0)",
+    "sscore as (select qname, arg_max(score, line_no) as score from single_rows where (flag & 2304) = 0 group by 1)",
+    "srank as (select qname, row_number() over (order by score desc, qname) as r from sscore)",
+    """edges as (select s.qname, s.line_no, s.key, k.r, o.parent as pe_parent,
+         case when max(case when o.parent is not null then 1 else 0 end) over (partition by s.qname) = 1 then 2 else 0 end as status
+       from single_rows s join srank k on k.qname = s.qname left join pe_owner o on o.key = s.key and o.k = 1)""",
+    """rounds as (
+  select qname, line_no, key, r, pe_parent, status, 0 as step from edges
+  union all
+  select qname, line_no, key, r, pe_parent, case when status = 0 and beaten = 1 then 2 else status end, step + 1 from (
+    select *, max(case when kept_here = 1 and status <> 1 then 1 else 0 end) over (partition by qname) as beaten from (
+      select qname, line_no, key, r, pe_parent, step, status, max(case when status = 1 then 1 else 0 end) over (partition by key) as kept_here from (
+        select * exclude (status, best), case when status = 0 and min(best) over (partition by qname) = 1 then 1 else status end as status from (
+          select *, case when r = min(case when status = 0 then r end) over (partition by key) then 1 else 0 end as best,
+            max(case when status = 0 then 1 else 0 end) over () as open from rounds) a where open = 1) b) c) d)""",
+    "final as (select * from rounds where step = (select max(step) from rounds))",
+    "owner as (select key, arg_min(qname, r) as parent, min(r) as r from final where status = 1 group by 1)",
+    """hit as (select f.qname, f.key, coalesce(f.pe_parent, o.parent) as parent, row_number() over (partition by f.qname order by f.line_no) as k
+       from final f left join owner o on o.key = f.key and o.r < f.r
+       where f.status = 2 and (f.pe_parent is not null or o.parent is not null))""",
+    body="""select qname, concat('aln:', key) as aln, parent, 'paired-end' as type from pr where parent <> qname
+            union all select qname, concat('aln:', key), parent, 'single-end' from hit where k = 1""",
+)
+
+# p-values by Simpson's rule on 400 steps: the normal density from 0 to |z|, and the t
+# tail after substituting the angle (fourth power, so the integrand is smooth at 0).
+_SIMPSON = """
+steps as (select i, case when i in (0, 400) then 1.0 when i % 2 = 1 then 4.0 else 2.0 end as w from (select unnest(range(401)) as i) t)
+"""
+ORACLES["ztest_pvalues"] = _with(
+    "counts", _SITES, _CLUSTERED, _REGIONS, _GROUPED, _SIMPSON,
+    "pooled as (select *, (x1 + x2) / (n1 + n2) as p from pairs)",
+    """zs as (select *, x2 / n2 - x1 / n1 as d, case when p is null then null when p in (0, 1) then 0
+         else (x2 / n2 - x1 / n1) / sqrt(p * (1 - p) * (1.0 / n1 + 1.0 / n2)) end as z from pooled)""",
+    """areas as (select chrom, start, g1, g2, least(abs(z), 10) / 1200 * sum(w * exp(0 - power(least(abs(z), 10) * i / 400, 2) / 2)) as area
+         from zs cross join steps where z is not null group by chrom, start, g1, g2, z)""",
+    """tested as (select zs.*, 1 - 2 * area / sqrt(2 * pi()) as pval from zs
+         left join areas a on a.chrom = zs.chrom and a.start = zs.start and a.g1 = zs.g1 and a.g2 = zs.g2)""",
+    "kept as (select distinct chrom, start from tested where abs(d) >= 0.02 and pval <= 0.05)",
+    body="""select t.chrom, t.start, end_ as "end", cpg, g1, g2, round(x1 / n1, 6) as mu1, round(x2 / n2, 6) as mu2,
+              round(d, 6) as diff, round(z, 6) as z, round(pval, 6) as pval
+            from tested t join kept k on k.chrom = t.chrom and k.start = t.start""",
+)
+ORACLES["welch_pvalues"] = _with(
+    "counts", _SITES, _CLUSTERED, _REGIONS, _GROUPED, _SIMPSON,
+    """ws as (select *, k1 >= 2 and k2 >= 2 as enough, lo1 = hi1 and lo2 = hi2 as flat, v1 / k1 + v2 / k2 as se,
+         (v1 / k1) * (v1 / k1) / (k1 - 1) + (v2 / k2) * (v2 / k2) / (k2 - 1) as sd from pairs)""",
+    """ts as (select *, case when enough and not flat then (mu1 - mu2) / sqrt(se) end as t,
+         case when enough and not flat then se * se / sd end as df from ws)""",
+    """tails as (select chrom, start, g1, g2, 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) *
+           sum(w * 4 * power(b * i / 400, 3) * power(sin(power(b * i / 400, 4)), df - 1)) * b / 1200 as tail
+         from (select *, power(atan2(sqrt(df), abs(t)), 0.25) as b from ts where t is not null) x cross join steps
+         group by chrom, start, g1, g2, df, b)""",
+    """tested as (select ts.*, case when not enough or diff is null then null when diff = 0 then 1 when flat then 0 else tail end as pval
+         from ts left join tails a on a.chrom = ts.chrom and a.start = ts.start and a.g1 = ts.g1 and a.g2 = ts.g2)""",
+    "kept as (select distinct chrom, start from tested where abs(diff) >= 0.05 and pval <= 0.2)",
+    body="""select t.chrom, t.start, end_ as "end", cpg, g1, g2, round(mu1, 6) as mu1, round(mu2, 6) as mu2,
+              round(diff, 6) as diff, round(t, 6) as t, round(df, 6) as df, round(pval, 6) as pval
+            from tested t join kept k on k.chrom = t.chrom and k.start = t.start""",
+)

@@ -140,10 +140,24 @@ def write_pileup(rows: DataFrame, path: str) -> None:
     _write_text(rows.orderBy("name", F.col("line_no").isNotNull(), "pos", "line_no").select(line.alias("value")), path)
 
 
-def run_summary(sam: DataFrame, calls_summary: DataFrame) -> DataFrame:
-    """One row of run totals: records, read totals and call percentages."""
+def run_summary(sam: DataFrame, summary: DataFrame) -> DataFrame:
+    """``item,value`` rows of a run: all records, those not primary, and each figure of
+    the one-row call summary."""
     records = sam.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(s.flag(F.col("flag"), s.NOT_PRIMARY)).alias("not_primary"),
+        F.count(F.lit(1)).cast("double").alias("records"),
+        F.count_if(s.flag(F.col("flag"), s.NOT_PRIMARY)).cast("double").alias("not_primary"),
     )
-    return records.join(calls_summary, F.lit(True))
+
+    def listed(df):
+        return df.select(
+            F.explode(
+                F.array(
+                    *[
+                        F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value"))
+                        for c in df.columns
+                    ]
+                )
+            ).alias("r")
+        ).select("r.*")
+
+    return listed(records).unionByName(listed(summary))
