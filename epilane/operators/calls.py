@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from epilane.functions import sam as s
 from epilane.functions.cigar import cigar_ops
+from epilane.session import cut_lineage
 
 CALL_TYPE = "array<struct<loc:bigint,call:string,ins:boolean>>"
 
@@ -175,8 +176,13 @@ def place_calls(sam: DataFrame, version: str = "canonical", mode: str = "fail")
 
 
 def read_calls(sam: DataFrame, version: str = "canonical", mode: str = "fail") -> DataFrame:
-    """``line_no,qname,chrom,calls`` per counted read, mate overlaps removed."""
-    return _drop_mate_overlaps(place_calls(sam, version, mode), by_chrom=version == "old")
+    """``line_no,qname,chrom,calls`` per counted read, mate overlaps removed.
+
+    The placed calls, a small part of the records, are written once: the mate comparison
+    reads them several times, the alignments are scanned once.
+    """
+    placed = cut_lineage(place_calls(sam, version, mode))
+    return _drop_mate_overlaps(placed, by_chrom=version == "old")
 
 
 def _drop_mate_overlaps(placed: DataFrame, by_chrom: bool) -> DataFrame:

@@ -64,8 +64,9 @@ def _genome_under(bounds: DataFrame, genome: DataFrame, chunk_size: int) -> Data
 def region_reads(sam: DataFrame, bed: DataFrame) -> DataFrame:
     """``name,line_no,qname,pos,pad,text``: gapped methylation string of every read
     and its distance from the region's leftmost read."""
-    reads = overlapping_reads(sam, bed)
-    return reads.join(_bounds(reads).select("name", "min_loc"), "name").select(
+    reads = cut_lineage(overlapping_reads(sam, bed).drop("seq", "chrom"))
+    bounds = reads.groupBy("name").agg(F.min("pos").alias("min_loc"))
+    return reads.join(bounds, "name").select(
         "name",
         "line_no",
         "qname",
@@ -197,52 +198,93 @@ def _span_columns(rows: DataFrame, columns: DataFrame, bounds: DataFrame) -> Dat
         .agg(F.array_sort(F.collect_list(F.struct("p", "len"))).alias("inner"))
     )
     at_start = columns.select("name", F.col("p").alias("pos"), F.col("len").alias("at_start"))
-    return (
+    found = (
         spans.join(before, ["name", "pos"])
         .join(at_start, ["name", "pos"], "left")
         .join(inside, SPAN, "left")
         .join(bounds.select("name", "min_loc"), "name")
         .select(
             *SPAN,
-            "min_loc",
-            "before",
+            (F.col("pos") - F.col("min_loc") + F.col("before")).alias("left"),
             F.coalesce("at_start", F.lit(0)).alias("at_start"),
             F.coalesce(
                 "inner", F.array().cast("array<struct<p:bigint,len:bigint>>")
             ).alias("inner"),
         )
     )
+    # What depends on the span alone is worked out here, not per read: the piece of base
+    # text before each boundary, and the gap of a read without an insertion there.
+    pos = F.col("pos")
+
+    def begin(k):
+        return F.when(k == 0, pos).otherwise(F.get("inner", k - 1)["p"])
+
+    pieces = F.transform(
+        "inner",
+        lambda b, k: F.struct(
+            b["p"].alias("p"),
+            b["len"].cast("int").alias("len"),
+            (begin(k) - pos + 1).cast("int").alias("at"),
+            (b["p"] - begin(k)).cast("int").alias("size"),
+            F.repeat(F.lit("-"), b["len"].cast("int")).alias("gap"),
+        ),
+    )
+    tail = F.when(F.size("inner") == 0, pos).otherwise(F.element_at("inner", -1)["p"])
+    return found.select(
+        *SPAN,
+        "left",
+        "at_start",
+        pieces.alias("pieces"),
+        (tail - pos + 1).cast("int").alias("tail_at"),
+    )
 
 
 def _render(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    pos = F.col("pos")
-    lead = _inserted_at(pos)
-    gap = F.lit("-")
-
-    def boundary(b, k):
-        begin = F.when(k == 0, pos).otherwise(F.get("inner", k - 1)["p"])
-        own = _inserted_at(b["p"])
-        return F.concat(
-            F.substring("base", (begin - pos + 1).cast("int"), (b["p"] - begin).cast("int")),
-            own,
-            F.repeat(gap, (b["len"] - F.length(own)).cast("int")),
-        )
+    lead = _inserted_at(F.col("pos"))
+    bare = F.size("ins") == 0
+
+    def base_piece(b):
+        return F.substring("base", b["at"], b["size"])
 
-    tail_from = F.when(F.size("inner") == 0, pos).otherwise(
-        F.get("inner", F.size("inner") - 1)["p"]
-    )
-    text = F.concat(
-        F.when(
-            lead != "",
-            F.concat(lead, F.repeat(gap, (F.col("at_start") - F.length(lead)).cast("int"))),
-        ).otherwise(F.lit("")),
-        F.array_join(F.transform("inner", boundary), ""),
-        F.substring("base", (tail_from - pos + 1).cast("int"), F.length("base")),
-        F.when(F.col("last") >= pos, _inserted_at(F.col("last") + 1)).otherwise(F.lit("")),
-    )
-    pad = pos - F.col("min_loc") + F.col("before") + F.when(
-        lead == "", F.col("at_start")
-    ).otherwise(F.lit(0))
+    # The read's own insertion at each boundary is looked up once.
+    with_own = F.transform(
+        "pieces",
+        lambda b: F.struct(
+            base_piece(b).alias("base"), b["len"].alias("len"), _inserted_at(b["p"]).alias("own")
+        ),
+    )
+    tail = F.substring("base", F.col("tail_at"), F.length("base"))
+    text = F.when(
+        bare,
+        F.concat(
+            F.array_join(F.transform("pieces", lambda b: F.concat(base_piece(b), b["gap"])), ""),
+            tail,
+        ),
+    ).otherwise(
+        F.concat(
+            F.when(
+                lead != "",
+                F.concat(
+                    lead,
+                    F.repeat(F.lit("-"), (F.col("at_start") - F.length(lead)).cast("int")),
+                ),
+            ).otherwise(F.lit("")),
+            F.array_join(
+                F.transform(
+                    with_own,
+                    lambda b: F.concat(
+                        b["base"], b["own"], F.repeat(F.lit("-"), b["len"] - F.length(b["own"]))
+                    ),
+                ),
+                "",
+            ),
+            tail,
+            F.when(
+                F.col("last") >= F.col("pos"), _inserted_at(F.col("last") + 1)
+            ).otherwise(F.lit("")),
+        )
+    )
+    pad = F.col("left") + F.when(bare | (lead == ""), F.col("at_start")).otherwise(F.lit(0))
     return rows.join(spans, SPAN).select(
         "name", "kind", "line_no", "qname", "pos", pad.cast("bigint").alias("pad"), text.alias("text")
     )
