@@ -241,8 +241,9 @@ def combine_regions(
     check_range(min_reg, lo=1, name="min_reg")
     clustered = cluster_sites(qualify_sites(counts, min_reads, min_samples), max_dist, tile)
     if max_len is None:
-        extents = region_extents(clustered).filter(F.col("cpg") >= max(min_cpg, 1))
-        placed = clustered
+        # Distinct sites only, written once: the counts are then read for the sums alone.
+        placed = cut_lineage(clustered)
+        extents = region_extents(placed).filter(F.col("cpg") >= max(min_cpg, 1))
     else:
         placed = split_regions(clustered, max_len, min_cpg, version, tile)
         extents = region_extents(placed)
