@@ -282,7 +282,7 @@ gencols as (select b.name, p.p, k.k, row_number() over (partition by b.name orde
     case when k.k < 2 and p.p > b.min_loc then 1 else 0 end as gap
   from bounds b, lateral (select unnest(range(cast(b.min_loc as bigint), cast(b.max_loc as bigint))) as p) p, lateral (select unnest(range(3)) as k) k
   left join insp i on i.name = b.name and i.p = p.p where k.k = 2 or i.p is not null),
-tally as (select name, col, sum(gap) over (partition by name order by col) as gaps from gencols),
+tally as (select name, col, cast(sum(gap) over (partition by name order by col) as bigint) as gaps from gencols),
 sites2 as (select h.name, h.col as col0, case when n.half = 1 then n.col end as col1, h.col + w.min_loc - t.gaps as chr_pos
   from halves h left join halves n on n.name = h.name and n.col = h.col + 1
   join tally t on t.name = h.name and t.col = h.col join widths w on w.name = h.name where h.half = 0),
