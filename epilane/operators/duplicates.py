@@ -103,6 +103,11 @@ def _fail(text: str, qname: str = "qname") -> Column:
     return F.raise_error(F.concat(F.lit(text + " for read "), F.col(qname)))
 
 
+def rank_reads(scores: DataFrame) -> DataFrame:
+    """Reads by falling score; equal scores by name."""
+    return scores.orderBy(F.col("score").desc(), "qname")
+
+
 def pair_by_hi(keyed: DataFrame, by_segment: bool = True) -> DataFrame:
     """``qname,slot,line_no,aln0,aln1`` from records that share a hit index.
 
@@ -267,7 +272,7 @@ def _pair_key() -> Column:
     )
 
 
-def _take_owned(edges: DataFrame, owners: DataFrame, kind: str) -> DataFrame:
+def match_keys(edges: DataFrame, owners: DataFrame, kind: str) -> DataFrame:
     """Report rows: the first key of a read, in its own order, that a better read owns."""
     better = F.col("owner_rank").isNull() | (F.col("owner_rank") < F.col("rank"))
     return (
@@ -311,7 +316,7 @@ def _greedy(edges: DataFrame, owned: DataFrame | None, kind: str) -> tuple[DataF
             break
         beaten = rest.join(kept, "key", "left_semi").select("qname").distinct()
         pending = rest.join(beaten, "qname", "left_anti")
-    return _take_owned(edges, owners, kind), owners
+    return match_keys(edges, owners, kind), owners
 
 
 def _best_owner(rows: DataFrame) -> DataFrame:

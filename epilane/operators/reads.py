@@ -198,6 +198,17 @@ def dedup_reads(sam: DataFrame, by: str = "seq", keep_unmapped: bool = False) ->
     return firsts.select("record.*")
 
 
+def top_sequence(sam: DataFrame) -> DataFrame:
+    """``rname,loc,reverse,seq,copies``: the most frequent sequence of each position and
+    strand; of equally frequent ones the first seen."""
+    place = ["rname", "loc", "reverse"]
+    counted = _dedup_keys(sam, False).groupBy(*place, "seq").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("line_no").alias("line_no")
+    )
+    best = F.max_by(F.struct("seq", "copies"), F.struct("copies", -F.col("line_no")))
+    return counted.groupBy(*place).agg(best.alias("best")).select(*place, "best.*")
+
+
 def _dedup_keys(sam: DataFrame, keep_unmapped: bool) -> DataFrame:
     reverse = s.flag(F.col("flag"), s.REVERSE)
     loc = F.when(

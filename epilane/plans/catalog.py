@@ -235,6 +235,10 @@ def dedup_summary(spark, folder):
     return reads.dedup_summary(tables.copied_alignments(spark, folder))
 
 
+def top_sequence(spark, folder):
+    return reads.top_sequence(tables.copied_alignments(spark, folder))
+
+
 def dups_ranked(spark, folder):
     return duplicates.find_dups(tables.alignments(spark, folder))
 
@@ -498,6 +502,7 @@ QUERIES = {
         dedup_xm,
         dedup_consensus,
         dedup_summary,
+        top_sequence,
         dups_ranked,
         dups_input,
         dups_picard,

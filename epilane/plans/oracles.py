@@ -382,6 +382,12 @@ ORACLES |= {
         "ranked as (select *, row_number() over (partition by rname, loc, rev order by c desc, f, line_no) as k from counted)",
         body=f"select {_DEDUP_OUT} from ranked where k = 1",
     ),
+    "top_sequence": _with(
+        "aln", _DEDUP,
+        "counted as (select rname, loc, rev, seq, count(*) as copies, min(line_no) as first from keyed group by 1, 2, 3, 4)",
+        "ranked as (select *, row_number() over (partition by rname, loc, rev order by copies desc, first) as k from counted)",
+        body='select rname, loc, rev as "reverse", seq, copies from ranked where k = 1',
+    ),
     "dedup_summary": _with(
         "aln", _DEDUP,
         "marked as (select row_number() over (partition by rname, loc, rev order by line_no) as a, row_number() over (partition by rname, loc, rev, seq order by line_no) as b from keyed)",

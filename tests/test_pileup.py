@@ -1,76 +1,73 @@
 import random
 import re
+from collections import Counter
+from itertools import accumulate
 
 from epilane.operators import pileup
 
 
-def grid_model(reads, what):
-    """Lay a region's reads out by opening columns one by one, left to right."""
-    low = min(r["pos"] for r in reads)
-    lanes = []
-    for r in sorted(reads, key=lambda r: (r["pos"], r["line_no"])):
-        ops = "".join(o * int(n) for n, o in re.findall(r"(\d+)([MID])", r["cigar"]))
-        lanes.append((r, ["G"] * (r["pos"] - low) + list(ops)))
-    i = 0
-    while i < max(len(ops) for _, ops in lanes):
-        if any(i < len(ops) and ops[i] == "I" for _, ops in lanes):
-            for _, ops in lanes:
-                if i < len(ops) and ops[i] != "I":
-                    ops.insert(i, "G" if i == 0 or ops[i - 1] == "G" else "D")
-        i += 1
-    out = {}
-    for r, ops in lanes:
-        text = iter(r[what])
-        out[r["line_no"]] = "".join({"G": " ", "D": "-"}.get(o) or next(text) for o in ops)
-    return low, out
+BASE = 10**6  # sorts after the insertion columns of its position
 
 
-def matrix_model(reads):
-    """Sites and marks from the finished layout, the genome being one more row."""
-    low, lanes = grid_model(reads, "xm")
-    top = max(r["loc3"] for r in reads)
-    inserted = {}
-    for r in reads:
-        ref, here = r["pos"], {}
-        for n, o in re.findall(r"(\d+)([MID])", r["cigar"]):
-            if o == "I":
-                here[ref] = here.get(ref, 0) + int(n)
+def cells(read, text):
+    """Characters of a read by column, a column being (position, insertion index)."""
+    out, at, ref = {}, 0, read["pos"]
+    inserted = Counter()
+    for n, op in re.findall(r"(\d+)([MID])", read["cigar"]):
+        for _ in range(int(n)):
+            if op == "I":
+                out[(ref, inserted[ref])] = text[at]
+                inserted[ref] += 1
             else:
-                ref += int(n)
-        for p, n in here.items():
-            inserted[p] = max(inserted.get(p, 0), n)
-    genome = ""
-    for p in range(low, top):
-        genome += (" " if p == low else "-") * inserted.get(p, 0) + "N"
-    cols = [
-        i for i in range(len(genome)) if any(i < len(t) and t[i] in "zZ" for t in lanes.values())
+                out[(ref, BASE)] = "-" if op == "D" else text[at]
+                ref += 1
+            at += op != "D"
+    return out
+
+
+def layout(reads, what):
+    """All columns of a region in order, and the text of every read over them."""
+    filled = {r["line_no"]: cells(r, r[what]) for r in reads}
+    low, top = min(r["pos"] for r in reads), max(r["loc3"] for r in reads)
+    columns = sorted({c for f in filled.values() for c in f} | {(p, BASE) for p in range(low, top)})
+    lines = {}
+    for line, f in filled.items():
+        first, last = columns.index(min(f)), columns.index(max(f))
+        lines[line] = " " * first + "".join(f.get(c, "-") for c in columns[first : last + 1])
+    return columns, lines
+
+
+def matrix_model(reads):
+    """Sites and marks read off the finished layout."""
+    low, top = min(r["pos"] for r in reads), max(r["loc3"] for r in reads)
+    columns, lines = layout(reads, "xm")
+    under_genome = [c for c in columns if c <= (top - 1, BASE)]
+    called = [
+        i for i in range(len(under_genome)) if any(t[i : i + 1] in ("z", "Z") for t in lines.values())
     ]
-    sites, k = [], 0
-    while k < len(cols):
-        two = k + 1 < len(cols) and cols[k + 1] == cols[k] + 1
-        place = cols[k] + low - genome[: cols[k] + 1].count("-")
-        sites.append((cols[k], cols[k] + 1 if two else None, f"{place}+1" if two else f"{place}"))
-        k += 2 if two else 1
-    patterns, summary = {}, {}
-    for line, text in lanes.items():
-        marks = ""
-        for a, b, name in sites:
-            counts = summary.setdefault(name, [0, 0])
-            both = [c for c in (a, b) if c is not None]
-            if a >= len(text) or (b is None and text[a] == " ") or (b is not None and b < len(text) and text[b] == " "):
-                marks += "-"
-                continue
-            mark = "x"
-            for c in both:
-                if c >= len(text):
-                    mark = "-"
-                    break
-                if text[c] in "zZ":
-                    mark = "1" if text[c] == "Z" else "0"
-                    counts[mark == "0"] += 1
-                    break
-            marks += mark
-        patterns[line] = marks
+    gaps = list(accumulate(int(j < BASE and p > low) for p, j in under_genome))
+    sites = []
+    for i in called:
+        if sites and len(sites[-1]) == 1 and sites[-1][0] == i - 1:
+            sites[-1].append(i)
+        else:
+            sites.append([i])
+    names = [f"{s[0] + low - gaps[s[0]]}" + ("+1" if len(s) == 2 else "") for s in sites]
+    summary = {name: [0, 0] for name in names}
+    patterns = {}
+    for line, text in lines.items():
+        marks = []
+        for site, name in zip(sites, names):
+            seen = "".join(text[i : i + 1] or "$" for i in site)  # $ is past the end
+            call = re.match(r"[^zZ$]?([zZ])", seen)
+            if seen[0] == "$" or seen[-1] == " ":
+                marks.append("-")
+            elif call:
+                marks.append("01"[call.group(1) == "Z"])
+                summary[name][call.group(1) == "z"] += 1
+            else:
+                marks.append("-" if "$" in seen else "x")
+        patterns[line] = "".join(marks)
     return patterns, summary
 
 
@@ -96,7 +93,7 @@ def random_reads(rng, n):
     return reads
 
 
-def test_layout_and_matrix_match_the_grid(spark, make_sam):
+def test_layout_and_matrix_match_the_model(spark, make_sam):
     rng = random.Random(2)
     records, beds, wanted = [], [], {}
     for k in range(12):
@@ -114,7 +111,7 @@ def test_layout_and_matrix_match_the_grid(spark, make_sam):
         for r in pileup.region_alignment(sam, bed, what=what).collect():
             got.setdefault(r["name"], {})[r["line_no"]] = " " * r["pad"] + r["text"]
         for name, reads in wanted.items():
-            lanes = grid_model(reads, what)[1]
+            lanes = layout(reads, what)[1]
             if what == "xm":
                 lanes = {k: re.sub("[hHxX]", ".", v) for k, v in lanes.items()}
             assert got[name] == lanes

@@ -39,22 +39,26 @@ def test_fastq_of_first_records(make_sam):
 
 
 def pe_model(records):
-    done, held, out = set(), {}, []
+    """End of every written record, one read name at a time."""
+    names = {}
     for r in records:
-        if r["qname"] in done or r["flag"] & 0x900:
-            continue
-        if not r["flag"] & 2:
-            out.append(("unpaired", r["line_no"]))
-            done.add(r["qname"])
-            continue
-        mate = held.get(r["qname"])
-        if mate and mate["pnext"] == r["pos"] and mate["pos"] == r["pnext"]:
-            out += [("1", mate["line_no"]), ("2", r["line_no"])]
-            done.add(r["qname"])
-            del held[r["qname"]]
-        else:
-            held[r["qname"]] = r
-    return sorted(out + [("orphan", r["line_no"]) for r in held.values()])
+        if not r["flag"] & 0x900:
+            names.setdefault(r["qname"], []).append(r)
+    out = []
+    for rows in names.values():
+        waiting = None
+        for r in rows:
+            if not r["flag"] & 2:
+                out.append(("unpaired", r["line_no"]))
+                break
+            if waiting and (waiting["pos"], waiting["pnext"]) == (r["pnext"], r["pos"]):
+                out += [("1", waiting["line_no"]), ("2", r["line_no"])]
+                waiting = None
+                break
+            waiting = r
+        if waiting:
+            out.append(("orphan", waiting["line_no"]))
+    return sorted(out)
 
 
 def test_fastq_pairs_follow_file_order(make_sam):

@@ -1,5 +1,7 @@
 import math
 import random
+from bisect import bisect_right
+from itertools import accumulate, pairwise
 
 import pytest
 
@@ -60,26 +62,19 @@ def test_clusters_cross_tiles(spark, tile):
 
 
 def split_model(reg, max_len, min_cpg):
-    """Sequential rule: cut when past the target and enough sites, then fill up from the back."""
-    if len(reg) < min_cpg:
+    """Cut indexes by bisection; a bound from the back keeps every piece large enough."""
+    n = len(reg)
+    if n < min_cpg:
         return []
-    if reg[-1] - reg[0] <= max_len:
-        return [reg]
-    pieces = math.ceil((reg[-1] - reg[0]) / float(max_len))
-    while len(reg) / pieces < min_cpg:
-        pieces -= 1
-    size = (reg[-1] - reg[0]) / pieces
-    cuts, first, at = [], 0, reg[0]
-    for j, p in enumerate(reg):
-        if len(cuts) < pieces - 1 and p > at + size and j - first >= min_cpg:
-            cuts.append(j)
-            first, at = j, at + size
-    cuts += [len(reg)] * (pieces - len(cuts))
-    for k in range(pieces - 1, 0, -1):
-        if cuts[k] - cuts[k - 1] >= min_cpg:
-            break
-        cuts[k - 1] = cuts[k] - min_cpg
-    return [reg[a:b] for a, b in zip([0] + cuts, cuts)]
+    k = min(math.ceil((reg[-1] - reg[0]) / max_len), n // min_cpg) if reg[-1] - reg[0] > max_len else 1
+    targets = accumulate([reg[0] + 0.0] + [(reg[-1] - reg[0]) / k] * (k - 1))
+    cuts = [0]
+    for i, target in enumerate(targets):
+        if i:
+            cuts.append(max(bisect_right(reg, target), cuts[-1] + min_cpg))
+    cuts = [min(c, n - (k - i) * min_cpg) for i, c in enumerate(cuts)]
+    cuts[0] = 0
+    return [reg[x:y] for x, y in pairwise([*cuts, n])]
 
 
 def integer_model(reg, max_len):
