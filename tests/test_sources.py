@@ -1,9 +1,7 @@
 import gzip
 
 import pytest
-from pyspark.sql import functions as F
 
-from epilane.functions import sam as s
 from epilane.operators import calls, regions, wald
 from epilane.sources import alignments, sequences, sinks, tables
 from epilane.streaming.counts import stream_cpg_counts, stream_sam
