@@ -111,3 +111,23 @@ def test_p_values(spark):
         got2 = one(spark, t_two_sided(F.col("t"), F.col("d")), t=x, d=2.0)
         assert got1 == pytest.approx(1 - 2 * math.atan(x) / math.pi, rel=1e-9, abs=1e-12)
         assert got2 == pytest.approx(1 - x / math.sqrt(2 + x * x), rel=1e-8, abs=1e-12)
+
+
+def test_task_functions_need_no_package_on_the_worker(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from epilane.functions.pvalues import _incomplete_beta
+    from epilane.operators.regions import _cut_targets
+    from epilane.operators.wald import _log_gamma
+
+    stored = tmp_path / "functions"
+    stored.write_bytes(
+        cloudpickle.dumps(
+            [t_two_sided.func, normal_two_sided.func, _incomplete_beta, _cut_targets, _log_gamma]
+        )
+    )
+    code = f"from pyspark import cloudpickle; cloudpickle.loads(open({str(stored)!r}, 'rb').read())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
