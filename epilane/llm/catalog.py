@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from epilane.llm.rules import op10_quality_rules
+from epilane.llm.warc import op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
