@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from epilane.llm.bpe import op9_bpe
 from epilane.llm.rules import op10_quality_rules
 from epilane.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 
