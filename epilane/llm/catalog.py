@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from epilane.llm.bpe import op9_bpe
+from epilane.llm.repeats import op2_suffix_dedup
 from epilane.llm.rules import op10_quality_rules
 from epilane.llm.tokenids import op8_token_ids
 from epilane.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op8_token_ids": op8_token_ids,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
