@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from epilane.llm.bpe import op9_bpe
+from epilane.llm.neardup import op6_near_dup
 from epilane.llm.repeats import op2_suffix_dedup
 from epilane.llm.rules import op10_quality_rules
 from epilane.llm.tokenids import op8_token_ids
@@ -11,6 +12,7 @@ from epilane.llm.warc import op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op6_near_dup": op6_near_dup,
     "op8_token_ids": op8_token_ids,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
