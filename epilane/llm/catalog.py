@@ -7,11 +7,13 @@ from epilane.llm.neardup import op6_near_dup
 from epilane.llm.repeats import op2_suffix_dedup
 from epilane.llm.rules import op10_quality_rules
 from epilane.llm.tokenids import op8_token_ids
+from epilane.llm.toxicity import op3_toxicity
 from epilane.llm.warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_toxicity": op3_toxicity,
     "op6_near_dup": op6_near_dup,
     "op8_token_ids": op8_token_ids,
     "op9_bpe": op9_bpe,
