@@ -454,13 +454,14 @@ def span_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
             ",",
         )
 
+    def of_kind(kind):
+        return F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))
+
     base = F.filter("spans", lambda x: x["base"])
     return found.select(
         id_col,
         *(
-            F.size(F.filter("spans", lambda x, k=kind: x["base"] & (x["kind"] == k)))
-            .cast("long")
-            .alias(f"n_{kind}")
+            F.size(of_kind(kind)).cast("long").alias(f"n_{kind}")
             for kind in KINDS
         ),
         F.sha2(text(base), 256).alias("base_sha256"),
