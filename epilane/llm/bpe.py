@@ -174,31 +174,30 @@ class Encoder:
         """Numbers of a text's pre-tokens in ``book``; added tokens are -1 - id."""
         find, number = self.pattern.findall, book.setdefault
         if self.added is None or not self.added.search(text):
-            return np.array([number(w, len(book)) for w in find(text)], np.int64)
+            return np.array([number(w, len(book)) for w in find(text)], np.int32)
         out: list[int] = []
         for i, part in enumerate(self.added.split(text)):
             if i % 2:
                 out.append(-1 - self.vocabulary.added[part])
             else:
                 out += [number(w, len(book)) for w in find(part)]
-        return np.array(out, np.int64)
+        return np.array(out, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         book: dict[str, int] = {}
         parts = [self.codes(t, book) for t in texts]
-        codes = np.concatenate([np.zeros(0, np.int64), *parts])
         ids, counts = merge_words([w.encode() for w in book], self.vocabulary)
         # Added tokens follow the words as words of one id.
         extra = np.array(sorted(self.vocabulary.added.values()), np.int32)
-        codes = np.where(codes < 0, len(book) + np.searchsorted(extra, -1 - codes), codes)
         ids = np.concatenate([ids, extra]).astype("<u4")
         counts = np.concatenate([counts, np.ones(len(extra), np.int64)])
         starts = np.cumsum(counts) - counts
-        sizes = counts[codes]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        found = ids[spread(starts[codes], sizes)]
-        cuts = ends[np.cumsum([0, *map(len, parts)])]
-        return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = []
+        for codes in parts:
+            if len(codes) and codes.min() < 0:
+                codes = np.where(codes < 0, len(book) + np.searchsorted(extra, -1 - codes), codes)
+            out.append(ids[spread(starts[codes], counts[codes])])
+        return out
 
 
 def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
@@ -228,7 +227,7 @@ def bpe_encode(
     documents: DataFrame,
     vocabulary: str = BYTE_BPE,
     text_col: str = "text",
-    chunk_bytes: int = 24 << 20,
+    chunk_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``documents`` with ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers).
 
@@ -259,7 +258,7 @@ def bpe_decode(
     vocabulary: str = BYTE_BPE,
     ids_col: str = "ids",
     out_col: str = "decoded",
-    chunk_bytes: int = 24 << 20,
+    chunk_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``encoded`` with the text of its ids; null ids give an empty text."""
     df, schema = _added_fields(encoded, [T.StructField(out_col, T.StringType())])
