@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epilane.llm.words import WordHasher, mix
 from epilane.session import Scratch
 
 WORDS = 5
@@ -51,48 +52,15 @@ BASE_OWNER = 0xD6E8FEB86659FD93
 U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> U(33))
-    x = x * U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> U(29))
-    x = x * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(32))
-
-
 class Shingler:
-    """Shingle hashes of many texts at once, from their bytes."""
+    """Shingle hashes of many texts at once."""
 
     def __init__(self):
-        random = np.random.default_rng(41)
-        self.table = random.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-        upper = np.arange(65, 91)
-        self.table[upper] = self.table[upper + 32]
-        space = np.zeros(256, bool)
-        space[[0x20, *range(0x09, 0x0E)]] = True
-        self.space = space
-        self.base = 0x9E3779B97F4A7C15
-        self._powers(1 << 16)
-
-    def _powers(self, n: int) -> None:
-        for name, base in (("powers", self.base), ("back", pow(self.base, -1, 1 << 64))):
-            x = np.full(n, base, np.uint64)
-            x[0] = 1
-            setattr(self, name, np.cumprod(x))
+        self.hasher = WordHasher(fold=True)
 
     def shingles(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hash and text number of every shingle, in order, with repeats."""
-        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        n = len(data)
-        if n >= len(self.powers):
-            self._powers(2 * n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.table[data] * self.powers[:n], out=sums[1:])
-        blank = self.space[data]
-        first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-        stop = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
-        word = mix((sums[stop] - sums[first]) * self.back[first])
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        owner = np.searchsorted(ends, first, side="right")
+        _, _, _, word, owner = self.hasher.words(texts)
         sizes = np.bincount(owner, minlength=len(texts))
         chain = mix(word + U(1))
         # Windows of 1 .. WORDS words; the last is taken, or the longest of a short text.

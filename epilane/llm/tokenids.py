@@ -14,7 +14,7 @@ files, and the list of blocks names only those of the attempt that counted.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import uuid
 
@@ -22,11 +22,13 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epilane.llm.bpe import WIDE_SPACE, spread
+from epilane.llm.bpe import spread
+from epilane.llm.words import WordHasher
 from epilane.session import Scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,54 +36,117 @@ END_ID = 2
 STEP = 64
 MAGIC = b"EPHB"
 HEADER = "<4sBqqIIQ"  # magic, longest code, part, first id, documents, ids, bits
-# White space that str.split() parts at beside the ASCII kind.
-OTHER_SPACE = re.compile(f"[{chr(0x1C)}-{chr(0x1F)}{WIDE_SPACE}]")
-WORDS = re.compile("[^ \t\n\x0b\x0c\r]+")
+# The pieces of the vocabulary's splitter; letters that need no normalizing.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LATIN = regex.compile(f"[!-~{chr(0xA1)}-{chr(0x12F)}{chr(0x131)}-{chr(0x24F)}]+")
 
 
 class WordCache:
-    """Encodes texts word by word with the library, each distinct word once.
+    """Encodes texts with the library, each distinct word of a task once.
 
     The normalizer and the splitter of the vocabulary never join what ASCII white space
-    parts, so a text's ids are those of its words in order. Holds ``limit`` words at most.
+    parts, so a text's ids are those of its words in order. Plain Latin words are cut
+    into the splitter's pieces first, and distinct pieces are encoded many to a call; the
+    ids that end a piece show where each stops. Other words are encoded one by one.
+    Holds about ``limit`` words, by 64-bit fingerprint.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
+        self.hasher = WordHasher(fold=False)
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.book: dict[str, int] = {}
-        self.ids = np.zeros(0, "<u4")
+        self.keys = np.zeros(0, np.uint64)  # sorted fingerprints
+        self.starts = np.zeros(0, np.int64)  # of the ids of each
         self.counts = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces one after the other, and how many each has."""
+        joined = [" ".join(texts[i : i + 1000]) for i in range(0, len(texts), 1000)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.array([i for x in found for i in x.ids], "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(texts):
+            return self.singly(texts)
+        return ids, np.diff(stops, prepend=0)
+
+    def singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        counts = np.array([len(x.ids) for x in found], np.int64)
+        return np.array([i for x in found for i in x.ids], "<u4"), counts
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        book: dict[str, int] = {}
+        number = book.setdefault
+        plain, rare, codes, sizes = [], [], [], []
+        for k, word in enumerate(words):
+            if not LATIN.fullmatch(word) or "<|" in word:
+                rare.append(k)
+                continue
+            plain.append(k)
+            word = word.lower()
+            if word.isalpha():
+                codes.append(number(word, len(book)))
+                sizes.append(1)
+            else:
+                parts = PIECES.findall(word)
+                codes += [number(p, len(book)) for p in parts]
+                sizes.append(len(parts))
+        ids, counts = self.pieces(list(book)) if book else (self.ids[:0], self.counts[:0])
+        starts = np.cumsum(counts) - counts
+        codes = np.array(codes, np.int64)
+        plain_ids = ids[spread(starts[codes], counts[codes])]
+        ends = np.concatenate([[0], np.cumsum(counts[codes])])
+        stops = np.cumsum(np.array(sizes, np.int64))
+        plain_counts = np.diff(ends[stops], prepend=0)
+        rare_ids, rare_counts = (
+            self.singly([words[k] for k in rare]) if rare else (self.ids[:0], self.counts[:0])
+        )
+        counts = np.concatenate([plain_counts, rare_counts]).astype(np.int64)
+        order = np.argsort(np.concatenate([self.keys, keys[np.array(plain + rare, np.int64)]]))
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, plain_ids, rare_ids])
+        self.keys = np.concatenate([self.keys, keys[np.array(plain + rare, np.int64)]])[order]
+        self.starts = np.concatenate([self.starts, starts])[order]
+        self.counts = np.concatenate([self.counts, counts])[order]
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        if len(self.book) > self.limit:
+        if len(self.keys) > self.limit:
             self.clear()
-        known, number = len(self.book), self.book.setdefault
-        parts = []
-        for text in texts:
-            words = WORDS.findall(text) if OTHER_SPACE.search(text) else text.split()
-            parts.append(np.array([number(w, len(self.book)) for w in words], np.int64))
-        new = list(self.book)[known:]
-        ids, counts = [self.ids], []
-        for at in range(0, len(new), 10_000):
-            found = self.tokenizer.encode_batch(new[at : at + 10_000], add_special_tokens=False)
-            lists = [x.ids for x in found]
-            counts += map(len, lists)
-            ids.append(np.array([i for x in lists for i in x], "<u4"))
-        self.ids = np.concatenate(ids)
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-        starts = np.cumsum(self.counts) - self.counts
+        raw = [t.encode() for t in texts]
+        data, first, stop, hashes, owner = self.hasher.words(raw)
+        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        inside = np.minimum(place, max(len(self.keys) - 1, 0))
+        new = self.keys[inside] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        if new.any():
+            joined, spots = data.tobytes(), at[new]
+            words = [
+                joined[a:b].decode()
+                for a, b in zip(first[spots].tolist(), stop[spots].tolist(), strict=True)
+            ]
+            self.learn(distinct[new], words)
+        place = np.searchsorted(self.keys, distinct)
+        starts, counts = self.starts[place], self.counts[place]
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
         end = np.array([end_id], "<u4")
         out = []
-        for codes in parts:
-            out.append(np.concatenate([self.ids[spread(starts[codes], self.counts[codes])], end]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            codes = inverse[a:b]
+            out.append(np.concatenate([self.ids[spread(starts[codes], counts[codes])], end]))
         return out
 
 
@@ -226,13 +291,17 @@ def tokenize(
     """Ids of each document in ascending order of keys; ``start`` counts within the part.
 
     Ids are little-endian unsigned 32-bit integers. Part numbers ascend with the keys.
+    A part has about 64 MB of text, so that words recur within it.
     """
+    volume = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    parts = max(volume >> 26, min(cores, volume >> 22), 1)
     ordered = (
         documents.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         )
-        .repartitionByRange("doc_id")
+        .repartitionByRange(parts, "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
 
@@ -259,16 +328,15 @@ def tokenize(
 
 def _text_chunks(batches, limit: int):
     for batch in batches:
-        keys, texts, held = [], [], 0
-        for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys.append(key)
-            texts.append(text)
-            held += len(text)
-            if held >= limit:
-                yield keys, texts
-                keys, texts, held = [], [], 0
-        if keys:
-            yield keys, texts
+        start = 0
+        while start < batch.num_rows:
+            held, stop = 0, start
+            while stop < batch.num_rows and held < limit:
+                held += len(batch.column(1)[stop].as_buffer())
+                stop += 1
+            part = batch.slice(start, stop - start)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            start = stop
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
