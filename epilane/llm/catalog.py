@@ -5,6 +5,7 @@ from __future__ import annotations
 from epilane.llm.bpe import op9_bpe
 from epilane.llm.neardup import op6_near_dup
 from epilane.llm.pii import op4_pii
+from epilane.llm.quality import op5_site_quality
 from epilane.llm.repeats import op2_suffix_dedup
 from epilane.llm.rules import op10_quality_rules
 from epilane.llm.tokenids import op8_token_ids
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
+    "op5_site_quality": op5_site_quality,
     "op6_near_dup": op6_near_dup,
     "op8_token_ids": op8_token_ids,
     "op9_bpe": op9_bpe,
