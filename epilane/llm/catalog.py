@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from epilane.llm.bpe import op9_bpe
+from epilane.llm.decontaminate import op7_decontaminate
 from epilane.llm.neardup import op6_near_dup
 from epilane.llm.pii import op4_pii
 from epilane.llm.quality import op5_site_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_site_quality": op5_site_quality,
     "op6_near_dup": op6_near_dup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_ids": op8_token_ids,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
