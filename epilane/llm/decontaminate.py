@@ -247,28 +247,39 @@ def _verdict_batch(keys, verdicts) -> pa.RecordBatch:
     )
 
 
+class Judge:
+    """Verdicts on texts, with the benchmark windows at hand."""
+
+    def __init__(self, rows: list[tuple], min_coverage: float):
+        self.templates, self.index, self.min_coverage = Templates(), Index(rows), min_coverage
+
+    def verdicts(self, texts: list[bytes]) -> list[tuple]:
+        at, codes, words = self.templates.windows(texts, WINDOW)
+        known = np.zeros(len(codes), bool)
+        if len(self.index.codes):
+            place = np.searchsorted(self.index.codes, codes)
+            known = self.index.codes[np.minimum(place, len(self.index.codes) - 1)] == codes
+        hits = defaultdict(list)
+        for a, code in zip(at[known].tolist(), codes[known].tolist(), strict=True):
+            mine = [(k, t, _signed(v)) for k, t, v in _slots(words, a, WINDOW)]
+            for item, at_item, total, slots in self.index.places[code]:
+                hits[int(words[3][a])].append(_hit(item, at_item, a, total, slots, mine))
+        return [_verdict(judge(hits.get(i, []), self.min_coverage)) for i in range(len(texts))]
+
+
+def _packed(rows: list) -> list[tuple]:
+    return [(r["item_id"], r["at"], r["total"], r["code"] % (1 << 64), _triples(r["slots"])) for r in rows]
+
+
 def _local(documents: DataFrame, rows: list, min_coverage: float) -> DataFrame:
-    """Judge each document where it is, with the benchmark windows at hand."""
-    packed = [(r["item_id"], r["at"], r["total"], r["code"] % (1 << 64), _triples(r["slots"])) for r in rows]
+    """Judge each document where it is."""
+    packed = _packed(rows)
 
     def run(batches):
-        templates, index = Templates(), Index(packed)
+        judge_ = Judge(packed, min_coverage)
         for batch in batches:
             for keys, texts in _chunks(batch):
-                at, codes, words = templates.windows(texts, WINDOW)
-                known = (
-                    index.codes[np.minimum(np.searchsorted(index.codes, codes), len(index.codes) - 1)] == codes
-                    if len(index.codes)
-                    else np.zeros(len(codes), bool)
-                )
-                hits = defaultdict(list)
-                for a, code in zip(at[known].tolist(), codes[known].tolist(), strict=True):
-                    mine = [(k, t, _signed(v)) for k, t, v in _slots(words, a, WINDOW)]
-                    for item, at_item, total, slots in index.places[code]:
-                        hits[int(words[3][a])].append(_hit(item, at_item, a, total, slots, mine))
-                yield _verdict_batch(
-                    keys, [_verdict(judge(hits.get(i, []), min_coverage)) for i in range(len(texts))]
-                )
+                yield _verdict_batch(keys, judge_.verdicts(texts))
 
     return documents.mapInArrow(run, RESULT)
 
@@ -276,11 +287,12 @@ def _local(documents: DataFrame, rows: list, min_coverage: float) -> DataFrame:
 DOC_WINDOWS = "text_key binary, at long, code long, slots array<long>"
 
 
-def _joined(documents: DataFrame, windows: DataFrame, min_coverage: float) -> DataFrame:
-    """The same verdicts by a shuffle join of windows and a grouping by text."""
-    keyed = documents.withColumn(
-        "text_key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    )
+def _text_key(name: str):
+    return F.unhex(F.md5(F.coalesce(F.col(name).cast("string"), F.lit(""))))
+
+
+def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float) -> DataFrame:
+    """Contaminated texts by digest, with their best item."""
 
     def cut(batches):
         templates = Templates()
@@ -328,10 +340,16 @@ def _joined(documents: DataFrame, windows: DataFrame, min_coverage: float) -> Da
     findings = hits.groupBy("text_key", "item_id").applyInArrow(
         decide, "text_key binary, item_id long, coverage double, exact boolean"
     )
-    best = findings.groupBy("text_key").agg(
+    return findings.groupBy("text_key").agg(
         F.count("*").alias("n_items"),
         F.min_by(F.struct("item_id", "coverage", "exact"), F.struct(-F.col("coverage"), "item_id")).alias("x"),
     )
+
+
+def _joined(documents: DataFrame, windows: DataFrame, min_coverage: float) -> DataFrame:
+    """The same verdicts by a shuffle join of windows and a grouping by text."""
+    keyed = documents.withColumn("text_key", _text_key("text"))
+    best = _best_items(keyed, windows, min_coverage)
     return keyed.join(best, "text_key", "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
@@ -358,14 +376,49 @@ def find_contamination(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
     windows = item_windows(benchmark)
-    held = windows.limit(max_local_windows + 1).collect()
-    if len(held) <= max_local_windows:
+    held = _few(windows, max_local_windows)
+    if held is not None:
         found = _local(rows, held, min_coverage)
     else:
         found = _joined(rows, windows, min_coverage)
     return found.withColumnRenamed("doc_id", id_col)
 
 
+def _few(windows: DataFrame, limit: int) -> list | None:
+    """The windows, if there are at most ``limit``."""
+    return windows.collect() if windows.count() <= limit else None
+
+
+def drop_contaminated(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    min_coverage: float = 0.5,
+    max_local_windows: int = 200_000,
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``documents``, all columns, without a benchmark passage."""
+    windows = item_windows(benchmark)
+    held = _few(windows, max_local_windows)
+    if held is None:
+        bad = _best_items(
+            documents.select(_text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")),
+            windows,
+            min_coverage,
+        ).select("text_key")
+        return documents.join(bad, _text_key(text_col) == bad["text_key"], "left_anti")
+    place, packed = documents.columns.index(text_col), _packed(held)
+
+    def run(batches):
+        judge_ = Judge(packed, min_coverage)
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column(place)] * 2, names=["key", "text"])
+            bad = [v[0] for _, texts in _chunks(pair) for v in judge_.verdicts(texts)]
+            if bad:
+                yield batch.filter(pa.array([not x for x in bad]))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op7_decontaminate(spark, folder):
     return find_contamination(
         spark.read.parquet(f"{folder}/documents.parquet"),

@@ -435,6 +435,21 @@ def score_toxicity(
     return rows.mapInArrow(run, f"`{id_col}` long, score double, predicted int")
 
 
+def drop_toxic(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns, that are not predicted toxic."""
+    place, matcher = documents.columns.index(text_col), Matcher(model.entries)
+
+    def run(batches):
+        scorer = Scorer(model, matcher)
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column(place)] * 2, names=["key", "text"])
+            scores = [scorer.scores(texts) for _, texts in _chunks(pair)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op3_toxicity(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
