@@ -11,8 +11,10 @@ Candidates are searched without all pairs of a band bucket:
 1. Equal texts are one node. A node scores the summed sizes of its buckets; each node is
    compared with the best-scored node that it meets, which for a group of copies is the
    original. Confirmed links join nodes to components.
-2. In buckets that still hold several components, nodes of different components are
-   compared by registers (buckets of any size, tile by tile), and pairs whose
+2. Nodes of a large group with one centre are compared set by set, tile by tile, where
+   they lie in different components; only links leave a tile.
+3. In buckets that still hold several components, the other pairs of different components
+   are compared by registers (large buckets tile by tile), and pairs whose
    collision-corrected estimate is within five deviations of the threshold are confirmed.
 
 Confirmation cuts the texts anew and compares the whole sets.
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epilane.llm.words import WordHasher, mix
@@ -327,37 +329,127 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _tile_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one tile of a large bucket that differ in component and may be similar."""
-    column = {c: table[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "chunk", "lo", "hi")}
-    row = _register_rows(table["registers"].combine_chunks())
+def _tile_sides(table: pa.Table, names: tuple[str, ...]):
+    column = {c: table[c].to_numpy(zero_copy_only=False) for c in names}
     left = np.flatnonzero(column["chunk"] == column["lo"])
     right = np.flatnonzero(column["chunk"] == column["hi"])
+    return column, left, right
+
+
+def _pairs_table(found_a: list, found_b: list) -> pa.Table:
+    none = [np.zeros(0, np.int64)]
+    return pa.table(
+        {
+            "a": pa.array(np.concatenate(none + found_a), pa.int64()),
+            "b": pa.array(np.concatenate(none + found_b), pa.int64()),
+        }
+    )
+
+
+def _tile_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of one tile of a large bucket that are still to be judged."""
+    column, left, right = _tile_sides(
+        table, ("id", "component", "cluster", "big", "chunk", "lo", "hi")
+    )
+    row = _register_rows(table["registers"].combine_chunks())
     least = float(table["least"][0].as_py())
+    ids, cluster, big = column["id"], column["cluster"], column["big"].astype(bool)
     found_a, found_b = [], []
     for i in left:
-        other = right[(column["component"][right] != column["component"][i])]
+        open_ = column["component"][right] != column["component"][i]
+        open_ &= ~((cluster[right] == cluster[i]) & big[i])
+        open_ &= (cluster[right] != ids[i]) & (ids[right] != cluster[i])
         if column["lo"][0] == column["hi"][0]:
-            other = other[column["id"][other] > column["id"][i]]
+            open_ &= ids[right] > ids[i]
+        other = right[open_]
         used = np.maximum(((row[other] > 0) | (row[i] > 0)).sum(1), 1)
         share = ((row[other] == row[i]) & (row[i] > 0)).sum(1) / used
         other = other[share >= least]
+        found_a.append(np.full(len(other), ids[i]))
+        found_b.append(ids[other])
+    return _pairs_table(found_a, found_b)
+
+
+def _tile_links(table: pa.Table, per_cent: int) -> pa.Table:
+    """Links of one tile of a large cluster, from the whole sets, between components."""
+    column, left, right = _tile_sides(table, ("id", "component", "chunk", "lo", "hi"))
+    sets = [np.frombuffer(x.as_py(), "<u8") for x in table["shingles"]]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    held = np.zeros(int(number.max()) + 1, bool)
+    found_a, found_b = [], []
+    for i in left:
+        open_ = column["component"][right] != column["component"][i]
+        if column["lo"][0] == column["hi"][0]:
+            open_ &= column["id"][right] > column["id"][i]
+        if not open_.any():
+            continue
+        mine = number[starts[i] : starts[i] + sizes[i]]
+        held[mine] = True
+        common = np.add.reduceat(held[number], starts, dtype=np.int64)
+        held[mine] = False
+        close = 100 * common >= per_cent * (sizes + sizes[i] - common)
+        other = right[open_ & close[right]]
         found_a.append(np.full(len(other), column["id"][i]))
         found_b.append(column["id"][other])
-    none = [np.zeros(0, np.int64)]
-    return pa.table(
-        {
-            "a": pa.array(np.concatenate(none + found_a), pa.int64()),
-            "b": pa.array(np.concatenate(none + found_b), pa.int64()),
-        }
+    return _pairs_table(found_a, found_b)
+
+
+def _tiled(rows: DataFrame, size: Column, tile: int) -> DataFrame:
+    """Rows once per tile they belong to: every pair of chunks of a group is a tile."""
+    chunks = F.ceil(size / tile).cast("int")
+    return (
+        rows.withColumn("chunk", F.pmod(F.hash("id"), chunks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
+        .drop("other")
     )
 
 
-def _cross_pairs(members, nodes, comps, similarity, scratch) -> DataFrame:
-    """Pairs of nodes that share a bucket and lie in different components."""
-    labelled = members.join(comps, "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
+def _cluster_links(labelled, nodes, texts, similarity, scratch) -> DataFrame:
+    """Links between components within large clusters (one centre), tile by tile."""
+    inside = labelled.filter("big")
+    mixed = (
+        inside.groupBy("cluster")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+        .filter("lo <> hi")
+        .select("cluster", "size")
+    )
+    wanted = inside.join(mixed, "cluster").join(nodes.select("id", "text_key"), "id")
+
+    def cut(batches):
+        shingler = Shingler()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = shingler.sets(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(c) for c in ("id", "cluster", "component", "size")),
+                        pa.array([x.tobytes() for x in sets], pa.binary()),
+                    ],
+                    names=["id", "cluster", "component", "size", "shingles"],
+                )
+
+    sets = scratch.table(
+        texts.join(wanted, ["id", "text_key"])
+        .select("id", "cluster", "component", "size", "text")
+        .mapInArrow(cut, "id long, cluster long, component long, size long, shingles binary"),
+        "cluster_sets",
+    ).dropDuplicates(["id"])
+    per_cent = round(100 * similarity)
+    return (
+        _tiled(sets, F.col("size"), TILE // 2)
+        .groupBy("cluster", "lo", "hi")
+        .applyInArrow(lambda table: _tile_links(table, per_cent), "a long, b long")
     )
+
+
+def _cross_pairs(members, labels, nodes, similarity, scratch) -> DataFrame:
+    """Pairs of nodes that share a bucket, lie in different components and have neither
+    been compared as member and centre nor lie in one large cluster."""
+    labelled = members.join(labels, "id")
     mixed = (
         labelled.groupBy("band", "key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -368,7 +460,7 @@ def _cross_pairs(members, nodes, comps, similarity, scratch) -> DataFrame:
     few = (
         left.filter(F.col("size") <= BUCKET_PAIRS)
         .groupBy("band", "key")
-        .agg(F.collect_list(F.struct("id", "component")).alias("held"))
+        .agg(F.collect_list(F.struct("id", "component", "cluster", "big")).alias("held"))
         .select("held", F.explode("held").alias("one"))
         .select(
             F.col("one.id").alias("a"),
@@ -376,29 +468,25 @@ def _cross_pairs(members, nodes, comps, similarity, scratch) -> DataFrame:
                 F.filter(
                     "held",
                     lambda x: (x["id"] > F.col("one.id"))
-                    & (x["component"] != F.col("one.component")),
+                    & (x["component"] != F.col("one.component"))
+                    & ~(x["big"] & (x["cluster"] == F.col("one.cluster")))
+                    & (x["cluster"] != F.col("one.id"))
+                    & (x["id"] != F.col("one.cluster")),
                 )
             ).alias("other"),
         )
         .select("a", F.col("other.id").alias("b"))
     )
     least = similarity - DEVIATIONS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
-    chunks = F.ceil(F.col("size") / TILE).cast("int")
-    tiles = (
-        left.filter(F.col("size") > BUCKET_PAIRS)
-        .withColumn("chunk", F.pmod(F.hash("id"), chunks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
-    )
-    registers_of = nodes.select("id", "large", "small")
     many = (
-        tiles.join(registers_of, "id")
+        _tiled(left.filter(F.col("size") > BUCKET_PAIRS), F.col("size"), TILE)
+        .join(nodes.select("id", "large", "small"), "id")
         .withColumn(
-            "registers", F.when(F.col("band") < REGISTERS // ROWS, F.col("large")).otherwise(F.col("small"))
-        )
-        .select(
-            "band", "key", "lo", "hi", "id", "component", "chunk", "registers", F.lit(least).alias("least")
+            "registers",
+            F.when(F.col("band") < REGISTERS // ROWS, F.col("large")).otherwise(F.col("small")),
         )
+        .drop("large", "small")
+        .withColumn("least", F.lit(least))
         .groupBy("band", "key", "lo", "hi")
         .applyInArrow(_tile_pairs, "a long, b long")
     )
@@ -436,12 +524,13 @@ def near_duplicates(
         scored = members.join(scores, "id")
         rank = F.struct(F.col("score"), (-F.col("id")).alias("down"))
         best = scored.groupBy("band", "key").agg(F.max(rank).alias("best"))
-        stars = (
+        stars = scratch.table(
             members.join(best, ["band", "key"])
             .filter(F.col("id") != -F.col("best.down"))
             .groupBy("id")
             .agg(F.max("best").alias("best"))
-            .select(F.col("id").alias("a"), (-F.col("best.down")).alias("b"))
+            .select(F.col("id").alias("a"), (-F.col("best.down")).alias("b")),
+            "stars",
         )
         texts = _texts(documents, id_col, text_col).withColumnRenamed("doc_id", "id")
         first = scratch.table(
@@ -451,14 +540,29 @@ def near_duplicates(
             "links_1",
         )
         comps = components(first, scratch, "round_1")
-        cross = _cross_pairs(members, nodes, comps, similarity, scratch)
+        big = stars.groupBy("b").agg((F.count("*") > BUCKET_PAIRS).alias("big"))
+        labels = scratch.table(
+            members.select("id")
+            .distinct()
+            .join(comps, "id", "left")
+            .join(stars.join(big, "b").select(F.col("a").alias("id"), F.col("b").alias("cluster"), "big"), "id", "left")
+            .select(
+                "id",
+                F.coalesce("component", "id").alias("component"),
+                F.coalesce("cluster", F.lit(-(1 << 63))).alias("cluster"),
+                F.coalesce("big", F.lit(False)).alias("big"),
+            ),
+            "labels",
+        )
+        inner = scratch.table(_cluster_links(labels, nodes, texts, similarity, scratch), "links_0")
+        cross = _cross_pairs(members, labels, nodes, similarity, scratch)
         second = scratch.table(
             confirm(
                 scratch.table(close_pairs(cross, nodes, similarity), "close_2"), nodes, texts, similarity
             ),
             "links_2",
         )
-        comps = components(first.unionByName(second), scratch, "round_2")
+        comps = components(first.unionByName(inner).unionByName(second), scratch, "round_2")
         grouped = nodes.select("text_key", "id").join(comps, "id", "left").select(
             "text_key", F.coalesce("component", "id").alias("component")
         )
