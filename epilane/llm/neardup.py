@@ -496,7 +496,10 @@ def _cross_pairs(members, labels, nodes, similarity, scratch) -> DataFrame:
 def near_duplicates(
     documents: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per document: shingles of its set, smallest key of its component, kept or not."""
+    """Per document: shingles of its set, smallest key of its component, kept or not.
+
+    ``text_key`` is the MD5 digest of the text.
+    """
     with Scratch(documents.sparkSession) as scratch:
         found = scratch.table(features(documents, id_col, text_col), "features")
         one = F.struct("doc_id", "text_key", "n_shingles", "large", "small")
@@ -576,9 +579,40 @@ def near_duplicates(
                 "n_shingles",
                 component.alias("component_id"),
                 F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+                "text_key",
             )
         )
 
 
+def drop_near_duplicates(
+    documents: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row, all columns, of each component: that with the smallest key.
+
+    Of rows that repeat key and text one stays; rows with a null key all stay.
+    """
+    verdict = near_duplicates(documents, similarity, id_col, text_col)
+    taken = {c.lower() for c in documents.columns}
+    names = [f"_{n}" for n in ("key", "digest", "mark")]
+    while taken & set(names):
+        names = [f"_{n}" for n in names]
+    key, digest, mark = names
+    keepers = (
+        verdict.filter(F.col("kept") & F.col(id_col).isNotNull())
+        .select(F.col(id_col).alias(key), F.col("text_key").alias(digest))
+        .distinct()
+        .withColumn(mark, F.lit(True))
+    )
+    marked = documents.withColumns(
+        {
+            key: F.col(id_col).cast("long"),
+            digest: F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8"))),
+        }
+    )
+    named = marked.filter(F.col(key).isNotNull()).join(keepers, [key, digest])
+    kept = named.dropDuplicates([key, digest]).select(*documents.columns)
+    return kept.unionByName(documents.filter(F.col(id_col).isNull()))
+
+
 def op6_near_dup(spark, folder):
-    return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet")).drop("text_key")
