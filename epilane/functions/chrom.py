@@ -14,13 +14,13 @@ def chrom_key_mouse(chrom: Column) -> Column:
     key = F
     for name, place in MOUSE_LETTERS.items():
         key = key.when(chrom == name, F.lit(place))
-    return key.otherwise(F.substring(chrom, 4, 20).cast("int"))
+    return key.otherwise(F.substr(chrom, F.lit(4)).cast("int"))
 
 
 def chrom_key_natural(chrom: Column) -> Column:
     """Natural order: chr+number, number, chr+text, text."""
     prefixed = F.startswith(chrom, F.lit("chr"))
-    rest = F.when(prefixed, F.substring(chrom, 4, 1000)).otherwise(chrom)
+    rest = F.when(prefixed, F.substr(chrom, F.lit(4))).otherwise(chrom)
     number = rest.try_cast("bigint")
     return F.struct(
         number.isNull().alias("is_text"),

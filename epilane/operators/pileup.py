@@ -34,10 +34,12 @@ def overlapping_reads(sam: DataFrame, bed: DataFrame) -> DataFrame:
         loc3.cast("bigint").alias("loc3"),
         "cigar",
         "seq",
-        tag(F.col("tags"), "XM").alias("xm"),
+        "tags",
     )
     regions = bed.select("name", "chrom", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return overlap_join(reads, regions, ("pos", "loc3"), ("_s", "_e")).drop("_s", "_e")
+    hits = overlap_join(reads, regions, ("pos", "loc3"), ("_s", "_e")).drop("_s", "_e")
+    # Read after the join: records that touch no region need not have the tag.
+    return hits.withColumn("xm", tag(F.col("tags"), "XM")).drop("tags")
 
 
 def _bounds(reads: DataFrame) -> DataFrame:

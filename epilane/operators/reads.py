@@ -107,7 +107,10 @@ def sam_to_fastq(sam: DataFrame) -> DataFrame:
 
 
 def sam_to_fastq_pe(sam: DataFrame) -> DataFrame:
-    """``end,name,seq,qual`` with ``end`` in ``1``, ``2``, ``unpaired``, ``orphan``.
+    """``end,pair,name,seq,qual`` with ``end`` in ``1``, ``2``, ``unpaired``, ``orphan``.
+
+    ``pair`` is the line of the first record of a pair, or of a record alone: in its
+    order the mates of ``1`` and ``2`` stand in step.
 
     Records of a name are read in file order. A proper record pairs with the proper
     record before it if their coordinates point at each other; a record that is not
@@ -138,13 +141,14 @@ def sam_to_fastq_pe(sam: DataFrame) -> DataFrame:
         F.max(F.when(F.col("proper"), F.col("line_no"))).alias("last"),
     )
 
-    def place(line, end):
-        return F.struct(line.alias("line_no"), F.lit(end).alias("end"))
+    def place(line, end, pair=None):
+        pair = line if pair is None else pair
+        return F.struct(line.alias("line_no"), F.lit(end).alias("end"), pair.alias("pair"))
 
     line, before = F.col("close.line"), F.col("close.before")
     places = (
         F.when(F.col("close").isNull(), F.array(place(F.col("last"), "orphan")))
-        .when(F.col("close.mated"), F.array(place(before, "1"), place(line, "2")))
+        .when(F.col("close.mated"), F.array(place(before, "1"), place(line, "2", before)))
         .otherwise(F.array(place(line, "unpaired"), place(before, "orphan")))
     )
     decided = closed.select(F.inline(places)).filter(F.col("line_no").isNotNull())
@@ -153,7 +157,7 @@ def sam_to_fastq_pe(sam: DataFrame) -> DataFrame:
         .when(F.col("end") == "2", F.lit(" /2"))
         .otherwise(F.lit(""))
     )
-    return _fastq(records.join(decided, "line_no"), F.concat("qname", suffix), "end")
+    return _fastq(records.join(decided, "line_no"), F.concat("qname", suffix), "end", "pair")
 
 
 def alignments_per_read(sam: DataFrame) -> DataFrame:

@@ -236,7 +236,8 @@ def combine_regions(
 ) -> DataFrame:
     """``chrom,start,end,cpg,sample,n,x``: total and methylated counts per region and
     sample. Cells below ``min_reg`` counts are left out, and with them regions that
-    have no other cell. All samples' counts at a qualifying site enter the sums.
+    have no other cell. All samples' counts at a qualifying site enter the sums. A
+    position with several rows of one sample fails.
     """
     check_range(min_reg, lo=1, name="min_reg")
     clustered = cluster_sites(qualify_sites(counts, min_reads, min_samples), max_dist, tile)
@@ -247,9 +248,18 @@ def combine_regions(
     else:
         placed = split_regions(clustered, max_len, min_cpg, version, tile)
         extents = region_extents(placed)
-    sums = (
+    # The join already deals rows by position, so this check needs no other shuffle.
+    again = F.raise_error(
+        F.concat_ws(" ", F.lit("more than one row for"), "sample", "chrom", F.col("pos").cast("string"))
+    )
+    single = (
         counts.join(placed, ["chrom", "pos"])
-        .groupBy(*REGION, "sample")
+        .groupBy("chrom", "pos", "sample", "region_start")
+        .agg(F.count("*").alias("_rows"), F.max("meth").alias("meth"), F.max("unmeth").alias("unmeth"))
+        .withColumn("meth", F.when(F.col("_rows") == 1, F.col("meth")).otherwise(again.cast("bigint")))
+    )
+    sums = (
+        single.groupBy(*REGION, "sample")
         .agg(F.sum(F.col("meth") + F.col("unmeth")).alias("n"), F.sum("meth").alias("x"))
         .filter(F.col("n") >= min_reg)
     )
@@ -283,13 +293,15 @@ def combine_bed(
     """``chrom,start,end,cpg,sample,frac`` for given regions, each widened by one base.
 
     Counts are 1-based, regions 0-based; a region without counts keeps one row with
-    NULL sample. ``cpg`` is NULL where the genome lacks the chromosome.
+    NULL sample, and a region given twice has its rows twice. ``cpg`` is NULL where the
+    genome lacks the chromosome.
     """
-    wide = bed.select(
+    given = bed.select(
         "chrom",
         (F.col("start") - 1).alias("start"),
         (F.col("end") + 1).alias("end"),
-    ).distinct()
+    )
+    wide = given.distinct()
     inside = interval_join(
         counts.withColumn("pos", F.col("pos") - 1).filter(F.col("meth") + F.col("unmeth") > 0),
         wide,
@@ -304,7 +316,8 @@ def combine_bed(
             "chrom", "start", "end", cpg_count(F.col("seq")).alias("cpg")
         )
         regions = wide.join(text, ["chrom", "start", "end"], "left")
-    return regions.join(sums, ["chrom", "start", "end"], "left").select(
+    found = given.join(regions, ["chrom", "start", "end"])
+    return found.join(sums, ["chrom", "start", "end"], "left").select(
         "chrom",
         "start",
         "end",

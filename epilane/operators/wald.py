@@ -15,47 +15,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from epilane.functions.pvalues import normal_two_sided
+from epilane.functions.pvalues import log_gamma, normal_two_sided
 from epilane.operators.difftest import KEYS, check_groups
 from epilane.operators.ordered import running
 from epilane.session import cut_lineage
 
-# Fixed values of the method: pseudo-counts of the mean, the prior used when too few
-# regions can teach one, the coverage and number of regions that teach it, the
-# spread-to-deviation factor of a normal quartile range, and the search range of
-# log dispersion.
+# Fixed values of the method (Feng, Conneely, Wu 2014, a Bayesian hierarchical model for
+# differentially methylated loci): pseudo-counts of the mean, and the spread of a normal
+# distribution's quartiles in deviations. Defaults of arguments: the counts over which a
+# sample teaches the prior, and the search range of log dispersion.
 PSEUDO_X, PSEUDO_N = 0.5, 1.0
-DEFAULT_PRIOR = (-3.0, 1.0)
-MIN_COVERAGE, MIN_REGIONS = 10, 50
 QUARTILE_FACTOR = 1.39
+MIN_COVERAGE = 10
 LOG_RANGE = (-5.0, float(np.log(0.99)))
 
 
-def _log_gamma(z: np.ndarray) -> np.ndarray:
-    """Log gamma for positive arguments: Stirling's series above a shift of 8."""
-    shift = np.zeros_like(z)
-    w = z.copy()
-    for _ in range(8):
-        small = w < 8.0
-        shift = np.where(small, shift + np.log(np.where(small, w, 1.0)), shift)
-        w = np.where(small, w + 1.0, w)
-    inv = 1.0 / w
-    series = inv / 12 - inv**3 / 360 + inv**5 / 1260 - inv**7 / 1680
-    return (w - 0.5) * np.log(w) - w + 0.5 * np.log(2 * np.pi) + series - shift
+def _padded(lists: pd.Series) -> np.ndarray:
+    """Rows of unequal length as one matrix, filled up with zeros."""
+    sizes = lists.str.len().to_numpy(np.int64)
+    out = np.zeros((len(lists), int(sizes.max(initial=0))))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = np.concatenate([[], *lists])
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def shrunken_dispersion(
-    n: pd.Series, x: pd.Series, mu: pd.Series, prior_mean: pd.Series, prior_sd: pd.Series
+    n: pd.Series,
+    x: pd.Series,
+    mu: pd.Series,
+    prior_mean: pd.Series,
+    prior_sd: pd.Series,
+    low: pd.Series,
+    high: pd.Series,
 ) -> pd.Series:
     """Dispersion that maximises the beta-binomial likelihood of the samples'
-    ``n``/``x`` arrays plus the log-normal prior; golden-section search per region."""
-    width = max((len(v) for v in n), default=0)
-    total = np.zeros((len(n), width))
-    meth = np.zeros((len(n), width))
-    for i, (a, b) in enumerate(zip(n, x)):
-        total[i, : len(a)] = a
-        meth[i, : len(b)] = b
+    ``n``/``x`` arrays plus the log-normal prior; golden-section search per region,
+    with log dispersion between ``low`` and ``high``."""
+    total, meth = _padded(n), _padded(x)
     mean = np.clip(mu.to_numpy(float), 1e-5, 1 - 1e-5)[:, None]
     centre, spread = prior_mean.to_numpy(float), prior_sd.to_numpy(float)
 
@@ -63,21 +59,27 @@ def shrunken_dispersion(
         size = np.exp(-log_phi)[:, None] - 1.0
         a, b = mean * size, (1 - mean) * size
         fit = (
-            _log_gamma(meth + a) + _log_gamma(total - meth + b) - _log_gamma(total + a + b)
-            - _log_gamma(a) - _log_gamma(b) + _log_gamma(a + b)
+            log_gamma(meth + a) + log_gamma(total - meth + b) - log_gamma(total + a + b)
+            - log_gamma(a) - log_gamma(b) + log_gamma(a + b)
         )
         fit = np.where(total > 0, fit, 0.0).sum(axis=1)
         return fit - (log_phi - centre) ** 2 / (2 * spread**2)
 
-    low = np.full(len(n), LOG_RANGE[0])
-    high = np.full(len(n), LOG_RANGE[1])
+    low, high = low.to_numpy(float).copy(), high.to_numpy(float).copy()
     ratio = (np.sqrt(5) - 1) / 2
+    left, right = high - ratio * (high - low), low + ratio * (high - low)
+    at_left, at_right = goal(left), goal(right)
     for _ in range(60):
-        left = high - ratio * (high - low)
-        right = low + ratio * (high - low)
-        better = goal(left) > goal(right)
-        high = np.where(better, right, high)
-        low = np.where(better, low, left)
+        # One inner point becomes the other, so each step works out one new value.
+        better = at_left > at_right
+        high, low = np.where(better, right, high), np.where(better, low, left)
+        fresh = np.where(better, high - ratio * (high - low), low + ratio * (high - low))
+        value = goal(fresh)
+        left, right = np.where(better, fresh, right), np.where(better, left, fresh)
+        at_left, at_right = (
+            np.where(better, value, at_right),
+            np.where(better, at_left, value),
+        )
     return pd.Series(np.exp((low + high) / 2))
 
 
@@ -100,56 +102,78 @@ def _group_rows(regions: DataFrame, groups: dict[str, list[str]], keys: list[str
     )
 
 
-def _priors(rows: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+def _priors(
+    rows: DataFrame,
+    groups: dict[str, list[str]],
+    prior: str | tuple[float, float],
+    min_coverage: int,
+) -> DataFrame:
     """``group,prior_mean,prior_sd`` of log dispersion, one aggregate over all regions."""
+    names = F.explode(F.array(*[F.lit(g) for g in groups])).alias("group")
+    every = rows.sparkSession.range(1).select(names)
+    if prior != "learn":
+        mean, sd = prior
+        return every.withColumns(
+            {"prior_mean": F.lit(float(mean)), "prior_sd": F.lit(float(sd))}
+        )
     sizes = F.coalesce(*[F.when(F.col("group") == g, F.lit(len(v))) for g, v in groups.items()])
     middle = F.least(F.greatest("mean_frac", F.lit(1e-5)), F.lit(1 - 1e-5))
     moment = F.col("var_frac") / middle / (1 - middle)
     usable = rows.filter(
-        (F.col("k") == sizes) & (F.col("least_n") > MIN_COVERAGE) & (F.col("var_frac") > 0)
+        (F.col("k") == sizes) & (F.col("least_n") > min_coverage) & (F.col("var_frac") > 0)
     ).withColumn("log_phi", F.log(moment))
-    quartiles = F.percentile_approx("log_phi", [0.25, 0.5, 0.75], 100000)
-    learnt = usable.groupBy("group").agg(
-        F.count(F.lit(1)).alias("taught"), quartiles.alias("q")
-    )
+    quartiles = F.percentile("log_phi", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))
+    learnt = usable.groupBy("group").agg(quartiles.alias("q"))
     sd = (F.col("q")[2] - F.col("q")[0]) / QUARTILE_FACTOR
-    known = (F.col("taught") >= MIN_REGIONS) & (sd > 0)
-    names = F.explode(F.array(*[F.lit(g) for g in groups])).alias("group")
-    return (
-        rows.sparkSession.range(1)
-        .select(names)
-        .join(learnt, "group", "left")
-        .select(
-            "group",
-            F.when(known, F.col("q")[1]).otherwise(F.lit(DEFAULT_PRIOR[0])).alias("prior_mean"),
-            F.when(known, sd).otherwise(F.lit(DEFAULT_PRIOR[1])).alias("prior_sd"),
-        )
+    problem = F.raise_error(
+        F.concat(F.lit("no prior can be learnt, give one as (mean, sd), for group "), "group")
+    ).cast("double")
+    return every.join(learnt, "group", "left").select(
+        "group",
+        F.when(sd > 0, F.col("q")[1]).otherwise(problem).alias("prior_mean"),
+        F.when(sd > 0, sd).otherwise(problem).alias("prior_sd"),
     )
 
 
 def wald_pairs(
-    regions: DataFrame, groups: dict[str, list[str]], keys: list[str] | None = None
+    regions: DataFrame,
+    groups: dict[str, list[str]],
+    keys: list[str] | None = None,
+    prior: str | tuple[float, float] = "learn",
+    min_coverage: int = MIN_COVERAGE,
+    log_range: tuple[float, float] = LOG_RANGE,
 ) -> DataFrame:
-    """``keys,g1,g2,mu1,mu2,diff,stat,pval`` per region and pair of groups; ``diff`` is
-    the later minus the earlier group.
+    """``keys,g1,g2,mu1,mu2,diff,stat,pval,at_edge`` per region and pair of groups;
+    ``diff`` is the later minus the earlier group.
 
     A pair with a group of one sample shares the dispersion of all its samples.
+    ``prior`` is the mean and deviation of log dispersion, or ``"learn"``: from the
+    regions where every sample of a group has more than ``min_coverage`` counts; without
+    any such region, or without spread, that fails. The dispersion is sought within
+    ``log_range``; ``at_edge`` is true where one of a pair lies on its border.
     """
     check_groups(groups)
     keys = keys or KEYS
     pairs = list(combinations(groups, 2))
     shared = [(a, b) for a, b in pairs if len(groups[a]) < 2 or len(groups[b]) < 2]
     rows = cut_lineage(_group_rows(regions, groups, keys))
-    fitted = _fit(rows, groups)
+    options = {"prior": prior, "min_coverage": min_coverage, "log_range": log_range}
+    fitted = _fit(rows, groups, **options) if len(shared) < len(pairs) else None
     tested = _wald(fitted, [p for p in pairs if p not in shared], keys) if len(shared) < len(pairs) else None
     for a, b in shared:
         both = {"both": groups[a] + groups[b]}
-        common = _fit(_group_rows(regions, both, keys), both).select(
-            *keys, F.col("phi").alias("shared_phi")
+        common = _fit(_group_rows(regions, both, keys), both, **options).select(
+            *keys, F.col("phi").alias("shared_phi"), F.col("at_edge").alias("shared_edge")
         )
         part = _wald(
             rows.join(common, keys, "left")
-            .withColumns({"phi": F.col("shared_phi"), "mu": _pseudo_mean()})
+            .withColumns(
+                {
+                    "phi": F.col("shared_phi"),
+                    "at_edge": F.col("shared_edge"),
+                    "mu": _pseudo_mean(),
+                }
+            )
             .filter(F.col("group").isin(a, b)),
             [(a, b)],
             keys,
@@ -162,10 +186,12 @@ def _pseudo_mean():
     return (F.col("total_x") + PSEUDO_X) / (F.col("total_n") + PSEUDO_N)
 
 
-def _fit(rows: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+def _fit(rows: DataFrame, groups: dict[str, list[str]], prior, min_coverage, log_range) -> DataFrame:
     """Rows with mean ``mu`` and shrunken dispersion ``phi``. The prior table has one
     row per group."""
-    return rows.join(F.broadcast(_priors(rows, groups)), "group").withColumns(
+    low, high = map(float, log_range)
+    priors = _priors(rows, groups, prior, min_coverage)
+    fitted = rows.join(F.broadcast(priors), "group").withColumns(
         {
             "mu": _pseudo_mean(),
             "phi": shrunken_dispersion(
@@ -174,9 +200,13 @@ def _fit(rows: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
                 _pseudo_mean(),
                 F.col("prior_mean"),
                 F.col("prior_sd"),
+                F.lit(low),
+                F.lit(high),
             ),
         }
     )
+    edge = F.least(F.log("phi") - low, high - F.log("phi")) < 1e-6
+    return fitted.withColumn("at_edge", edge)
 
 
 def _wald(rows: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> DataFrame:
@@ -187,7 +217,7 @@ def _wald(rows: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> Dat
         lambda acc, s: acc + s["n"] * mu * (1 - mu) * (1 + (s["n"] - 1) * phi),
     ) / (F.col("total_n") * F.col("total_n"))
     names = sorted({g for p in pairs for g in p})
-    cell = F.struct(mu.alias("mu"), F.col("spread").alias("var"))
+    cell = F.struct(mu.alias("mu"), F.col("spread").alias("var"), F.col("at_edge").alias("edge"))
     folded = (
         rows.withColumn("spread", spread)
         .groupBy(*keys)
@@ -221,8 +251,9 @@ def _wald(rows: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> Dat
             F.col("b.mu").alias("mu2"),
             diff.alias("diff"),
             F.try_divide(diff, F.sqrt(F.col("a.var") + F.col("b.var"))).alias("stat"),
+            (F.col("a.edge") | F.col("b.edge")).alias("at_edge"),
         )
-        .withColumn("pval", normal_two_sided("stat"))
+        .select(*keys, "g1", "g2", "mu1", "mu2", "diff", "stat", normal_two_sided("stat").alias("pval"), "at_edge")
     )
 
 
@@ -342,8 +373,9 @@ def find_dmrs(
     min_cpg: int = 1,
     min_passing: int = 1,
     keys: list[str] | None = None,
+    prior: str | tuple[float, float] = "learn",
     **thresholds,
 ) -> DataFrame:
     """Wald tests with ``fdr``, filtered like ``dmr_filter``."""
-    tests = bh_fdr(wald_pairs(regions, groups, keys))
+    tests = bh_fdr(wald_pairs(regions, groups, keys, prior))
     return dmr_filter(tests, min_cpg, min_passing, keys, **thresholds)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from epilane.functions import chrom, sam, sequence
@@ -23,6 +20,7 @@ from epilane.operators import (
     wald,
 )
 from epilane.plans import tables
+from epilane.session import Scratch
 from epilane.sources import alignments, sequences, sinks
 from epilane.sources import tables as sources
 
@@ -184,7 +182,7 @@ def sam_to_fastq(spark, folder):
 
 
 def sam_to_fastq_pe(spark, folder):
-    return reads.sam_to_fastq_pe(tables.alignments(spark, folder))
+    return reads.sam_to_fastq_pe(tables.alignments(spark, folder)).drop("pair")
 
 
 def _names(spark, folder):
@@ -415,55 +413,70 @@ def chrom_first_seen(spark, folder):
     return seen.select("chrom", "first_seen.sample", "first_seen.pos")
 
 
-def _shared_folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="epilane-files-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def sam_roundtrip(spark, folder):
     """Alignments written as SAM text and read back."""
-    path = _shared_folder(spark, "sam")
-    sinks.write_sam(tables.alignments(spark, folder), None, path)
-    back = alignments.read_sam(spark, path)
-    return back.select(
-        "qname", "flag", "rname", "pos", "cigar", "rnext", "pnext", "seq", "qual",
-        sam.tag(F.col("tags"), "XM").alias("xm"), sam.tag(F.col("tags"), "XG").alias("xg"),
-    )
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/sam"
+        sinks.write_sam(tables.alignments(spark, folder), None, path)
+        back = alignments.read_sam(spark, path)
+        return scratch.result(
+            back.select(
+                "qname", "flag", "rname", "pos", "cigar", "rnext", "pnext", "seq", "qual",
+                sam.tag(F.col("tags"), "XM").alias("xm"),
+                sam.tag(F.col("tags"), "XG").alias("xg"),
+            )
+        )
 
 
 def counts_roundtrip(spark, folder):
     """Counts written per sample as counts files and read back."""
     counts = tables.counts(spark, folder).withColumn("pct", 100.0 * F.col("meth") / (F.col("meth") + F.col("unmeth")))
-    base = _shared_folder(spark, "counts")
-    paths = []
-    for name in SAMPLES:
-        path = f"{base}/{name}.cov"
-        sinks.write_counts(counts.filter(F.col("sample") == name), path)
-        paths.append(path)
-    return sources.read_counts(spark, paths)
+    with Scratch(spark) as scratch:
+        paths = []
+        for name in SAMPLES:
+            path = f"{scratch.path}/{name}.cov"
+            sinks.write_counts(counts.filter(F.col("sample") == name), path)
+            paths.append(path)
+        return scratch.result(sources.read_counts(spark, paths))
 
 
 def fasta_roundtrip(spark, folder):
-    """Genome written as FASTA lines and read back in chunks of another size."""
-    path = _shared_folder(spark, "fasta")
+    """Genome written as FASTA lines, whole chromosomes per file, and read back in chunks
+    of another size."""
     genome = tables.genome(spark, folder)
     heads = genome.select("chrom").distinct().select(
         "chrom", F.lit(-1).cast("bigint").alias("offset"), F.concat(F.lit(">"), "chrom", F.lit(" text")).alias("value")
     )
     body = genome.select("chrom", "offset", F.col("seq").alias("value"))
-    heads.unionByName(body).orderBy("chrom", "offset").coalesce(1).select("value").write.text(path)
-    return sequences.read_fasta(spark, path, chunk_size=100)
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/fasta"
+        ordered = heads.unionByName(body).repartitionByRange("chrom").sortWithinPartitions("chrom", "offset")
+        ordered.select("value").write.text(path)
+        return scratch.result(sequences.read_fasta(spark, path, chunk_size=100))
 
 
 def fastq_roundtrip(spark, folder):
     """First reads written as FASTQ and read back."""
-    path = _shared_folder(spark, "fastq")
-    sinks.write_fastq(reads.sam_to_fastq(tables.alignments(spark, folder)), path)
-    return sequences.read_fastq(spark, path)
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/fastq"
+        sinks.write_fastq(reads.sam_to_fastq(tables.alignments(spark, folder)), path)
+        return scratch.result(sequences.read_fastq(spark, path))
+
+
+def fastq_pe_roundtrip(spark, folder):
+    """Mates written to two folders and read back by place: file number and record."""
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/fastq"
+        sinks.write_fastq(reads.sam_to_fastq_pe(tables.alignments(spark, folder)), path)
+
+        def end(k):
+            number = F.regexp_extract("file", r"part-(\d+)", 1).alias("number")
+            return sequences.read_fastq(spark, f"{path}/end={k}", places=True).select(
+                number, "record", *(F.col(c).alias(f"{c}_{k}") for c in ("name", "seq", "qual"))
+            )
+
+        both = end(1).join(end(2), ["number", "record"], "full")
+        return scratch.result(both.drop("number", "record"))
 
 
 QUERIES = {
@@ -533,5 +546,6 @@ QUERIES = {
         counts_roundtrip,
         fasta_roundtrip,
         fastq_roundtrip,
+        fastq_pe_roundtrip,
     )
 }

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from epilane.plans import tables
 
+# Names of the steps that read themselves.
+_RECURSIVE = ("walk", "fill", "levels", "rounds")
+
 _VIEW = {
     "counts": tables.COUNTS,
     "bed": tables.BED,
@@ -17,7 +22,8 @@ _VIEW = {
 def _with(views: str, *ctes: str, body: str) -> str:
     parts = [f"{v} as ({tables.oracle_text(_VIEW[v])})" for v in views.split()]
     parts += [c.strip() for c in ctes]
-    return "with recursive " + ",\n".join(parts) + "\n" + body.strip()
+    recursive = any(re.search(rf"\b{name}\b as \(", c) for c in ctes for name in _RECURSIVE)
+    return f"with {'recursive ' * recursive}" + ",\n".join(parts) + "\n" + body.strip()
 
 
 _SITES = """
@@ -218,8 +224,8 @@ frags as (
 _RC = "case when (flag & 16) <> 0 then translate(reverse(seq), 'ACGTN', 'TGCAN') else seq end"
 _RQ = "case when (flag & 16) <> 0 then reverse(qual) else qual end"
 
-_DEDUP = """
-copies as (select line_no, qname, flag, rname, pos, cigar, repeat(substr(seq, 1, 1), 32) as seq, repeat(substr(xm, 1, 1), 32) as xm from aln),
+_DEDUP = f"""
+copies as (select line_no, qname, flag, rname, pos, cigar, {tables.COPIED_SEQ} as seq, {tables.COPIED_XM} as xm from aln),
 keyed as (select *, case when (flag & 16) <> 0 then pos + 32 + case cigar when '16M2I14M' then -2 when '10M3D22M' then 3 else 0 end else pos end as loc,
     (flag & 16) <> 0 as rev from copies where (flag & 4) = 0)
 """
@@ -346,6 +352,13 @@ ORACLES |= {
                    concat(qname, case when (flag & 2) = 0 then '' when (flag & 64) <> 0 then ' /1' else ' /2' end) as name,
                    {_RC} as seq, {_RQ} as qual from aln where (flag & 2304) = 0""",
     ),
+    "fastq_pe_roundtrip": _with(
+        "aln",
+        f"ends as (select qname, flag, {_RC} as seq, {_RQ} as qual from aln where (flag & 2304) = 0 and (flag & 2) <> 0)",
+        body="""select concat(a.qname, ' /1') as name_1, concat(b.qname, ' /2') as name_2, a.seq as seq_1, b.seq as seq_2,
+                  a.qual as qual_1, b.qual as qual_2 from ends a join ends b on b.qname = a.qname
+                where (a.flag & 64) <> 0 and (b.flag & 64) = 0""",
+    ),
     "filter_reads_keep": _with(
         "aln",
         body="""select line_no, qname, flag, rname, pos, cigar, seq, qual from aln

@@ -22,35 +22,39 @@ BED = """
 select distinct concat('chr', cast(1 + p_partkey % 5 as varchar(9))) as chrom,
        p_partkey * 13 as start, cast(p_partkey * 13 + 10 * p_size as bigint) as end_,
        concat('reg', cast(p_partkey as varchar(9))) as name
-from {part} where p_partkey % 11 = 0
+from {part}
 """
 
 WINDOWS = """
 select concat('chr', cast(1 + s_suppkey % 5 as varchar(9))) as chrom,
-       (s_suppkey * 37) % 2000 + 1 as start,
-       (s_suppkey * 37) % 2000 + 6 + s_suppkey % 40 as end_,
+       s_suppkey * 2800 + (s_suppkey * 37) % 60 + 1 as start,
+       s_suppkey * 2800 + (s_suppkey * 37) % 60 + 6 + s_suppkey % 40 as end_,
        concat('win', cast(s_suppkey as varchar(9))) as name
 from {supplier}
 """
 
-GENOME_CHUNK = 64
-GENOME = """
+# Long enough chunks that the reads' axis lies within the genome at every scale.
+GENOME_CHUNK = 768
+_GENOME_TEXT = ", ".join(
+    f"md5(concat('g{i}-', cast(p_partkey as varchar(20))))" for i in range(GENOME_CHUNK // 32)
+)
+GENOME = f"""
 select concat('chr', cast(1 + p_partkey % 5 as varchar(9))) as chrom,
        cast(floor(p_partkey / 5) as bigint) as chunk_no,
-       cast(floor(p_partkey / 5) as bigint) * 64 as offset_,
-       translate(concat(md5(concat('g', cast(p_partkey as varchar(20)))),
-                        md5(concat('h', cast(p_partkey as varchar(20))))),
-                 '0123456789abcdef', 'ACGTACGTACGTacgt') as seq
-from {part}
+       cast(floor(p_partkey / 5) as bigint) * {GENOME_CHUNK} as offset_,
+       translate(concat({_GENOME_TEXT}), '0123456789abcdef', 'ACGTACGTACGTacgt') as seq
+from {{part}}
 """
 
+# Positions grow with the tables at constant depth. Twenty orders share a place, so that a
+# few reads of a chromosome are copies; the windows lie where reads are.
 ALIGNMENTS = """
 with t as (
   select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey,
               l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) rn,
          count(*) over (partition by l_orderkey) n,
          concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))) k,
-         1 + (l_orderkey * 7919) % 2003 as base
+         1 + cast(floor(l_orderkey / 20) as bigint) * 400 as base
   from {lineitem})
 select cast(l_orderkey * 100000 + rn as bigint) as line_no,
   concat('r', cast(l_orderkey as varchar(20))) as qname,
@@ -152,15 +156,24 @@ def alignments(spark, folder):
     )
 
 
-def copied_alignments(spark, folder):
-    """Alignments with low-complexity sequences and calls, so that positions hold
-    copies of one sequence."""
+# Whole texts that several reads share, chosen by a coarse key.
+COPIED_SEQ = (
+    "translate(md5(concat('s', cast(line_no % 7 as varchar(9)))),"
+    " '0123456789abcdef', 'ACGTACGTACGTACGT')"
+)
+COPIED_XM = (
+    "translate(md5(concat('m', cast(line_no % 5 as varchar(9)))),"
+    " '0123456789abcdef', 'zZhHxX..........')"
+)
 
-    def flat(col):
-        return F.repeat(F.substring(col, 1, 1), F.lit(32))
 
-    df = alignments(spark, folder)
-    xm = F.substring_index(F.get("tags", F.lit(0)), ":", -1)
-    return df.withColumn("seq", flat("seq")).withColumn(
-        "tags", F.array(F.concat(F.lit("XM:Z:"), flat(xm)), F.get("tags", F.lit(1)))
+def copied_alignments(spark, folder):
+    """Alignments whose sequences and calls are copies of a few whole texts."""
+    return (
+        alignments(spark, folder)
+        .withColumn("seq", F.expr(COPIED_SEQ))
+        .withColumn(
+            "tags",
+            F.array(F.concat(F.lit("XM:Z:"), F.expr(COPIED_XM)), F.get("tags", F.lit(1))),
+        )
     )

@@ -23,7 +23,7 @@ def read_fasta(
     lines = numbered_lines(spark, path)
     is_header = F.startswith("line", F.lit(">"))
     size = F.when(is_header, 0).otherwise(F.length("line")).cast("bigint")
-    title = F.substring("line", 2, 100000)
+    title = F.substr(F.col("line"), F.lit(2))
     if name == "token":
         title = F.split(title, r"\s+")[0]
     summed = running(
@@ -68,8 +68,11 @@ def read_fasta(
     )
 
 
-def read_fastq(spark: SparkSession, path) -> DataFrame:
-    """``name,seq,qual`` of four-line records. A gzip file is one split."""
+def read_fastq(spark: SparkSession, path, places: bool = False) -> DataFrame:
+    """``name,seq,qual`` of four-line records. A gzip file is one split.
+
+    ``places`` adds ``file`` and ``record``, the number of the record in its file.
+    """
     lines = numbered_lines(spark, path)
     counted = running(
         lines, ["file"], ["line_no"], {"seen": ("sum", F.lit(1))}, line_tile()
@@ -79,8 +82,9 @@ def read_fastq(spark: SparkSession, path) -> DataFrame:
     def pick(i):
         return F.max(F.when(part == i, F.col("line")))
 
+    where = ["file", "record"] if places else []
     return (
         counted.groupBy("file", F.floor(F.col("at") / 4).alias("record"))
         .agg(pick(0).alias("head"), pick(1).alias("seq"), pick(3).alias("qual"))
-        .select(F.substring("head", 2, 100000).alias("name"), "seq", "qual")
+        .select(F.substr(F.col("head"), F.lit(2)).alias("name"), "seq", "qual", *where)
     )

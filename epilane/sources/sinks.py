@@ -64,12 +64,19 @@ def write_regions(wide: DataFrame, path: str) -> None:
 
 
 def write_fastq(df: DataFrame, path: str) -> None:
-    """Four-line records; with an ``end`` column one folder per end."""
+    """Four-line records; with an ``end`` column one folder per end, mates at the same
+    place of files of the same number. They are ordered by ``pair``, or by their common
+    name where that column is missing."""
     record = F.concat(
         F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual"
     ).alias("value")
     if "end" in df.columns:
-        df.select("end", record).write.partitionBy("end").option(
+        # Ranges of pairs become files; within a file the order stays that of the pairs,
+        # because it starts with the column that the writer would sort by.
+        pair = F.col("pair") if "pair" in df.columns else F.regexp_replace("name", " /[12]$", "")
+        keyed = df.select("end", record, pair.alias("pair"))
+        ordered = keyed.repartitionByRange("pair").sortWithinPartitions("end", "pair")
+        ordered.select("end", "value").write.partitionBy("end").option(
             "compression", _codec(path)
         ).text(path)
     else:

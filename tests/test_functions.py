@@ -119,14 +119,13 @@ def test_task_functions_need_no_package_on_the_worker(tmp_path):
 
     from pyspark import cloudpickle
 
-    from epilane.functions.pvalues import _incomplete_beta
+    from epilane.functions.pvalues import _incomplete_beta, log_gamma
     from epilane.operators.regions import _cut_targets
-    from epilane.operators.wald import _log_gamma
 
     stored = tmp_path / "functions"
     stored.write_bytes(
         cloudpickle.dumps(
-            [t_two_sided.func, normal_two_sided.func, _incomplete_beta, _cut_targets, _log_gamma]
+            [t_two_sided.func, _incomplete_beta, _cut_targets, log_gamma]
         )
     )
     code = f"from pyspark import cloudpickle; cloudpickle.loads(open({str(stored)!r}, 'rb').read())"

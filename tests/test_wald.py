@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from epilane.operators import wald
 
@@ -44,7 +45,7 @@ def test_dispersion_is_the_posterior_mode(spark):
         [([float(n) for n, _ in samples], [float(x) for _, x in samples], mu, -3.0, 1.0)],
         "n array<double>, x array<double>, mu double, m double, s double",
     )
-    phi = df.select(wald.shrunken_dispersion("n", "x", "mu", "m", "s").alias("phi")).first()["phi"]
+    phi = df.select(wald.shrunken_dispersion("n", "x", "mu", "m", "s", *(F.lit(v) for v in wald.LOG_RANGE)).alias("phi")).first()["phi"]
     low, high = wald.LOG_RANGE
     grid = [low + (high - low) * k / 20000 for k in range(20001)]
     best = max(grid, key=lambda v: log_posterior(v, samples, mu, -3.0, 1.0))
@@ -58,14 +59,14 @@ def region_rows(spark, values):
 
 def test_wald_statistic(spark):
     df = region_rows(spark, [(1, "a", 40, 10), (1, "b", 60, 12), (1, "c", 50, 40), (1, "d", 30, 25)])
-    row = wald.wald_pairs(df, {"g1": ["a", "b"], "g2": ["c", "d"]}).first()
+    row = wald.wald_pairs(df, {"g1": ["a", "b"], "g2": ["c", "d"]}, prior=(-3.0, 1.0)).first()
     mu = [(22.5) / 101, 65.5 / 81]
     assert (row["mu1"], row["mu2"]) == (pytest.approx(mu[0]), pytest.approx(mu[1]))
     var = 0.0
     low, high = wald.LOG_RANGE
     grid = [low + (high - low) * k / 4000 for k in range(4001)]
     for m, samples in zip(mu, ([(40, 10), (60, 12)], [(50, 40), (30, 25)])):
-        phi = math.exp(max(grid, key=lambda v: log_posterior(v, samples, m, *wald.DEFAULT_PRIOR)))
+        phi = math.exp(max(grid, key=lambda v: log_posterior(v, samples, m, -3.0, 1.0)))
         total = sum(n for n, _ in samples)
         var += sum(n * m * (1 - m) * (1 + (n - 1) * phi) for n, _ in samples) / total**2
     stat = (mu[1] - mu[0]) / math.sqrt(var)
@@ -75,7 +76,7 @@ def test_wald_statistic(spark):
 
 def test_groups_without_replicates_share_a_dispersion(spark):
     df = region_rows(spark, [(1, "a", 40, 10), (1, "c", 50, 40), (1, "d", 30, 25)])
-    rows = wald.wald_pairs(df, {"g1": ["a"], "g2": ["c", "d"], "g3": ["zz"]}).collect()
+    rows = wald.wald_pairs(df, {"g1": ["a"], "g2": ["c", "d"], "g3": ["zz"]}, prior=(-3.0, 1.0)).collect()
     assert [(r["g1"], r["g2"]) for r in rows] == [("g1", "g2")]
     assert rows[0]["diff"] > 0.4 and rows[0]["pval"] < 0.05
 
