@@ -190,9 +190,12 @@ def read_warc(
     place; those less than ``max_gap`` bytes apart are fetched with one read.
     """
     stretch = F.floor(F.col("offset") / range_bytes)
+    # By bytes of the archives, which the few bytes of an index row do not show.
+    volume = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
     wanted = (
         index.select("file", "offset", "length")
-        .repartition("file", stretch)
+        .repartition(max(volume >> 25, min(cores, volume >> 20), 1), "file", stretch)
         .sortWithinPartitions("file", "offset")
     )
 
