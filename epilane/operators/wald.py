@@ -28,6 +28,8 @@ PSEUDO_X, PSEUDO_N = 0.5, 1.0
 QUARTILE_FACTOR = 1.39
 MIN_COVERAGE = 10
 LOG_RANGE = (-5.0, float(np.log(0.99)))
+# Steps of the search, and the half width of the parabola through its end.
+STEPS, HALF_WIDTH = 40, 1e-3
 
 
 def _padded(lists: pd.Series) -> np.ndarray:
@@ -50,7 +52,8 @@ def shrunken_dispersion(
 ) -> pd.Series:
     """Dispersion that maximises the beta-binomial likelihood of the samples'
     ``n``/``x`` arrays plus the log-normal prior; golden-section search per region,
-    with log dispersion between ``low`` and ``high``."""
+    with log dispersion between ``low`` and ``high``, then the top of a parabola: near
+    its top the likelihood is too flat for comparisons to place it well."""
     total, meth = _padded(n), _padded(x)
     mean = np.clip(mu.to_numpy(float), 1e-5, 1 - 1e-5)[:, None]
     centre, spread = prior_mean.to_numpy(float), prior_sd.to_numpy(float)
@@ -65,11 +68,12 @@ def shrunken_dispersion(
         fit = np.where(total > 0, fit, 0.0).sum(axis=1)
         return fit - (log_phi - centre) ** 2 / (2 * spread**2)
 
-    low, high = low.to_numpy(float).copy(), high.to_numpy(float).copy()
+    least, most = low.to_numpy(float), high.to_numpy(float)
+    low, high = least.copy(), most.copy()
     ratio = (np.sqrt(5) - 1) / 2
     left, right = high - ratio * (high - low), low + ratio * (high - low)
     at_left, at_right = goal(left), goal(right)
-    for _ in range(60):
+    for _ in range(STEPS):
         # One inner point becomes the other, so each step works out one new value.
         better = at_left > at_right
         high, low = np.where(better, right, high), np.where(better, low, left)
@@ -80,7 +84,13 @@ def shrunken_dispersion(
             np.where(better, value, at_right),
             np.where(better, at_left, value),
         )
-    return pd.Series(np.exp((low + high) / 2))
+    middle = (low + high) / 2
+    before, here, after = (goal(middle + k * HALF_WIDTH) for k in (-1, 0, 1))
+    bend = before - 2 * here + after
+    shift = HALF_WIDTH * (before - after) / np.where(bend < 0, 2 * bend, -1.0)
+    near = (bend < 0) & (np.abs(shift) <= HALF_WIDTH)
+    top = np.clip(np.where(near, middle + shift, middle), least, most)
+    return pd.Series(np.exp(top))
 
 
 def _group_rows(regions: DataFrame, groups: dict[str, list[str]], keys: list[str]) -> DataFrame:

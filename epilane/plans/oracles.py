@@ -7,7 +7,7 @@ import re
 from epilane.plans import tables
 
 # Names of the steps that read themselves.
-_RECURSIVE = ("walk", "fill", "levels", "rounds")
+_RECURSIVE = ("walk", "fill", "levels", "rounds", "search")
 
 _VIEW = {
     "counts": tables.COUNTS,
@@ -664,3 +664,122 @@ ORACLES["welch_pvalues"] = _with(
               round(diff, 6) as diff, round(t, 6) as t, round(df, 6) as df, round(pval, 6) as pval
             from tested t join kept k on k.chrom = t.chrom and k.start = t.start""",
 )
+
+# The dispersion search of the Wald test, written out for groups of two samples.
+_LOW, _HIGH = "-5.0", "ln(0.99)"
+_RATIO = "((sqrt(5.0) - 1) / 2)"
+
+
+def _goal(at: str) -> str:
+    a, b = f"(m * (exp(0 - ({at})) - 1))", f"((1 - m) * (exp(0 - ({at})) - 1))"
+
+    def one(n, x):
+        return (
+            f"lgamma({x} + {a}) + lgamma({n} - {x} + {b}) - lgamma({n} + {a} + {b})"
+            f" - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})"
+        )
+
+    return (
+        f"({one('na', 'xa')} + case when nb > 0 then {one('nb', 'xb')} else 0.0 end"
+        f" - power(({at}) - pm, 2) / (2 * power(ps, 2)))"
+    )
+
+
+_SEARCH_KEYS = "id, na, xa, nb, xb, m, pm, ps"
+_WALD = (
+    """
+arms as (select chrom, start, end_, cpg, substr(sample, 1, 1) as g, count(*) as k, cast(sum(n) as double) as tn, cast(sum(x) as double) as tx,
+    min(n) as least_n, avg(x / n) as mf, var_samp(x / n) as vf,
+    cast(arg_min(n, sample) as double) as na, cast(arg_min(x, sample) as double) as xa,
+    cast(case when count(*) > 1 then arg_max(n, sample) else 0 end as double) as nb,
+    cast(case when count(*) > 1 then arg_max(x, sample) else 0 end as double) as xb
+  from regions group by 1, 2, 3, 4, 5)
+""",
+    """
+teach as (select g, ln(vf / least(greatest(mf, 1e-5), 1 - 1e-5) / (1 - least(greatest(mf, 1e-5), 1 - 1e-5))) as lp
+  from arms where k = 2 and least_n > 10 and vf > 0)
+""",
+    """
+prior as (select g, quantile_cont(lp, 0.5) as pm, (quantile_cont(lp, 0.75) - quantile_cont(lp, 0.25)) / 1.39 as ps from teach group by 1)
+""",
+    """
+numbered as (select a.*, row_number() over (order by chrom, start, a.g) as id, (tx + 0.5) / (tn + 1) as mu,
+    least(greatest((tx + 0.5) / (tn + 1), 1e-5), 1 - 1e-5) as m, p.pm, p.ps from arms a join prior p on p.g = a.g)
+""",
+    f"""
+ends as (select {_SEARCH_KEYS}, {_LOW} as lo, {_HIGH} as hi, {_HIGH} - {_RATIO} * ({_HIGH} - ({_LOW})) as l, {_LOW} + {_RATIO} * ({_HIGH} - ({_LOW})) as r from numbered)
+""",
+    f"""
+search as (
+  select {_SEARCH_KEYS}, 0 as step, cast(lo as double) as lo, cast(hi as double) as hi, cast(l as double) as l, cast(r as double) as r,
+    {_goal('l')} as fl, {_goal('r')} as fr from ends
+  union all
+  select {_SEARCH_KEYS}, step + 1, nlo, nhi, case when better then fresh else r end, case when better then l else fresh end,
+    case when better then v else fr end, case when better then fl else v end
+  from (select *, {_goal('fresh')} as v
+    from (select *, case when better then nhi - {_RATIO} * (nhi - nlo) else nlo + {_RATIO} * (nhi - nlo) end as fresh
+      from (select *, fl > fr as better, case when fl > fr then r else hi end as nhi, case when fl > fr then lo else l end as nlo
+        from search where step < 40) a) b) c)
+""",
+    f"""
+tops as (select *, {_goal('c - 0.001')} as f0, {_goal('c')} as f1, {_goal('c + 0.001')} as f2 from (select *, (lo + hi) / 2 as c from search where step = 40) s)
+""",
+    f"""
+found as (select id, least(greatest(case when f0 - 2 * f1 + f2 < 0 and abs(0.001 * (f0 - f2) / (2 * (f0 - 2 * f1 + f2))) <= 0.001
+    then c + 0.001 * (f0 - f2) / (2 * (f0 - 2 * f1 + f2)) else c end, {_LOW}), {_HIGH}) as lp from tops)
+""",
+    f"""
+fitted as (select n.chrom, n.start, n.end_, n.cpg, n.g, n.mu, least(lp - ({_LOW}), {_HIGH} - lp) < 1e-6 as edge,
+    n.mu * (1 - n.mu) * (na * (1 + (na - 1) * exp(lp)) + nb * (1 + (nb - 1) * exp(lp))) / (tn * tn) as v
+  from numbered n join found f on f.id = n.id)
+""",
+    """
+names as (select 'A' as g1, 'N' as g2 union all select 'A', 'R' union all select 'N', 'R')
+""",
+    """
+waldrows as (select a.chrom, a.start, a.end_, a.cpg, a.g as g1, b.g as g2, a.mu as mu1, b.mu as mu2, b.mu - a.mu as diff,
+    (b.mu - a.mu) / sqrt(a.v + b.v) as stat, a.edge or b.edge as at_edge
+  from fitted a join fitted b on b.chrom = a.chrom and b.start = a.start and b.g > a.g join names n on n.g1 = a.g and n.g2 = b.g)
+""",
+    """
+steps as (select i, case when i in (0, 2000) then 1.0 when i % 2 = 1 then 4.0 else 2.0 end as w from (select unnest(range(2001)) as i) t)
+""",
+    """
+areas as (select chrom, start, g1, g2, least(abs(stat), 10) / 6000 * sum(w * exp(0 - power(least(abs(stat), 10) * i / 2000, 2) / 2)) as area
+  from waldrows cross join steps group by chrom, start, g1, g2, stat)
+""",
+    """
+valued as (select r.*, greatest(1 - 2 * area / sqrt(2 * pi()), 0.0) as pval from waldrows r
+  join areas a on a.chrom = r.chrom and a.start = r.start and a.g1 = r.g1 and a.g2 = r.g2)
+""",
+    """
+raised as (select *, pval * count(*) over (partition by g1, g2)
+    / count(*) over (partition by g1, g2 order by pval range between unbounded preceding and current row) as raw from valued)
+""",
+    """
+tested as (select *, least(1.0, min(raw) over (partition by g1, g2 order by pval desc range between unbounded preceding and current row)) as fdr from raised)
+""",
+)
+_WALD_CELLS = ("diff", "pval", "fdr")
+ORACLES["wald_test"] = _with(
+    "counts", _SITES, _CLUSTERED, _REGIONS, *_WALD,
+    "kept as (select distinct chrom, start from tested where cpg >= 2 and abs(diff) >= 0.02 and pval <= 0.05)",
+    body="""select t.chrom, t.start, end_ as "end", cpg, g1, g2, round(mu1, 6) as mu1, round(mu2, 6) as mu2, round(diff, 6) as diff,
+              round(stat, 6) as stat, round(pval, 6) as pval, at_edge, round(fdr, 6) as fdr
+            from tested t join kept k on k.chrom = t.chrom and k.start = t.start""",
+)
+ORACLES["wald_wide"] = _with(
+    "counts", _SITES, _CLUSTERED, _REGIONS, *_WALD,
+    body='select chrom, start, end_ as "end", cpg, '
+    + ", ".join(
+        f"""round(max(case when g1 = '{g}' then mu1 when g2 = '{g}' then mu2 end), 6) as "{g}:mu\""""
+        for g in "ANR"
+    )
+    + ", "
+    + ", ".join(
+        f"""round(max(case when g1 = '{a}' and g2 = '{b}' then {c} end), 6) as "{a}->{b}:{c}\""""
+        for a, b in (("A", "N"), ("A", "R"), ("N", "R"))
+        for c in _WALD_CELLS
+    )
+    + " from tested group by 1, 2, 3, 4",
+)
