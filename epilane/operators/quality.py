@@ -17,11 +17,14 @@ CONTEXTS = ["h", "H", "x", "X", "z", "Z"]
 BASES = ["A", "C", "G", "T", "N"]
 
 
-def _letters(df: DataFrame, letters: str, quals: str) -> DataFrame:
-    """``letter,score`` for every character pair of two strings."""
+def _letters(df: DataFrame, letters: str, quals: str, only: list[str] | None = None) -> DataFrame:
+    """``letter,score`` for every character pair of two strings; ``only`` some letters
+    leave the arrays before these become rows."""
     zipped = F.arrays_zip(
         F.split(F.col(letters), "").alias("letter"), F.split(F.col(quals), "").alias("qual")
     )
+    if only:
+        zipped = F.filter(zipped, lambda pair: pair["letter"].isin(only))
     return df.select(F.inline_outer(zipped)).select(
         "letter", (F.ascii("qual") - PHRED_OFFSET).alias("score")
     )
@@ -32,8 +35,8 @@ def context_quality(sam: DataFrame, min_qual: int = 30) -> DataFrame:
     fraction is NULL without calls."""
     reads = sam.select(tag(F.col("tags"), "XM").alias("xm"), "qual")
     counted = (
-        _letters(reads, "xm", "qual")
-        .filter(F.col("letter").isin(*CONTEXTS))
+        _letters(reads, "xm", "qual", CONTEXTS)
+        .filter(F.col("letter").isNotNull())
         .groupBy("letter")
         .agg(
             F.count_if(F.col("score") < min_qual).alias("bad"),
