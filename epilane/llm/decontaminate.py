@@ -216,14 +216,17 @@ def _triples(flat) -> list[tuple[int, int, int]]:
     return [tuple(flat[i : i + 3]) for i in range(0, len(flat), 3)]
 
 
-RESULT = "doc_id long, contaminated boolean, item_id long, n_items long, coverage double, exact boolean"
+RESULT = (
+    "doc_id long, contaminated boolean, item_id long, n_items long, coverage double,"
+    " exact boolean, kept boolean"
+)
 
 
 def _verdict(found: list[tuple]) -> tuple:
     if not found:
-        return False, None, 0, 0.0, None
+        return False, None, 0, 0.0, None, True
     item, coverage, exact = min(found, key=lambda x: (-x[1], x[0]))
-    return True, item, len(found), coverage, exact
+    return True, item, len(found), coverage, exact, False
 
 
 def _chunks(batch, limit: int = 2 << 20):
@@ -240,10 +243,10 @@ def _chunks(batch, limit: int = 2 << 20):
 
 def _verdict_batch(keys, verdicts) -> pa.RecordBatch:
     columns = list(zip(*verdicts, strict=True))
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_()]
     return pa.RecordBatch.from_arrays(
         [keys, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-        names=["doc_id", "contaminated", "item_id", "n_items", "coverage", "exact"],
+        names=["doc_id", "contaminated", "item_id", "n_items", "coverage", "exact", "kept"],
     )
 
 
@@ -357,6 +360,7 @@ def _joined(documents: DataFrame, windows: DataFrame, min_coverage: float) -> Da
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("x.coverage", F.lit(0.0)).alias("coverage"),
         F.col("x.exact").alias("exact"),
+        F.col("n_items").isNull().alias("kept"),
     )
 
 
@@ -368,7 +372,8 @@ def find_contamination(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per document: contaminated or not, best item, items found, coverage, exact copy.
+    """Per document: contaminated or not, best item, items found, coverage, exact copy;
+    ``kept`` is the opposite of ``contaminated``.
 
     Coverage counts the item's windows that one or several agreeing placements share.
     """
