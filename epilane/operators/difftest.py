@@ -216,6 +216,27 @@ def diff_meth(
     return folded.filter("keep").select(*keys, F.inline("pairs"))
 
 
+def with_samples(
+    tests: DataFrame,
+    regions: DataFrame,
+    samples: list[str],
+    keep: list[str] | None = None,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """``tests`` with the fraction of each sample, and the ``keep`` columns of the region.
+
+    ``keep`` columns (a gene, a distance) need not be grouping keys; the least value of a
+    region is taken.
+    """
+    keys = keys or KEYS
+    cells = [
+        F.max(F.when((F.col("sample") == s) & (F.col("n") > 0), F.col("x") / F.col("n"))).alias(s)
+        for s in samples
+    ]
+    carried = [F.min(f"`{c}`").alias(c) for c in keep or []]
+    return tests.join(regions.groupBy(*keys).agg(*carried, *cells), keys, "left")
+
+
 def specific_diffs(df: DataFrame, direction: str, first: str | None = None, second: str | None = None):
     """Rows changed in the first comparison but not half as much in the second.
 

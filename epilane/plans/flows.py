@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from epilane.operators import calls, duplicates, expression, linked, regions
+from epilane.operators import calls, difftest, duplicates, expression, linked, regions
 from epilane.plans import catalog, oracles, tables
 from epilane.session import Scratch
 from epilane.sources import alignments, sinks
@@ -145,6 +145,44 @@ def linked_report(spark, folder):
         return scratch.result(spark.read.text(path).filter("value <> ''"))
 
 
+def diff_with_samples(spark, folder):
+    """Two-group comparison with the values of its samples and a column of the region."""
+    groups = {g: catalog.GROUPS[g] for g in "AN"}
+    rows = catalog._regions(spark, folder).withColumn(
+        "gene", F.concat(F.lit("g"), F.col("start").cast("string"))
+    )
+    tests = difftest.diff_meth(rows, groups, min_diff=0.05, max_p=0.2, keep_na_p=True)
+    wide = difftest.with_samples(tests, rows, groups["A"] + groups["N"], keep=["gene"])
+    return wide.select(
+        "chrom", "start", "end", "cpg", "gene",
+        *(F.round(c, 6).alias(c) for c in ("mu1", "mu2", "diff", "pval", *groups["A"], *groups["N"])),
+    )
+
+
+def _matrix_lines(spark, wide):
+    """The lines of a matrix as written, without headers."""
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/matrix"
+        sinks.write_matrix(wide, path)
+        head = TAB.join(wide.columns)
+        return scratch.result(spark.read.text(path).filter(F.col("value") != head))
+
+
+def gene_matrix_lines(spark, folder):
+    """Gene counts as lines of text."""
+    return _matrix_lines(spark, catalog.gene_matrix(spark, folder))
+
+
+def base_quality_lines(spark, folder):
+    """Base qualities as lines of text, without the fractional figures."""
+    return _matrix_lines(spark, catalog.base_quality(spark, folder).select("base", "n"))
+
+
+def cpg_summary_lines(spark, folder):
+    """Site summary of the regions as lines of text."""
+    return _matrix_lines(spark, catalog.region_cpg_summary(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -157,6 +195,10 @@ QUERIES = {
         gene_diff_roundtrip,
         feature_counts_roundtrip,
         linked_report,
+        diff_with_samples,
+        gene_matrix_lines,
+        base_quality_lines,
+        cpg_summary_lines,
     )
 }
 
@@ -214,3 +256,43 @@ select p_brand as "Symbol", cast(max(p_size) as bigint) as "Length",
                 union all select concat(pattern, chr(9), qname) from patterns""",
     ),
 }
+
+
+def _joined_line(columns: str) -> str:
+    """SQL for a line of text of some columns; nulls are written as NA."""
+    cells = [f"coalesce(cast(\"{c}\" as varchar(200)), 'NA')" for c in columns.split()]
+    return "select concat(" + ", chr(9), ".join(cells) + ") as value"
+
+
+ORACLES |= {
+    "diff_with_samples": oracles._with(
+        *_REGION_CTES,
+        oracles._GROUPED,
+        oracles._SIMPSON,
+        """ws as (select *, k1 >= 2 and k2 >= 2 as enough, lo1 = hi1 and lo2 = hi2 as flat, v1 / k1 + v2 / k2 as se,
+             (v1 / k1) * (v1 / k1) / (k1 - 1) + (v2 / k2) * (v2 / k2) / (k2 - 1) as sd from pairs where g1 = 'A' and g2 = 'N')""",
+        """ts as (select *, case when enough and not flat then (mu1 - mu2) / sqrt(se) end as t,
+             case when enough and not flat then se * se / sd end as df from ws)""",
+        """tails as (select chrom, start, 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) *
+               sum(w * 4 * power(b * i / 400, 3) * power(sin(power(b * i / 400, 4)), df - 1)) * b / 1200 as tail
+             from (select *, power(atan2(sqrt(df), abs(t)), 0.25) as b from ts where t is not null) x cross join steps
+             group by chrom, start, df, b)""",
+        """tested as (select ts.*, case when not enough or diff is null then null when diff = 0 then 1 when flat then 0 else tail end as pval
+             from ts left join tails a on a.chrom = ts.chrom and a.start = ts.start)""",
+        "cells as (select chrom, start, "
+        + ", ".join(
+            f"max(case when sample = '{s}' then x / n end) as {s}" for s in ("AF", "AO", "NF", "NO")
+        )
+        + " from regions group by 1, 2)",
+        body="""select t.chrom, t.start, end_ as "end", cpg, concat('g', cast(t.start as varchar(20))) as gene,
+                  round(mu1, 6) as mu1, round(mu2, 6) as mu2, round(diff, 6) as diff, round(pval, 6) as pval,
+                  round(AF, 6) as "AF", round(AO, 6) as "AO", round(NF, 6) as "NF", round(NO, 6) as "NO"
+                from tested t join cells c on c.chrom = t.chrom and c.start = t.start
+                where abs(diff) >= 0.05 and (pval is null or pval <= 0.2)""",
+    ),
+    "gene_matrix_lines": _joined_line("Symbol Length A N R")
+    + f" from ({oracles.ORACLES['gene_matrix']}) m",
+    "base_quality_lines": _joined_line("base n") + f" from ({oracles.ORACLES['base_quality']}) m",
+    "cpg_summary_lines": _joined_line("name chr_pos site meth unmeth")
+    + f" from ({oracles.ORACLES['region_cpg_summary']}) m",
+}

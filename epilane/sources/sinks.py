@@ -141,6 +141,12 @@ def write_dmrs(wide: DataFrame, path: str) -> None:
     _write_table(table, path, header=True, nullValue="NA", emptyValue="NA")
 
 
+def write_matrix(wide: DataFrame, path: str) -> None:
+    """Table under a header, as it is; ``NA`` cells. For gene counts, fold changes, quality
+    tables and site summaries."""
+    _write_table(wide, path, header=True, nullValue="NA", emptyValue="NA")
+
+
 def write_pileup(rows: DataFrame, path: str) -> None:
     """Padded lines by region and position, the genome first."""
     line = F.concat(F.repeat(F.lit(" "), F.col("pad").cast("int")), "text")
