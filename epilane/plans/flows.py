@@ -183,6 +183,16 @@ def cpg_summary_lines(spark, folder):
     return _matrix_lines(spark, catalog.region_cpg_summary(spark, folder))
 
 
+def hit_pairs(spark, folder):
+    """Pairs of alignments by hit index or coordinates, with clips and splices in the keys."""
+    return duplicates.pair_reads(duplicates.alignment_keys(tables.hits(spark, folder)))
+
+
+def dups_many_keys(spark, folder):
+    """Ranked duplicates of reads that have several keys each."""
+    return duplicates.find_dups(tables.hits(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -199,6 +209,8 @@ QUERIES = {
         gene_matrix_lines,
         base_quality_lines,
         cpg_summary_lines,
+        hit_pairs,
+        dups_many_keys,
     )
 }
 
@@ -296,3 +308,15 @@ ORACLES |= {
     "cpg_summary_lines": _joined_line("name chr_pos site meth unmeth")
     + f" from ({oracles.ORACLES['region_cpg_summary']}) m",
 }
+
+ORACLES["hit_pairs"] = oracles._with(
+    "hits",
+    """keyed as (select *, line_no - case when (flag & 128) <> 0 then 1 else 0 end as slot, (flag & 128) <> 0 as last,
+         concat('(''', rname, ''', ', cast(pos + case cigar when '5S27M' then -5 else 0 end
+             + case when (flag & 16) = 0 then 0 when cigar = '10M100N22M' then 132 else 32 end as varchar(20)), ', ',
+           case when cigar <> '10M100N22M' then '()' when (flag & 16) = 0 then '(''10-100'',)' else '(''22-100'',)' end,
+           ', ''', case when (flag & 16) <> 0 then '-' else '+' end, ''')') as key
+       from hits)""",
+    body="""select a.qname, a.line_no, a.key as aln0, b.key as aln1
+            from keyed a join keyed b on b.qname = a.qname and b.slot = a.slot and b.last where not a.last""",
+)

@@ -15,6 +15,7 @@ _VIEW = {
     "windows": tables.WINDOWS,
     "genome": tables.GENOME,
     "aln": tables.ALIGNMENTS,
+    "hits": tables.HITS,
     "gene_diff": tables.GENE_DIFF,
 }
 

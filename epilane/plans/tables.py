@@ -74,6 +74,33 @@ select cast(l_orderkey * 100000 + rn as bigint) as line_no,
 from t
 """
 
+# Read pairs with several hits: numbered by HI for even orders, by coordinates alone for
+# odd ones (where two hits share them); soft clips on either side, and splices.
+HITS = """
+with t as (
+  select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey,
+              l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) rn,
+         concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))) k
+  from {lineitem}),
+s as (
+  select t.*, seg, 1 + cast(floor(l_orderkey / 20) as bigint) * 400
+           + 7 * cast(floor(rn / 2) as bigint) as base
+  from t join (select 0 as seg union all select 1) x on x.seg >= 0)
+select cast(l_orderkey * 100000 + rn * 2 + seg as bigint) as line_no,
+  concat('h', cast(l_orderkey as varchar(20))) as qname,
+  cast(case when seg = 0 then 99 else 147 end + case when rn > 1 then 256 else 0 end as int) as flag,
+  concat('chr', cast(1 + l_orderkey % 5 as varchar(9))) as rname,
+  cast(base + 200 * seg as bigint) as pos,
+  case (cast(floor(l_orderkey / 10) as bigint) + seg) % 4 when 0 then '32M' when 1 then '5S27M' when 2 then '27M5S'
+    else '10M100N22M' end as cigar,
+  '=' as rnext,
+  cast(base + 200 * (1 - seg) as bigint) as pnext,
+  translate(md5(concat('s', k)), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq,
+  translate(md5(concat('q', k)), '0123456789abcdef', '!#%&(+-/159=@CFI') as qual,
+  case when l_orderkey % 2 = 0 then concat('HI:i:', cast(rn as varchar(9))) end as hi
+from s
+"""
+
 GENE_DIFF = """
 select p_brand as gene, concat('s', cast(l_linenumber as varchar(9))) as sample_1,
        concat('s', cast(l_linenumber + 1 + l_suppkey % 3 as varchar(9))) as sample_2,
@@ -95,6 +122,7 @@ BASE_TABLES = {
     WINDOWS: ["supplier"],
     GENOME: ["part"],
     ALIGNMENTS: ["lineitem"],
+    HITS: ["lineitem"],
     GENE_DIFF: ["lineitem", "part"],
 }
 
@@ -156,6 +184,27 @@ def alignments(spark, folder):
     )
 
 
+def hits(spark, folder):
+    """Alignment records of read pairs with several hits each."""
+    return derive(spark, folder, HITS).select(
+        "line_no",
+        "qname",
+        "flag",
+        "rname",
+        "pos",
+        F.lit(42).alias("mapq"),
+        "cigar",
+        "rnext",
+        "pnext",
+        F.lit(0).alias("tlen"),
+        "seq",
+        "qual",
+        F.when(F.col("hi").isNotNull(), F.array("hi"))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("tags"),
+    )
+
+
 # Whole texts that about half the reads of a place share.
 COPIED_SEQ = (
     "translate(md5(concat('s', cast(cast(floor(line_no / 100000) as bigint) % 2 as varchar(9)))),"

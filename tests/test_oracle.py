@@ -102,3 +102,21 @@ def test_ranked_duplicates_match_the_model(spark):
             owners.update({k: name for k in scored[name][1]})
     got = {tuple(r) for r in entry_point.queries()["dups_ranked"](spark, FOLDER).collect()}
     assert got == expected
+
+
+def test_ranked_duplicates_of_reads_with_several_keys(spark):
+    from epilane.operators import duplicates
+    from epilane.plans import tables
+
+    sam = tables.hits(spark, FOLDER)
+    keyed = duplicates.alignment_keys(sam)
+    scores = {r["qname"]: r["score"] for r in duplicates.read_scores(sam).collect()}
+    reads = {}
+    for r in duplicates.pair_reads(keyed).orderBy("line_no").collect():
+        low, high = sorted((r["aln0"], r["aln1"]))
+        reads.setdefault(r["qname"], (scores[r["qname"]], []))[1].append(f"({low}, {high})")
+    _, dups = ranked_model(reads)
+    got = entry_point.queries()["dups_many_keys"](spark, FOLDER).collect()
+    assert {(r["qname"], r["parent"]) for r in got} == {(n, p) for n, (_, p) in dups.items()}
+    assert all(r["aln"].removeprefix("aln:") in reads[r["qname"]][1] for r in got)
+    assert any(len(set(keys)) > 1 for _, keys in reads.values()) and dups
