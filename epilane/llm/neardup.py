@@ -146,7 +146,7 @@ def _features(batches):
         ends = np.cumsum(sizes)
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, base + (4 << 20))))
+            stop = max(at + 1, int(np.searchsorted(ends, base + (2 << 20))))
             part = batch.slice(at, stop - at)
             at = stop
             texts = part.column("text").to_pylist()
