@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from epilane.llm import oracles
 from epilane.llm.bpe import op9_bpe
 from epilane.llm.decontaminate import op7_decontaminate
 from epilane.llm.neardup import op6_near_dup
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_warc": oracles.WARC, "op10_quality_rules": oracles.RULES}

@@ -242,4 +242,5 @@ def quality_rules(
 
 
 def op10_quality_rules(spark, folder):
-    return quality_rules(spark.read.parquet(f"{folder}/documents.parquet"))
+    rows = quality_rules(spark.read.parquet(f"{folder}/documents.parquet"))
+    return rows.withColumn("distance", F.round("distance", 6))
