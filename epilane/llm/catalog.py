@@ -27,4 +27,8 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES = {"op1_warc": oracles.WARC, "op10_quality_rules": oracles.RULES}
+ORACLES = {
+    "op1_warc": oracles.WARC,
+    "op6_near_dup": oracles.NEAR_DUP,
+    "op10_quality_rules": oracles.RULES,
+}
