@@ -75,18 +75,24 @@ class WordCache:
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces one after the other, and how many each has."""
-        joined = [" ".join(texts[i : i + 1000]) for i in range(0, len(texts), 1000)]
-        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.array([i for x in found for i in x.ids], "<u4")
+        joined = [" ".join(texts[i : i + 500]) for i in range(0, len(texts), 500)]
+        ids = self._ids(joined)[0]
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(texts):
             return self.singly(texts)
         return ids, np.diff(stops, prepend=0)
 
     def singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        counts = np.array([len(x.ids) for x in found], np.int64)
-        return np.array([i for x in found for i in x.ids], "<u4"), counts
+        return self._ids(texts)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and their numbers; the library's objects live for 20 texts."""
+        parts, counts = [np.zeros(0, "<u4")], []
+        for at in range(0, len(texts), 20):
+            for x in self.tokenizer.encode_batch_fast(texts[at : at + 20], add_special_tokens=False):
+                parts.append(np.array(x.ids, "<u4"))
+                counts.append(len(parts[-1]))
+        return np.concatenate(parts), np.array(counts, np.int64)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         book: dict[str, int] = {}
@@ -286,7 +292,7 @@ def tokenize(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_bytes: int = 8 << 20,
+    chunk_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Ids of each document in ascending order of keys; ``start`` counts within the part.
 
@@ -345,13 +351,10 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                found = np.bincount(np.frombuffer(raw.as_py(), "<u4"))
-                if len(found) > len(total):
-                    found[: len(total)] += total
-                    total = found
-                else:
-                    total[: len(found)] += found
+            raw = b"".join(batch.column(0).to_pylist())
+            found = np.bincount(np.frombuffer(raw, "<u4"), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"]
@@ -437,7 +440,12 @@ def read_ids(blocks: DataFrame, folder: str, lengths: np.ndarray) -> DataFrame:
                     names=["doc_id", "part", "start", "n_tokens", "ids"],
                 )
 
-    places = blocks.select("file", "offset", "length").repartition("file", "offset")
+    # By bytes of the files, which the few bytes of a row of this list do not show.
+    volume = blocks.agg(F.sum("length")).first()[0] or 0
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    places = blocks.select("file", "offset", "length").repartition(
+        max(volume >> 25, min(cores, volume >> 20), 1), "file", "offset"
+    )
     return places.mapInArrow(run, DECODED)
 
 
