@@ -37,6 +37,7 @@ ADDRESS = "you your yours u ur you're toi tu vous ton du dich dir dein usted ust
 QUOTES = '"“”„«»'
 BREAKS = " \t\n\r\x0b\x0c.,;:!?()[]{}<>|/\\…—–-'’" + QUOTES
 WINDOW = 6
+MISSPELT = 0.7  # what a hit with an error is worth
 TOXIC, HARMLESS, REPORTS, ADDRESSES = range(4)
 FEATURES = ("any", "log_hits", "plain", "quoted", "misspelt", "addressed", "share", "weight")
 # Ridge towards these: a quotation counts less than a plain hit.
@@ -204,13 +205,15 @@ class Scorer:
             return np.bincount(owner[which], minlength=n).astype(float)
 
         hits = count(np.ones(len(owner), bool))
+        worth = self.term_weights[entry] * np.where(error > 0, MISSPELT, 1.0)
         weight = np.zeros(n)
-        np.maximum.at(weight, owner, self.term_weights[entry] * np.where(error > 0, 0.7, 1.0))
+        np.maximum.at(weight, owner, worth)
+        plain = np.bincount(owner, weights=worth * ~quoted, minlength=n)
         return np.stack(
             [
                 hits > 0,
                 np.log1p(hits),
-                np.log1p(count(~quoted & (error == 0))),
+                np.log1p(plain),
                 np.log1p(count(quoted)),
                 np.log1p(count(error > 0)),
                 np.log1p(count(address)),
