@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,10 @@ RUNTIME_SETTINGS = {
 }
 
 
+# Folders of local sessions without a shared folder, by application.
+_own_folders: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings the operators rely on."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -27,19 +32,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _hadoop_path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
+    """The folder that driver and executors share, named by ``spark.checkpoint.dir``, with
+    its scheme, so that Spark and Python workers take it alike.
 
-    Only a local session without that setting gets a folder of its own, which is then
-    its setting.
+    Only a local session without that setting gets one folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = "file://" + tempfile.mkdtemp(prefix="epilane-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = tempfile.mkdtemp(prefix="epilane-shared-")
+        folder = _own_folders[app]
+    system, path = _hadoop_path(spark, folder)
+    return re.sub("^file:/+", "file:///", system.makeQualified(path).toString()).rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -74,5 +87,5 @@ class Scratch:
         return cut_lineage(df)
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        system, path = _hadoop_path(self.spark, self.path)
+        system.delete(path, True)
