@@ -31,7 +31,7 @@ def segment(col: Column) -> Column:
         F.when(~flag(col, SEGMENT_LAST), F.lit(0))
         .when(
             flag(col, SEGMENT_FIRST),
-            F.raise_error(F.lit("templates with more than two segments are not allowed")).cast("int"),
+            F.raise_error(F.lit("a record is marked as both first and last segment")).cast("int"),
         )
         .otherwise(F.lit(1))
     )
@@ -48,7 +48,7 @@ def tag(tags: Column, name: str, required: bool = True) -> Column:
     value = F.substring_index(found, ":", -1)
     if not required:
         return value
-    missing = F.raise_error(F.lit(f"cannot find {name} in alignment record"))
+    missing = F.raise_error(F.lit(f"no {name} tag on a record"))
     return F.coalesce(value, missing.cast("string"))
 
 

@@ -129,7 +129,7 @@ def pair_by_hi(keyed: DataFrame, by_segment: bool = True) -> DataFrame:
                 "aln0",
                 F.when(
                     (F.col("n0") > 1) | (F.col("n1") > 1),
-                    _fail("multiple alignments").cast("string"),
+                    _fail("several records on one side of a hit").cast("string"),
                 ).otherwise(F.col("aln0")),
             )
             .drop("n0", "n1")
@@ -142,7 +142,7 @@ def pair_by_hi(keyed: DataFrame, by_segment: bool = True) -> DataFrame:
             F.max_by("key", "line_no").alias("aln1"),
         )
         .withColumn("aln1", F.when(F.col("n") == 2, F.col("aln1")).when(
-            F.col("n") > 2, _fail("more than two alignments").cast("string")
+            F.col("n") > 2, _fail("three or more records under one hit index").cast("string")
         ))
         .drop("n")
     )
@@ -157,7 +157,7 @@ def pair_by_coord(secondary: DataFrame, primary: DataFrame) -> DataFrame:
     latest record of the opposite segment. What still waits takes the primary mate.
     """
     needed = F.when(
-        F.col("mate_place").isNull(), _fail("missing paired alignment").cast("string")
+        F.col("mate_place").isNull(), _fail("no mate position on a secondary record").cast("string")
     ).otherwise(F.col("mate_place"))
     first = F.col("segment") == 0
     classed = secondary.withColumn("mate_place", needed).select(
@@ -262,7 +262,7 @@ def pair_reads(keyed: DataFrame, mode: str = "clip", incomplete: str = "fail") -
         return found.filter(~lacking)
     return found.withColumn(
         "aln0",
-        F.when(lacking, _fail("incomplete paired alignment").cast("string")).otherwise(F.col("aln0")),
+        F.when(lacking, _fail("one side only of a pair").cast("string")).otherwise(F.col("aln0")),
     )
 
 
@@ -436,7 +436,7 @@ def _find_picard(pairs: DataFrame, singles: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     ).withColumn(
         "key",
-        F.when(F.col("n") > 1, _fail("multiple alignments").cast("string")).otherwise(F.col("key")),
+        F.when(F.col("n") > 1, _fail("several records on one side of a hit").cast("string")).otherwise(F.col("key")),
     )
     firsts = lone.groupBy("key").agg(F.min_by("qname", "line_no").alias("single_parent"))
     single_dups = (

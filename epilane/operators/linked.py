@@ -54,7 +54,7 @@ def linked_methylation(calls: DataFrame, bed: DataFrame, conflicts: str = "fail"
     problem = F.lit("-")
     if conflicts == "fail":
         problem = F.raise_error(
-            F.concat(F.lit("problem parsing linked methylation for read "), F.col("qname"))
+            F.concat(F.lit("calls of both states at one site, read "), F.col("qname"))
         ).cast("string")
     hits = cut_lineage(
         interval_join(calls.select("chrom", F.col("loc").alias("pos"), "qname", "call"), bed)

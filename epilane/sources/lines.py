@@ -28,5 +28,5 @@ def required_fields(line: Column, count: int, what: str, exact: bool = False) ->
     """Tab fields of a line; too few (or, if ``exact``, another number) fail."""
     fields = F.split(line, "\t")
     good = F.size(fields) == count if exact else F.size(fields) >= count
-    problem = F.concat(F.lit(f"poorly formatted {what}: "), line)
+    problem = F.concat(F.lit(f"wrong number of fields in {what}: "), line)
     return F.when(good, fields).otherwise(F.raise_error(problem).cast("array<string>"))

@@ -114,7 +114,7 @@ def read_regions(spark: SparkSession, path, groups: dict[str, list[str]] | list[
     """
     header = _header(spark, path)
     if header[0] != "chr":
-        raise ValueError("improperly formatted region table: first column must be chr")
+        raise ValueError("not a region table: its first column must be chr")
     samples = groups if isinstance(groups, list) else [s for g in groups.values() for s in g]
     keep = keep or []
     missing = [c for c in keep if c not in header]
@@ -132,7 +132,7 @@ def read_regions(spark: SparkSession, path, groups: dict[str, list[str]] | list[
         elif s in header:
             cells.append((s, F.when(F.col(f"`{s}`").isNotNull(), F.lit(1.0)), value(s, "double")))
         else:
-            raise ValueError(f"cannot find sample {s} in region table")
+            raise ValueError(f"no column for sample {s} in the region table")
     rows = F.array(
         *[F.struct(F.lit(s).alias("sample"), n.alias("n"), x.alias("x")) for s, n, x in cells]
     )
@@ -166,7 +166,7 @@ def read_gene_diff(spark: SparkSession, path) -> DataFrame:
     header = _header(spark, path)
     for place, name in DIFF_COLUMNS.items():
         if len(header) <= place or header[place] != name:
-            raise ValueError("input not properly formatted")
+            raise ValueError("not a table of gene comparisons")
     table = spark.read.csv(path, sep="\t", header=True)
     fold = F.col("`log2(fold_change)`")
     return table.select(

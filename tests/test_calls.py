@@ -139,5 +139,5 @@ def test_linked_pattern(spark):
     got = {(r["name"], r["qname"]): (r["sites"], r["pattern"]) for r in linked.linked_methylation(df, bed).collect()}
     assert got == {**{("a", k): (6, v) for k, v in reads.items()}, ("b", None): (0, "<none>")}
     twice = df.unionByName(df)
-    with pytest.raises(Exception, match="linked methylation"):
+    with pytest.raises(Exception, match="both states"):
         linked.linked_methylation(twice, bed).collect()
