@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -48,7 +49,7 @@ class WordCache:
     parts, so a text's ids are those of its words in order. Plain Latin words are cut
     into the splitter's pieces first, and distinct pieces are encoded many to a call; the
     ids that end a piece show where each stops. Other words are encoded one by one.
-    Holds about ``limit`` words, by 64-bit fingerprint.
+    Holds about ``limit`` words, by 64-bit fingerprint, and their pieces.
     """
 
     def __init__(self, path: str, limit: int = 2_000_000):
@@ -72,6 +73,9 @@ class WordCache:
         self.starts = np.zeros(0, np.int64)  # of the ids of each
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
+        self.book: dict[str, int] = {}  # numbers of the pieces
+        self.piece_ids = np.zeros(0, "<u4")
+        self.piece_counts = np.zeros(0, np.int64)
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces one after the other, and how many each has."""
@@ -95,7 +99,7 @@ class WordCache:
         return np.concatenate(parts), np.array(counts, np.int64)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        book: dict[str, int] = {}
+        book, known = self.book, len(self.book)
         number = book.setdefault
         plain, rare, codes, sizes = [], [], [], []
         for k, word in enumerate(words):
@@ -111,7 +115,11 @@ class WordCache:
                 parts = PIECES.findall(word)
                 codes += [number(p, len(book)) for p in parts]
                 sizes.append(len(parts))
-        ids, counts = self.pieces(list(book)) if book else (self.ids[:0], self.counts[:0])
+        if len(book) > known:
+            ids, counts = self.pieces(list(islice(book, known, None)))
+            self.piece_ids = np.concatenate([self.piece_ids, ids])
+            self.piece_counts = np.concatenate([self.piece_counts, counts])
+        ids, counts = self.piece_ids, self.piece_counts
         starts = np.cumsum(counts) - counts
         codes = np.array(codes, np.int64)
         plain_ids = ids[spread(starts[codes], counts[codes])]
@@ -297,11 +305,11 @@ def tokenize(
     """Ids of each document in ascending order of keys; ``start`` counts within the part.
 
     Ids are little-endian unsigned 32-bit integers. Part numbers ascend with the keys.
-    A part has about 64 MB of text, so that words recur within it.
+    A part has about 128 MB of text, so that words recur within it.
     """
     volume = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     cores = documents.sparkSession.sparkContext.defaultParallelism
-    parts = max(volume >> 26, min(cores, volume >> 22), 1)
+    parts = max(volume >> 27, min(cores, volume >> 22), 1)
     ordered = (
         documents.select(
             F.col(id_col).cast("long").alias("doc_id"),
