@@ -138,42 +138,46 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a, n_b, width: int) -> np.ndarray:
     return (equal / used - chance) / (1 - chance)
 
 
-def _features(batches):
-    shingler = Shingler()
+def _slices(batches, limit: int = 2 << 20):
+    """Parts of the batches with at most ``limit`` bytes of text, one row at least."""
     for batch in batches:
-        at = 0
         sizes = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
+        ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, base + (2 << 20))))
-            part = batch.slice(at, stop - at)
+            stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            yield batch.slice(at, stop - at)
             at = stop
-            texts = part.column("text").to_pylist()
-            hashes, owners = shingler.shingles(texts)
-            order = np.argsort(mix(hashes ^ (owners.astype(np.uint64) * U(BASE_OWNER))), kind="stable")
-            tagged_h, tagged_o = hashes[order], owners[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (tagged_h[1:] != tagged_h[:-1]) | (tagged_o[1:] != tagged_o[:-1])
-            n = np.bincount(tagged_o[new], minlength=len(texts))
-            is_large, is_small = n >= LARGE_LOW, (n > 0) & (n <= SMALL_TOP)
-            columns = []
-            for held, n_hashes in ((is_large, LARGE_HASHES), (is_small, REGISTERS)):
-                mine = held[owners]
-                place = np.cumsum(held) - 1
-                rows = registers(hashes[mine], place[owners[mine]], int(held.sum()), n_hashes)
-                offsets = np.concatenate([[0], np.cumsum(held)]) * (REGISTERS // ROWS)
-                columns.append(
-                    pa.ListArray.from_arrays(
-                        pa.array(offsets, pa.int32()),
-                        pa.array(rows.reshape(-1).view("<i8"), pa.int64()),
-                        mask=pa.array(~held),
-                    )
+
+
+def _features(batches):
+    shingler = Shingler()
+    for part in _slices(batches):
+        texts = part.column("text").to_pylist()
+        hashes, owners = shingler.shingles(texts)
+        order = np.argsort(mix(hashes ^ (owners.astype(np.uint64) * U(BASE_OWNER))), kind="stable")
+        tagged_h, tagged_o = hashes[order], owners[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (tagged_h[1:] != tagged_h[:-1]) | (tagged_o[1:] != tagged_o[:-1])
+        n = np.bincount(tagged_o[new], minlength=len(texts))
+        is_large, is_small = n >= LARGE_LOW, (n > 0) & (n <= SMALL_TOP)
+        columns = []
+        for held, n_hashes in ((is_large, LARGE_HASHES), (is_small, REGISTERS)):
+            mine = held[owners]
+            place = np.cumsum(held) - 1
+            rows = registers(hashes[mine], place[owners[mine]], int(held.sum()), n_hashes)
+            offsets = np.concatenate([[0], np.cumsum(held)]) * (REGISTERS // ROWS)
+            columns.append(
+                pa.ListArray.from_arrays(
+                    pa.array(offsets, pa.int32()),
+                    pa.array(rows.reshape(-1).view("<i8"), pa.int64()),
+                    mask=pa.array(~held),
                 )
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), *columns],
-                names=["doc_id", "text_key", "n_shingles", "large", "small"],
             )
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), *columns],
+            names=["doc_id", "text_key", "n_shingles", "large", "small"],
+        )
 
 
 def _register_rows(column: pa.Array) -> np.ndarray:
@@ -265,25 +269,23 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: fl
 
     def run(batches):
         shingler, centre, held = Shingler(), None, None
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                b, group, place, ids, texts = (c.to_pylist() for c in part.columns)
-                left, right = [], []
-                for k, (key, one) in enumerate(zip(zip(b, group, strict=True), shingler.sets(texts), strict=True)):
-                    if place[k] == 0:
-                        centre, held = key, one
-                        continue
-                    if key != centre:
-                        raise ValueError("a group lacks its centre")
-                    at = np.minimum(np.searchsorted(held, one), len(held) - 1)
-                    common = int((held[at] == one).sum())
-                    if 100 * common >= per_cent * (len(held) + len(one) - common):
-                        left.append(ids[k])
-                        right.append(b[k])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]
-                )
+        for part in _slices(batches):
+            b, group, place, ids, texts = (c.to_pylist() for c in part.columns)
+            left, right = [], []
+            for k, (key, one) in enumerate(zip(zip(b, group, strict=True), shingler.sets(texts), strict=True)):
+                if place[k] == 0:
+                    centre, held = key, one
+                    continue
+                if key != centre:
+                    raise ValueError("a group lacks its centre")
+                at = np.minimum(np.searchsorted(held, one), len(held) - 1)
+                common = int((held[at] == one).sum())
+                if 100 * common >= per_cent * (len(held) + len(one) - common):
+                    left.append(ids[k])
+                    right.append(b[k])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]
+            )
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -420,17 +422,15 @@ def _cluster_links(labelled, nodes, texts, similarity, scratch) -> DataFrame:
 
     def cut(batches):
         shingler = Shingler()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = shingler.sets(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in ("id", "cluster", "component", "size")),
-                        pa.array([x.tobytes() for x in sets], pa.binary()),
-                    ],
-                    names=["id", "cluster", "component", "size", "shingles"],
-                )
+        for part in _slices(batches):
+            sets = shingler.sets(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(part.column(c) for c in ("id", "cluster", "component", "size")),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                ],
+                names=["id", "cluster", "component", "size", "shingles"],
+            )
 
     sets = scratch.table(
         texts.join(wanted, ["id", "text_key"])
