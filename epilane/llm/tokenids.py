@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epilane.llm.bpe import spread
-from epilane.llm.words import WordHasher
+from epilane.llm.words import WordHasher, release
 from epilane.session import Scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -49,10 +49,10 @@ class WordCache:
     parts, so a text's ids are those of its words in order. Plain Latin words are cut
     into the splitter's pieces first, and distinct pieces are encoded many to a call; the
     ids that end a piece show where each stops. Other words are encoded one by one.
-    Holds about ``limit`` words, by 64-bit fingerprint, and their pieces.
+    Holds about ``limit`` words, by 64-bit fingerprint, and ``most_pieces`` pieces.
     """
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000, most_pieces: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,7 +65,7 @@ class WordCache:
             for token, i in self.tokenizer.get_vocab().items():
                 self.ends[i] = token.endswith(suffix)
         self.hasher = WordHasher(fold=False)
-        self.limit = limit
+        self.limit, self.most_pieces = limit, most_pieces
         self.clear()
 
     def clear(self) -> None:
@@ -73,6 +73,9 @@ class WordCache:
         self.starts = np.zeros(0, np.int64)  # of the ids of each
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
+        self.clear_pieces()
+
+    def clear_pieces(self) -> None:
         self.book: dict[str, int] = {}  # numbers of the pieces
         self.piece_ids = np.zeros(0, "<u4")
         self.piece_counts = np.zeros(0, np.int64)
@@ -99,6 +102,8 @@ class WordCache:
         return np.concatenate(parts), np.array(counts, np.int64)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        if len(self.book) > self.most_pieces:
+            self.clear_pieces()
         book, known = self.book, len(self.book)
         number = book.setdefault
         plain, rare, codes, sizes = [], [], [], []
@@ -129,13 +134,15 @@ class WordCache:
         rare_ids, rare_counts = (
             self.singly([words[k] for k in rare]) if rare else (self.ids[:0], self.counts[:0])
         )
-        counts = np.concatenate([plain_counts, rare_counts]).astype(np.int64)
-        order = np.argsort(np.concatenate([self.keys, keys[np.array(plain + rare, np.int64)]]))
-        starts = len(self.ids) + np.cumsum(counts) - counts
+        order = np.array(plain + rare, np.int64)
+        counts, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        counts[order] = np.concatenate([plain_counts, rare_counts])
+        starts[order] = len(self.ids) + np.cumsum(counts[order]) - counts[order]
         self.ids = np.concatenate([self.ids, plain_ids, rare_ids])
-        self.keys = np.concatenate([self.keys, keys[np.array(plain + rare, np.int64)]])[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.starts = np.insert(self.starts, place, starts)
+        self.counts = np.insert(self.counts, place, counts)
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         if len(self.keys) > self.limit:
@@ -300,16 +307,16 @@ def tokenize(
     end_id: int = END_ID,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunk_bytes: int = 2 << 20,
+    chunk_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Ids of each document in ascending order of keys; ``start`` counts within the part.
 
     Ids are little-endian unsigned 32-bit integers. Part numbers ascend with the keys.
-    A part has about 64 MB of text, so that words recur within it.
+    A part has about 128 MB of text, so that words recur within it.
     """
     volume = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     cores = documents.sparkSession.sparkContext.defaultParallelism
-    parts = max(volume >> 26, min(cores, volume >> 22), 1)
+    parts = max(volume >> 27, min(cores, volume >> 22), 1)
     ordered = (
         documents.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -321,7 +328,9 @@ def tokenize(
 
     def run(batches):
         cache, part, at = WordCache(vocabulary), TaskContext.get().partitionId(), 0
-        for keys, texts in _text_chunks(batches, chunk_bytes):
+        for number, (keys, texts) in enumerate(_text_chunks(batches, chunk_bytes)):
+            if number % 8 == 0:
+                release()
             found = cache.encode(texts, end_id)
             sizes = np.array([len(x) for x in found], np.int64)
             starts = at + np.cumsum(sizes) - sizes

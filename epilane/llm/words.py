@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
@@ -9,6 +11,13 @@ SEED = 41
 SPACES = (0x20, *range(0x09, 0x0E))
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can do that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit integers evenly, one to one."""
     x = x ^ (x >> np.uint64(33))

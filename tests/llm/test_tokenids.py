@@ -15,7 +15,7 @@ from epilane.session import Scratch
 from . import cases
 
 LIBRARY = Tokenizer.from_file(tokenids.WORD_BPE)
-CACHE = tokenids.WordCache(tokenids.WORD_BPE, limit=50)
+CACHE = tokenids.WordCache(tokenids.WORD_BPE, limit=50, most_pieces=20)
 
 
 def library(text):
