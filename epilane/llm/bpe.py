@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from epilane.llm.words import release
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 # White space beyond ASCII, and the pre-tokenizer's pattern.
 WIDE_SPACE = "".join(
@@ -207,6 +209,7 @@ def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
 def _chunks(batches, column: str, limit: int):
     """Batches cut so that ``column`` has at most ``limit`` bytes, one row at least."""
     for batch in batches:
+        release()
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
         ends = np.cumsum(sizes.to_numpy(zero_copy_only=False))
         start, base = 0, 0
@@ -281,7 +284,7 @@ def bpe_round_trip(
     documents: DataFrame,
     vocabulary: str = BYTE_BPE,
     text_col: str = "text",
-    chunk_bytes: int = 16 << 20,
+    chunk_bytes: int = 6 << 20,
 ) -> DataFrame:
     """``documents`` without the text, with ``n_tokens``, ``ids`` and the text ``decoded``
     from them, in one pass: one worker per task instead of two."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epilane.llm.words import BASE, WordHasher, mix
+from epilane.llm.words import BASE, WordHasher, mix, release
 
 WINDOW = 8
 LITERALS = 5  # plain words that a window needs
@@ -229,7 +229,8 @@ def _verdict(found: list[tuple]) -> tuple:
     return True, item, len(found), coverage, exact, False
 
 
-def _chunks(batch, limit: int = 2 << 20):
+def _chunks(batch, limit: int = 1 << 20):
+    release()
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
     ends = np.cumsum(sizes.to_numpy(zero_copy_only=False))
     start = 0

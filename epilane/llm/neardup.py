@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epilane.llm.words import WordHasher, mix
+from epilane.llm.words import WordHasher, mix, release
 from epilane.session import Scratch
 
 WORDS = 5
@@ -141,6 +141,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a, n_b, width: int) -> np.ndarray:
 def _slices(batches, limit: int = 2 << 20):
     """Parts of the batches with at most ``limit`` bytes of text, one row at least."""
     for batch in batches:
+        release()
         sizes = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epilane.llm.words import release
+
 FOLDS = 5
 # Words of reporting and words of address.
 REPORTING = (
@@ -232,6 +234,7 @@ class Scorer:
 
 def _chunks(batch, limit: int = 1 << 20):
     """Slices of a (key, text) batch with about ``limit`` bytes of text."""
+    release()
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0)
     ends = np.cumsum(sizes.to_numpy(zero_copy_only=False))
     start = 0
