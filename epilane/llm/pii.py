@@ -10,15 +10,17 @@ by the likelihood of the whole segmentation, so it adds what the patterns miss.
 spans that touch a base span are dropped; base spans always stay.
 
 Cases: a null or empty text has no spans; a null key is kept; repeated rows are handled
-alike; texts without digits and at signs are skipped; without a base span in the sample
-the starting weights are used; other columns pass through ``redact``; an empty table
-gives an empty result. Long texts are cut at white space into stretches, never shortened.
+alike; texts without digits, at signs and bracketed dots are skipped; without a base span
+in the sample the starting weights are used; other columns pass through ``redact``; an
+empty table gives an empty result. A stretch goes on while the next digit or sign is near,
+however long it gets, so no segment is cut.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +34,14 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-TRIGGER = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]")
+TRIGGER = re.compile(r"[0-9@]|[(\[{] ?(?:at|dot) ?[)\]}]")
 ATOM = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 DISGUISED_AT = re.compile(r" ?[(\[{] ?at ?[)\]}] ?")
 DISGUISED_DOT = re.compile(r" ?[(\[{] ?dot ?[)\]}] ?")
+DOT_BEFORE = re.compile(r"[(\[{] ?dot ?[)\]}] ?$")
+DIGIT_BESIDE = re.compile(r"[0-9][ .-]$")
+DIGIT_NEXT = re.compile(r"[ .-][0-9]")
+ABROAD = re.compile(r"\+(?!1\b)([0-9]{1,3})( [0-9]+(?: [0-9]+){2,})")
 CUES = {
     "email": re.compile(r"(mail|contact|write|reach)\W*\w*\W*$", re.I),
     "ip": re.compile(r"\b(ip|host|server|address|addr|from)\W*\w*\W*$", re.I),
@@ -82,14 +88,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def stretches(text: str, reach: int = 2, limit: int = 4000) -> list[tuple[int, int]]:
-    """Places of tokens with a digit or an at sign, with ``reach`` tokens on either side.
-
-    Stretches over ``limit`` letters are cut at the next white space.
+def stretches(text: str, reach: int = 2) -> list[tuple[int, int]]:
+    """Places of tokens with a digit, an at sign or a bracketed dot, with ``reach`` tokens
+    on either side; places that touch are one stretch.
     """
     out: list[list[int]] = []
+    token = 0  # end of the last trigger's token
     for m in TRIGGER.finditer(text):
-        if out and m.start() < out[-1][1] and out[-1][1] - out[-1][0] < limit:
+        if m.end() <= token:
             continue
         start, end = m.start(), m.end()
         low = out[-1][1] if out else 0
@@ -101,13 +107,45 @@ def stretches(text: str, reach: int = 2, limit: int = 4000) -> list[tuple[int, i
         for _ in range(reach + 1):
             while end < len(text) and not text[end].isspace():
                 end += 1
+            if not _:
+                token = end
             if end < len(text) and _ < reach:
                 end += 1
-        if start < end:
+        if out and start <= low:
+            out[-1][1] = max(end, low)
+        else:
             out.append([start, end])
     return [(a, b) for a, b in out]
 
 
+def sample_pieces(text: str, limit: int = 400) -> list[str]:
+    """The stretches of a text, those over ``limit`` letters in parts, for the fit.
+
+    Parts end at white space outside base spans, where there is one.
+    """
+    out = []
+    for low, high in stretches(text):
+        piece = text[low:high]
+        if len(piece) <= limit:
+            out.append(piece)
+            continue
+        spans, at, last, k = base_spans(piece), 0, 0, 0
+        for m in re.finditer(r"\s", piece):
+            while k < len(spans) and spans[k][2] <= m.start():
+                k += 1
+            if k < len(spans) and spans[k][0] < m.start():
+                continue
+            if m.start() - at > limit and last > at:
+                out.append(piece[at:last])
+                at = last
+            last = m.start()
+        if len(piece) - at > limit and last > at:
+            out.append(piece[at:last])
+            at = last
+        out.append(piece[at:])
+    return [p for p in out if len(p) <= limit]
+
+
 class Lattice:
     """Candidate segments of a stretch: (first atom, last atom + 1, kind, features)."""
 
@@ -117,7 +155,15 @@ class Lattice:
         for m in ATOM.finditer(text):
             self.atoms.append(m.group())
             self.cuts.append(m.end())
-        self.candidates = []
+        self.text = text
+
+    @cached_property
+    def candidates(self) -> list[tuple]:
+        return list(self.segments())
+
+    def segments(self):
+        """The candidates one after another; long stretches do not hold them all."""
+        text = self.text
         for i, atom in enumerate(self.atoms):
             if not (atom[0].isalnum() or atom in "+("):
                 continue
@@ -132,7 +178,7 @@ class Lattice:
                     break
                 for kind in allowed(piece):
                     names = features(text, self.cuts[i], self.cuts[j], piece, kind)
-                    self.candidates.append((i, j, kind, names))
+                    yield i, j, kind, names
 
 
 SIMPLE = re.compile(r"[0-9 ().+/-]+")
@@ -184,8 +230,16 @@ def features(text: str, start: int, end: int, piece: str, kind: int) -> list[str
                 f"open={piece.count('(') == piece.count(')')}",
             ]
     before, after = text[start - 1 : start], text[end : end + 1]
+    if kind == 0 and DISGUISED_DOT.match(text, end):
+        after = "a"  # the address goes on
+    if kind == 0 and DOT_BEFORE.search(text[max(0, start - 10) : start]):
+        before = "a"
     out.append(f"left={_touch(before)}")
     out.append(f"right={_touch(after)}{_touch(text[end + 1 : end + 2]) if after in '.,-' else ''}")
+    if kind:
+        # Does a further group of digits stand beside it?
+        more = DIGIT_BESIDE.search(text[max(0, start - 3) : start]), DIGIT_NEXT.match(text, end)
+        out += [f"from={more[0] is not None}", f"on={more[1] is not None}"]
     cue = CUES[KINDS[kind]].search(text[max(0, start - 30) : start])
     out.append(f"cue={cue is not None}")
     return [f"{KINDS[kind]}:{f}" for f in out]
@@ -225,9 +279,10 @@ def best_segments(lattice: Lattice, weights: dict[str, float], floor: float = 0.
     """Segments (first, last + 1, kind) of the best segmentation; plain atoms score 0."""
     n = len(lattice.atoms)
     by_end: dict[int, list] = {}
-    for c, score in zip(lattice.candidates, _scores(lattice, weights), strict=True):
+    for i, j, kind, names in lattice.segments():
+        score = sum(weights.get(f, 0.0) for f in names)
         if score > floor:
-            by_end.setdefault(c[1], []).append((c[0], score, c[2]))
+            by_end.setdefault(j, []).append((i, score, kind))
     if not by_end:
         return []
     value, back = [0.0] * (n + 1), [None] * (n + 1)
@@ -290,6 +345,9 @@ def _disguise(text: str, start: int, end: int, kind: int, pick: int) -> tuple[st
         digits = _digits(piece)
         if pick % 3 == 0:
             return piece.lstrip("+"), 0
+        abroad = ABROAD.fullmatch(piece)
+        if abroad:
+            return (f"0{abroad[2][1:]}" if pick % 3 == 1 else f"00{abroad[1]}{abroad[2]}"), 0
         local = digits[-10:]
         sign = "-. "[pick % 3]
         return f"{local[:3]}{sign}{local[3:6]}{sign}{local[6:]}" if len(local) == 10 else piece.lstrip("+"), 0
@@ -374,7 +432,7 @@ def fit_pii(
         for batch in batches:
             held = []
             for t in batch.column(0).to_pylist():
-                held += [t[a:b] for a, b in stretches(t) if b - a <= 400][:5]
+                held += sample_pieces(t)[:5]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["piece"])
 
     pieces = rows.mapInArrow(cut, "piece string").distinct()

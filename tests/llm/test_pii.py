@@ -151,3 +151,38 @@ def test_awkward_and_empty(spark):
     one = spark.createDataFrame([(1, "mail a.b@c.de or +1 (987) 555-2485.", 9)], "doc_id long, text string, n_chars long")
     row = pii.redact(one, weights).first()
     assert row["text"] == "mail <EMAIL> or <PHONE>." and row["n_chars"] == len(row["text"])
+
+
+ABROAD = [
+    f"Lorem ipsum {p} dolor sit amet {i}."
+    for i in range(40)
+    for p in ("+33 6 12 34 56 78", "+44 20 7946 0958", "+49 30 123 4567")
+]
+
+
+def test_spans_of_many_tokens_are_seen_whole():
+    weights = pii.fit_segments(SAMPLES + ABROAD)
+    for phone in ("06 12 34 56 78", "0044 20 7946 0958", "33 6 12 34 56 78", "0033 6 12 34 56 78"):
+        assert found(f"appel {phone} merci", weights) == [("phone", phone, False)]
+    for address in (
+        "anna [at] example [dot] org",
+        "a.b (at) c (dot) co (dot) uk",
+        "anna [at] mail [dot] example [dot] org",
+    ):
+        assert found(f"write to {address} please", weights) == [("email", address, False)]
+
+
+def test_stretches_reach_from_the_last_trigger():
+    text = "one two three 06 12 34 56 78 four five six seven 9 ten"
+    assert [text[a:b] for a, b in pii.stretches(text)] == ["two three 06 12 34 56 78 four five", "six seven 9 ten"]
+    assert pii.stretches("1 " * 9_000)[0] == (0, 18_000)
+    random.seed(4)
+    for _ in range(2_000):
+        text = "".join(random.choice("1a@ \n") for _ in range(random.randint(0, 60)))
+        cuts = pii.stretches(text)
+        assert all(a[1] < b[0] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+        for m in pii.TRIGGER.finditer(text):
+            assert any(a <= m.start() and m.end() <= b for a, b in cuts), text
+    long = " ".join(f"{i} word" for i in range(1_000))
+    parts = pii.sample_pieces(long)
+    assert "".join(parts) == long and max(map(len, parts)) <= 400
