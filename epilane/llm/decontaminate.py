@@ -3,9 +3,10 @@
 Both sides become templates: lower-case words, with numbers, names (capitalised inside a
 sentence) and units after numbers replaced by typed placeholders, runs of one type by one.
 Windows of ``WINDOW`` template words are joined by hash. For each document and item the
-windows must cover enough of the item, and the slots must agree: along one placement, one
-value of the item always stands for the same value of the document. Equal values are an
-exact copy, others a re-parameterised one.
+windows must cover enough of the item, or hold a run of ``RUN`` words of it (all words of
+a shorter item), and the slots must agree: along one placement, one value of the item
+always stands for the same value of the document. Equal values are an exact copy, others a
+re-parameterised one.
 
 Benchmark windows travel to the tasks if they are few (``max_local_windows``, a checked
 size); beyond that the windows of documents are joined with them by a shuffle. Both ways
@@ -30,6 +31,7 @@ from epilane.llm.words import BASE, WordHasher, mix, release
 
 WINDOW = 8
 LITERALS = 5  # plain words that a window needs
+RUN = 13  # template words in a row that are a finding whatever share of the item they are
 WORD, NUMBER, NAME, UNIT = range(4)
 # Units that may follow a number.
 UNITS = (
@@ -124,31 +126,44 @@ def agreement(pairs: list[tuple[int, int]]) -> int:
     return 1
 
 
-def judge(hits: list[tuple], min_coverage: float):
+def longest_run(places) -> int:
+    """Most template words in a row that windows at ``places`` of an item cover."""
+    best, start, stop = 0, 0, -1
+    for at in sorted(places):
+        if at > stop:
+            start = at
+        stop = at + WINDOW
+        best = max(best, stop - start)
+    return best
+
+
+def judge(hits: list[tuple], min_coverage: float, min_run: int):
     """Findings of one document: (item, coverage, exact).
 
     ``hits`` are (item, place in the item, place in the document, windows of the item,
-    slots) with slots as (place in the item, item's value, document's value). Windows of
-    one placement (difference of the places) are judged together; a placement whose slots
-    disagree counts for nothing.
+    words of the item, slots) with slots as (place in the item, item's value, document's
+    value). Windows of one placement (difference of the places) are judged together; a
+    placement whose slots disagree counts for nothing. An item is found by its coverage or
+    by ``min_run`` words in a row of one placement.
     """
     placed = defaultdict(lambda: ([], set()))
     totals = {}
-    for item, at_item, at_doc, total, slots in hits:
+    for item, at_item, at_doc, total, length, slots in hits:
         places, found = placed[item, at_doc - at_item]
         places.append(at_item)
         found.update(slots)
-        totals[item] = total
-    best: dict[int, tuple[set, bool]] = {}
+        totals[item] = total, length
+    best: dict[int, tuple[set, bool, int]] = {}
     for (item, _), (places, slots) in sorted(placed.items()):
         grade = agreement([(a, b) for _, a, b in sorted(slots)])
         if grade:
-            covered, exact = best.get(item, (set(), True))
-            best[item] = (covered | set(places), exact and grade == 2)
+            covered, exact, run = best.get(item, (set(), True, 0))
+            best[item] = covered | set(places), exact and grade == 2, max(run, longest_run(places))
     out = []
-    for item, (covered, exact) in best.items():
-        coverage = len(covered) / totals[item]
-        if coverage >= min_coverage:
+    for item, (covered, exact, run) in best.items():
+        total, length = totals[item]
+        coverage = len(covered) / total
+        if coverage >= min_coverage or run >= min(min_run, length):
             out.append((item, coverage, exact))
     return out
 
@@ -158,8 +173,8 @@ class Index:
 
     def __init__(self, rows):
         self.places = defaultdict(list)
-        for item, at, total, code, slots in rows:
-            self.places[code].append((item, at, total, slots))
+        for item, at, total, length, code, slots in rows:
+            self.places[code].append((item, at, total, length, slots))
         self.codes = np.array(sorted(self.places), np.uint64)
 
 
@@ -169,7 +184,7 @@ def _slots(words, at: int, size: int) -> list[tuple[int, int, int]]:
     return [(k, int(kind[at + k]), int(value[at + k])) for k in range(size) if kind[at + k] != WORD]
 
 
-ITEM_WINDOWS = "item_id long, at long, total long, code long, slots array<long>"
+ITEM_WINDOWS = "item_id long, at long, total long, length long, code long, slots array<long>"
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -186,12 +201,12 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                 at, codes, words = templates.windows([(text or "").encode()], WINDOW)
                 for a, code in zip(at.tolist(), codes.view(np.int64).tolist(), strict=True):
                     slots = [x for s in _slots(words, a, WINDOW) for x in (s[0], s[1], _signed(s[2]))]
-                    rows.append((key, a, len(at), code, slots))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+                    rows.append((key, a, len(at), len(words[0]), code, slots))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["item_id", "at", "total", "code", "slots"],
+                names=["item_id", "at", "total", "length", "code", "slots"],
             )
 
     rows = benchmark.filter(F.col(id_col).isNotNull()).select(
@@ -204,12 +219,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _hit(item, at_item, at_doc, total, item_slots, doc_slots):
+def _hit(item, at_item, at_doc, total, length, item_slots, doc_slots):
     slots = [
         (at_item + offset, a, b)
         for (offset, _, a), (_, _, b) in zip(item_slots, doc_slots, strict=True)
     ]
-    return item, at_item, at_doc, total, slots
+    return item, at_item, at_doc, total, length, slots
 
 
 def _triples(flat) -> list[tuple[int, int, int]]:
@@ -254,8 +269,9 @@ def _verdict_batch(keys, verdicts) -> pa.RecordBatch:
 class Judge:
     """Verdicts on texts, with the benchmark windows at hand."""
 
-    def __init__(self, rows: list[tuple], min_coverage: float):
-        self.templates, self.index, self.min_coverage = Templates(), Index(rows), min_coverage
+    def __init__(self, rows: list[tuple], min_coverage: float, min_run: int):
+        self.templates, self.index = Templates(), Index(rows)
+        self.min_coverage, self.min_run = min_coverage, min_run
 
     def verdicts(self, texts: list[bytes]) -> list[tuple]:
         at, codes, words = self.templates.windows(texts, WINDOW)
@@ -266,21 +282,26 @@ class Judge:
         hits = defaultdict(list)
         for a, code in zip(at[known].tolist(), codes[known].tolist(), strict=True):
             mine = [(k, t, _signed(v)) for k, t, v in _slots(words, a, WINDOW)]
-            for item, at_item, total, slots in self.index.places[code]:
-                hits[int(words[3][a])].append(_hit(item, at_item, a, total, slots, mine))
-        return [_verdict(judge(hits.get(i, []), self.min_coverage)) for i in range(len(texts))]
+            for item, at_item, total, length, slots in self.index.places[code]:
+                hits[int(words[3][a])].append(_hit(item, at_item, a, total, length, slots, mine))
+        return [
+            _verdict(judge(hits.get(i, []), self.min_coverage, self.min_run)) for i in range(len(texts))
+        ]
 
 
 def _packed(rows: list) -> list[tuple]:
-    return [(r["item_id"], r["at"], r["total"], r["code"] % (1 << 64), _triples(r["slots"])) for r in rows]
+    return [
+        (r["item_id"], r["at"], r["total"], r["length"], r["code"] % (1 << 64), _triples(r["slots"]))
+        for r in rows
+    ]
 
 
-def _local(documents: DataFrame, rows: list, min_coverage: float) -> DataFrame:
+def _local(documents: DataFrame, rows: list, min_coverage: float, min_run: int) -> DataFrame:
     """Judge each document where it is."""
     packed = _packed(rows)
 
     def run(batches):
-        judge_ = Judge(packed, min_coverage)
+        judge_ = Judge(packed, min_coverage, min_run)
         for batch in batches:
             for keys, texts in _chunks(batch):
                 yield _verdict_batch(keys, judge_.verdicts(texts))
@@ -295,7 +316,7 @@ def _text_key(name: str):
     return F.unhex(F.md5(F.coalesce(F.col(name).cast("string"), F.lit(""))))
 
 
-def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float) -> DataFrame:
+def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float, min_run: int) -> DataFrame:
     """Contaminated texts by digest, with their best item."""
 
     def cut(batches):
@@ -322,16 +343,22 @@ def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float) -> Da
         keyed.select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(cut, DOC_WINDOWS)
     )
     hits = mine.join(
-        windows.select("item_id", F.col("at").alias("at_item"), "total", "code", F.col("slots").alias("item_slots")),
+        windows.select(
+            "item_id", F.col("at").alias("at_item"), "total", "length", "code", F.col("slots").alias("item_slots")
+        ),
         "code",
     )
 
     def decide(table: pa.Table) -> pa.Table:
         rows = [
-            _hit(r["item_id"], r["at_item"], r["at"], r["total"], _triples(r["item_slots"]), _triples(r["slots"]))
+            _hit(
+                *(r[c] for c in ("item_id", "at_item", "at", "total", "length")),
+                _triples(r["item_slots"]),
+                _triples(r["slots"]),
+            )
             for r in table.to_pylist()
         ]
-        found = judge(rows, min_coverage)
+        found = judge(rows, min_coverage, min_run)
         return pa.table(
             {
                 "text_key": pa.array([table["text_key"][0].as_py()] * len(found), pa.binary()),
@@ -350,10 +377,10 @@ def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float) -> Da
     )
 
 
-def _joined(documents: DataFrame, windows: DataFrame, min_coverage: float) -> DataFrame:
+def _joined(documents: DataFrame, windows: DataFrame, min_coverage: float, min_run: int) -> DataFrame:
     """The same verdicts by a shuffle join of windows and a grouping by text."""
     keyed = documents.withColumn("text_key", _text_key("text"))
-    best = _best_items(keyed, windows, min_coverage)
+    best = _best_items(keyed, windows, min_coverage, min_run)
     return keyed.join(best, "text_key", "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
@@ -372,11 +399,14 @@ def find_contamination(
     max_local_windows: int = 200_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    min_run: int = RUN,
 ) -> DataFrame:
     """Per document: contaminated or not, best item, items found, coverage, exact copy;
     ``kept`` is the opposite of ``contaminated``.
 
-    Coverage counts the item's windows that one or several agreeing placements share.
+    Coverage counts the item's windows that one or several agreeing placements share; an
+    item is found below ``min_coverage``, too, if one of them holds ``min_run`` of its
+    template words in a row.
     """
     rows = documents.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
@@ -384,9 +414,9 @@ def find_contamination(
     windows = item_windows(benchmark)
     held = _few(windows, max_local_windows)
     if held is not None:
-        found = _local(rows, held, min_coverage)
+        found = _local(rows, held, min_coverage, min_run)
     else:
-        found = _joined(rows, windows, min_coverage)
+        found = _joined(rows, windows, min_coverage, min_run)
     return found.withColumnRenamed("doc_id", id_col)
 
 
@@ -401,6 +431,7 @@ def drop_contaminated(
     min_coverage: float = 0.5,
     max_local_windows: int = 200_000,
     text_col: str = "text",
+    min_run: int = RUN,
 ) -> DataFrame:
     """The rows of ``documents``, all columns, without a benchmark passage."""
     windows = item_windows(benchmark)
@@ -410,12 +441,13 @@ def drop_contaminated(
             documents.select(_text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text")),
             windows,
             min_coverage,
+            min_run,
         ).select("text_key")
         return documents.join(bad, _text_key(text_col) == bad["text_key"], "left_anti")
     place, packed = documents.columns.index(text_col), _packed(held)
 
     def run(batches):
-        judge_ = Judge(packed, min_coverage)
+        judge_ = Judge(packed, min_coverage, min_run)
         for batch in batches:
             pair = pa.RecordBatch.from_arrays([batch.column(place)] * 2, names=["key", "text"])
             bad = [v[0] for _, texts in _chunks(pair) for v in judge_.verdicts(texts)]

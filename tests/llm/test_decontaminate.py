@@ -87,3 +87,29 @@ def test_awkward_and_empty(spark):
         assert decontaminate.find_contamination(none, items, max_local_windows=limit).count() == 0
         assert decontaminate.find_contamination(frame, items.limit(0), max_local_windows=limit).count() == 14
         assert decontaminate.drop_contaminated(none, items, max_local_windows=limit).count() == 0
+
+
+def bad_ids(spark, items, texts, limit):
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.find_contamination(frame, benchmark, max_local_windows=limit)
+    bad = sorted(r["doc_id"] for r in found.filter("contaminated").collect())
+    kept = decontaminate.drop_contaminated(frame, benchmark, max_local_windows=limit)
+    assert sorted([*bad, *(r["doc_id"] for r in kept.collect())]) == list(range(len(texts)))
+    return bad
+
+
+def letters(n, lead="w"):
+    return [lead + "".join(chr(97 + int(c)) for c in str(i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_part_of_a_long_item(spark, limit):
+    middle, long = letters(42, "m"), letters(200, "l")
+    texts = [
+        " ".join(part)
+        for words in (middle, long)
+        for part in (words[:13], words[20:33], words[-13:], words[:12], words[5:17], words[:7] + ["x"] + words[7:14])
+    ]
+    texts = [f"before it {t} after it" for t in texts]
+    assert bad_ids(spark, [" ".join(middle), " ".join(long)], texts, limit) == [0, 1, 2, 6, 7, 8]
