@@ -6,7 +6,9 @@ Windows of ``WINDOW`` template words are joined by hash. For each document and i
 windows must cover enough of the item, or hold a run of ``RUN`` words of it (all words of
 a shorter item), and the slots must agree: along one placement, one value of the item
 always stands for the same value of the document. Equal values are an exact copy, others a
-re-parameterised one.
+re-parameterised one. Where slots disagree, the longest stretch within which they agree
+counts if it has twice ``min_run`` words. A run of one type at the edge of a window may go
+on outside it, so only its word next to the window's other words is compared there.
 
 Benchmark windows travel to the tasks if they are few (``max_local_windows``, a checked
 size); beyond that the windows of documents are joined with them by a shuffle. Both ways
@@ -21,6 +23,7 @@ are not read; empty tables give an empty result or one without findings.
 from __future__ import annotations
 
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,21 @@ UNITS = (
 ).split()
 
 
+class Words(NamedTuple):
+    """Words of many texts, runs of one placeholder as one word.
+
+    ``head`` and ``tail`` are the values of a run's first and last word.
+    """
+
+    template: np.ndarray
+    kind: np.ndarray
+    value: np.ndarray
+    owner: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    several: np.ndarray
+
+
 class Templates:
     """Template words of many texts at once, from their bytes."""
 
@@ -61,7 +79,8 @@ class Templates:
         return mix(np.array([(self.hasher.table[data] * np.cumprod(powers)).sum()], np.uint64))[0]
 
     def words(self, texts: list[bytes]):
-        """Template hash, type, value hash and text number of every word in order."""
+        """Template hash, type, value hash, text number, value hash of the first and last
+        word, and whether there are several, of every word or run in order."""
         data = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"\n", np.uint8)
         n = len(data)
         if n > len(self.hasher.powers):
@@ -97,13 +116,16 @@ class Templates:
         total = np.zeros(int(start.sum()), np.uint64)
         place = np.arange(len(kind)) - np.flatnonzero(start)[group] if len(kind) else np.zeros(0, int)
         np.add.at(total, group, value * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)))
+        heads = np.flatnonzero(start)
+        tails = np.append(heads[1:], len(kind)) - 1 if len(kind) else heads
         kind, owner = kind[start], owner[start]
         template = np.where(kind == WORD, total, kind.astype(np.uint64))
-        return template, kind, total, owner
+        return Words(template, kind, total, owner, value[heads], value[tails], tails > heads)
 
     def windows(self, texts: list[bytes], size: int):
         """Start and hash of every window with enough plain words, and the words."""
-        template, kind, value, owner = self.words(texts)
+        words = self.words(texts)
+        template, kind, owner = words.template, words.kind, words.owner
         n = max(len(template) - size + 1, 0)
         chain = np.zeros(n, np.uint64)
         plain = np.zeros(n, np.int64)
@@ -112,7 +134,7 @@ class Templates:
             plain += kind[k : k + n] == WORD
         ok = (owner[:n] == owner[size - 1 :]) & (plain >= min(LITERALS, size))
         at = np.flatnonzero(ok)
-        return at, chain[at], (template, kind, value, owner)
+        return at, chain[at], words
 
 
 def agreement(pairs: list[tuple[int, int]]) -> int:
@@ -137,28 +159,59 @@ def longest_run(places) -> int:
     return best
 
 
+def agreeing_stretch(windows: list[tuple[int, list]]) -> list[int]:
+    """Places of the windows of the longest stretch without a gap whose slots agree."""
+    windows = sorted(windows)
+    seen: dict = defaultdict(lambda: defaultdict(int))
+    first, torn, best, longest = 0, 0, [], 0
+
+    def drop():
+        nonlocal first, torn
+        for _, a, b in windows[first][1]:
+            seen[a][b] -= 1
+            if not seen[a][b]:
+                del seen[a][b]
+                torn -= len(seen[a]) == 1
+        first += 1
+
+    for k, (at, slots) in enumerate(windows):
+        while first < k and at > windows[k - 1][0] + WINDOW:
+            drop()
+        for _, a, b in slots:
+            torn += b not in seen[a] and len(seen[a]) == 1
+            seen[a][b] += 1
+        while torn:
+            drop()
+        if first <= k and at + WINDOW - windows[first][0] > longest:
+            longest = at + WINDOW - windows[first][0]
+            best = [x for x, _ in windows[first : k + 1]]
+    return best
+
+
 def judge(hits: list[tuple], min_coverage: float, min_run: int):
     """Findings of one document: (item, coverage, exact).
 
     ``hits`` are (item, place in the item, place in the document, windows of the item,
     words of the item, slots) with slots as (place in the item, item's value, document's
-    value). Windows of one placement (difference of the places) are judged together; a
-    placement whose slots disagree counts for nothing. An item is found by its coverage or
+    value). Windows of one placement (difference of the places) are judged together. Of a
+    placement whose slots disagree the longest agreeing stretch counts, from twice
+    ``min_run`` words on, and never as an exact copy. An item is found by its coverage or
     by ``min_run`` words in a row of one placement.
     """
-    placed = defaultdict(lambda: ([], set()))
+    placed = defaultdict(list)
     totals = {}
     for item, at_item, at_doc, total, length, slots in hits:
-        places, found = placed[item, at_doc - at_item]
-        places.append(at_item)
-        found.update(slots)
+        placed[item, at_doc - at_item].append((at_item, slots))
         totals[item] = total, length
     best: dict[int, tuple[set, bool, int]] = {}
-    for (item, _), (places, slots) in sorted(placed.items()):
+    for (item, _), windows in sorted(placed.items()):
+        slots = {x for _, found in windows for x in found}
         grade = agreement([(a, b) for _, a, b in sorted(slots)])
-        if grade:
+        places = [at for at, _ in windows] if grade else agreeing_stretch(windows)
+        reach = longest_run(places)
+        if grade or reach >= 2 * min_run:
             covered, exact, run = best.get(item, (set(), True, 0))
-            best[item] = covered | set(places), exact and grade == 2, max(run, longest_run(places))
+            best[item] = covered | set(places), exact and grade == 2, max(run, reach)
     out = []
     for item, (covered, exact, run) in best.items():
         total, length = totals[item]
@@ -178,10 +231,22 @@ class Index:
         self.codes = np.array(sorted(self.places), np.uint64)
 
 
-def _slots(words, at: int, size: int) -> list[tuple[int, int, int]]:
-    """(offset, type, value) of the placeholders of a window."""
-    _, kind, value, _ = words
-    return [(k, int(kind[at + k]), int(value[at + k])) for k in range(size) if kind[at + k] != WORD]
+SEVERAL = 8  # added to the type of a run of several words at a window's edge
+
+
+def _slots(words: Words, at: int, size: int) -> list[tuple[int, int, int]]:
+    """(offset, type, value) of the placeholders of a window; runs are cut at its edges."""
+    out = []
+    for k in range(size):
+        kind = int(words.kind[at + k])
+        if kind == WORD:
+            continue
+        value = words.value
+        if k in (0, size - 1):
+            value = words.tail if k == 0 else words.head
+            kind += SEVERAL * bool(words.several[at + k])
+        out.append((k, kind, int(value[at + k])))
+    return out
 
 
 ITEM_WINDOWS = "item_id long, at long, total long, length long, code long, slots array<long>"
@@ -201,7 +266,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                 at, codes, words = templates.windows([(text or "").encode()], WINDOW)
                 for a, code in zip(at.tolist(), codes.view(np.int64).tolist(), strict=True):
                     slots = [x for s in _slots(words, a, WINDOW) for x in (s[0], s[1], _signed(s[2]))]
-                    rows.append((key, a, len(at), len(words[0]), code, slots))
+                    rows.append((key, a, len(at), len(words.owner), code, slots))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
@@ -220,10 +285,11 @@ def _signed(x: int) -> int:
 
 
 def _hit(item, at_item, at_doc, total, length, item_slots, doc_slots):
-    slots = [
-        (at_item + offset, a, b)
-        for (offset, _, a), (_, _, b) in zip(item_slots, doc_slots, strict=True)
-    ]
+    slots = []
+    for (offset, x, a), (_, y, b) in zip(item_slots, doc_slots, strict=True):
+        # Cut runs are compared with runs cut at the same edge only.
+        side = 1 + (offset > 0) if max(x, y) >= SEVERAL else 0
+        slots.append((at_item + offset, (side, a), (side, b)))
     return item, at_item, at_doc, total, length, slots
 
 
@@ -283,7 +349,7 @@ class Judge:
         for a, code in zip(at[known].tolist(), codes[known].tolist(), strict=True):
             mine = [(k, t, _signed(v)) for k, t, v in _slots(words, a, WINDOW)]
             for item, at_item, total, length, slots in self.index.places[code]:
-                hits[int(words[3][a])].append(_hit(item, at_item, a, total, length, slots, mine))
+                hits[int(words.owner[a])].append(_hit(item, at_item, a, total, length, slots, mine))
         return [
             _verdict(judge(hits.get(i, []), self.min_coverage, self.min_run)) for i in range(len(texts))
         ]
@@ -324,7 +390,7 @@ def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float, min_r
         for batch in batches:
             for keys, texts in _chunks(batch):
                 at, codes, words = templates.windows(texts, WINDOW)
-                owner = words[3][at]
+                owner = words.owner[at]
                 slots = [
                     [x for k, t, v in _slots(words, a, WINDOW) for x in (k, t, _signed(v))]
                     for a in at.tolist()

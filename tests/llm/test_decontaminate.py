@@ -113,3 +113,43 @@ def test_part_of_a_long_item(spark, limit):
     ]
     texts = [f"before it {t} after it" for t in texts]
     assert bad_ids(spark, [" ".join(middle), " ".join(long)], texts, limit) == [0, 1, 2, 6, 7, 8]
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_one_disputed_slot_leaves_the_rest(spark, limit):
+    a, b, c = (" ".join(letters(30, x)) for x in "abc")
+    item = f"{a} 60 {b} 60 {c}"
+    texts = [
+        item.replace("60", "75", 1),
+        f"{a} 75 {b} 60 {b}",
+        item.replace("60", "75"),
+        f"{a[: a.index(' ab')]} 75 {b[: b.index(' bb')]} 60",
+    ]
+    assert bad_ids(spark, [item], texts, limit) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_runs_are_cut_at_the_edge_of_an_item(spark, limit):
+    words = letters(20)
+    item = f"60 {' '.join(words[:10])} 60 {' '.join(words[10:])} 60"
+    texts = [item, f"In 2020 {item}", f"{item} 17 more", f"page 4. {item} 5 6", f"in 2020 {item.replace('60', '75')} 3"]
+    assert bad_ids(spark, [item], texts, limit) == [0, 1, 2, 3, 4]
+    benchmark = spark.createDataFrame([(0, item)], "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.find_contamination(frame, benchmark, max_local_windows=limit)
+    assert [r["exact"] for r in found.orderBy("doc_id").collect()] == [True] * 4 + [False]
+
+
+def test_longest_agreeing_stretch():
+    def windows(values):
+        return [
+            (k, [(p, 1, v) for p, v in values if k <= p < k + decontaminate.WINDOW]) for k in range(40)
+        ]
+
+    stretch = decontaminate.agreeing_stretch
+    assert stretch(windows([])) == list(range(40))
+    assert stretch(windows([(20, 5), (30, 5)])) == list(range(40))
+    assert stretch(windows([(10, 5), (30, 6)])) == list(range(11, 40))
+    assert stretch(windows([(30, 5), (32, 6)])) == list(range(25))
+    assert stretch([(0, []), (1, []), (30, [])]) == [0, 1]
+    assert stretch([(0, [(1, 1, 1), (2, 1, 2)])]) == stretch([]) == []
