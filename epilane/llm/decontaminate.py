@@ -10,13 +10,19 @@ re-parameterised one. Where slots disagree, the longest stretch within which the
 counts if it has twice ``min_run`` words. A run of one type at the edge of a window may go
 on outside it, so only its word next to the window's other words is compared there.
 
+Where ``WINDOW`` template words hold under ``LITERALS`` plain ones, two other windows stand
+in: one that goes on to the last of ``LITERALS`` plain words, and one whose values must be
+equal. Items under ``WINDOW`` template words are matched on their words as they are, in
+windows of ``WINDOW`` or of the item's length; under ``LITERALS`` words they count only
+where they are the whole text.
+
 Benchmark windows travel to the tasks if they are few (``max_local_windows``, a checked
 size); beyond that the windows of documents are joined with them by a shuffle. Both ways
 give the same rows.
 
 Cases: a null or empty text holds nothing; a null key is judged like others; repeated
-rows are judged alike; items without ``LITERALS`` plain words in any window cannot be
-told from chance and are skipped; ties between items go to the smaller id; other columns
+rows are judged alike; items without a key or any word match nothing (``unseen_items``
+names them); ties between items go to the smaller id; other columns
 are not read; empty tables give an empty result or one without findings.
 """
 
@@ -36,6 +42,9 @@ WINDOW = 8
 LITERALS = 5  # plain words that a window needs
 RUN = 13  # template words in a row that are a finding whatever share of the item they are
 WORD, NUMBER, NAME, UNIT = range(4)
+# Kinds of windows: enough plain words; up to the last plain word needed; equal values;
+# words as they are.
+PLAIN, WIDE, EQUAL, RAW = range(4)
 # Units that may follow a number.
 UNITS = (
     "% percent kg g mg lb lbs oz km m cm mm mile miles ft feet foot inch inches yard yards"
@@ -58,6 +67,18 @@ class Words(NamedTuple):
     head: np.ndarray
     tail: np.ndarray
     several: np.ndarray
+    raw_value: np.ndarray
+    raw_owner: np.ndarray
+
+
+class Windows(NamedTuple):
+    """Windows of many texts: start, hash, text number, kind and width."""
+
+    at: np.ndarray
+    code: np.ndarray
+    owner: np.ndarray
+    rule: np.ndarray
+    width: np.ndarray
 
 
 class Templates:
@@ -118,12 +139,13 @@ class Templates:
         np.add.at(total, group, value * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)))
         heads = np.flatnonzero(start)
         tails = np.append(heads[1:], len(kind)) - 1 if len(kind) else heads
+        raw_owner = owner
         kind, owner = kind[start], owner[start]
         template = np.where(kind == WORD, total, kind.astype(np.uint64))
-        return Words(template, kind, total, owner, value[heads], value[tails], tails > heads)
+        return Words(template, kind, total, owner, value[heads], value[tails], tails > heads, value, raw_owner)
 
-    def windows(self, texts: list[bytes], size: int):
-        """Start and hash of every window with enough plain words, and the words."""
+    def windows(self, texts: list[bytes], size: int, raw=()):
+        """The windows of all kinds, and the words; ``raw`` has the widths of raw windows."""
         words = self.words(texts)
         template, kind, owner = words.template, words.kind, words.owner
         n = max(len(template) - size + 1, 0)
@@ -132,9 +154,51 @@ class Templates:
         for k in range(size):
             chain = mix(chain * np.uint64(31) + template[k : k + n])
             plain += kind[k : k + n] == WORD
-        ok = (owner[:n] == owner[size - 1 :]) & (plain >= min(LITERALS, size))
-        at = np.flatnonzero(ok)
-        return at, chain[at], words
+        inside = owner[:n] == owner[size - 1 :]
+        enough = plain >= min(LITERALS, size)
+        at = np.flatnonzero(inside & enough)
+        parts = [Windows(at, chain[at], owner[at], np.full(len(at), PLAIN), np.full(len(at), size))]
+        few = np.flatnonzero(inside & ~enough)
+        if len(few):
+            parts += [self._wide(words, few), self._equal(words, few, size)]
+        parts += [self._raw(words, width) for width in raw]
+        return Windows(*(np.concatenate(c) for c in zip(*parts, strict=True))), words
+
+    def _wide(self, words: Words, at: np.ndarray) -> Windows:
+        """Windows from a plain word to the last of ``LITERALS`` plain words."""
+        n = len(words.template)
+        plain = np.flatnonzero(words.kind == WORD)
+        at = at[words.kind[at] == WORD]
+        rank = np.searchsorted(plain, at) + LITERALS - 1
+        at, last = at[rank < len(plain)], plain[rank[rank < len(plain)]]
+        one = words.owner[at] == words.owner[last]
+        at, last = at[one], last[one]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(words.template + np.uint64(BASE)) * self.hasher.powers[:n], out=sums[1:])
+        code = mix((sums[last + 1] - sums[at]) * self.hasher.back[at] + np.uint64(WIDE))
+        return Windows(at, code, words.owner[at], np.full(len(at), WIDE), last + 1 - at)
+
+    @staticmethod
+    def _equal(words: Words, at: np.ndarray, size: int) -> Windows:
+        chain = np.full(len(at), EQUAL, np.uint64)
+        for k in range(size):
+            value = words.tail if k == 0 else words.head if k == size - 1 else words.value
+            chain = mix(chain * np.uint64(31) + value[at + k])
+        return Windows(at, chain, words.owner[at], np.full(len(at), EQUAL), np.full(len(at), size))
+
+    @staticmethod
+    def _raw(words: Words, width: int) -> Windows:
+        """Windows of ``width`` words as they are; below 0, whole texts of so many words."""
+        value, owner = words.raw_value, words.raw_owner
+        size = abs(width)
+        n = max(len(value) - size + 1, 0)
+        at = np.flatnonzero(owner[:n] == owner[size - 1 :][:n])
+        if width < 0:
+            at = at[np.bincount(owner)[owner[at]] == size]
+        chain = np.full(len(at), RAW + 2 * size + (width < 0) + 100, np.uint64)
+        for k in range(size):
+            chain = mix(chain * np.uint64(31) + value[at + k])
+        return Windows(at, chain, owner[at], np.full(len(at), RAW), np.full(len(at), width))
 
 
 def agreement(pairs: list[tuple[int, int]]) -> int:
@@ -191,31 +255,46 @@ def agreeing_stretch(windows: list[tuple[int, list]]) -> list[int]:
 def judge(hits: list[tuple], min_coverage: float, min_run: int):
     """Findings of one document: (item, coverage, exact).
 
-    ``hits`` are (item, place in the item, place in the document, windows of the item,
-    words of the item, slots) with slots as (place in the item, item's value, document's
-    value). Windows of one placement (difference of the places) are judged together. Of a
-    placement whose slots disagree the longest agreeing stretch counts, from twice
-    ``min_run`` words on, and never as an exact copy. An item is found by its coverage or
-    by ``min_run`` words in a row of one placement.
+    ``hits`` are (item, place in the item, kind of window, width, windows of the item by
+    kind, words of the item, place in the document, slots) with slots as (place in the
+    item, item's value, document's value). Windows of one placement (difference of the
+    places) are judged together. Of a placement whose slots disagree the longest agreeing
+    stretch counts, from twice ``min_run`` words on, and never as an exact copy. An item is
+    found by its coverage or by ``min_run`` words in a row of one placement. Coverage is
+    the highest share of its windows: of the plain ones, of those and the wide ones, of the
+    plain ones and those of equal values.
     """
     placed = defaultdict(list)
     totals = {}
-    for item, at_item, at_doc, total, length, slots in hits:
-        placed[item, at_doc - at_item].append((at_item, slots))
+    for item, at_item, rule, width, total, length, at_doc, slots in hits:
+        placed[item, at_doc - at_item].append((at_item, rule, width, slots))
         totals[item] = total, length
     best: dict[int, tuple[set, bool, int]] = {}
     for (item, _), windows in sorted(placed.items()):
-        slots = {x for _, found in windows for x in found}
+        slots = {x for *_, found in windows for x in found}
         grade = agreement([(a, b) for _, a, b in sorted(slots)])
-        places = [at for at, _ in windows] if grade else agreeing_stretch(windows)
-        reach = longest_run(places)
+        if grade:
+            # A wide window covers every window of the usual width within it.
+            reach = longest_run(
+                x for at, rule, width, _ in windows for x in (range(at, at + width - WINDOW + 1) if rule == WIDE else [at])
+            )
+            places = {(at, rule) for at, rule, _, _ in windows}
+        else:
+            usual = [w for w in windows if w[1] != WIDE]
+            held = set(agreeing_stretch([(at, found) for at, _, _, found in usual]))
+            reach = longest_run(held)
+            places = {(at, rule) for at, rule, _, _ in usual if at in held}
         if grade or reach >= 2 * min_run:
             covered, exact, run = best.get(item, (set(), True, 0))
-            best[item] = covered | set(places), exact and grade == 2, max(run, reach)
+            best[item] = covered | places, exact and grade == 2, max(run, reach)
     out = []
     for item, (covered, exact, run) in best.items():
         total, length = totals[item]
-        coverage = len(covered) / total
+        coverage = max(
+            sum(rule in kinds for _, rule in covered) / sum(total[k] for k in kinds)
+            for kinds in ((PLAIN,), (PLAIN, WIDE), (PLAIN, EQUAL), (RAW,))
+            if sum(total[k] for k in kinds)
+        )
         if coverage >= min_coverage or run >= min(min_run, length):
             out.append((item, coverage, exact))
     return out
@@ -226,9 +305,10 @@ class Index:
 
     def __init__(self, rows):
         self.places = defaultdict(list)
-        for item, at, total, length, code, slots in rows:
-            self.places[code].append((item, at, total, length, slots))
+        for *place, code, slots in rows:
+            self.places[code].append((*place, slots))
         self.codes = np.array(sorted(self.places), np.uint64)
+        self.raw = sorted({width for _, _, rule, width, *_ in rows if rule == RAW})
 
 
 SEVERAL = 8  # added to the type of a run of several words at a window's edge
@@ -249,29 +329,53 @@ def _slots(words: Words, at: int, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-ITEM_WINDOWS = "item_id long, at long, total long, length long, code long, slots array<long>"
+def _flat_slots(words: Words, at: int, rule: int, width: int) -> list[int]:
+    """Offset, type and value of a window's slots in turn; equal values need no slots."""
+    if rule > WIDE:
+        return []
+    return [x for k, kind, value in _slots(words, at, width) for x in (k, kind, _signed(value))]
 
 
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Windows of every item; ``slots`` holds offset, type and value in turn.
+ITEM_WINDOWS = (
+    "item_id long, at long, rule long, width long, total array<long>, length long, code long,"
+    " slots array<long>"
+)
+
+
+def item_rows(templates: Templates, key: int, text: str | None) -> list[tuple]:
+    """The windows of one item, as in ``ITEM_WINDOWS``."""
+    found, words = templates.windows([(text or "").encode()], WINDOW)
+    length = len(words.owner)
+    if length < WINDOW:
+        # As it is, in words that runs do not shorten.
+        length = len(words.raw_owner)
+        width = -length if length < LITERALS else min(length, WINDOW)
+        found = templates._raw(words, width) if length else found
+    total = np.bincount(found.rule, minlength=RAW + 1).tolist()
+    return [
+        (key, at, rule, width, total, length, code, _flat_slots(words, at, rule, width))
+        for at, code, rule, width in zip(
+            *(c.tolist() for c in (found.at, found.code.view(np.int64), found.rule, found.width)), strict=True
+        )
+    ]
 
-    Items shorter than ``WINDOW`` give no window.
-    """
+
+def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Windows of every item; ``total`` counts them by kind, ``slots`` holds offset, type
+    and value in turn."""
 
     def run(batches):
         templates = Templates()
         for batch in batches:
             rows = []
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, codes, words = templates.windows([(text or "").encode()], WINDOW)
-                for a, code in zip(at.tolist(), codes.view(np.int64).tolist(), strict=True):
-                    slots = [x for s in _slots(words, a, WINDOW) for x in (s[0], s[1], _signed(s[2]))]
-                    rows.append((key, a, len(at), len(words.owner), code, slots))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                rows += item_rows(templates, key, text)
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            one, many = pa.int64(), pa.list_(pa.int64())
+            kinds = [one, one, one, one, many, one, one, many]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["item_id", "at", "total", "length", "code", "slots"],
+                names=["item_id", "at", "rule", "width", "total", "length", "code", "slots"],
             )
 
     rows = benchmark.filter(F.col(id_col).isNotNull()).select(
@@ -280,17 +384,23 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return rows.mapInArrow(run, ITEM_WINDOWS)
 
 
+def unseen_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The items that no document can match: without a key or any word."""
+    seen = item_windows(benchmark, id_col, text_col).select(F.col("item_id").alias("seen_id")).distinct()
+    return benchmark.join(seen, F.col(id_col).cast("long") == seen["seen_id"], "left_anti")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _hit(item, at_item, at_doc, total, length, item_slots, doc_slots):
+def _hit(item, at_item, rule, width, total, length, item_slots, at_doc, doc_slots):
     slots = []
     for (offset, x, a), (_, y, b) in zip(item_slots, doc_slots, strict=True):
         # Cut runs are compared with runs cut at the same edge only.
         side = 1 + (offset > 0) if max(x, y) >= SEVERAL else 0
         slots.append((at_item + offset, (side, a), (side, b)))
-    return item, at_item, at_doc, total, length, slots
+    return item, at_item, rule, width, total, length, at_doc, slots
 
 
 def _triples(flat) -> list[tuple[int, int, int]]:
@@ -340,24 +450,27 @@ class Judge:
         self.min_coverage, self.min_run = min_coverage, min_run
 
     def verdicts(self, texts: list[bytes]) -> list[tuple]:
-        at, codes, words = self.templates.windows(texts, WINDOW)
-        known = np.zeros(len(codes), bool)
+        found, words = self.templates.windows(texts, WINDOW, self.index.raw)
+        known = np.zeros(len(found.code), bool)
         if len(self.index.codes):
-            place = np.searchsorted(self.index.codes, codes)
-            known = self.index.codes[np.minimum(place, len(self.index.codes) - 1)] == codes
+            place = np.searchsorted(self.index.codes, found.code)
+            known = self.index.codes[np.minimum(place, len(self.index.codes) - 1)] == found.code
         hits = defaultdict(list)
-        for a, code in zip(at[known].tolist(), codes[known].tolist(), strict=True):
-            mine = [(k, t, _signed(v)) for k, t, v in _slots(words, a, WINDOW)]
-            for item, at_item, total, length, slots in self.index.places[code]:
-                hits[int(words.owner[a])].append(_hit(item, at_item, a, total, length, slots, mine))
+        for a, code, owner, rule, width in zip(*(c[known].tolist() for c in found), strict=True):
+            mine = _triples(_flat_slots(words, a, rule, width))
+            for item in self.index.places[code]:
+                hits[owner].append(_hit(*item, a, mine))
         return [
             _verdict(judge(hits.get(i, []), self.min_coverage, self.min_run)) for i in range(len(texts))
         ]
 
 
+PLACE = ("item_id", "at", "rule", "width", "total", "length")
+
+
 def _packed(rows: list) -> list[tuple]:
     return [
-        (r["item_id"], r["at"], r["total"], r["length"], r["code"] % (1 << 64), _triples(r["slots"]))
+        (*(r[c] for c in PLACE), r["code"] % (1 << 64), _triples(r["slots"]))
         for r in rows
     ]
 
@@ -384,22 +497,23 @@ def _text_key(name: str):
 
 def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float, min_run: int) -> DataFrame:
     """Contaminated texts by digest, with their best item."""
+    # At most 8 widths.
+    raw = [r[0] for r in windows.filter(F.col("rule") == RAW).select("width").distinct().collect()]
 
     def cut(batches):
         templates = Templates()
         for batch in batches:
             for keys, texts in _chunks(batch):
-                at, codes, words = templates.windows(texts, WINDOW)
-                owner = words.owner[at]
+                found, words = templates.windows(texts, WINDOW, raw)
                 slots = [
-                    [x for k, t, v in _slots(words, a, WINDOW) for x in (k, t, _signed(v))]
-                    for a in at.tolist()
+                    _flat_slots(words, *w)
+                    for w in zip(*(c.tolist() for c in (found.at, found.rule, found.width)), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.take(pa.array(owner)),
-                        pa.array(at, pa.int64()),
-                        pa.array(codes.view(np.int64)),
+                        keys.take(pa.array(found.owner)),
+                        pa.array(found.at, pa.int64()),
+                        pa.array(found.code.view(np.int64)),
                         pa.array(slots, pa.list_(pa.int64())),
                     ],
                     names=["text_key", "at", "code", "slots"],
@@ -410,7 +524,9 @@ def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float, min_r
     )
     hits = mine.join(
         windows.select(
-            "item_id", F.col("at").alias("at_item"), "total", "length", "code", F.col("slots").alias("item_slots")
+            *(F.col(c).alias(f"item_{c}" if c == "at" else c) for c in PLACE),
+            "code",
+            F.col("slots").alias("item_slots"),
         ),
         "code",
     )
@@ -418,8 +534,9 @@ def _best_items(keyed: DataFrame, windows: DataFrame, min_coverage: float, min_r
     def decide(table: pa.Table) -> pa.Table:
         rows = [
             _hit(
-                *(r[c] for c in ("item_id", "at_item", "at", "total", "length")),
+                *(r["item_at" if c == "at" else c] for c in PLACE),
                 _triples(r["item_slots"]),
+                r["at"],
                 _triples(r["slots"]),
             )
             for r in table.to_pylist()

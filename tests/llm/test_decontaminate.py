@@ -153,3 +153,41 @@ def test_longest_agreeing_stretch():
     assert stretch(windows([(30, 5), (32, 6)])) == list(range(25))
     assert stretch([(0, []), (1, []), (30, [])]) == [0, 1]
     assert stretch([(0, [(1, 1, 1), (2, 1, 2)])]) == stretch([]) == []
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_items_with_few_plain_words(spark, limit):
+    items = [
+        "What is the capital of France?",
+        "12 + 34 * 56 - 78 = 9 10 11 12",
+        "mix 3 kg with 4 litres then 5 kg with 6 litres or 7 kg and 8 litres for 9 hours",
+        "Who wins",
+        "rate 5 kg 6 from 7 kg 8 to 9 kg 10 at 11 kg 12",
+        "?!",
+        None,
+    ]
+    texts = [
+        "So I ask: what is the capital of France, and why",
+        "what is the capital of Spain",
+        "in 2020: 12 + 34 * 56 - 78 = 9 10 11 12 13 14",
+        "12 + 34 * 56 - 79 = 9 10 11 13",
+        f"please {items[2]} now",
+        "mix 13 kg with 14 litres then 15 kg with 16 litres or 17 kg and 18 litres for 19 hours",
+        "who wins?",
+        "who wins here",
+        f"at 4 {items[4]} 3",
+        "rate 15 kg 6 from 17 kg 8 to 19 kg 10 at 1 kg 12",
+        "",
+    ]
+    assert bad_ids(spark, items, texts, limit) == [0, 2, 4, 5, 6, 8]
+    benchmark = spark.createDataFrame([*enumerate(items), (None, items[0])], "item_id long, text string")
+    unseen = decontaminate.unseen_items(benchmark).collect()
+    assert sorted(str(r["item_id"]) for r in unseen) == ["5", "6", "None"]
+
+
+def test_number_heavy_part_belongs_to_the_run(spark):
+    words = letters(40)
+    item = " ".join([*words[:20], "3 kg 4 kg 5 kg of 6 kg 7 m 8 kg 9 m", *words[20:]])
+    part = " ".join(["x", *words[17:20], "3 kg 4 kg 5 kg of 6 kg 7 m 8 kg 9 m", "y"])
+    for limit in (200_000, 0):
+        assert bad_ids(spark, [item], [part, part.replace("7", "5")], limit) == [0]
