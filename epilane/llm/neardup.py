@@ -20,8 +20,8 @@ Candidates are searched without all pairs of a band bucket:
 Confirmation cuts the texts anew and compares the whole sets.
 
 Cases: a null or wordless text has no shingles and is linked with nothing; a null key
-takes no part, has no component and is kept; of several texts first seen under one key,
-that with the least digest takes part; repeated rows and ties are copies; other columns
+takes no part, has no component and is kept; several texts under one key are nodes of
+their own, and of those in one component that with the least digest is kept; repeated rows and ties are copies; other columns
 are not read; an empty table gives an empty result.
 """
 
@@ -260,9 +260,9 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: fl
         F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"),
         F.lit(0).alias("place"),
     )
-    wanted = members.unionByName(centres).join(nodes.select("id", "text_key"), "id")
+    wanted = members.unionByName(centres).join(nodes.select("id", "doc_id", "text_key"), "id")
     rows = (
-        texts.join(wanted, ["id", "text_key"])
+        texts.join(wanted, ["doc_id", "text_key"])
         .repartition("b", "group")
         .sortWithinPartitions("b", "group", "place")
         .select("b", "group", "place", "id", "text")
@@ -419,7 +419,7 @@ def _cluster_links(labelled, nodes, texts, similarity, scratch) -> DataFrame:
         .filter("lo <> hi")
         .select("cluster", "size")
     )
-    wanted = inside.join(mixed, "cluster").join(nodes.select("id", "text_key"), "id")
+    wanted = inside.join(mixed, "cluster").join(nodes.select("id", "doc_id", "text_key"), "id")
 
     def cut(batches):
         shingler = Shingler()
@@ -434,7 +434,7 @@ def _cluster_links(labelled, nodes, texts, similarity, scratch) -> DataFrame:
             )
 
     sets = scratch.table(
-        texts.join(wanted, ["id", "text_key"])
+        texts.join(wanted, ["doc_id", "text_key"])
         .select("id", "cluster", "component", "size", "text")
         .mapInArrow(cut, "id long, cluster long, component long, size long, shingles binary"),
         "cluster_sets",
@@ -494,6 +494,30 @@ def _cross_pairs(members, labels, nodes, similarity, scratch) -> DataFrame:
     return few.unionByName(many).distinct()
 
 
+def _numbered(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Distinct texts with a number ``id`` of their own, and whether some share their key.
+
+    The key is the number of its text with the least digest; others are numbered by
+    fingerprint, anew while one of them is taken.
+    """
+    table = scratch.table(texts, "texts")
+    least = table.groupBy("doc_id").agg(F.min("text_key").alias("least"), F.count("*").alias("n"))
+    several = scratch.table(least.filter("n > 1").drop("n"), "several")
+    if several.isEmpty():
+        return table.withColumn("id", F.col("doc_id")), False
+    salt = 0
+    while True:
+        number = F.when(
+            F.coalesce(F.col("least") == F.col("text_key"), F.lit(True)), F.col("doc_id")
+        ).otherwise(F.xxhash64("text_key", F.lit(salt)))
+        nodes = scratch.table(
+            table.join(several, "doc_id", "left").withColumn("id", number).drop("least"), f"nodes_{salt}"
+        )
+        if nodes.groupBy("id").count().filter("count > 1").isEmpty():
+            return nodes, True
+        salt += 1
+
+
 def near_duplicates(
     documents: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -504,15 +528,13 @@ def near_duplicates(
     with Scratch(documents.sparkSession) as scratch:
         found = scratch.table(features(documents, id_col, text_col), "features")
         one = F.struct("doc_id", "text_key", "n_shingles", "large", "small")
-        nodes = scratch.table(
+        distinct = (
             found.filter("n_shingles > 0 and doc_id is not null")
             .groupBy("text_key")
             .agg(F.min_by(one, "doc_id").alias("x"))
-            .groupBy(F.col("x.doc_id").alias("id"))
-            .agg(F.min_by("x", "x.text_key").alias("x"))
-            .select("id", "x.text_key", "x.n_shingles", "x.large", "x.small"),
-            "nodes",
+            .select("x.*")
         )
+        nodes, shared = _numbered(distinct, scratch)
         half = REGISTERS // ROWS
         banded = (
             nodes.select("id", F.posexplode("large").alias("band", "key"))
@@ -536,7 +558,7 @@ def near_duplicates(
             .select(F.col("id").alias("a"), (-F.col("best.down")).alias("b")),
             "stars",
         )
-        texts = _texts(documents, id_col, text_col).withColumnRenamed("doc_id", "id")
+        texts = _texts(documents, id_col, text_col)
         first = scratch.table(
             confirm(
                 scratch.table(close_pairs(stars, nodes, similarity), "close_1"), nodes, texts, similarity
@@ -567,9 +589,21 @@ def near_duplicates(
             "links_2",
         )
         comps = components(first.unionByName(inner).unionByName(second), scratch, "round_2")
-        grouped = nodes.select("text_key", "id").join(comps, "id", "left").select(
-            "text_key", F.coalesce("component", "id").alias("component")
+        grouped = nodes.select("text_key", "id", "doc_id").join(comps, "id", "left").select(
+            "text_key", "doc_id", F.coalesce("component", "id").alias("component")
         )
+        chosen = F.lit(True)
+        if shared:
+            # Numbers of texts that share their key are no keys: name components anew.
+            heads = grouped.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("head"))
+            grouped = grouped.join(heads, "component").select(
+                "text_key",
+                F.col("head.doc_id").alias("component"),
+                (F.col("text_key") == F.col("head.text_key")).alias("first"),
+            )
+            chosen = F.coalesce("first", F.lit(True))
+        else:
+            grouped = grouped.drop("doc_id")
         linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
         component = F.when(linked, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
         return scratch.result(
@@ -579,7 +613,7 @@ def near_duplicates(
                 F.col("doc_id").alias(id_col),
                 "n_shingles",
                 component.alias("component_id"),
-                F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+                F.coalesce((F.col("doc_id") == component) & chosen, F.lit(True)).alias("kept"),
                 "text_key",
             )
         )

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -107,3 +108,30 @@ def test_estimate_is_close_and_collisions_are_taken_off():
         random.integers(0, 1 << 62, 1400).astype(np.uint64), owners, 2, neardup.LARGE_HASHES
     )
     assert abs(neardup.estimate(apart[:1], apart[1:], [700], [700], width)[0]) < 0.05
+
+
+def test_every_text_of_a_repeated_key_takes_part(spark):
+    first = "one text of ten words that stands under several keys"
+    texts = sorted([first, "another text that is quite unlike that one in all words"], key=lambda t: hashlib.md5(t.encode()).digest())
+    a, b = texts
+    c = " ".join(f"w{i}" for i in range(60))
+    near = [" ".join([*(f"w{i}" for i in range(60)), f"x{k}"]) for k in range(3)]
+    documents = [(5, a), (5, b), (7, b), (9, b), (20, c), (21, near[0]), (21, near[1]), (30, near[2]), (40, "x")]
+    documents += [(50, f"p{i} q{i} r{i} s{i} t{i}") for i in range(50)] + [(60 + i, f"p{i} q{i} r{i} s{i} t{i}") for i in range(50)]
+    documents += [(200, near_b) for near_b in (f"{'v ' * 3}{' '.join(f'u{i}' for i in range(60))} {e}" for e in "yz")]
+    frame = spark.createDataFrame(documents, "doc_id long, text string")
+    found = neardup.near_duplicates(frame).collect()
+    component = {(r["doc_id"], bytes(r["text_key"])): (r["component_id"], r["kept"]) for r in found}
+
+    def of(key, text):
+        return component[key, hashlib.md5(text.encode()).digest()]
+
+    assert of(5, a) == (5, True)
+    assert of(5, b) == (5, True) and of(7, b) == of(9, b) == (5, False)
+    assert of(20, c) == (20, True)
+    assert of(21, near[0]) == of(21, near[1]) == of(30, near[2]) == (20, False)
+    for i in range(50):
+        text = f"p{i} q{i} r{i} s{i} t{i}"
+        assert of(50, text) == (50, True) and of(60 + i, text) == (50, False)
+    assert sorted(kept for (k, _), (_, kept) in component.items() if k == 200) == [False, True]
+    assert sum(r["doc_id"] == 200 for r in neardup.drop_near_duplicates(frame).collect()) == 1
