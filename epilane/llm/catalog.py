@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from epilane.llm import oracles
 from epilane.llm.bpe import op9_bpe
+from epilane.llm.codes import op13_vector_codes
 from epilane.llm.decontaminate import op7_decontaminate
 from epilane.llm.neardup import op6_near_dup
 from epilane.llm.pii import op4_pii
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
     "op1_warc": oracles.WARC,
     "op6_near_dup": oracles.NEAR_DUP,
     "op10_quality_rules": oracles.RULES,
+    "op13_vector_codes": oracles.VECTOR_CODES,
 }

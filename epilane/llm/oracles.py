@@ -104,3 +104,42 @@ reach as (select doc_id, doc_id as other from documents union select r.doc_id, w
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
 from (select doc_id, min(other) as component_id from reach group by 1) d left join sizes s on s.doc_id = d.doc_id
 """
+
+
+def _kmeans(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Assignments and codebooks of the vector codes, one pair of tables a round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"""far{k} as (select b.r, b.part, e.entry, sum((b.v - e.v) * (b.v - e.v)) as far
+  from bits b join book{k} e on e.part = b.part and e.place = b.place group by 1, 2, 3),
+set{k} as (select r, part, min(entry) as entry, min(far) as far
+  from (select *, min(far) over (partition by r, part) as least from far{k}) x where far = least group by 1, 2)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""sum{k} as (select b.part, s.entry, b.place, cast(sum(b.v) as bigint) as s, count(*) as c
+  from bits b join set{k} s on s.r = b.r and s.part = b.part group by 1, 2, 3),
+book{k + 1} as (select o.part, o.entry, o.place, coalesce((s - ((s % c) + c) % c) // c, o.v) as v
+  from book{k} o left join sum{k} n on n.part = o.part and n.entry = o.entry and n.place = o.place)"""
+            )
+    tables = ",\n".join(steps)
+    return f"""
+with numbered as (select row_number() over () as n, * from embeddings where embedding is not null),
+unusable as (select distinct n from (select n, unnest(embedding) as x from numbered) u
+  where x is null or isnan(x) or isinf(x)),
+kept as (select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label, embedding
+  from numbered where n not in (select n from unusable)),
+wide as (select r, unnest(embedding) as x, unnest(range(len(embedding))) as i, len(embedding) // {parts} as w from kept),
+bits as (select r, i // w as part, i % w as place, cast(floor({scale}.0::double * x::double) as bigint) as v from wide),
+book0 as (select part, r - 1 as entry, place, v from bits where r <= {entries}),
+{tables},
+coded as (select r, string_agg(printf('%02x', cast(entry as int)), '' order by part) as code, cast(sum(far) as bigint) as error
+  from set{rounds} group by 1),
+digest as (select sha256(string_agg(cast(v as varchar), ',' order by part, entry, place)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from kept k join coded c on c.r = k.r cross join digest
+"""
+
+
+VECTOR_CODES = _kmeans()
