@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epilane.llm.words import BASE, WordHasher, mix, release
+from epilane.llm.words import BASE, Rolling, WordHasher, mix, release
 
 WINDOW = 8
 LITERALS = 5  # plain words that a window needs
@@ -86,6 +86,7 @@ class Templates:
 
     def __init__(self):
         self.hasher = WordHasher(fold=True)
+        self.rolling = Rolling()
         letters = np.zeros(256, bool)
         letters[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
         self.gap = ~letters
@@ -95,26 +96,20 @@ class Templates:
 
     def word(self, text: str) -> np.uint64:
         data = np.frombuffer(text.encode(), np.uint8)
-        powers = np.full(len(data), BASE, np.uint64)
-        powers[:1] = 1
-        return mix(np.array([(self.hasher.table[data] * np.cumprod(powers)).sum()], np.uint64))[0]
+        return self.hasher.stretches(data, np.array([0]), np.array([len(data)]))[0]
 
     def words(self, texts: list[bytes]):
         """Template hash, type, value hash, text number, value hash of the first and last
         word, and whether there are several, of every word or run in order."""
         data = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"\n", np.uint8)
         n = len(data)
-        if n > len(self.hasher.powers):
-            self.hasher._powers(n + n // 4)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hasher.table[data] * self.hasher.powers[:n], out=sums[1:])
         gap = self.gap[data]
         sign = (data == 36) | (data == 37)  # $ and % are words of their own
         edge = gap | np.concatenate([[True], gap[:-1]])
         first = np.flatnonzero((~gap & edge) | sign)
         ends_word = ~gap & np.concatenate([gap[1:], [True]])
         stop = np.flatnonzero(ends_word | sign) + 1
-        value = mix((sums[stop] - sums[first]) * self.hasher.back[first])
+        value = self.hasher.stretches(data, first, stop)
         ends = np.cumsum([len(t) + 1 for t in texts])
         owner = np.searchsorted(ends, first, side="right")
         lead = data[first]
@@ -173,9 +168,9 @@ class Templates:
         at, last = at[rank < len(plain)], plain[rank[rank < len(plain)]]
         one = words.owner[at] == words.owner[last]
         at, last = at[one], last[one]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(words.template + np.uint64(BASE)) * self.hasher.powers[:n], out=sums[1:])
-        code = mix((sums[last + 1] - sums[at]) * self.hasher.back[at] + np.uint64(WIDE))
+        spread_out = mix(words.template + np.uint64(BASE))
+        sums = self.rolling.sums([spread_out >> np.uint64(33), (spread_out << np.uint64(31)) >> np.uint64(33)])
+        code = mix(self.rolling.name(sums, at, last + 1) + np.uint64(WIDE))
         return Windows(at, code, words.owner[at], np.full(len(at), WIDE), last + 1 - at)
 
     @staticmethod

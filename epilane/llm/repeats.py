@@ -36,14 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epilane.llm.words import PRIME, Rolling
 from epilane.session import Scratch
 
 LENGTH = 400
 # A perfect difference set: every residue is the difference of two members.
 PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-BASE = 0x9E3779B97F4A7C15
 SEED = 20
+ROLLING = Rolling(SEED)
+TABLES = np.random.default_rng(SEED).integers(1, int(PRIME), (2, 256), dtype=np.uint64)
 
 BLOCKS = "block long, keys array<long>, sizes array<long>, data binary"
 NAMES = "bucket long, block long, names binary, more binary"
@@ -60,25 +62,11 @@ class Text:
         self.bytes = np.frombuffer(
             pa.decompress(data, int(self.sizes.sum()), "zstd", asbytes=True), np.uint8
         )
-        n = len(self.bytes)
-        table = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64)
-        powers = np.full(n + 1, BASE, np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
-        back = np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        self.back = np.cumprod(back)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((table * np.uint64(2) + np.uint64(1))[self.bytes] * powers[:-1], out=self.sums[1:])
+        self.sums = ROLLING.sums([t[self.bytes] for t in TABLES])
 
     def name(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Fingerprints of the strings from ``start`` to ``stop``."""
-        x = (self.sums[stop] - self.sums[start]) * self.back[start]
-        x ^= x >> np.uint64(33)
-        x *= np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xC4CEB9FE1A85EC53)
-        return x ^ (x >> np.uint64(32))
+        return ROLLING.name(self.sums, start, stop)
 
     def borders(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of the document of each place."""

@@ -12,6 +12,16 @@ SCHEMA = (
     " label int, n_tokens long, word string"
 )
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
+
+
+def thue_morse(n=2048):
+    """A word and its complement, whose sums of products modulo 2^64 are equal."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 PLAIN = "One two three four five six seven eight nine ten eleven twelve."
 
 

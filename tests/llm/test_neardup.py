@@ -135,3 +135,11 @@ def test_every_text_of_a_repeated_key_takes_part(spark):
         assert of(50, text) == (50, True) and of(60 + i, text) == (50, False)
     assert sorted(kept for (k, _), (_, kept) in component.items() if k == 200) == [False, True]
     assert sum(r["doc_id"] == 200 for r in neardup.drop_near_duplicates(frame).collect()) == 1
+
+
+def test_structured_words_are_told_apart(spark):
+    a, b = cases.thue_morse()
+    documents = [(i, " ".join(x if k == i else f"{x}{k}" for k in range(8))) for i, x in ((1, a), (2, b))]
+    documents += [(3, a), (4, b), (5, a)]
+    frame = spark.createDataFrame(documents, "doc_id long, text string")
+    assert rows(neardup.near_duplicates(frame)) == sorted(model(documents), key=str)

@@ -117,3 +117,8 @@ def test_awkward_and_empty(spark):
     assert rows(digests(spark, frame)) == expected
     assert rows(digests(spark, frame, block_ids=10)) == expected
     assert digests(spark, cases.nothing(spark)).count() == 0
+
+
+def test_structured_words_are_told_apart():
+    texts = list(cases.thue_morse())
+    assert [x.tolist() for x in CACHE.encode(texts, tokenids.END_ID)] == [library(t) for t in texts]
