@@ -11,6 +11,7 @@ from epilane.llm.pii import op4_pii
 from epilane.llm.quality import op5_site_quality
 from epilane.llm.repeats import op2_suffix_dedup
 from epilane.llm.rules import op10_quality_rules
+from epilane.llm.setjoin import op12_shingle_join
 from epilane.llm.tokenids import op8_token_ids
 from epilane.llm.toxicity import op3_toxicity
 from epilane.llm.warc import op1_warc
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op12_shingle_join": op12_shingle_join,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -33,5 +35,6 @@ ORACLES = {
     "op1_warc": oracles.WARC,
     "op6_near_dup": oracles.NEAR_DUP,
     "op10_quality_rules": oracles.RULES,
+    "op12_shingle_join": oracles.SHINGLE_JOIN,
     "op13_vector_codes": oracles.VECTOR_CODES,
 }

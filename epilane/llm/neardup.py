@@ -138,7 +138,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a, n_b, width: int) -> np.ndarray:
     return (equal / used - chance) / (1 - chance)
 
 
-def _slices(batches, limit: int = 2 << 20):
+def text_slices(batches, limit: int = 2 << 20):
     """Parts of the batches with at most ``limit`` bytes of text, one row at least."""
     for batch in batches:
         release()
@@ -153,7 +153,7 @@ def _slices(batches, limit: int = 2 << 20):
 
 def _features(batches):
     shingler = Shingler()
-    for part in _slices(batches):
+    for part in text_slices(batches):
         texts = part.column("text").to_pylist()
         hashes, owners = shingler.shingles(texts)
         order = np.argsort(mix(hashes ^ (owners.astype(np.uint64) * U(BASE_OWNER))), kind="stable")
@@ -187,7 +187,7 @@ def _register_rows(column: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(flat, "<i8").view("<u2").reshape(-1, REGISTERS)
 
 
-def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed_texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Key, text in bytes and its digest."""
     return documents.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -197,7 +197,7 @@ def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def features(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Text digest, size of the set and registers per row."""
-    return _texts(documents, id_col, text_col).mapInArrow(_features, FEATURES)
+    return keyed_texts(documents, id_col, text_col).mapInArrow(_features, FEATURES)
 
 
 def _close(batches, least: float):
@@ -270,7 +270,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: fl
 
     def run(batches):
         shingler, centre, held = Shingler(), None, None
-        for part in _slices(batches):
+        for part in text_slices(batches):
             b, group, place, ids, texts = (c.to_pylist() for c in part.columns)
             left, right = [], []
             for k, (key, one) in enumerate(zip(zip(b, group, strict=True), shingler.sets(texts), strict=True)):
@@ -423,7 +423,7 @@ def _cluster_links(labelled, nodes, texts, similarity, scratch) -> DataFrame:
 
     def cut(batches):
         shingler = Shingler()
-        for part in _slices(batches):
+        for part in text_slices(batches):
             sets = shingler.sets(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -558,7 +558,7 @@ def near_duplicates(
             .select(F.col("id").alias("a"), (-F.col("best.down")).alias("b")),
             "stars",
         )
-        texts = _texts(documents, id_col, text_col)
+        texts = keyed_texts(documents, id_col, text_col)
         first = scratch.table(
             confirm(
                 scratch.table(close_pairs(stars, nodes, similarity), "close_1"), nodes, texts, similarity

@@ -88,7 +88,7 @@ from judged j left join near n on n.r = j.r
 """
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-NEAR_DUP = f"""
+_LINKS = f"""
 with recursive split as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}+') as ws from documents),
 words as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from split where len(ws) >= 5),
@@ -98,12 +98,14 @@ sets as (select distinct doc_id, s from windows where last is not null
   union all select doc_id, array_to_string(ws, ' ') from split where len(ws) between 1 and 4),
 sizes as (select doc_id, count(*) as n from sets group by 1),
 met as (select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on b.s = a.s and b.doc_id > a.doc_id group by 1, 2),
-links as (select x, y from met join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+links as (select x, y from met join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= {{per_cent}} * (a.n + b.n - c)),
 ways as (select x, y from links union all select y, x from links),
 reach as (select doc_id, doc_id as other from documents union select r.doc_id, w.y from reach r join ways w on w.x = r.other)
-select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id{{more}}
 from (select doc_id, min(other) as component_id from reach group by 1) d left join sizes s on s.doc_id = d.doc_id
 """
+NEAR_DUP = _LINKS.format(per_cent=75, more=", d.doc_id = component_id as kept")
+SHINGLE_JOIN = _LINKS.format(per_cent=80, more="")
 
 
 def _kmeans(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
