@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from epilane.llm import oracles
+from epilane.llm.alignment import op11_token_alignment
 from epilane.llm.bpe import op9_bpe
 from epilane.llm.codes import op13_vector_codes
 from epilane.llm.decontaminate import op7_decontaminate
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
     "op12_shingle_join": op12_shingle_join,
     "op13_vector_codes": op13_vector_codes,
 }
