@@ -1,9 +1,12 @@
 """Joins of positions, intervals and genome text on a shared axis.
 
-Every join is an equi-join on (keys, bin) with the exact range re-checked, so Spark
-may broadcast a side it measures as small and otherwise shuffles by bin, where
-adaptive execution splits a hot bin. Only intervals are replicated, once per bin
-they touch.
+Every join is an equi-join on (keys, level, bin) with the exact range re-checked, so Spark
+may broadcast a side it measures as small and otherwise shuffles by bin, where adaptive
+execution splits a hot bin. Bins are hierarchical: their widths grow by factors of eight,
+and an interval lies in the bins of the first level that is no narrower than itself, which
+are two at most. An interval as long as a chromosome is two rows, and a short one never
+meets a far point. Which levels occur is asked once per join (a grouped count of a few
+rows); data with short intervals only have one level, and points are then not repeated.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BIN = 1 << 12
+GROWTH_BITS = 3
 CHUNK = 1 << 16
 
 
@@ -21,6 +25,43 @@ def _bin(col: Column, size: int) -> Column:
     return F.floor(col / F.lit(size))
 
 
+def _base_bits(bin_size: int) -> int:
+    if bin_size < 1 or bin_size & (bin_size - 1):
+        raise ValueError("bin_size must be a power of two")
+    return bin_size.bit_length() - 1
+
+
+def bin_level(start: Column, last: Column, bin_size: int = BIN) -> Column:
+    """The first level whose bins are no narrower than ``last - start``."""
+    bits = F.when(last > start, F.length(F.bin(last - start))).otherwise(0)
+    return F.greatest(F.ceil((bits - _base_bits(bin_size)) / GROWTH_BITS), F.lit(0)).cast("int")
+
+
+def bin_at(pos: Column, level: Column, bin_size: int = BIN) -> Column:
+    """Number of the bin of a level that holds a position."""
+    width = F.lit(_base_bits(bin_size)) + level * GROWTH_BITS
+    return F.call_function("shiftright", pos.cast("bigint"), F.least(width, F.lit(62)).cast("int"))
+
+
+def interval_bins(df: DataFrame, start: Column, last: Column, level: Column, bin_size: int = BIN) -> DataFrame:
+    """``df`` with ``_level`` and ``_bin``, a row for each of the one or two bins that an
+    interval touches on a level no narrower than itself."""
+    levelled = df.withColumn("_level", level)
+    first, final = (bin_at(x, F.col("_level"), bin_size) for x in (start, last))
+    bins = F.when(first == final, F.array(first)).otherwise(F.array(first, final))
+    return levelled.withColumn("_bin", F.explode(bins))
+
+
+def levels_of(df: DataFrame, start: Column, last: Column, bin_size: int = BIN) -> list[int]:
+    """The levels that occur, at most one for each three bits of the longest interval."""
+    rows = df.filter(last >= start).groupBy(bin_level(start, last, bin_size).alias("level")).count().collect()
+    return sorted(r["level"] for r in rows)
+
+
+def _each(levels: list[int]) -> Column:
+    return F.explode(F.array(*[F.lit(x) for x in levels])) if len(levels) > 1 else F.lit(levels[0])
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -34,16 +75,21 @@ def interval_join(
 ) -> DataFrame:
     """Points with the intervals that hold them: ``start <= pos < end`` (``<= end``
     if ``closed``). ``how='left'`` keeps every interval; intervals must then be unique.
+
+    A point probes one bin for each level that occurs. ``bin_size``, a power of two, is
+    the width of the narrowest bins.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    low = F.col(start)
     last = F.col(end) if closed else F.col(end) - 1
-    spread = intervals.filter(last >= F.col(start)).withColumn(
-        "_bin", F.explode(F.sequence(_bin(F.col(start), bin_size), _bin(last, bin_size)))
+    levels = levels_of(intervals, low, last, bin_size) or [0]
+    spread = interval_bins(intervals.filter(last >= low), low, last, bin_level(low, last, bin_size), bin_size)
+    binned = points.withColumn("_level", _each(levels)).withColumn(
+        "_bin", bin_at(F.col(pos), F.col("_level"), bin_size)
     )
-    binned = points.withColumn("_bin", _bin(F.col(pos), bin_size))
-    inside = (F.col(pos) >= F.col(start)) & (F.col(pos) <= last)
-    matched = spread.join(binned, [*keys, "_bin"]).filter(inside).drop("_bin")
+    inside = (F.col(pos) >= low) & (F.col(pos) <= last)
+    matched = spread.join(binned, [*keys, "_level", "_bin"]).filter(inside).drop("_level", "_bin")
     if how == "inner":
         return matched
     return intervals.join(matched, list(intervals.columns), "left")
@@ -57,21 +103,34 @@ def overlap_join(
     keys: Sequence[str] = ("chrom",),
     bin_size: int = BIN,
 ) -> DataFrame:
-    """Pairs of intervals that overlap, both ends inclusive, each pair once."""
-    ls, le = left_range
-    rs, re_ = right_range
+    """Pairs of intervals that overlap, both ends inclusive, each pair once.
 
-    def spread(df, s, e):
-        return df.filter(F.col(e) >= F.col(s)).withColumn(
-            "_bin", F.explode(F.sequence(_bin(F.col(s), bin_size), _bin(F.col(e), bin_size)))
+    A pair meets on the level of its longer interval, in the bin where the overlap starts;
+    an interval is repeated on its own level and on the wider ones of the other side.
+    """
+    sides = [(left, *left_range, "_own_l"), (right, *right_range, "_own_r")]
+    found = [levels_of(df, F.col(s), F.col(e), bin_size) for df, s, e, _ in sides]
+
+    def spread(side, others):
+        df, s, e, own = side
+        low, last = F.col(s), F.col(e)
+        levelled = df.filter(last >= low).withColumn(own, bin_level(low, last, bin_size))
+        wider = F.filter(
+            F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col(own)
+        )
+        return interval_bins(
+            levelled, low, last, F.explode(F.concat(F.array(F.col(own)), wider)), bin_size
         )
 
-    joined = spread(left, ls, le).join(spread(right, rs, re_), [*keys, "_bin"])
+    (ls, le), (rs, re_) = left_range, right_range
+    joined = spread(sides[0], found[1]).join(spread(sides[1], found[0]), [*keys, "_level", "_bin"])
+    meets = bin_at(F.greatest(F.col(ls), F.col(rs)), F.col("_level"), bin_size)
     return joined.filter(
         (F.col(ls) <= F.col(re_))
         & (F.col(le) >= F.col(rs))
-        & (F.col("_bin") == _bin(F.greatest(F.col(ls), F.col(rs)), bin_size))
-    ).drop("_bin")
+        & (F.col("_level") == F.greatest("_own_l", "_own_r"))
+        & (F.col("_bin") == meets)
+    ).drop("_level", "_bin", "_own_l", "_own_r")
 
 
 def overlaps(loc: Column, loc3: Column, start: Column, end: Column) -> Column:

@@ -8,6 +8,7 @@ The largest sort is one tile; the totals hold one row per tile.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
@@ -74,3 +75,67 @@ def running(
             for name, (kind, _) in aggs.items()
         ],
     )
+
+
+def exact_quantiles(
+    df: DataFrame, group: str, value: str, probabilities: list[float], ranges: int = 4096
+) -> dict[str, list[float]]:
+    """Quantiles of ``value`` per ``group``, interpolated between ranks like ``percentile``.
+
+    No task gathers a group: values are counted in ``ranges`` equal ranges, then only the
+    range that holds a rank is counted in finer ones, until it holds one value. Each step
+    is one grouped count; the driver sees up to ``ranges`` rows for each rank sought, so
+    groups must be few. Nulls, NaN and infinite values are left out; a group without values
+    is missing.
+    """
+    data = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter(
+        F.col("g").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
+    )
+    sizes = {
+        r["g"]: r for r in data.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    }
+    places = {g: [p * (r["n"] - 1) for p in probabilities] for g, r in sizes.items()}
+    # (group, rank) to (low, high, values below low) until low and high are one value.
+    open_ = {
+        (g, k): (sizes[g]["lo"], sizes[g]["hi"], 0)
+        for g, at in places.items()
+        for k in {f(x) for x in at for f in (math.floor, math.ceil)}
+    }
+    known = {}
+    while open_:
+        for key in [key for key, (lo, hi, _) in open_.items() if lo == hi]:
+            known[key] = open_.pop(key)[0]
+        if not open_:
+            break
+        spans = sorted({(g, lo, hi) for (g, _), (lo, hi, _) in open_.items()})
+        table = F.broadcast(  # a row for each rank sought at most
+            df.sparkSession.createDataFrame(
+                [(i, g, lo, hi) for i, (g, lo, hi) in enumerate(spans)], f"span int, g {dict(data.dtypes)['g']}, lo double, hi double"
+            )
+        )
+        # Halves keep the width finite; rounding is monotone, so ranges keep the order.
+        part = F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * ranges)
+        counted = (
+            data.join(table, "g")
+            .filter("v between lo and hi")
+            .groupBy("span", F.least(part, F.lit(ranges - 1)).alias("part"))
+            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .collect()
+        )
+        by_span = {}
+        for r in sorted(counted, key=lambda r: (r["span"], r["part"])):
+            by_span.setdefault(spans[r["span"]], []).append(r)
+        for (g, k), (lo, hi, below) in list(open_.items()):
+            for r in by_span[g, lo, hi]:
+                if k < below + r["n"]:
+                    open_[g, k] = (r["lo"], r["hi"], below)
+                    break
+                below += r["n"]
+    out = {}
+    for g, at in places.items():
+        out[g] = []
+        for x in at:
+            low, high = math.floor(x), math.ceil(x)
+            a, b = known[g, low], known[g, high]
+            out[g].append(a if a == b else (high - x) * a + (x - low) * b)
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epilane.functions.sequence import rev_comp
 from epilane.operators.intervals import CHUNK, genome_lengths, slice_genome
+from epilane.sources.sequences import read_segments
 
 
 def extract_segments(
@@ -27,3 +28,16 @@ def extract_segments(
             "chrom", "pos", "len", seq.alias("seq"), (F.col("end") >= F.col("length")).alias("past_end")
         )
     )
+
+
+def extract_indexed(index: DataFrame, segments: DataFrame, rc: bool = False) -> DataFrame:
+    """``extract_segments`` from FASTA files by their index: only the bytes of the segments
+    are read. An unknown chromosome gives NULL text and ``past_end``."""
+    wanted = segments.select("chrom", "pos", "len").withColumns(
+        {"start": F.col("pos"), "end": F.col("pos") + F.col("len")}
+    )
+    text = read_segments(index, wanted).drop("bytes_read")
+    seq = rev_comp(F.col("seq")) if rc else F.upper("seq")
+    return wanted.join(text, ["chrom", "start", "end"], "left").select(
+        "chrom", "pos", "len", seq.alias("seq"), (F.col("end") >= F.col("length")).alias("past_end")
+    )

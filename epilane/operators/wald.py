@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from epilane.functions.pvalues import log_gamma, normal_two_sided
 from epilane.operators.difftest import KEYS, check_groups
-from epilane.operators.ordered import running
+from epilane.operators.ordered import exact_quantiles, running
 from epilane.session import cut_lineage
 
 # Fixed values of the method (Feng, Conneely, Wu 2014, a Bayesian hierarchical model for
@@ -118,7 +118,7 @@ def _priors(
     prior: str | tuple[float, float],
     min_coverage: int,
 ) -> DataFrame:
-    """``group,prior_mean,prior_sd`` of log dispersion, one aggregate over all regions."""
+    """``group,prior_mean,prior_sd`` of log dispersion, from exact quartiles."""
     names = F.explode(F.array(*[F.lit(g) for g in groups])).alias("group")
     every = rows.sparkSession.range(1).select(names)
     if prior != "learn":
@@ -132,15 +132,17 @@ def _priors(
     usable = rows.filter(
         (F.col("k") == sizes) & (F.col("least_n") > min_coverage) & (F.col("var_frac") > 0)
     ).withColumn("log_phi", F.log(moment))
-    quartiles = F.percentile("log_phi", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))
-    learnt = usable.groupBy("group").agg(quartiles.alias("q"))
-    sd = (F.col("q")[2] - F.col("q")[0]) / QUARTILE_FACTOR
+    found = exact_quantiles(usable, "group", "log_phi", [0.25, 0.5, 0.75])
+    learnt = rows.sparkSession.createDataFrame(
+        [(g, float(q[1]), float(q[2] - q[0])) for g, q in found.items()], "group string, middle double, spread double"
+    )
+    sd = F.col("spread") / QUARTILE_FACTOR
     problem = F.raise_error(
         F.concat(F.lit("no prior can be learnt, give one as (mean, sd), for group "), "group")
     ).cast("double")
     return every.join(learnt, "group", "left").select(
         "group",
-        F.when(sd > 0, F.col("q")[1]).otherwise(problem).alias("prior_mean"),
+        F.when(sd > 0, F.col("middle")).otherwise(problem).alias("prior_mean"),
         F.when(sd > 0, sd).otherwise(problem).alias("prior_sd"),
     )
 

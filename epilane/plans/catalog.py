@@ -330,6 +330,15 @@ def extract_segments_rc(spark, folder):
     )
 
 
+def extract_segments_indexed(spark, folder):
+    """Segments read by byte from FASTA files with an index."""
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/fasta"
+        sinks.write_fasta(tables.genome(spark, folder), path, width=96)
+        index = scratch.table(sequences.fasta_index(spark, path, pieces=True), "index")
+        return scratch.result(segments.extract_indexed(index, _segments(spark, folder)))
+
+
 def gene_matrix(spark, folder):
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
     part = spark.read.parquet(f"{folder}/part.parquet")
@@ -441,18 +450,13 @@ def counts_roundtrip(spark, folder):
 
 
 def fasta_roundtrip(spark, folder):
-    """Genome written as FASTA lines, whole chromosomes per file, and read back in chunks
+    """Genome written as FASTA in ranges of chromosome and offset, and read back in chunks
     of another size."""
     genome = tables.genome(spark, folder)
-    heads = genome.select("chrom").distinct().select(
-        "chrom", F.lit(-1).cast("bigint").alias("offset"), F.concat(F.lit(">"), "chrom", F.lit(" text")).alias("value")
-    )
-    body = genome.select("chrom", "offset", F.col("seq").alias("value"))
     with Scratch(spark) as scratch:
         path = f"{scratch.path}/fasta"
-        ordered = heads.unionByName(body).repartitionByRange("chrom").sortWithinPartitions("chrom", "offset")
-        ordered.select("value").write.text(path)
-        return scratch.result(sequences.read_fasta(spark, path, chunk_size=100))
+        sinks.write_fasta(genome, path, width=96)
+        return scratch.result(sequences.read_fasta(spark, path, chunk_size=100, pieces=True))
 
 
 def fastq_roundtrip(spark, folder):
@@ -531,6 +535,7 @@ QUERIES = {
         cpg_motif_count,
         extract_segments,
         extract_segments_rc,
+        extract_segments_indexed,
         gene_matrix,
         significant_genes,
         heatmap,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from epilane.operators import calls, difftest, duplicates, expression, linked, regions
 from epilane.plans import catalog, oracles, tables
 from epilane.session import Scratch
-from epilane.sources import alignments, sinks
+from epilane.sources import alignments, parts, sinks
 from epilane.sources import tables as sources
 
 TAB = "\t"
@@ -183,6 +183,31 @@ def cpg_summary_lines(spark, folder):
     return _matrix_lines(spark, catalog.region_cpg_summary(spark, folder))
 
 
+def dmrs_roundtrip(spark, folder):
+    """Region tests, written as a table and read back."""
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/dmrs"
+        wide = catalog.wald_wide(spark, folder)
+        sinks.write_dmrs(wide, path)
+        return scratch.result(sources.read_dmrs(spark, path))
+
+
+def counts_ordered(spark, folder):
+    """Counts written in natural order as block-gzipped parts, and read back by ranges with
+    the place of each line."""
+    rows = tables.counts(spark, folder).select(
+        F.substr(F.col("chrom"), F.lit(4)).cast("int").alias("ord"),
+        "pos",
+        "sample",
+        F.concat_ws(TAB, "chrom", F.col("pos").cast("string"), "sample", F.col("meth").cast("string"), F.col("unmeth").cast("string")).alias("value"),
+    )
+    with Scratch(spark) as scratch:
+        path = f"{scratch.path}/counts.gz"
+        parts.write_ordered(rows, ["ord", "pos", "sample"], path, header="chrom\tpos\tsample\tmeth\tunmeth")
+        parts.check_order(spark, path)
+        return scratch.result(parts.read_ordered(spark, path))
+
+
 def hit_pairs(spark, folder):
     """Pairs of alignments by hit index or coordinates, with clips and splices in the keys."""
     return duplicates.pair_reads(duplicates.alignment_keys(tables.hits(spark, folder)))
@@ -209,6 +234,8 @@ QUERIES = {
         gene_matrix_lines,
         base_quality_lines,
         cpg_summary_lines,
+        dmrs_roundtrip,
+        counts_ordered,
         hit_pairs,
         dups_many_keys,
     )
@@ -320,3 +347,11 @@ ORACLES["hit_pairs"] = oracles._with(
     body="""select a.qname, a.line_no, a.key as aln0, b.key as aln1
             from keyed a join keyed b on b.qname = a.qname and b.slot = a.slot and b.last where not a.last""",
 )
+
+ORACLES["dmrs_roundtrip"] = oracles.ORACLES["wald_wide"]
+ORACLES["counts_ordered"] = oracles._with(
+    "counts",
+    body="""select row_number() over (order by cast(substr(chrom, 4) as int), pos, sample) - 1 as place,
+              concat_ws(chr(9), chrom, cast(pos as varchar(20)), sample, cast(meth as varchar(20)), cast(unmeth as varchar(20))) as line
+            from counts""",
+)

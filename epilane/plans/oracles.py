@@ -784,3 +784,5 @@ ORACLES["wald_wide"] = _with(
     )
     + " from tested group by 1, 2, 3, 4",
 )
+
+ORACLES["extract_segments_indexed"] = ORACLES["extract_segments"]

@@ -83,6 +83,25 @@ def write_fastq(df: DataFrame, path: str) -> None:
         _write_text(df.select(record), path)
 
 
+def write_fasta(genome: DataFrame, path: str, width: int = 60) -> None:
+    """Chunks of a genome (``chrom,offset,seq``) as FASTA lines of ``width`` bases.
+
+    Files hold ranges of (chromosome, offset), so a long chromosome is written by many
+    tasks. A file that begins within one starts with a header that names the offset (read
+    it with ``pieces``); offsets must be multiples of ``width``.
+    """
+    ordered = genome.select("chrom", "offset", "seq").repartitionByRange("chrom", "offset")
+    rows = ordered.sortWithinPartitions("chrom", "offset").withColumn(
+        "first", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    )
+    uneven = F.raise_error(F.lit("offsets must be multiples of the line width")).cast("string")
+    head = F.when(F.col("offset") % width != 0, uneven).when(
+        F.col("offset") == 0, F.concat(F.lit(">"), "chrom")
+    ).when(F.col("first"), F.concat(F.lit(">"), "chrom", F.lit(" offset="), F.col("offset").cast("string")))
+    body = F.rtrim(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"), F.lit("\n"))
+    _write_text(rows.select(F.concat_ws("\n", head, body).alias("value")), path)
+
+
 def write_linked(linked: DataFrame, sites: DataFrame, path: str) -> None:
     """Report per region: heading, site list, one pattern line per read."""
     listed = sites.groupBy("name").agg(

@@ -192,3 +192,14 @@ def read_chrom_order(spark: SparkSession, path) -> DataFrame:
     return numbered_lines(spark, path).filter(F.col("line") != "").select(
         "line_no", F.posexplode(F.split("line", ",")).alias("place", "chrom")
     ).select(F.struct("line_no", "place").alias("ord"), "chrom")
+
+
+def read_dmrs(spark: SparkSession, path, keys: int = 4) -> DataFrame:
+    """Region test table: ``chrom,start,end,cpg``, then its statistics as doubles; the
+    header names them and may stand in several files."""
+    lines = spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").option("quote", "")
+    table = lines.csv(path)
+    names = ["chrom", "start", "end", "cpg"][:keys]
+    kinds = ["string", "bigint", "bigint", "bigint"][:keys]
+    kept = [F.col(f"`{c}`").cast(k).alias(n) for c, n, k in zip(table.columns, names, kinds)]
+    return table.select(*kept, *[F.col(f"`{c}`").cast("double").alias(c) for c in table.columns[keys:]])

@@ -88,3 +88,51 @@ def test_hot_bin_is_split_by_the_join(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_quartiles_of_a_million_regions_in_two_groups(spark):
+    import numpy as np
+
+    from epilane.operators.ordered import exact_quantiles
+
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=700_000), "b": np.round(rng.exponential(3, 300_000), 1)}
+    values["b"][:100_000] = 2.0  # a third of a group is one value
+    frame = spark.createDataFrame(
+        [{"g": g, "v": v.tolist()} for g, v in values.items()], "g string, v array<double>"
+    ).select("g", F.explode("v").alias("v"))
+    frame = frame.unionByName(
+        spark.createDataFrame([("a", None), ("a", float("nan")), (None, 1.0)], "g string, v double")
+    )
+    spread = frame.repartition(8)
+    got = exact_quantiles(spread, "g", "v", [0.0, 0.25, 0.5, 0.75, 1.0])
+    for g, v in values.items():
+        assert np.allclose(got[g], np.quantile(v, [0, 0.25, 0.5, 0.75, 1]), rtol=0, atol=1e-12)
+    tied = spark.createDataFrame([("c", 1.5)] * 5 + [("d", -7.0), ("d", 9.0)], "g string, v double")
+    assert exact_quantiles(tied, "g", "v", [0.25, 0.5]) == {"c": [1.5, 1.5], "d": [-3.0, 1.0]}
+    assert exact_quantiles(tied.filter("false"), "g", "v", [0.5]) == {}
+
+
+def test_intervals_as_long_as_a_chromosome(spark):
+    rng = random.Random(12)
+    sizes = [1, 30, 4096, 4097, 70_000, 3_000_000, 250_000_000]
+    bed, points = [], []
+    for i in range(120):
+        start = rng.randrange(0, 250_000_000)
+        bed.append(("c", start, min(start + rng.choice(sizes), 250_000_000), i))
+    bed += [("c", 0, 250_000_000, 1000), ("d", 5, 5, 1001)]
+    points = [("c", rng.choice(bed)[1] + rng.randrange(-3, 5000), i) for i in range(400)]
+    frame = spark.createDataFrame(bed, "chrom string, start long, end long, name int")
+    spots = spark.createDataFrame(points, "chrom string, pos long, k int")
+    low, last = F.col("start"), F.col("end") - 1
+    rows = intervals.interval_bins(
+        frame.filter("end > start"), low, last, intervals.bin_level(low, last)
+    )
+    assert rows.groupBy("name").count().agg(F.max("count")).first()[0] <= 2
+    got = {(r["name"], r["k"]) for r in intervals.interval_join(spots, frame).collect()}
+    assert got == {(n, k) for c, s, e, n in bed for d, p, k in points if c == d and s <= p < e}
+    other = [("c", s + rng.randrange(-9000, 9000), 0, i) for i, (_, s, _, _) in enumerate(bed)]
+    other = [(c, s, s + rng.choice(sizes), i) for c, s, _, i in other]
+    right = spark.createDataFrame(other, "chrom string, s long, e long, id int")
+    met = [(r["name"], r["id"]) for r in intervals.overlap_join(frame, right, ("start", "end"), ("s", "e")).collect()]
+    assert sorted(met) == sorted((n, i) for c, s, e, n in bed for d, x, y, i in other if c == d and s <= y and e >= x)
