@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from epilane.functions import sam as s
 from epilane.operators.calls import cpg_counts, place_calls, unfold_calls
 from epilane.sources.alignments import parse_records
 from epilane.sources.lines import required_fields
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MATE_UNMAPPED = 8
 SETTLED = "chrom string, loc bigint, call string, ins boolean"
 
 
@@ -64,10 +66,10 @@ class MateProcessor(StatefulProcessor):
     """Calls of paired records by read name: the second record skips the sites of the first.
 
     The state of a name is the sites of its first record. It goes when the second record
-    has come, or by a timer when that stays away for ``wait_ms``.
+    has come, or by a timer when that stays away for ``wait_ms`` (never with None).
     """
 
-    def __init__(self, wait_ms: int):
+    def __init__(self, wait_ms: int | None):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -83,14 +85,16 @@ class MateProcessor(StatefulProcessor):
                 self._forget()
             else:
                 self.first.update(([c["loc"] for c in calls],))
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+                if self.wait_ms is not None:
+                    self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
             for c in calls:
                 yield Row(chrom=row["chrom"], loc=c["loc"], call=c["call"], ins=c["ins"])
 
     def _forget(self) -> None:
         self.first.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if self.wait_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.first.clear()
@@ -100,23 +104,27 @@ class MateProcessor(StatefulProcessor):
         pass
 
 
-def stream_mate_calls(records: DataFrame, wait_ms: int = 3_600_000) -> DataFrame:
+def stream_mate_calls(records: DataFrame, wait_ms: int | None = None) -> DataFrame:
     """``chrom,loc,call,ins`` of settled calls, for output mode ``append``.
 
     ``records`` come from ``stream_sam`` with ``ordered``. Unpaired records pass through;
-    paired ones meet by name in keyed state, which holds names with one record so far. A
-    name is taken to have two primary records; one that waits longer than ``wait_ms`` for
-    the other is forgotten, and a mate that comes later counts as the first of a pair.
+    paired ones meet by name in keyed state, which holds names with one record so far;
+    records whose mate is unmapped need none. A name is taken to have two primary records.
+    With ``wait_ms`` one that waits longer for the other is forgotten, and a mate that
+    comes later counts as the first of a pair; such a query runs until it is stopped,
+    because its timers go on without new files.
     """
     spark = records.sparkSession
     if spark.conf.get(STATE_STORE, "") != ROCKS:
         raise ValueError(f"set {STATE_STORE} to {ROCKS}")
-    placed = place_calls(records)
+    alone = s.flag(F.col("flag"), MATE_UNMAPPED)
+    flags = F.when(alone, F.col("flag").bitwiseAND(~s.PAIRED)).otherwise(F.col("flag"))
+    placed = place_calls(records.withColumn("flag", flags))
     single = unfold_calls(placed.filter(~F.col("paired")), "chrom")
     settled = (
         placed.filter("paired")
         .groupBy("qname")
-        .transformWithState(MateProcessor(wait_ms), SETTLED, "append", "ProcessingTime")
+        .transformWithState(MateProcessor(wait_ms), SETTLED, "append", "None" if wait_ms is None else "ProcessingTime")
     )
     return single.select("chrom", "loc", "call", "ins").unionByName(settled)
 
