@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from epilane.llm.rules import CHAR_CLASSES, COMMON_WORDS, VOCABULARY
+from epilane.llm.rules import CHAR_CLASSES, COMMON_SHARE, MAX_DISTANCE, MIN_DOCUMENTS, MIN_PART, MIN_WORDS
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -33,8 +33,6 @@ from tops
 
 _WORD = r"[^ \t\n\x0B\f\r]"
 _CHARS = ["space", *CHAR_CLASSES, "wide", "other"]
-_IN = ", ".join(f"'{w}'" for w in VOCABULARY)
-_LANGS = ", ".join(f"'{w}'" for w in COMMON_WORDS)
 _CLASSES = ",\n  ".join(
     f"len(regexp_extract_all(text, '{rx.replace(chr(39), chr(39) * 2)}')) as {name}"
     for name, rx in CHAR_CLASSES.items()
@@ -59,31 +57,37 @@ stats as (select b.r, doc_id, lang, coalesce(n_words, 0) as n_words, coalesce(wo
   {_CLASSES}
   from base b left join counted c on c.r = b.r left join covered o on o.r = b.r left join lines l on l.r = b.r),
 judged as (select *, greatest({_OTHER}, 0) as other, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from stats),
-common as (select r, lower(w) as bin, count(*) as c from words where lower(w) in ({_IN}) group by 1, 2),
-bins as ({" union all ".join(f"select r, 'chars' as kind, '{c}' as bin, cast({c} as double) as c from judged" for c in _CHARS)}
-  union all select r, 'common', bin, cast(c as double) from common
-  union all select j.r, 'common', '', cast(n_words - coalesce(k, 0) as double) from judged j
+weights as (select lang, lower(w) as bin, sum(cast(1 as double) / n_words) as weight
+  from words w join judged j on j.r = w.r where n_words >= {MIN_WORDS} and lang is not null group by 1, 2),
+langs as (select lang, round(sum(weight)) as docs from weights group by 1
+  having round(sum(weight)) >= greatest({MIN_DOCUMENTS}, {MIN_PART} * (select sum(weight) from weights))),
+vocab as (select w.lang, bin from weights w join langs l on l.lang = w.lang where weight >= {COMMON_SHARE} * docs),
+common as (select w.r, v.bin, count(*) as c from words w join judged j on j.r = w.r
+  join vocab v on v.lang = j.lang and v.bin = lower(w.w) group by 1, 2),
+bins as ({" union all ".join(f"select r, lang, base_failed, 'chars' as kind, '{c}' as bin, cast({c} as double) as c from judged" for c in _CHARS)}
+  union all select c.r, lang, base_failed, 'common', bin, cast(c as double) from common c join judged j on j.r = c.r
+  union all select j.r, lang, base_failed, 'common', '', cast(n_words - coalesce(k, 0) as double) from judged j
     left join (select r, sum(c) as k from common group by 1) s on s.r = j.r),
-totals as (select r, kind, sum(c) as total from bins group by 1, 2),
-summed as (select lang, kind, bin, sum(c) as c from bins b join judged j on j.r = b.r
-  where not base_failed and lang in ({_LANGS}) group by 1, 2, 3),
+totals as (select r, lang, kind, sum(c) as total from bins group by 1, 2, 3),
+summed as (select lang, kind, bin, sum(c) as c from bins
+  where not base_failed and lang in (select lang from vocab) group by 1, 2, 3),
 shares as (select lang, kind, bin, c / sum(c) over (partition by lang, kind) as q from summed),
 -- Bins that a document lacks give q * log2(q / (q / 2)) = q; the others are added up here.
-met as (select t.r, s.lang, t.kind, t.total,
+met as (select t.r, t.kind, t.total,
     sum(case when b.c > 0 then b.c / t.total * log2((b.c / t.total) / ((b.c / t.total + q) / 2))
         + case when q > 0 then q * log2(q / ((b.c / t.total + q) / 2)) else 0 end else 0 end) as part,
     sum(case when b.c > 0 then q else 0 end) as met_q
-  from totals t join bins b on b.r = t.r and b.kind = t.kind join shares s on s.kind = b.kind and s.bin = b.bin group by 1, 2, 3, 4),
+  from totals t join bins b on b.r = t.r and b.kind = t.kind
+  join shares s on s.lang = t.lang and s.kind = b.kind and s.bin = b.bin group by 1, 2, 3),
 -- Bins that a language lacks give p * log2(p / (p / 2)) = p.
-unmet as (select t.r, l.lang, t.kind, sum(b.c / t.total) as p from totals t join bins b on b.r = t.r and b.kind = t.kind
-  join (select distinct lang from shares) l on true left join shares s on s.lang = l.lang and s.kind = b.kind and s.bin = b.bin
-  where t.total > 0 and s.q is null and b.c > 0 group by 1, 2, 3),
-far as (select m.r, m.lang, avg(case when total > 0 then sqrt(greatest((part + (1 - met_q) + coalesce(p, 0)) / 2, 0)) else 1 end) as distance
-  from met m left join unmet u on u.r = m.r and u.lang = m.lang and u.kind = m.kind group by 1, 2),
-near as (select r, min(distance) as distance from far group by 1)
+unmet as (select t.r, t.kind, sum(b.c / t.total) as p from totals t join bins b on b.r = t.r and b.kind = t.kind
+  left join shares s on s.lang = t.lang and s.kind = b.kind and s.bin = b.bin
+  where t.total > 0 and s.q is null and b.c > 0 group by 1, 2),
+near as (select m.r, avg(case when total > 0 then sqrt(greatest((part + (1 - met_q) + coalesce(p, 0)) / 2, 0)) else 1 end) as distance
+  from met m left join unmet u on u.r = m.r and u.kind = m.kind group by 1)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  case when n_words >= 50 then round(distance, 6) end as distance,
-  not base_failed and coalesce(case when n_words >= 50 then distance <= 0.3 end, true) as kept
+  case when n_words >= {MIN_WORDS} then round(distance, 6) end as distance,
+  not base_failed and coalesce(case when n_words >= {MIN_WORDS} then distance <= {MAX_DISTANCE} end, true) as kept
 from judged j left join near n on n.r = j.r
 """
 

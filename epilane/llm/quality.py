@@ -135,7 +135,7 @@ def site_quality(
             F.to_json(F.struct(F.col(site_col).alias("s"), F.col(section_col).alias("p"))).alias("lang"),
         )
         # The counts carry one more column; both levels travel in it.
-        counts = evidence_features(text_counts(base, "id", "text", "lang")).select(
+        counts = evidence_features(text_counts(base, None, "id", "text", "lang")).select(
             "id",
             F.get_json_object("lang", "$.s").alias("site"),
             F.get_json_object("lang", "$.p").alias("section"),

@@ -1,15 +1,16 @@
 """Quality rules with a divergence test against language references.
 
-Built-in functions only. Every document gets counts and two histograms, one over
-character classes and one over common words. The histograms of all documents of a
-language that pass the base rules add up to that language's reference. A document is
-kept if its mean Jensen-Shannon distance to the nearest reference is small, or if it is
-too short to judge.
+Built-in functions only. The table itself gives the references: a word is common in a
+language if its mean share of the language's documents is large enough, and the
+histograms of all documents that pass the base rules, over character classes and over
+their language's common words, add up to the language's reference. A document is kept if
+its mean Jensen-Shannon distance to its language is small, if it is too short to judge,
+or if its language has no reference.
 
 Cases: a null text counts as no words and fails the base rules; null keys, repeated rows
 and other columns pass through unharmed (only the key, text and language are read); an
-empty table gives an empty result; without references (no document of a known language)
-the base rules alone decide.
+empty table gives an empty result; documents without a language, and of languages with
+too few documents, are judged by the base rules alone.
 """
 
 from __future__ import annotations
@@ -21,18 +22,18 @@ from epilane.session import Scratch
 
 SPACES = r"[ \t\n\x0B\f\r]"
 
-# Frequent function words of each language.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "on"],
-    "fr": ["le", "la", "les", "des", "et", "du", "que", "pour", "dans", "est"],
-    "de": ["der", "die", "das", "und", "ist", "nicht", "mit", "ein", "auf", "zu"],
-    "es": ["el", "los", "las", "de", "y", "por", "con", "un", "no", "se"],
-}
 SYMBOLS = r"[#*$%&|<>]"
 CHAR_CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.!?]+", "pause": "[,;:'\"-]+"}
 # Spaces, the classes above, bytes beyond one per character, and all else.
 CHAR_BINS = ["space", *CHAR_CLASSES, "wide", "other"]
-VOCABULARY = sorted({w for group in COMMON_WORDS.values() for w in group})
+# Frequent function words, for callers that learn no vocabulary.
+FUNCTION_WORDS = (
+    "the of and to in is that for with on le la les des et du que pour dans est der die das und ist nicht mit"
+    " ein auf zu el los las de y por con un no se"
+).split()
+# A language needs this many documents and this share of all; a word this mean share.
+MIN_DOCUMENTS, MIN_PART, COMMON_SHARE = 20, 0.001, 0.005
+MIN_WORDS, MAX_DISTANCE = 50, 0.3
 
 
 def _left(name: str, drop: int) -> Column:
@@ -47,10 +48,49 @@ def _long(col: Column) -> Column:
     return col.cast("long")
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
+
+
+def common_words(
+    documents: DataFrame, scratch: Scratch, min_words: int, text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """``lang,vocab``: the common words of every language with enough documents.
+
+    Each document of ``min_words`` words or more spreads a weight of one over its words, so
+    the shares of a language add up to one: at most ``1 / COMMON_SHARE`` words are common,
+    and at most ``1 / MIN_PART`` languages have any.
+    """
+    words = documents.select(
+        F.col(lang_col).cast("string").alias("lang"), _words(F.lower(F.col(text_col))).alias("words")
+    ).filter(F.col("lang").isNotNull() & (F.size("words") >= min_words))
+    weights = scratch.table(
+        words.select("lang", (1.0 / F.size("words")).alias("weight"), F.explode("words").alias("word"))
+        .groupBy("lang", "word")
+        .agg(F.sum("weight").alias("weight")),
+        "weights",
+    )
+    sizes = weights.groupBy("lang").agg(F.round(F.sum("weight")).alias("n"))
+    whole = weights.agg(F.sum("weight")).first()[0] or 0.0
+    large = sizes.filter(F.col("n") >= F.greatest(F.lit(float(MIN_DOCUMENTS)), F.lit(MIN_PART * whole)))
+    return (
+        weights.join(F.broadcast(large), "lang")  # 1 / MIN_PART rows at most
+        .filter(F.col("weight") >= COMMON_SHARE * F.col("n"))
+        .groupBy("lang")
+        .agg(F.array_sort(F.collect_list("word")).alias("vocab"))
+    )
+
+
 def text_counts(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    documents: DataFrame,
+    vocabulary: DataFrame | None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
 ) -> DataFrame:
-    """Counts per document from its whole text; ``chars`` and ``common`` are histograms.
+    """Counts per document from its whole text; ``chars`` and ``common`` are histograms,
+    the latter over the common words of the document's language and all others. Without a
+    vocabulary ``FUNCTION_WORDS`` are the common words of every document.
 
     The steps are separate projections that name each array at least twice, so that the
     optimizer does not put one into the next and work it out again per element.
@@ -60,10 +100,16 @@ def text_counts(
         F.col(lang_col).cast("string").alias("lang"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
+    if vocabulary is None:
+        df = df.withColumn("vocab", F.array(*(F.lit(w) for w in FUNCTION_WORDS)))
+    else:
+        df = df.join(F.broadcast(vocabulary), "lang", "left")  # bounded, see common_words
+        df = df.withColumn("vocab", F.coalesce("vocab", F.array().cast("array<string>")))
     df = df.select(
         "id",
         "lang",
-        F.filter(F.split("text", SPACES + "+"), lambda w: w != "").alias("words"),
+        "vocab",
+        _words("text").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("lines"),
         _long(F.regexp_count("text", F.lit(SYMBOLS))).alias("n_symbols"),
         _long(F.char_length("text")).alias("n_chars"),
@@ -73,9 +119,13 @@ def text_counts(
             for name, rx in CHAR_CLASSES.items()
         ),
     )
+    def known(word):
+        return word.isin(FUNCTION_WORDS) if vocabulary is None else F.array_contains("vocab", word)
+
     df = df.select(
         "id",
         "lang",
+        "vocab",
         _long(F.size("words")).alias("n_words"),
         "n_symbols",
         _long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
@@ -83,12 +133,11 @@ def text_counts(
         (F.col("n_bytes") - F.col("n_chars")).alias("c_wide"),
         *(f"c_{name}" for name in CHAR_CLASSES),
         F.aggregate("words", _long(F.lit(0)), lambda a, w: a + F.char_length(w)).alias("word_chars"),
-        F.filter("words", lambda w: F.lower(w).isin(VOCABULARY)).alias("known"),
+        F.filter(F.transform("words", lambda w: F.lower(w)), known).alias("known"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h1"),
     )
     # Hashes of 2, 4 and 5 words from those of 1, 2 and 4.
     chain = ["id", "lang", "n_words", "n_symbols", "n_dup_lines", "word_chars"]
-    df = df.withColumn("known", F.transform("known", lambda w: F.lower(w)))
     df = df.select(
         *chain,
         F.array(
@@ -103,7 +152,7 @@ def text_counts(
             ),
         ).alias("chars"),
         F.transform(
-            F.array(*(F.lit(w) for w in VOCABULARY)),
+            "vocab",
             lambda v: _long(F.size("known") - F.size(F.array_remove("known", v))),
         ).alias("common"),
         (F.col("n_words") - F.size("known")).alias("uncommon"),
@@ -170,10 +219,8 @@ def text_counts(
     )
 
 
-def _distance(name: str, counts: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of a histogram column to a reference."""
-    whole = sum(counts)
-    shares = F.array(*(F.lit(float(c) / whole if whole else 0.0) for c in counts))
+def _distance(name: str) -> Column:
+    """Jensen-Shannon distance (base 2) of a histogram column to its language's shares."""
     total = F.col(f"{name}_total")
 
     def part(x, mean):
@@ -181,51 +228,60 @@ def _distance(name: str, counts: list[float]) -> Column:
 
     parts = F.zip_with(
         F.transform(name, lambda c: c / total),
-        shares,
+        f"{name}_shares",
         lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2),
     )
     divergence = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2
     return F.when(total > 0, F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(1.0)
 
 
+def _shares(accepted: DataFrame, name: str) -> DataFrame:
+    """``lang`` and the shares of each bin over the summed histograms of a language."""
+    summed = accepted.select("lang", F.posexplode(name).alias("bin", "n")).groupBy("lang", "bin").agg(
+        F.sum("n").alias("n")
+    )
+    listed = summed.groupBy("lang").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda b: b["n"]).alias("sums"),
+        F.sum("n").alias("whole"),
+    )
+    return listed.select(
+        "lang",
+        F.transform("sums", lambda n: F.when(F.col("whole") > 0, n / F.col("whole")).otherwise(0.0)).alias(
+            f"{name}_shares"
+        ),
+    )
+
+
 def quality_rules(
     documents: DataFrame,
-    max_distance: float = 0.3,
-    min_words: int = 50,
+    max_distance: float = MAX_DISTANCE,
+    min_words: int = MIN_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """Counts, base verdict, distance to the nearest language reference, final verdict.
+    """Counts, base verdict, distance to the document's language, final verdict.
 
     ``min_words`` is the length under which the divergence is not judged. Only the
-    references, one row per language of ``COMMON_WORDS``, come to the driver.
+    references, one row for each language that has one, are broadcast.
     """
     with Scratch(documents.sparkSession) as scratch:
-        counts = scratch.table(text_counts(documents, id_col, text_col, lang_col), "counts")
-        counts = counts.withColumn(
+        vocabulary = scratch.table(
+            common_words(documents, scratch, min_words, text_col, lang_col), "vocabulary"
+        )
+        counts = scratch.table(
+            text_counts(documents, vocabulary, id_col, text_col, lang_col), "counts"
+        ).withColumn(
             "base_failed",
             (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         )
-        sizes = {"chars": len(CHAR_BINS), "common": len(VOCABULARY) + 1}
-        references = (
-            counts.filter(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS)))
-            .groupBy("lang")
-            .agg(
-                *(
-                    F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(size))).alias(name)
-                    for name, size in sizes.items()
-                )
-            )
-            .collect()
-        )
-        nearest = [
-            (_distance("chars", row["chars"]) + _distance("common", row["common"])) / 2
-            for row in sorted(references, key=lambda r: r["lang"])
-        ]
-        far = F.array_min(F.array(*nearest)) if nearest else F.lit(None).cast("double")
+        accepted = counts.filter(~F.col("base_failed")).join(F.broadcast(vocabulary.select("lang")), "lang")
+        references = _shares(accepted, "chars").join(_shares(accepted, "common"), "lang")
+        judged = counts.join(F.broadcast(references), "lang", "left")
+        distance = (_distance("chars") + _distance("common")) / 2
+        known = (F.col("n_words") >= min_words) & F.col("chars_shares").isNotNull()
         return scratch.result(
-            counts.select(
+            judged.select(
                 F.col("id").alias(id_col),
                 "n_words",
                 "word_chars",
@@ -233,7 +289,7 @@ def quality_rules(
                 "n_dup_lines",
                 "n_repeat_words",
                 "base_failed",
-                F.when(F.col("n_words") >= min_words, far).alias("distance"),
+                F.when(known, distance).alias("distance"),
             ).withColumn(
                 "kept",
                 ~F.col("base_failed") & F.coalesce(F.col("distance") <= max_distance, F.lit(True)),

@@ -41,7 +41,8 @@ def test_counts_of_whole_documents(spark):
 
 
 def test_plan_has_no_python(spark):
-    plan = rules.text_counts(cases.documents(spark))._jdf.queryExecution().executedPlan().toString()
+    vocabulary = spark.createDataFrame([("en", ["the"])], "lang string, vocab array<string>")
+    plan = rules.text_counts(cases.documents(spark), vocabulary)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -56,7 +57,7 @@ def test_awkward_and_empty(spark):
 
 def test_divergence_rejects_noise_and_keeps_prose(spark):
     random.seed(4)
-    vocabulary = [*rules.COMMON_WORDS["en"] * 4, *(f"{a}{b}er" for a in "bcdfglmp" for b in "aeiou")]
+    vocabulary = [*"the of and to in is that for with on".split() * 4, *(f"{a}{b}er" for a in "bcdfglmp" for b in "aeiou")]
     docs = [(i, " ".join(random.choices(vocabulary, k=150)) + ".", "en") for i in range(30)]
     docs.append((99, " ".join(f"9{i}#7$%{i * 7919}" for i in range(80)), "en"))
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
@@ -69,3 +70,31 @@ def test_small_texts(spark, text):
     frame = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
     r = rules.quality_rules(frame).first()
     assert tuple(r[c] for c in COLUMNS) == model(text)
+
+
+RUSSIAN = "и в не на что с по это как к но мы из за то для у от так же".split()
+GREEK = "και το να του η που με την ο σε για τα δεν είναι από".split()
+
+
+def prose(rng, common, letters, n=90):
+    rare = ["".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) for _ in range(n)]
+    words = [rng.choice(common) if rng.random() < 0.45 else rare[i] for i in range(n)]
+    return " ".join(words).capitalize() + "."
+
+
+def test_languages_are_learned_and_unknown_ones_pass(spark):
+    rng = random.Random(7)
+    docs = []
+    for i in range(60):
+        docs.append((i, prose(rng, "the of and to in is that for with on".split(), "abcdefghilmnoprstu"), "en"))
+        docs.append((100 + i, prose(rng, RUSSIAN, "абвгдежзиклмнопрстуя"), "ru"))
+    docs += [(300, prose(rng, GREEK, "αβγδεηικλμνοπρστω"), "el"), (301, prose(rng, GREEK, "αβγδεηικλμνοπρστω"), None)]
+    junk = " ".join(f"9{i}#7$%{i * 7919}" for i in range(80))
+    docs += [(400, junk, "en"), (401, junk, "ru")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in rules.quality_rules(frame).collect()}
+    assert not found[400]["kept"] and not found[401]["kept"]
+    assert all(r["kept"] for k, r in found.items() if k < 400)
+    # Too few Greek documents for a reference; those of no language have none.
+    assert found[300]["distance"] is None and found[301]["distance"] is None
+    assert all(found[100 + i]["distance"] is not None for i in range(60))
