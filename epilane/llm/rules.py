@@ -33,7 +33,7 @@ FUNCTION_WORDS = (
 ).split()
 # A language needs this many documents and this share of all; a word this mean share.
 MIN_DOCUMENTS, MIN_PART, COMMON_SHARE = 20, 0.001, 0.005
-MIN_WORDS, MAX_DISTANCE = 50, 0.3
+MIN_WORDS, MAX_DISTANCE = 50, 0.25
 
 
 def _left(name: str, drop: int) -> Column:
