@@ -20,6 +20,7 @@ empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epilane.llm.words import release
+from epilane.session import Scratch
 
 FOLDS = 5
+SHORTEST = 3  # letters of a term
 # Words of reporting and words of address.
 REPORTING = (
     "said says called calls wrote quote quoted word term phrase dit écrit mot sagte nannte"
@@ -191,10 +194,13 @@ class Scorer:
             sums = np.concatenate([[0], np.cumsum(kind == which)])
             return sums[high] > sums[low]
 
+        # Quotation is within a line, so that a stray mark inverts no more than its line.
         marks = np.concatenate([[0], np.cumsum(self.quotes[points])])
-        base = ends[owner[at]] - np.array([len(t) + 1 for t in lowered], np.int64)[owner[at]]
+        lines = np.flatnonzero(points == 10)
+        line = np.searchsorted(lines, first[at])
+        base = np.where(line > 0, lines[np.maximum(line - 1, 0)], 0)
         before = marks[first[at]] - marks[base]
-        left = marks[ends[owner[at]]] - marks[first[at]]
+        left = marks[lines[line]] - marks[first[at]]
         quoted = ((before % 2 == 1) & (left > 0)) | near(REPORTS)
         words = [joined[a:b] for a, b in zip(first[at].tolist(), stop[at].tolist(), strict=True)]
         return owner[at], entry[at], error[at], quoted, near(ADDRESSES), np.diff(starts), words
@@ -265,10 +271,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, max_train: int) -> Da
     ).join(F.broadcast(usable), "key")
 
 
-def _terms(rows: DataFrame, n_toxic: int, n_clean: int, min_docs: int, min_odds: float, top: int):
-    """Words and stems by their documents among toxic and clean ones."""
+def _terms(rows: DataFrame, n_toxic: int, n_clean: int, min_docs: int, min_odds: float):
+    """All words and stems over the thresholds, by their documents among toxic and clean
+    ones. The sample bounds their number: each takes ``min_docs`` of its toxic documents."""
     words = F.filter(
-        F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}@*$#]+"), lambda w: F.char_length(w).between(4, 20)
+        F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}@*$#]+"), lambda w: F.char_length(w) >= SHORTEST
     )
     # Copies of one document would make any of its words a term; a term must have several
     # following words, so each document gives one of them.
@@ -312,7 +319,7 @@ def _terms(rows: DataFrame, n_toxic: int, n_clean: int, min_docs: int, min_odds:
         )
 
     found = best(counted, "word", False).unionByName(best(by_stem.filter("kinds >= 8"), "stem", True))
-    return found.orderBy(F.desc(F.col("odds") * F.col("toxic")), "text").limit(top).collect()
+    return found.orderBy(F.desc(F.col("odds") * F.col("toxic")), "text").collect()
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -339,15 +346,20 @@ def fit_toxicity(
     min_docs: int = 8,
     min_share: float = 0.01,
     min_odds: float = 3.0,
-    max_terms: int = 200,
 ) -> Model:
     """Learn terms, harmless neighbours and weights from a bounded sample of rows.
 
     A term occurs in ``min_docs`` toxic training documents and in ``min_share`` of them.
-    To the driver come at most ``max_terms`` terms, harmless words near them, and one row
-    of numbers per training document.
+    Whether it is also found with an error depends on what the sample holds near it (see
+    ``_neighbours``). The sample is written once; it bounds the terms, the words near them
+    and the row of numbers per training document that come to the driver.
     """
-    rows = training_rows(documents, labels, max_train)
+    with Scratch(documents.sparkSession) as scratch:
+        rows = scratch.table(training_rows(documents, labels, max_train), "training")
+        return _fit(rows, min_docs, min_share, min_odds)
+
+
+def _fit(rows: DataFrame, min_docs: int, min_share: float, min_odds: float) -> Model:
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     rate = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
@@ -355,7 +367,7 @@ def fit_toxicity(
     if n_toxic == 0:
         return Model(context, rate=min(rate, 0.49))
     least = max(min_docs, int(np.ceil(min_share * n_toxic)))
-    found = _terms(rows, n_toxic, n_clean, least, min_odds, max_terms)
+    found = _terms(rows, n_toxic, n_clean, least, min_odds)
     words = [r for r in found if not r["stem"]]
     stems: list[str] = []
     for r in sorted((r for r in found if r["stem"]), key=lambda r: (len(r["text"]), r["text"])):
@@ -367,12 +379,12 @@ def fit_toxicity(
     terms = []
     for r in found:
         if r["stem"] and r["text"] in stems:
-            terms.append(Entry(r["text"], TOXIC, r["odds"] / top, True, int(len(r["text"]) >= 6)))
+            terms.append(Entry(r["text"], TOXIC, r["odds"] / top, True, 1))
         elif not r["stem"] and not r["text"].startswith(tuple(stems)):
-            terms.append(Entry(r["text"], TOXIC, r["odds"] / top, False, int(len(r["text"]) >= 5)))
+            terms.append(Entry(r["text"], TOXIC, r["odds"] / top, False, 1))
     taken = {e.text for e in terms}
     model = Model(terms + [e for e in context if e.text not in taken], rate=rate)
-    model.entries += _harmless(rows, model, taken)
+    model.entries += _neighbours(rows, model, taken)
 
     matcher = Matcher(model.entries)
 
@@ -394,30 +406,48 @@ def fit_toxicity(
     return model
 
 
-def _harmless(rows: DataFrame, model: Model, taken: set[str], limit: int = 300) -> list[Entry]:
-    """Words with an error against a term that clean training documents hold."""
-
+def _neighbours(rows: DataFrame, model: Model, taken: set[str]) -> list[Entry]:
+    """Words with an error against a term that clean training documents hold, as harmless
+    entries. A term with more such words than misspellings in toxic documents only is too
+    close to the common vocabulary and is found without errors from then on."""
     matcher = Matcher(model.entries)
 
     def near(batches):
         scorer = Scorer(model, matcher)
         for batch in batches:
-            for _, texts in _chunks(batch):
-                _, _, error, _, _, _, words = scorer.hits(texts)
-                held = sorted({w for w, e in zip(words, error, strict=True) if e > 0})
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["word"])
-
-    words = (
-        rows.filter("label = 0")
-        .select("label", "text")
-        .mapInArrow(near, "word string")
-        .groupBy("word")
-        .count()
-        .orderBy(F.desc("count"), "word")
-        .limit(limit)
+            for part, texts in _chunks(batch):
+                owner, entry, error, _, _, _, words = scorer.hits(texts)
+                label = part.column(0).to_numpy(zero_copy_only=False)[owner]
+                hits = zip(entry.tolist(), words, label.tolist(), error.tolist(), strict=True)
+                held = sorted({(e, w, y) for e, w, y, wrong in hits if wrong > 0})
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([e for e, _, _ in held], pa.int32()),
+                        pa.array([w for _, w, _ in held], pa.string()),
+                        pa.array([y for _, _, y in held], pa.int32()),
+                    ],
+                    names=["entry", "word", "label"],
+                )
+
+    found = (
+        rows.select("label", "text")
+        .mapInArrow(near, "entry int, word string, label int")
+        .groupBy("entry", "word")
+        .agg(F.min("label").alias("label"))
         .collect()
     )
-    return [Entry(r["word"], HARMLESS) for r in words if r["word"] not in taken and len(r["word"]) <= 24]
+    clean, wrong = Counter(), Counter()
+    harmless = set()
+    for r in found:
+        if r["label"] == 0 and r["word"] not in taken:
+            clean[r["entry"]] += 1
+            harmless.add(r["word"])
+        else:
+            wrong[r["entry"]] += 1
+    for i, entry in enumerate(model.entries):
+        if entry.kind == TOXIC and clean[i] > wrong[i] + 1:
+            entry.errors = 0
+    return [Entry(w, HARMLESS) for w in sorted(harmless)]
 
 
 def score_toxicity(
