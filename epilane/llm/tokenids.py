@@ -35,6 +35,8 @@ from epilane.session import Scratch
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 STEP = 64
+HEAD = 64  # characters of a text that order the rows of one key
+ORDER = ("doc_id", "head", "row")
 MAGIC = b"EPHB"
 HEADER = "<4sBqqIIQ"  # magic, longest code, part, first id, documents, ids, bits
 # The pieces of the vocabulary's splitter; letters that need no normalizing.
@@ -311,7 +313,9 @@ def tokenize(
 ) -> DataFrame:
     """Ids of each document in ascending order of keys; ``start`` counts within the part.
 
-    Ids are little-endian unsigned 32-bit integers. Part numbers ascend with the keys.
+    Ids are little-endian unsigned 32-bit integers. Part numbers ascend with the keys; rows
+    of one key go by the start of their texts and their place in the table, so that a key
+    with very many rows may span several parts.
     A part has about 128 MB of text, so that words recur within it.
     """
     volume = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
@@ -322,8 +326,10 @@ def tokenize(
             F.col(id_col).cast("long").alias("doc_id"),
             F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         )
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumns({"head": F.substring("text", 1, HEAD), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(parts, *ORDER)
+        .sortWithinPartitions(*ORDER)
+        .select("doc_id", "text")
     )
 
     def run(batches):
@@ -467,7 +473,7 @@ def read_ids(blocks: DataFrame, folder: str, lengths: np.ndarray) -> DataFrame:
 
 
 def part_starts(blocks: DataFrame) -> DataFrame:
-    """Ids of all parts before each part; one row per part comes to the driver."""
+    """Ids of all parts before each part; one row per part of 128 MB comes to the driver."""
     rows = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     ends = np.cumsum([0, *(r["n"] for r in rows)])
     found = [(r["part"], int(at)) for r, at in zip(rows, ends, strict=False)]
