@@ -125,7 +125,7 @@ def test_structured_words_are_told_apart():
 
 
 def test_one_key_spans_several_parts(spark, monkeypatch):
-    rows_ = [(None if i % 2 else 7, f"word{i % 5} " * 200_00) for i in range(60)]
+    rows_ = [(None if i % 2 else 7, f"word{i % 5} " * 80_000) for i in range(60)]
     frame = spark.createDataFrame(rows_, "doc_id long, text string").repartition(6)
     parts = tokenids.tokenize(frame).groupBy("doc_id").agg({"part": "approx_count_distinct"}).collect()
     assert min(r[1] for r in parts) > 1
