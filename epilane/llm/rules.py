@@ -133,11 +133,12 @@ def text_counts(
         (F.col("n_bytes") - F.col("n_chars")).alias("c_wide"),
         *(f"c_{name}" for name in CHAR_CLASSES),
         F.aggregate("words", _long(F.lit(0)), lambda a, w: a + F.char_length(w)).alias("word_chars"),
-        F.filter(F.transform("words", lambda w: F.lower(w)), known).alias("known"),
+        F.filter("words", lambda w: known(F.lower(w))).alias("known"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h1"),
     )
     # Hashes of 2, 4 and 5 words from those of 1, 2 and 4.
     chain = ["id", "lang", "n_words", "n_symbols", "n_dup_lines", "word_chars"]
+    df = df.withColumn("known", F.transform("known", lambda w: F.lower(w)))
     df = df.select(
         *chain,
         F.array(
