@@ -292,14 +292,28 @@ def match_keys(edges: DataFrame, owners: DataFrame, kind: str) -> DataFrame:
 def _greedy(edges: DataFrame, owned: DataFrame | None, kind: str) -> tuple[DataFrame, DataFrame]:
     """Duplicates and the kept reads' keys, for ``edges(qname,rank,ord,key)``.
 
-    ``owned(key,parent,owner_rank)`` holds keys taken beforehand.
+    ``owned(key,parent,owner_rank)`` holds keys taken beforehand. Reads of one key decide
+    by one grouped minimum, unless a read of several keys shares it; only the reads around
+    those go through rounds, whose states are a part of the table of their own.
     """
     edges = cut_lineage(edges)
-    pending, owners = edges, owned
+    open_ = edges
     if owned is not None:
-        taken = pending.join(owned, "key", "left_semi").select("qname").distinct()
-        pending = pending.join(taken, "qname", "left_anti")
-    while True:
+        taken = edges.join(owned, "key", "left_semi").select("qname").distinct()
+        open_ = edges.join(taken, "qname", "left_anti")
+    ends = open_.groupBy("qname").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    many = ends.filter("low <> high").select("qname")
+    # All keys of a read of several keys are shared ones, so no read has keys of both kinds.
+    shared = open_.join(many, "qname", "left_semi").select("key").distinct()
+    marked = cut_lineage(
+        open_.join(shared.withColumn("shared", F.lit(True)), "key", "left").withColumn(
+            "shared", F.coalesce("shared", F.lit(False))
+        )
+    )
+    owners = _best_owner(marked.filter(~F.col("shared")))
+    owners = owners if owned is None else owned.unionByName(owners)
+    pending = marked.filter("shared").drop("shared")
+    while not pending.isEmpty():
         heads = pending.groupBy("key").agg(F.min("rank").alias("head"))
         winners = (
             pending.join(heads, "key")
@@ -310,10 +324,8 @@ def _greedy(edges: DataFrame, owned: DataFrame | None, kind: str) -> tuple[DataF
         kept = state.filter("won").select(
             "key", F.col("qname").alias("parent"), F.col("rank").alias("owner_rank")
         ).distinct()
-        owners = kept if owners is None else owners.unionByName(kept)
+        owners = owners.unionByName(kept)
         rest = state.filter(~F.col("won")).drop("won")
-        if rest.isEmpty():
-            break
         beaten = rest.join(kept, "key", "left_semi").select("qname").distinct()
         pending = rest.join(beaten, "qname", "left_anti")
     return match_keys(edges, owners, kind), owners
