@@ -48,8 +48,10 @@ def _long(col: Column) -> Column:
     return col.cast("long")
 
 
-def _words(text: str) -> Column:
-    return F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
+def _words(text: Column) -> Column:
+    """Words of a text; trimmed first, so that no piece is empty."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare != "", F.split(bare, SPACES + "+")).otherwise(F.array().cast("array<string>"))
 
 
 def common_words(
@@ -109,7 +111,7 @@ def text_counts(
         "id",
         "lang",
         "vocab",
-        _words("text").alias("words"),
+        _words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("lines"),
         _long(F.regexp_count("text", F.lit(SYMBOLS))).alias("n_symbols"),
         _long(F.char_length("text")).alias("n_chars"),
