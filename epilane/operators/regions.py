@@ -31,11 +31,16 @@ def union_samples(samples: list[DataFrame]) -> DataFrame:
     )
 
 
+def site_keys(df: DataFrame) -> list[str]:
+    """Columns that name a site; those of stored counts begin with what they are bucketed by."""
+    return ["chrom", "tile", "pos"] if "tile" in df.columns else ["chrom", "pos"]
+
+
 def qualify_sites(counts: DataFrame, min_reads: int = 3, min_samples: int = 1) -> DataFrame:
     """Sites where at least ``min_samples`` samples have ``min_reads`` counts."""
     covered = F.count_if(F.col("meth") + F.col("unmeth") >= min_reads)
     return (
-        counts.groupBy("chrom", "pos")
+        counts.groupBy(*site_keys(counts))
         .agg(covered.alias("n_samples"))
         .filter(F.col("n_samples") >= max(min_samples, 1))
     )
@@ -45,11 +50,14 @@ def cluster_sites(sites: DataFrame, max_dist: int = 100, tile: int = TILE) -> Da
     """``chrom,pos,region_start``: a gap above ``max_dist`` starts a new region.
 
     Gaps are found inside tiles of the chromosome; one row per tile carries the last
-    site and the open region over to the next tile, so no task sorts a chromosome.
+    site and the open region over to the next tile, so no task sorts a chromosome. Sites of
+    stored counts keep their ``tile``, whatever ``tile`` is given.
     """
+    stored = site_keys(sites)[1:-1]
     inside = W.partitionBy("chrom", "_tile").orderBy("pos")
     along = W.partitionBy("chrom").orderBy("_tile")
-    tiled = sites.select("chrom", "pos", F.floor(F.col("pos") / tile).alias("_tile"))
+    own = F.col("tile") if stored else F.floor(F.col("pos") / tile)
+    tiled = sites.select("chrom", "pos", own.alias("_tile"))
     opened = tiled.withColumn(
         "_open",
         F.when(F.col("pos") - F.lag("pos").over(inside) > max_dist, F.col("pos")),
@@ -69,7 +77,10 @@ def cluster_sites(sites: DataFrame, max_dist: int = 100, tile: int = TILE) -> Da
         ),
     )
     return local.join(entered.select("chrom", "_tile", "_enter", "_carried"), ["chrom", "_tile"]).select(
-        "chrom", "pos", F.greatest("_open", "_enter", "_carried").alias("region_start")
+        "chrom",
+        *[F.col("_tile").alias(c) for c in stored],
+        "pos",
+        F.greatest("_open", "_enter", "_carried").alias("region_start"),
     )
 
 
@@ -237,13 +248,14 @@ def combine_regions(
     """``chrom,start,end,cpg,sample,n,x``: total and methylated counts per region and
     sample. Cells below ``min_reg`` counts are left out, and with them regions that
     have no other cell. All samples' counts at a qualifying site enter the sums. A
-    position with several rows of one sample fails.
+    position with several rows of one sample fails. Stored counts (``sources.store``) are
+    grouped, clustered and joined without being shuffled.
     """
     check_range(min_reg, lo=1, name="min_reg")
     clustered = cluster_sites(qualify_sites(counts, min_reads, min_samples), max_dist, tile)
     if max_len is None:
         # Distinct sites only, written once: the counts are then read for the sums alone.
-        placed = cut_lineage(clustered)
+        placed = clustered if "tile" in counts.columns else cut_lineage(clustered)
         extents = region_extents(placed).filter(F.col("cpg") >= max(min_cpg, 1))
     else:
         placed = split_regions(clustered, max_len, min_cpg, version, tile)
@@ -252,9 +264,12 @@ def combine_regions(
     again = F.raise_error(
         F.concat_ws(" ", F.lit("more than one row for"), "sample", "chrom", F.col("pos").cast("string"))
     )
+    keys = site_keys(counts)
+    if set(keys) - set(placed.columns):
+        placed = placed.withColumn("tile", F.floor(F.col("pos") / TILE))
     single = (
-        counts.join(placed, ["chrom", "pos"])
-        .groupBy("chrom", "pos", "sample", "region_start")
+        counts.join(placed, keys)
+        .groupBy(*keys, "sample", "region_start")
         .agg(F.count("*").alias("_rows"), F.max("meth").alias("meth"), F.max("unmeth").alias("unmeth"))
         .withColumn("meth", F.when(F.col("_rows") == 1, F.col("meth")).otherwise(again.cast("bigint")))
     )

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epilane.operators import calls, difftest, duplicates, expression, linked, regions
 from epilane.plans import catalog, oracles, tables
 from epilane.session import Scratch
-from epilane.sources import alignments, parts, sinks
+from epilane.sources import alignments, parts, sinks, store
 from epilane.sources import tables as sources
 
 TAB = "\t"
@@ -208,6 +210,18 @@ def counts_ordered(spark, folder):
         return scratch.result(parts.read_ordered(spark, path))
 
 
+def regions_nx_stored(spark, folder):
+    """Region table from counts stored by place."""
+    name = f"epilane_counts_{uuid.uuid4().hex}"
+    with Scratch(spark) as scratch:
+        try:
+            counts = store.store_counts(tables.counts(spark, folder), name, f"{scratch.path}/counts")
+            found = regions.combine_regions(counts, max_len=None, min_cpg=2)
+            return scratch.result(regions.regions_wide(found, catalog.SAMPLES))
+        finally:
+            spark.sql(f"drop table if exists {name}")
+
+
 def hit_pairs(spark, folder):
     """Pairs of alignments by hit index or coordinates, with clips and splices in the keys."""
     return duplicates.pair_reads(duplicates.alignment_keys(tables.hits(spark, folder)))
@@ -236,6 +250,7 @@ QUERIES = {
         cpg_summary_lines,
         dmrs_roundtrip,
         counts_ordered,
+        regions_nx_stored,
         hit_pairs,
         dups_many_keys,
     )
@@ -348,6 +363,7 @@ ORACLES["hit_pairs"] = oracles._with(
             from keyed a join keyed b on b.qname = a.qname and b.slot = a.slot and b.last where not a.last""",
 )
 
+ORACLES["regions_nx_stored"] = oracles.ORACLES["regions_nx"]
 ORACLES["dmrs_roundtrip"] = oracles.ORACLES["wald_wide"]
 ORACLES["counts_ordered"] = oracles._with(
     "counts",

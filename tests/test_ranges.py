@@ -5,8 +5,9 @@ import random
 
 import pytest
 
+from epilane.operators import regions
 from epilane.operators import segments as segment_ops
-from epilane.sources import alignments, blocks, lines, parts, sequences, sinks
+from epilane.sources import alignments, blocks, lines, parts, sequences, sinks, store
 from epilane.sources.ranges import first_break, whole_lines
 
 
@@ -205,3 +206,39 @@ def test_ordered_parts(spark, tmp_path, name):
     assert [r["line"] for r in read] == expected
     with pytest.raises(FileExistsError):
         parts.write_ordered(frame, ["ord"], path)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_stored_counts_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(3)
+    rows = {(s, f"c{k}", rng.randrange(1, 900_000)) for s in "ab" for k in (1, 2) for _ in range(400)}
+    rows |= {(s, "c1", p) for s in "ab" for p in range(261_900, 262_400, 20)}  # over the border of a tile
+    frame = spark.createDataFrame(
+        [(*r, rng.randrange(1, 40), rng.randrange(0, 9)) for r in sorted(rows)],
+        "sample string, chrom string, pos long, meth long, unmeth long",
+    )
+    name = "stored_counts_test"
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        stored = store.store_counts(frame, name, str(tmp_path / "counts"), buckets=5)
+        assert exchanges(regions.qualify_sites(frame)) == 1
+        assert exchanges(regions.qualify_sites(stored)) == 0
+        plain, kept = (regions.cluster_sites(regions.qualify_sites(c)) for c in (frame, stored))
+        assert exchanges(kept) < exchanges(plain)
+        for options in ({"max_len": None, "min_cpg": 2}, {"max_len": 150, "min_cpg": 2}):
+            got, expected = (regions.combine_regions(c, **options) for c in (stored, frame))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+            assert got.count() > 0
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
