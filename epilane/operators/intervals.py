@@ -143,9 +143,11 @@ def slice_genome(intervals: DataFrame, genome: DataFrame, chunk_size: int = CHUN
 
     ``genome`` holds ``chrom,chunk_no,offset,seq`` with chunks of ``chunk_size``.
     Intervals on unknown chromosomes give no row; past a chromosome end the text is empty.
+    Chunks meet their intervals in a shuffled join: the planner takes text for short.
     """
     wanted = intervals.select("chrom", "start", "end").distinct()
-    known = wanted.join(genome.select("chrom").distinct(), "chrom", "left_semi")
+    # One row per chromosome.
+    known = wanted.join(F.broadcast(genome.select("chrom").distinct()), "chrom", "left_semi")
     low = F.greatest(F.col("start"), F.lit(0))
     spread = wanted.withColumn(
         "chunk_no",
@@ -158,7 +160,7 @@ def slice_genome(intervals: DataFrame, genome: DataFrame, chunk_size: int = CHUN
     )
     first = F.greatest(low - F.col("offset"), F.lit(0))
     last = F.least(F.col("end") - F.col("offset"), F.length("seq"))
-    pieces = spread.join(genome, ["chrom", "chunk_no"]).select(
+    pieces = spread.join(genome.hint("merge"), ["chrom", "chunk_no"]).select(
         "chrom",
         "start",
         "end",

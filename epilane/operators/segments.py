@@ -19,7 +19,8 @@ def extract_segments(
         {"start": F.col("pos"), "end": F.col("pos") + F.col("len")}
     )
     text = slice_genome(wanted, genome, chunk_size)
-    lengths = genome_lengths(genome)
+    # One row per chromosome.
+    lengths = F.broadcast(genome_lengths(genome))
     seq = rev_comp(F.col("seq")) if rc else F.upper("seq")
     return (
         wanted.join(text, ["chrom", "start", "end"], "left")

@@ -109,3 +109,19 @@ def test_a_position_with_two_rows_of_a_sample_fails(spark):
     with pytest.raises(PySparkException, match="more than one row"):
         regions.combine_regions(counts).collect()
     assert regions.combine_regions(counts.filter("unmeth < 30")).count() == 1
+
+
+def test_genome_text_is_spread_and_not_broadcast(spark, tmp_path):
+    """Chunks made from a small table come from several tasks and meet intervals by shuffle."""
+    from epilane.operators.intervals import slice_genome
+    from epilane.plans import tables
+
+    spark.range(200).selectExpr("id as p_partkey", "1 as p_size").coalesce(1).write.parquet(
+        str(tmp_path / "part.parquet")
+    )
+    genome = tables.genome(spark, str(tmp_path))
+    assert genome.rdd.getNumPartitions() > 1
+    text = slice_genome(tables.bed(spark, str(tmp_path)), genome, tables.GENOME_CHUNK)
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "chunk_no" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
