@@ -51,15 +51,23 @@ def _advance(run: Column) -> Column:
 
 def cigar_ref_len(cigar: Column) -> Column:
     """Distance from the recorded position to the 3' end; unknown operations fail."""
-    return F.aggregate(cigar_ops(cigar), F.lit(0), lambda acc, run: acc + _advance(run))
+    known = "".join(REF_ADVANCING)
+    unknown = rf"\d([^\d{known}{''.join(REF_NEUTRAL)}])"
+    alone = F.regexp_extract(cigar, r"^(\d+)M\z", 1)
+    problem = F.concat(F.lit("unknown CIGAR operation "), F.regexp_extract(cigar, unknown, 1))
+    return (
+        F.when(alone != "", alone.cast("int"))
+        .when(cigar.rlike(unknown), F.raise_error(problem).cast("int"))
+        .otherwise(_total(cigar, f"[{known}]"))
+    )
 
 
 def cigar_clip(cigar: Column) -> Column:
     """Shift of the true start: leading soft clip backwards, leading deletion forwards."""
-    head = F.get(cigar_ops(cigar), F.lit(0))
+    op, size = (F.regexp_extract(cigar, RUN_PATTERN, k) for k in (2, 1))
     return (
-        F.when(head["op"] == "S", -head["len"])
-        .when(head["op"] == "D", head["len"])
+        F.when(op == "S", -size.cast("int"))
+        .when(op == "D", size.cast("int"))
         .otherwise(F.lit(0))
     )
 

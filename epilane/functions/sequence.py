@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +34,30 @@ def rev_qual(qual: Column) -> Column:
     return F.reverse(qual)
 
 
+def _byte_sums(texts):
+    """Sum of the bytes of each text less the offset, over the batch's one buffer."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    marks = np.zeros(1 if data is None else data.size + 1, np.int64)
+    if data is not None:
+        np.cumsum(np.frombuffer(data, np.uint8), out=marks[1:])
+    sums = np.diff(marks[ends]) - PHRED_OFFSET * np.diff(ends)
+    return pa.array(sums, pa.int64(), mask=np.asarray(texts.is_null()))
+
+
 def phred_sum(qual: Column) -> Column:
-    """Sum of Phred scores (bigint)."""
+    """Sum of Phred scores (bigint). Plain text is summed by batches."""
+
+    @F.arrow_udf("long")
+    def summed(texts: pa.Array) -> pa.Array:
+        return _byte_sums(texts)
+
+    return F.when(qual.rlike(r"[^\x00-\x7F]"), _phred_sum_by_letter(qual)).otherwise(summed(qual))
+
+
+def _phred_sum_by_letter(qual: Column) -> Column:
     return F.aggregate(
         F.split(qual, ""),
         F.lit(0).cast("bigint"),

@@ -28,13 +28,13 @@ def _quoted(col: Column) -> Column:
     return F.concat(F.lit("'"), col, F.lit("'"))
 
 
-def _key_text(chrom: Column, pos: Column, splices: Column | None, strand: Column) -> Column:
+def _key_text(chrom: Column, pos: Column, splices: Column | None, spliced: Column, strand: Column) -> Column:
     """Report format of a key: ``('chr1', 100, ('5-20',), '+')``."""
     parts = [_quoted(chrom), pos.cast("string")]
     if splices is not None:
         listed = F.array_join(F.transform(splices, _quoted), ", ")
         comma = F.when(F.size(splices) == 1, F.lit(",")).otherwise(F.lit(""))
-        parts.append(F.concat(F.lit("("), listed, comma, F.lit(")")))
+        parts.append(F.when(spliced, F.concat(F.lit("("), listed, comma, F.lit(")"))).otherwise("()"))
     parts.append(_quoted(strand))
     return F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")"))
 
@@ -70,7 +70,7 @@ def alignment_keys(sam: DataFrame, mode: str = "clip", paired: bool = True) -> D
     return sam.filter(~s.flag(flag, skip)).select(
         "line_no",
         "qname",
-        _key_text(F.col("rname"), at, splices, strand).alias("key"),
+        _key_text(F.col("rname"), at, splices, F.contains(cigar, F.lit("N")), strand).alias("key"),
         segment.alias("segment"),
         is_pair.alias("is_pair"),
         (~s.flag(flag, s.NOT_PRIMARY)).alias("primary"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from epilane.operators import calls, difftest, duplicates, expression, linked, regions
 from epilane.plans import catalog, oracles, tables
-from epilane.session import Scratch
+from epilane.session import Scratch, cut_lineage
 from epilane.sources import alignments, parts, sinks, store
 from epilane.sources import tables as sources
 
@@ -224,7 +224,7 @@ def regions_nx_stored(spark, folder):
 
 def hit_pairs(spark, folder):
     """Pairs of alignments by hit index or coordinates, with clips and splices in the keys."""
-    return duplicates.pair_reads(duplicates.alignment_keys(tables.hits(spark, folder)))
+    return duplicates.pair_reads(cut_lineage(duplicates.alignment_keys(tables.hits(spark, folder))))
 
 
 def dups_many_keys(spark, folder):

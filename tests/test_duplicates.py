@@ -199,3 +199,16 @@ def test_score_of_pairs_and_single_reads(make_sam):
     records = [*mates("a", 1, 50, "!" * 9 + "I"), {"qname": "s", "qual": "I" * 10}, {"qname": "s", "qual": "5" * 10}]
     got = {(r["qname"], r["kind"]): r["score"] for r in duplicates.read_scores(make_sam(records)).collect()}
     assert got == {("a", "pair"): 80, ("s", "single"): 200}
+
+
+def test_hit_pairs_make_keys_once(spark):
+    """The keys of the hits are written before they are paired: the hits are scanned once."""
+    import os
+
+    from epilane.plans import flows
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    plan = flows.hit_pairs(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower()

@@ -130,3 +130,24 @@ def test_task_functions_need_no_package_on_the_worker(tmp_path):
     )
     code = f"from pyspark import cloudpickle; cloudpickle.loads(open({str(stored)!r}, 'rb').read())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_quality_sums_of_batches(spark):
+    """Sums made by batches are those made letter by letter; few texts go that way."""
+    texts = [None, "", "I", "IIII!#", "é!", "\U0001f600a", "\x00\x7f", "a" * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "q string").repartition(3)
+    found = df.select(
+        sequence.phred_sum(F.col("q")).alias("a"), sequence._phred_sum_by_letter(F.col("q")).alias("b")
+    )
+    assert all(r["a"] == r["b"] for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
+
+
+def test_reference_length_needs_no_parsed_runs(spark):
+    """Reference lengths and clips come from patterns, without an array of parsed runs."""
+    cases = [(None, None, 0), ("*", 0, 0), ("32M", 32, 0), ("5S27M", 32, -5), ("3D4M", 7, 3), ("3I4P5H2D", 2, 0), ("4=5X", 9, 0)]
+    df = spark.createDataFrame([(c,) for c, _, _ in cases], "c string")
+    found = df.select("c", cigar.cigar_ref_len(F.col("c")).alias("n"), cigar.cigar_clip(F.col("c")).alias("s"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(cases, key=str)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
