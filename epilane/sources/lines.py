@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from epilane.sources.blocks import block_lines, is_block_gzip
 from epilane.sources.ranges import RANGE, list_files
 
+# What a line is trimmed of, and the line ends that a pattern's end lies before.
+TRIMMED = ("\r", "\t", " ", "\x85", "\u2028", "\u2029")
+
 # Beside block-gzipped files, lines of other files are numbered from here.
 PLAIN_FROM = 1 << 62
 
@@ -36,9 +41,10 @@ def numbered_lines(spark: SparkSession, path, range_bytes: int = RANGE) -> DataF
             )
         )
     lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return lines.select(
-        "line_no", F.rtrim(F.regexp_replace("value", r"[\r\t ]+$", "")).alias("line"), "file"
-    )
+    # Few lines end in blanks; the others are not searched.
+    ends = reduce(or_, [F.endswith("value", F.lit(c)) for c in TRIMMED])
+    trimmed = F.rtrim(F.regexp_replace("value", r"[\r\t ]+$", ""))
+    return lines.select("line_no", F.when(ends, trimmed).otherwise(F.col("value")).alias("line"), "file")
 
 
 def _may_be_gzip(path) -> bool:

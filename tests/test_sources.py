@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from epilane.operators import calls, regions, wald
 from epilane.sources import alignments, sequences, sinks, tables
@@ -217,3 +218,18 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
         query.stop()
     batch = calls.cpg_counts(calls.cpg_calls(alignments.read_sam(spark, str(folder))))
     assert got == sorted(tuple(r) for r in batch.collect()) and len(got) == 4
+
+
+def test_lines_are_trimmed_as_by_pattern(spark, tmp_path):
+    """Only lines that end in blanks go through the pattern."""
+    from epilane.sources.lines import numbered_lines
+
+    rows = ["a", "a\t", "a \t ", "", " ", "a\t ", "a\u0085", "a\t\u0085 ", "\ta b"]
+    path = tmp_path / "lines.txt"
+    path.write_text("\n".join(rows) + "\n", encoding="utf-8", newline="\n")
+    lines = numbered_lines(spark, str(path))
+    found = [r["line"] for r in lines.orderBy("line_no").collect()]
+    whole = spark.read.text(str(path)).select(F.rtrim(F.regexp_replace("value", r"[\r\t ]+$", "")).alias("line"))
+    assert found == [r["line"] for r in whole.collect()]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "case when" in plan and "endswith" in plan
