@@ -7,6 +7,8 @@ while calls are still arrays on the read, before anything is unfolded.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,31 @@ def _segments(cigar: Column) -> Column:
     return F.aggregate(runs, start, step, lambda acc: acc["runs"])
 
 
+def _call_places(texts: pa.Array) -> pa.Array:
+    """Index and letter of every z/Z of each text, over the batch's one buffer of bytes."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    found = np.flatnonzero((data[ends[0] : ends[-1]] | 32) == ord("z")) + ends[0]
+    bounds = np.searchsorted(found, ends)
+    at = found - np.repeat(ends[:-1], np.diff(bounds))
+    letters = pa.array(["z", "Z"]).take(pa.array(data[found] == ord("Z")).cast(pa.int8()))
+    calls = pa.StructArray.from_arrays([pa.array(at, pa.int32()), letters], ["i", "call"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), calls, mask=texts.is_null())
+
+
 def _call_indexes(xm: Column) -> Column:
-    """``array<struct<i,call>>`` of the z/Z letters, from the pieces that end in one."""
+    """``array<struct<i,call>>`` of the z/Z letters. Plain text is searched by batches."""
+
+    @F.arrow_udf("array<struct<i:int,call:string>>")
+    def places(texts: pa.Array) -> pa.Array:
+        return _call_places(texts)
+
+    return F.when(xm.rlike(r"[^\x00-\x7F]"), _call_indexes_by_piece(xm)).otherwise(places(xm))
+
+
+def _call_indexes_by_piece(xm: Column) -> Column:
+    """The same, from the pieces that end in a call."""
     start = F.struct(
         F.lit(0).alias("at"), F.array().cast("array<struct<i:int,call:string>>").alias("found")
     )

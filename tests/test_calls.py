@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from epilane.operators import calls, linked
 
@@ -141,3 +142,15 @@ def test_linked_pattern(spark):
     twice = df.unionByName(df)
     with pytest.raises(Exception, match="both states"):
         linked.linked_methylation(twice, bed).collect()
+
+
+def test_call_indexes_of_batches(spark):
+    """Calls found by batches are those found piece by piece; few texts go that way."""
+    texts = [None, "", "z", "..Zhz", "hHxX....", "\u00e9z.Z", "zZ" * 300, "...", "Z.", ":z;"]
+    df = spark.createDataFrame([(t,) for t in texts], "xm string").repartition(3)
+    found = df.select(
+        calls._call_indexes(F.col("xm")).alias("a"), calls._call_indexes_by_piece(F.col("xm")).alias("b")
+    )
+    assert all(r["a"] == r["b"] for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
