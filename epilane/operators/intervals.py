@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epilane.session import cut_lineage
+
 BIN = 1 << 12
 GROWTH_BITS = 3
 CHUNK = 1 << 16
@@ -105,32 +107,68 @@ def overlap_join(
 ) -> DataFrame:
     """Pairs of intervals that overlap, both ends inclusive, each pair once.
 
-    A pair meets on the level of its longer interval, in the bin where the overlap starts;
-    an interval is repeated on its own level and on the wider ones of the other side.
+    ``left`` is read once and never asked for its levels, so it should be the larger side.
+    A pair meets on the level of its longer interval, in the bin where the left one starts;
+    intervals of ``left`` wider than all levels of ``right`` are kept aside by the same
+    pass and joined from what was stored. The result is checkpointed.
     """
-    sides = [(left, *left_range, "_own_l"), (right, *right_range, "_own_r")]
-    found = [levels_of(df, F.col(s), F.col(e), bin_size) for df, s, e, _ in sides]
-
-    def spread(side, others):
-        df, s, e, own = side
-        low, last = F.col(s), F.col(e)
-        levelled = df.filter(last >= low).withColumn(own, bin_level(low, last, bin_size))
-        wider = F.filter(
-            F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col(own)
-        )
-        return interval_bins(
-            levelled, low, last, F.explode(F.concat(F.array(F.col(own)), wider)), bin_size
-        )
+    (ls, le), (rs, re_) = left_range, right_range
+    levels = levels_of(right, F.col(rs), F.col(re_), bin_size) or [0]
+    found = cut_lineage(
+        _overlaps_by_start(left, right, left_range, right_range, keys, bin_size, levels, range(levels[-1] + 1), True)
+    )
+    pairs = found.filter(~F.col("_aside")).drop("_aside")
+    aside = found.filter("_aside").select(*left.columns)
+    if aside.isEmpty():
+        return pairs
+    wide = levels_of(aside, F.col(ls), F.col(le), bin_size)
+    return pairs.unionByName(
+        _overlaps_by_start(aside, right, left_range, right_range, keys, bin_size, levels, wide, False).drop("_aside")
+    )
 
+
+def _overlaps_by_start(left, right, left_range, right_range, keys, bin_size, right_levels, left_levels, set_aside):
+    """Overlapping pairs with left intervals of ``left_levels``; with ``set_aside``, also one row
+    marked ``_aside`` for each left interval of a wider level."""
     (ls, le), (rs, re_) = left_range, right_range
-    joined = spread(sides[0], found[1]).join(spread(sides[1], found[0]), [*keys, "_level", "_bin"])
-    meets = bin_at(F.greatest(F.col(ls), F.col(rs)), F.col("_level"), bin_size)
-    return joined.filter(
+    own = bin_level(F.col(ls), F.col(le), bin_size)
+    if set_aside:
+        own = F.when(own <= left_levels[-1], own).otherwise(-1)
+
+    def on_levels(df, own_name, others):
+        # Without wider levels on the other side a row stays one row.
+        wider = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col(own_name))
+        if set_aside:
+            wider = F.when(F.col(own_name) >= 0, wider).otherwise(F.array().cast("array<int>"))
+        spread = F.explode(F.concat(F.array(F.col(own_name)), wider)) if others else F.col(own_name)
+        return df.withColumn("_level", spread)
+
+    first = min(left_levels)
+    probes = on_levels(
+        left.filter(F.col(le) >= F.col(ls)).withColumn("_own_l", own), "_own_l", [x for x in right_levels if x > first]
+    ).withColumn("_bin", F.when(F.col("_level") >= 0, bin_at(F.col(ls), F.greatest("_level", F.lit(0)), bin_size)).otherwise(0))
+    # A left interval is no wider than a bin, so it starts in a bin of this one or right before.
+    bins = F.sequence(bin_at(F.col(rs), F.col("_level"), bin_size) - 1, bin_at(F.col(re_), F.col("_level"), bin_size))
+    table = on_levels(
+        right.filter(F.col(re_) >= F.col(rs)).withColumn("_own_r", bin_level(F.col(rs), F.col(re_), bin_size)),
+        "_own_r",
+        [x for x in left_levels if x > right_levels[0]],
+    ).withColumn("_bin", F.explode(bins))
+    if set_aside:
+        marks = right.select(*keys).distinct().withColumns({"_level": F.lit(-1), "_bin": F.lit(0).cast("bigint")})
+        table = table.unionByName(marks, allowMissingColumns=True)
+    meets = (
         (F.col(ls) <= F.col(re_))
         & (F.col(le) >= F.col(rs))
         & (F.col("_level") == F.greatest("_own_l", "_own_r"))
-        & (F.col("_bin") == meets)
-    ).drop("_level", "_bin", "_own_l", "_own_r")
+    )
+    aside = F.col("_level") == -1
+    return (
+        probes.join(table, [*keys, "_level", "_bin"])
+        .filter(aside | meets)
+        .withColumn("_aside", aside)
+        .drop("_level", "_bin", "_own_l", "_own_r")
+    )
 
 
 def overlaps(loc: Column, loc3: Column, start: Column, end: Column) -> Column:

@@ -136,3 +136,21 @@ def test_intervals_as_long_as_a_chromosome(spark):
     right = spark.createDataFrame(other, "chrom string, s long, e long, id int")
     met = [(r["name"], r["id"]) for r in intervals.overlap_join(frame, right, ("start", "end"), ("s", "e")).collect()]
     assert sorted(met) == sorted((n, i) for c, s, e, n in bed for d, x, y, i in other if c == d and s <= y and e >= x)
+
+
+def test_the_larger_side_of_an_overlap_join_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    # Intervals of all widths: those wider than any of the other side are joined too.
+    rows = [("a" if i % 3 else "b", i * 37 - 500, i * 37 - 500 + 9**(i % 6), i) for i in range(60)]
+    left = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(counted), "chrom string, start long, end long, id int")
+    other = [("a", 0, 40, 1), ("b", 900, 905, 2), ("a", 1200, 1330, 3), ("c", 0, 9, 4)]
+    right = spark.createDataFrame(other, "chrom string, s long, e long, k int")
+    got = intervals.overlap_join(left, right, ("start", "end"), ("s", "e"), bin_size=16).collect()
+    want = [(i, k) for c, s, e, i in rows for d, x, y, k in other if c == d and s <= y and e >= x]
+    assert sorted((r["id"], r["k"]) for r in got) == sorted(want)
+    assert seen.value == len(rows)
