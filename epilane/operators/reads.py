@@ -10,6 +10,10 @@ from epilane.functions.cigar import cigar_indel
 from epilane.functions.sequence import rev_comp, rev_qual
 from epilane.operators.ordered import running
 
+# Where a read counts as placed when copies are sought. Positions differ most, so sorts
+# that begin with them seldom look further.
+PLACE = ["loc", "rname", "reverse"]
+
 
 def filter_reads(sam: DataFrame, names: DataFrame, keep: bool = True) -> DataFrame:
     """Records whose name is (``keep=False``: is not) in ``names.qname``."""
@@ -182,13 +186,17 @@ def dedup_reads(sam: DataFrame, by: str = "seq", keep_unmapped: bool = False) ->
     """One record per position, strand and (``by``) ``seq`` or ``xm`` string, or the
     most frequent sequence (``'consensus'``). Reverse reads are placed at their 3' end.
 
-    Each step keeps the first record per key in a partial aggregate, so copies of one
-    fragment collapse before they are shuffled.
+    For ``seq`` and ``xm`` a partial aggregate keeps the first record per key, so copies of
+    one fragment collapse before they are shuffled. For ``consensus`` the records are dealt
+    by place once, and both steps follow one sort. Records are carried whole: leave out
+    columns that are not wanted beforehand.
     """
     if by not in ("seq", "xm", "consensus"):
         raise ValueError("by must be 'seq', 'xm' or 'consensus'")
     keyed = _dedup_keys(sam, keep_unmapped)
-    place = ["rname", "loc", "reverse"]
+    if by == "consensus":
+        keyed = _by_place(keyed)
+    place = PLACE
     if by == "xm":
         keyed = keyed.withColumn("xm", s.tag(F.col("tags"), "XM"))
     sub = ["xm"] if by == "xm" else ["seq"]
@@ -202,15 +210,22 @@ def dedup_reads(sam: DataFrame, by: str = "seq", keep_unmapped: bool = False) ->
     return firsts.select("record.*")
 
 
+def _by_place(keyed: DataFrame) -> DataFrame:
+    """Rows of a place in one of many tasks, apart from the task that made them: nearly all
+    places have a few reads, which no task upstream can collapse."""
+    tasks = 16 * keyed.sparkSession.sparkContext.defaultParallelism
+    return keyed.repartition(tasks, *PLACE)
+
+
 def top_sequence(sam: DataFrame) -> DataFrame:
     """``rname,loc,reverse,seq,copies``: the most frequent sequence of each position and
     strand; of equally frequent ones the first seen."""
-    place = ["rname", "loc", "reverse"]
-    counted = _dedup_keys(sam, False).groupBy(*place, "seq").agg(
+    place = PLACE
+    counted = _by_place(_dedup_keys(sam, False)).groupBy(*place, "seq").agg(
         F.count(F.lit(1)).alias("copies"), F.min("line_no").alias("line_no")
     )
     best = F.max_by(F.struct("seq", "copies"), F.struct("copies", -F.col("line_no")))
-    return counted.groupBy(*place).agg(best.alias("best")).select(*place, "best.*")
+    return counted.groupBy(*place).agg(best.alias("best")).select("rname", "loc", "reverse", "best.*")
 
 
 def _dedup_keys(sam: DataFrame, keep_unmapped: bool) -> DataFrame:
@@ -226,11 +241,11 @@ def dedup_summary(sam: DataFrame, by: str = "seq", keep_unmapped: bool = False)
     """One row: reads, first reads at a position, new sequences at a used position,
     repeats."""
     keyed = _dedup_keys(sam, keep_unmapped)
-    place = ["rname", "loc", "reverse"]
+    place = PLACE
     if by == "xm":
         keyed = keyed.withColumn("xm", s.tag(F.col("tags"), "XM"))
     sub = ["xm"] if by == "xm" else ["seq"]
-    variants = keyed.groupBy(*place, *sub).agg(F.count(F.lit(1)).alias("copies"))
+    variants = _by_place(keyed).groupBy(*place, *sub).agg(F.count(F.lit(1)).alias("copies"))
     places = variants.groupBy(*place).agg(
         F.sum("copies").alias("reads"), F.count(F.lit(1)).alias("variants")
     )

@@ -212,9 +212,9 @@ def read_score(spark, folder):
 
 
 def _dedup(spark, folder, by):
-    return reads.dedup_reads(tables.copied_alignments(spark, folder), by).select(
-        "line_no", "qname", "flag", "rname", "pos", "cigar", "seq"
-    )
+    wanted = ["line_no", "qname", "flag", "rname", "pos", "cigar", "seq"]
+    records = tables.copied_alignments(spark, folder).select(*wanted, *(["tags"] if by == "xm" else []))
+    return reads.dedup_reads(records, by).select(*wanted)
 
 
 def dedup_seq(spark, folder):

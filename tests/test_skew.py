@@ -154,3 +154,23 @@ def test_the_larger_side_of_an_overlap_join_is_read_once(spark):
     want = [(i, k) for c, s, e, i in rows for d, x, y, k in other if c == d and s <= y and e >= x]
     assert sorted((r["id"], r["k"]) for r in got) == sorted(want)
     assert seen.value == len(rows)
+
+
+def test_reads_of_a_place_are_dealt_once_and_then_counted(spark, make_sam):
+    from collections import Counter
+
+    records = [{"pos": 10 + i % 7, "rname": f"chr{i % 2}", "seq": "ACGT" * (1 + i * i % 5)} for i in range(300)]
+    sam = make_sam(records)
+    counts = Counter((r["rname"], r["pos"], r["seq"]) for r in records)
+    places = {k[:2] for k in counts}
+    best = {p: max((n, -min(i for i, r in enumerate(records) if (r["rname"], r["pos"], r["seq"]) == k)) for k, n in counts.items() if k[:2] == p) for p in places}
+    top, kept, summary = reads.top_sequence(sam), reads.dedup_reads(sam, "consensus"), reads.dedup_summary(sam)
+    assert top.columns == ["rname", "loc", "reverse", "seq", "copies"]
+    assert {(r["rname"], r["loc"]): r["copies"] for r in top.collect()} == {p: b[0] for p, b in best.items()}
+    assert sorted(r["line_no"] for r in kept.collect()) == sorted(-b[1] for b in best.values())
+    assert tuple(summary.first()) == (300, len(places), len(counts) - len(places), 300 - len(counts))
+    for df in (top, kept, summary):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if "Exchange hashpartitioning" in line]
+        # One exchange, of the rows as they come, into more parts than the session's default.
+        assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0] and "partial" not in plan.split("Exchange hashpartitioning")[-1]
