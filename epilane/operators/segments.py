@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epilane.functions.sequence import rev_comp
 from epilane.operators.intervals import CHUNK, genome_lengths, slice_genome
+from epilane.session import cut_lineage
 from epilane.sources.sequences import read_segments
 
 
@@ -18,6 +19,8 @@ def extract_segments(
     wanted = segments.select("chrom", "pos", "len").withColumns(
         {"start": F.col("pos"), "end": F.col("pos") + F.col("len")}
     )
+    # Read by three steps: what makes or reads the text runs once.
+    genome = cut_lineage(genome)
     text = slice_genome(wanted, genome, chunk_size)
     # One row per chromosome.
     lengths = F.broadcast(genome_lengths(genome))

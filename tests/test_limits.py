@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from epilane.functions import chrom
 from epilane.functions.pvalues import normal_two_sided
-from epilane.operators import pileup, reads, regions, wald
+from epilane.operators import pileup, reads, regions, segments, wald
 from epilane.sources import sequences, sinks
 
 LONG = "n" * 100_050
@@ -125,3 +125,22 @@ def test_genome_text_is_spread_and_not_broadcast(spark, tmp_path):
     plan = text._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "chunk_no" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_genome_text_is_made_once_for_segments(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    chunks = [("a", i, i * 4, t) for i, t in enumerate(("ACGT", "ggTA", "C"))] + [("b", 0, 0, "TT")]
+    genome = spark.createDataFrame(
+        spark.sparkContext.parallelize(chunks, 2).map(counted), "chrom string, chunk_no long, offset long, seq string"
+    )
+    wanted = spark.createDataFrame([("a", 2, 5), ("a", 7, 2), ("b", 0, 1), ("c", 0, 1)], "chrom string, pos long, len long")
+    rows = segments.extract_segments(genome, wanted, chunk_size=4).collect()
+    assert {(r["chrom"], r["pos"], r["seq"], r["past_end"]) for r in rows} == {
+        ("a", 2, "GTGGT", False), ("a", 7, "AC", True), ("b", 0, "T", False), ("c", 0, None, None)
+    }
+    assert seen.value == len(chunks)
