@@ -28,9 +28,10 @@ def _total(cigar: Column, op: str) -> Column:
 
 def cigar_indel(cigar: Column) -> Column:
     """Deleted minus inserted bases (int)."""
-    return F.when(
-        cigar.rlike("[ID]"), _total(cigar, "D") - _total(cigar, "I")
-    ).otherwise(F.lit(0))
+    deleted, inserted = (
+        F.when(F.contains(cigar, F.lit(op)), _total(cigar, op)).otherwise(F.lit(0)) for op in "DI"
+    )
+    return deleted - inserted
 
 
 def cigar_expand(cigar: Column) -> Column:

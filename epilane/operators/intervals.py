@@ -131,9 +131,13 @@ def _overlaps_by_start(left, right, left_range, right_range, keys, bin_size, rig
     """Overlapping pairs with left intervals of ``left_levels``; with ``set_aside``, also one row
     marked ``_aside`` for each left interval of a wider level."""
     (ls, le), (rs, re_) = left_range, right_range
-    own = bin_level(F.col(ls), F.col(le), bin_size)
     if set_aside:
-        own = F.when(own <= left_levels[-1], own).otherwise(-1)
+        # All left rows pass here: a comparison for each level that is not set aside.
+        own, size = F.lit(-1), F.col(le) - F.col(ls)
+        for level in reversed(left_levels):
+            own = F.when(size <= F.lit(min(bin_size << (GROWTH_BITS * level), 1 << 63) - 1), level).otherwise(own)
+    else:
+        own = bin_level(F.col(ls), F.col(le), bin_size)
 
     def on_levels(df, own_name, others):
         # Without wider levels on the other side a row stays one row.

@@ -31,7 +31,9 @@ def overlapping_reads(sam: DataFrame, bed: DataFrame) -> DataFrame:
         "qname",
         F.col("rname").alias("chrom"),
         "pos",
-        loc3.cast("bigint").alias("loc3"),
+        # Out of a generator: the join's filters on it would be pushed below a plain column,
+        # where the records' text and CIGAR would be worked out once more for each.
+        F.explode(F.array(loc3.cast("bigint"))).alias("loc3"),
         "cigar",
         "seq",
         "tags",

@@ -3,7 +3,9 @@ import re
 from collections import Counter
 from itertools import accumulate
 
-from epilane.operators import pileup
+from pyspark.sql import functions as F
+
+from epilane.operators import intervals, pileup
 
 
 BASE = 10**6  # sorts after the insertion columns of its position
@@ -145,3 +147,27 @@ def test_simple_pileup(spark, make_sam):
     assert text["genome"] == "ACGTACGTA-CGT"
     assert text["r0"] == "     z.Z---.."
     assert text["r1"] == "       Z..z"
+
+
+def test_read_ends_are_worked_out_once_before_the_join(spark, make_sam, monkeypatch):
+    plans, cut = [], intervals.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(intervals, "cut_lineage", seen)
+    text = F.md5(F.col("qname").cast("binary"))
+    cigars = ["32M", "4M2I3M1I22M", "10M3D10M2D12M", "1M1D15M16I", "*"]
+    sam = make_sam([{"pos": 100, "cigar": c, "tags": ["XM:Z:z"]} for c in cigars]).withColumn("seq", text)
+    bed = spark.createDataFrame([("chr1", 90, 110, "r")], "chrom string, start long, end long, name string")
+    rows = pileup.overlapping_reads(sam, bed).orderBy("line_no").collect()
+    assert [r["loc3"] for r in rows] == [132, 129, 137, 117, 132]
+    assert plans[0].count("md5(") == 1
+
+
+def test_an_interval_of_the_longest_width_is_not_set_aside(spark):
+    left = spark.createDataFrame([("c", 1, 2**62 + 5), ("c", 5, 9), ("c", 9, 5)], "chrom string, start long, end long")
+    right = spark.createDataFrame([("c", 0, 2**63 - 1)], "chrom string, s long, e long")
+    met = intervals.overlap_join(left, right, ("start", "end"), ("s", "e")).collect()
+    assert sorted(r["start"] for r in met) == [1, 5]
