@@ -177,7 +177,8 @@ def _layout(sam, bed, text, genome=None, chunk_size=None):
 
 def _span_columns(rows: DataFrame, columns: DataFrame, bounds: DataFrame) -> DataFrame:
     """Per distinct span: insertion columns before it, at its start and inside it."""
-    spans = rows.select(*SPAN).distinct()
+    # Several steps below read the spans, a count of their levels among them.
+    spans = cut_lineage(rows.select(*SPAN).distinct())
     starts = spans.select("name", "pos").distinct()
     marks = starts.select("name", "pos", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("len"))
     marks = marks.unionByName(
@@ -393,7 +394,32 @@ def _site_table(aligned: DataFrame, columns: DataFrame, bounds: DataFrame) -> Da
     )
 
 
+def _letter(col):
+    return F.when(
+        col < F.col("stop"),
+        F.substring("text", (col - F.col("pad") + 1).cast("int"), F.lit(1)),
+    )
+
+
+def _letters(col0, col1):
+    """Letters of a read at the two columns of a site."""
+    return F.when(col0 >= F.col("pad"), _letter(col0)).otherwise(F.lit(" ")), _letter(col1)
+
+
+def _state(c0, c1, col1):
+    return (
+        F.when(c0 == "z", F.lit("0"))
+        .when(c0 == "Z", F.lit("1"))
+        .when(col1.isNull(), F.lit("x"))
+        .when(c1.isNull(), F.lit("-"))
+        .when(c1 == "z", F.lit("0"))
+        .when(c1 == "Z", F.lit("1"))
+        .otherwise(F.lit("x"))
+    )
+
+
 def _matrix(sam: DataFrame, bed: DataFrame):
+    """Aligned reads, the sites of their regions, and the sites that each read span covers."""
     rows, columns, bounds = _layout(sam, bed, F.col("xm"))
     aligned = cut_lineage(
         _render(rows, _span_columns(rows, columns, bounds)).withColumn(
@@ -401,78 +427,58 @@ def _matrix(sam: DataFrame, bed: DataFrame):
         )
     )
     sites = cut_lineage(_site_table(aligned, columns, bounds))
-    spans = aligned.select("name", "pad", "stop").distinct()
-    covered = (
-        interval_join(
-            sites.withColumn("hi", F.coalesce("col1", "col0")),
-            spans,
-            keys=["name"],
-            pos="hi",
-            start="pad",
-            end="stop",
-            closed=True,
-        )
-        .filter(F.col("col0") < F.col("stop"))
-        .groupBy("name", "pad", "stop")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("idx", "col0", "col1", "chr_pos", "site"))).alias(
-                "sites"
-            )
-        )
-    )
-    sizes = sites.groupBy("name").agg(F.count(F.lit(1)).alias("n_sites"))
-
-    def letter(col):
-        return F.when(
-            col < F.col("stop"),
-            F.substring("text", (col - F.col("pad") + 1).cast("int"), F.lit(1)),
-        )
+    spans = cut_lineage(aligned.select("name", "pad", "stop").distinct())
+    covered = interval_join(
+        sites.withColumn("hi", F.coalesce("col1", "col0")),
+        spans,
+        keys=["name"],
+        pos="hi",
+        start="pad",
+        end="stop",
+        closed=True,
+    ).filter(F.col("col0") < F.col("stop"))
+    return aligned, sites, covered
 
-    def state(site):
-        c0 = F.when(site["col0"] >= F.col("pad"), letter(site["col0"])).otherwise(F.lit(" "))
-        c1 = letter(site["col1"])
-        return (
-            F.when(c0 == "z", F.lit("0"))
-            .when(c0 == "Z", F.lit("1"))
-            .when(site["col1"].isNull(), F.lit("x"))
-            .when(c1.isNull(), F.lit("-"))
-            .when(c1 == "z", F.lit("0"))
-            .when(c1 == "Z", F.lit("1"))
-            .otherwise(F.lit("x"))
-        )
 
-    marked = (
-        aligned.join(covered, ["name", "pad", "stop"], "left")
-        .join(sizes, "name", "left")
-        .withColumn("states", F.transform("sites", state))
+def region_cpg_matrix(sam: DataFrame, bed: DataFrame) -> DataFrame:
+    """``name,line_no,qname,pos,pattern``: one ``0/1/-/x`` mark per merged CpG site."""
+    aligned, sites, covered = _matrix(sam, bed)
+    listed = covered.groupBy("name", "pad", "stop").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "col0", "col1"))).alias("sites")
     )
-    return marked
+    sizes = sites.groupBy("name").agg(F.count(F.lit(1)).alias("n_sites"))
 
+    def both(site):
+        c0, c1 = _letters(site["col0"], site["col1"])
+        return F.struct(c0.alias("c0"), c1.alias("c1"), site["col1"].alias("col1"))
 
-def region_cpg_matrix(sam: DataFrame, bed: DataFrame) -> DataFrame:
-    """``name,line_no,qname,pos,pattern``: one ``0/1/-/x`` mark per merged CpG site."""
+    states = F.transform(F.transform("sites", both), lambda s: _state(s["c0"], s["c1"], s["col1"]))
     n = F.coalesce("n_sites", F.lit(0))
     head = F.get("sites", F.lit(0))["idx"]
     tail = F.get("sites", F.size("sites") - 1)["idx"]
     pattern = F.when(F.col("sites").isNull(), F.repeat(F.lit("-"), n.cast("int"))).otherwise(
         F.concat(
             F.repeat(F.lit("-"), head.cast("int")),
-            F.array_join("states", ""),
+            F.array_join(states, ""),
             F.repeat(F.lit("-"), (n - 1 - tail).cast("int")),
         )
     )
-    return _matrix(sam, bed).select("name", "line_no", "qname", "pos", pattern.alias("pattern"))
+    marked = aligned.join(listed, ["name", "pad", "stop"], "left").join(sizes, "name", "left")
+    return marked.select("name", "line_no", "qname", "pos", pattern.alias("pattern"))
 
 
 def region_cpg_summary(sam: DataFrame, bed: DataFrame) -> DataFrame:
     """``name,chr_pos,site,meth,unmeth``: marks per merged CpG site."""
-    pairs = F.arrays_zip(F.col("sites.chr_pos").alias("chr_pos"), F.col("sites.site").alias("site"), "states")
-    flat = _matrix(sam, bed).filter(F.col("sites").isNotNull()).select(
-        "name", F.inline(pairs)
+    aligned, _, covered = _matrix(sam, bed)
+    c0, c1 = _letters(F.col("col0"), F.col("col1"))
+    flat = (
+        aligned.select("name", "pad", "stop", "text")
+        .join(covered, ["name", "pad", "stop"])
+        .select("name", "chr_pos", "site", _state(c0, c1, F.col("col1")).alias("state"))
     )
     return flat.groupBy("name", "chr_pos", "site").agg(
-        F.count_if(F.col("states") == "1").alias("meth"),
-        F.count_if(F.col("states") == "0").alias("unmeth"),
+        F.count_if(F.col("state") == "1").alias("meth"),
+        F.count_if(F.col("state") == "0").alias("unmeth"),
     )
 
 

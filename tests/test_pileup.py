@@ -171,3 +171,15 @@ def test_an_interval_of_the_longest_width_is_not_set_aside(spark):
     right = spark.createDataFrame([("c", 0, 2**63 - 1)], "chrom string, s long, e long")
     met = intervals.overlap_join(left, right, ("start", "end"), ("s", "e")).collect()
     assert sorted(r["start"] for r in met) == [1, 5]
+
+
+def test_site_summary_gathers_no_sites_of_a_span(spark, make_sam):
+    sam = make_sam([{"pos": p, "cigar": "4M", "seq": "AAAA", "tags": [f"XM:Z:{x}"]} for p, x in ((10, "zZ.z"), (11, "z..Z"), (11, "Z..."))])
+    bed = spark.createDataFrame([("chr1", 10, 20, "r")], "chrom string, start long, end long, name string")
+    summary = pileup.region_cpg_summary(sam, bed)
+    assert "collect_list" not in summary._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["site"], r["meth"], r["unmeth"]) for r in summary.collect()}
+    patterns, wanted = matrix_model(
+        [{"line_no": i, "pos": p, "cigar": "4M", "loc3": p + 4, "xm": x} for i, (p, x) in enumerate(((10, "zZ.z"), (11, "z..Z"), (11, "Z...")))]
+    )
+    assert found == {(site, *counts) for site, counts in wanted.items()}
