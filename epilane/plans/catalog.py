@@ -423,9 +423,9 @@ def chrom_first_seen(spark, folder):
 
 
 def sam_roundtrip(spark, folder):
-    """Alignments written as SAM text and read back."""
+    """Alignments written as gzip SAM text and read back."""
     with Scratch(spark) as scratch:
-        path = f"{scratch.path}/sam"
+        path = f"{scratch.path}/sam.gz"
         sinks.write_sam(tables.alignments(spark, folder), None, path)
         back = alignments.read_sam(spark, path)
         return scratch.result(

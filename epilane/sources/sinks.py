@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from epilane.functions import sam as s
+from epilane.session import dropping_shuffles
 
 TAB = "\t"
 
@@ -24,11 +25,13 @@ def _codec(path: str) -> str:
 
 
 def _write_text(lines: DataFrame, path: str) -> None:
-    lines.write.option("compression", _codec(path)).text(path)
+    with dropping_shuffles(lines.sparkSession):
+        lines.write.option("compression", _codec(path)).text(path)
 
 
 def _write_table(df: DataFrame, path: str, header: bool = False, **options) -> None:
-    df.write.options(sep=TAB, header=header, compression=_codec(path), quote="", **options).csv(path)
+    with dropping_shuffles(df.sparkSession):
+        df.write.options(sep=TAB, header=header, compression=_codec(path), quote="", **options).csv(path)
 
 
 def write_bed(df: DataFrame, path: str) -> None:
@@ -76,9 +79,10 @@ def write_fastq(df: DataFrame, path: str) -> None:
         pair = F.col("pair") if "pair" in df.columns else F.regexp_replace("name", " /[12]$", "")
         keyed = df.select("end", record, pair.alias("pair"))
         ordered = keyed.repartitionByRange("pair").sortWithinPartitions("end", "pair")
-        ordered.select("end", "value").write.partitionBy("end").option(
-            "compression", _codec(path)
-        ).text(path)
+        with dropping_shuffles(df.sparkSession):
+            ordered.select("end", "value").write.partitionBy("end").option(
+                "compression", _codec(path)
+            ).text(path)
     else:
         _write_text(df.select(record), path)
 
