@@ -12,6 +12,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from epilane.functions import sam as s
@@ -148,6 +149,10 @@ def pair_by_hi(keyed: DataFrame, by_segment: bool = True) -> DataFrame:
     )
 
 
+# Reads of more records than this have them dealt over tasks by the place in the file.
+CROWDED = 1 << 16
+
+
 def pair_by_coord(secondary: DataFrame, primary: DataFrame) -> DataFrame:
     """Pair secondary records without hit index by reciprocal coordinates.
 
@@ -155,12 +160,27 @@ def pair_by_coord(secondary: DataFrame, primary: DataFrame) -> DataFrame:
     i-th record of the segment seen first waits for the i-th of the other one. Once the
     other segment runs ahead, every further record opens a pair of its own with the
     latest record of the opposite segment. What still waits takes the primary mate.
+
+    Records are dealt by read once, and all steps follow in the same task; only reads of
+    very many records go over several tasks.
     """
+    sizes = secondary.groupBy("qname").agg(F.count(F.lit(1)).alias("n"))
+    crowded = cut_lineage(sizes.filter(F.col("n") > CROWDED).select("qname"))
+    if crowded.isEmpty():
+        return _coord_pairs(secondary, primary, False)
+    most, few = (secondary.join(crowded, "qname", kind) for kind in ("left_semi", "left_anti"))
+    return _coord_pairs(few, primary, False).unionByName(_coord_pairs(most, primary, True))
+
+
+def _coord_pairs(secondary: DataFrame, primary: DataFrame, spread: bool) -> DataFrame:
+    """The pairs of ``pair_by_coord``. ``spread`` deals the records of a read over tasks."""
     needed = F.when(
         F.col("mate_place").isNull(), _fail("no mate position on a secondary record").cast("string")
     ).otherwise(F.col("mate_place"))
     first = F.col("segment") == 0
-    classed = secondary.withColumn("mate_place", needed).select(
+    narrow = secondary.select("qname", "line_no", "segment", "key", "place", "mate_place")
+    dealt = narrow if spread else narrow.filter(F.col("qname").isNotNull()).repartition("qname")
+    classed = dealt.withColumn("mate_place", needed).select(
         "qname",
         "line_no",
         "segment",
@@ -170,19 +190,21 @@ def pair_by_coord(secondary: DataFrame, primary: DataFrame) -> DataFrame:
     )
     cls = ["qname", "c0", "c1"]
     here = F.struct("line_no", "key")
-    tracked = running(
-        classed,
-        cls,
-        ["line_no"],
-        {
-            "n0": ("sum", F.when(first, 1).otherwise(0)),
-            "n1": ("sum", F.when(first, 0).otherwise(1)),
-            "last0": ("max", F.when(first, here)),
-            "last1": ("max", F.when(~first, here)),
-            "head": ("min", F.struct("line_no", "segment")),
-        },
-        F.shiftright("line_no", 20),
-    )
+    aggs = {
+        "n0": ("sum", F.when(first, 1).otherwise(0)),
+        "n1": ("sum", F.when(first, 0).otherwise(1)),
+        "last0": ("max", F.when(first, here)),
+        "last1": ("max", F.when(~first, here)),
+        "head": ("min", F.struct("line_no", "segment")),
+    }
+    if spread:
+        tracked = running(classed, cls, ["line_no"], aggs, F.shiftright("line_no", 20))
+    else:
+        so_far = W.partitionBy(*cls).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+        folds = {"sum": F.sum, "max": F.max, "min": F.min}
+        tracked = classed.withColumns(
+            {name: folds[kind](col).over(so_far) for name, (kind, col) in aggs.items()}
+        )
     lead = F.col("head.segment")
     n_lead = F.when(lead == 0, F.col("n0")).otherwise(F.col("n1"))
     n_other = F.when(lead == 0, F.col("n1")).otherwise(F.col("n0"))
@@ -190,39 +212,57 @@ def pair_by_coord(secondary: DataFrame, primary: DataFrame) -> DataFrame:
     marked = tracked.withColumns(
         {"is_lead": is_lead, "lead": lead, "nth": F.when(is_lead, n_lead).otherwise(n_other)}
     )
-    ahead = marked.groupBy(*cls).agg(
-        F.min(F.when(~is_lead & (n_other > n_lead), F.col("line_no"))).alias("ahead_line")
-    )
-    staged = marked.join(ahead, cls).withColumn(
+    ahead_line = F.min(F.when(~is_lead & (n_other > n_lead), F.col("line_no")))
+    if spread:
+        ahead = marked.groupBy(*cls).agg(ahead_line.alias("ahead_line"))
+        staged = marked.join(ahead, cls)
+    else:
+        staged = marked.withColumn("ahead_line", ahead_line.over(W.partitionBy(*cls)))
+    staged = staged.withColumn(
         "waits", F.col("ahead_line").isNull() | (F.col("line_no") < F.col("ahead_line"))
     )
     own = F.when(~F.col("waits"), F.when(first, F.col("last1.key")).otherwise(F.col("last0.key")))
-    late = staged.filter(~F.col("waits")).select(
-        "qname",
-        "line_no",
-        F.when(first, F.col("key")).otherwise(own).alias("aln0"),
-        F.when(first, own).otherwise(F.col("key")).alias("aln1"),
-    )
-    early = staged.filter("waits")
-    answers = early.filter(~F.col("is_lead")).select(*cls, "nth", F.col("key").alias("answer"))
-    waiting = (
-        early.filter("is_lead")
-        .select(*cls, "nth", "line_no", "segment", "key")
-        .join(answers, [*cls, "nth"], "left")
-        .join(
-            primary.select("qname", F.col("aln0").alias("p0"), F.col("aln1").alias("p1")),
+    primaries = primary.select("qname", F.col("aln0").alias("p0"), F.col("aln1").alias("p1"))
+    if spread:
+        late = staged.filter(~F.col("waits")).select(
+            "qname",
+            "line_no",
+            F.when(first, F.col("key")).otherwise(own).alias("aln0"),
+            F.when(first, own).otherwise(F.col("key")).alias("aln1"),
+        )
+        early = staged.filter("waits")
+        answers = early.filter(~F.col("is_lead")).select(*cls, "nth", F.col("key").alias("answer"))
+        waiting = (
+            early.filter("is_lead")
+            .select(*cls, "nth", "line_no", "segment", "key")
+            .join(answers, [*cls, "nth"], "left")
+            .join(primaries, "qname", "left")
+        )
+        mate = F.coalesce("answer", F.when(first, F.col("p1")).otherwise(F.col("p0")))
+        met = waiting.select(
             "qname",
-            "left",
+            "line_no",
+            F.when(first, F.col("key")).otherwise(mate).alias("aln0"),
+            F.when(first, mate).otherwise(F.col("key")).alias("aln1"),
         )
+        return met.unionByName(late)
+    # The waiting record and its answer stand under the same number.
+    met = W.partitionBy(*cls, "waits", "nth")
+    answer = F.max(F.when(F.col("waits") & ~F.col("is_lead"), F.col("key"))).over(met)
+    opened = (
+        staged.select(*cls, "waits", "is_lead", "nth", "line_no", "segment", "key", own.alias("own"))
+        .withColumn("answer", answer)
+        .filter(~F.col("waits") | F.col("is_lead"))
+        .join(primaries, "qname", "left")
     )
-    mate = F.coalesce("answer", F.when(first, F.col("p1")).otherwise(F.col("p0")))
-    met = waiting.select(
+    waited = F.coalesce("answer", F.when(first, F.col("p1")).otherwise(F.col("p0")))
+    mate = F.when(F.col("waits"), waited).otherwise(F.col("own"))
+    return opened.select(
         "qname",
         "line_no",
         F.when(first, F.col("key")).otherwise(mate).alias("aln0"),
         F.when(first, mate).otherwise(F.col("key")).alias("aln1"),
     )
-    return met.unionByName(late)
 
 
 def pair_reads(keyed: DataFrame, mode: str = "clip", incomplete: str = "fail") -> DataFrame:

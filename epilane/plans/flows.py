@@ -224,7 +224,10 @@ def regions_nx_stored(spark, folder):
 
 def hit_pairs(spark, folder):
     """Pairs of alignments by hit index or coordinates, with clips and splices in the keys."""
-    return duplicates.pair_reads(cut_lineage(duplicates.alignment_keys(tables.hits(spark, folder))))
+    # No score is asked for here.
+    return duplicates.pair_reads(
+        cut_lineage(duplicates.alignment_keys(tables.hits(spark, folder)).drop("score"))
+    )
 
 
 def dups_many_keys(spark, folder):

@@ -212,3 +212,42 @@ def test_hit_pairs_make_keys_once(spark, tmp_path):
     found = flows.hit_pairs(spark, str(tmp_path))
     assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert found.count() == 40
+
+
+def coord_frames(spark, seed=6):
+    rng = random.Random(seed)
+    rows, expected = [], {}
+    for n in range(60):
+        name, records = f"r{n}", []
+        for i in range(rng.randint(1, 9)):
+            seg = rng.randint(0, 1)
+            spots = (rng.choice(["x:1", "x:2"]), "y:5")
+            aln, mate = spots if seg == 0 else spots[::-1]
+            records.append((seg, f"k{i}", aln, mate))
+            rows.append((name, i, seg, f"k{i}", aln, mate))
+        expected[name] = slot_model(records, ("P0", "P1"))
+    secondary = spark.createDataFrame(
+        rows, "qname string, line_no long, segment int, key string, place string, mate_place string"
+    )
+    primary = spark.createDataFrame([(n, "P0", "P1") for n in expected], "qname string, aln0 string, aln1 string")
+    return secondary, primary, expected
+
+
+def test_pairing_by_coordinates_deals_records_once(spark, monkeypatch):
+    secondary, primary, expected = coord_frames(spark)
+
+    def found(df):
+        got = {}
+        for r in df.collect():
+            got.setdefault(r["qname"], []).append((r["aln0"], r["aln1"]))
+        return {k: sorted(v) for k, v in got.items()}
+
+    pairs = duplicates.pair_by_coord(secondary, primary)
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # One exchange of the records, and one of the primary pairs unless these are broadcast.
+    assert len(dealt) <= 2 and all("qname" in line and "c0" not in line for line in dealt)
+    assert found(pairs) == expected
+    for most in (5, 0):  # some reads, then all of them, are dealt over several tasks
+        monkeypatch.setattr(duplicates, "CROWDED", most)
+        assert found(duplicates.pair_by_coord(secondary, primary)) == expected
