@@ -19,7 +19,7 @@ from epilane.functions import sam as s
 from epilane.functions.cigar import cigar_clip, cigar_ref_len, cigar_splices
 from epilane.functions.sequence import phred_sum
 from epilane.operators.ordered import running
-from epilane.session import cut_lineage
+from epilane.session import Scratch, cut_lineage
 
 MODES = ("clip", "tophat", "picard")
 RESULT = ["qname", "aln", "parent", "type"]
@@ -329,30 +329,44 @@ def match_keys(edges: DataFrame, owners: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _greedy(edges: DataFrame, owned: DataFrame | None, kind: str) -> tuple[DataFrame, DataFrame]:
+def _greedy(
+    edges: DataFrame, owned: DataFrame | None, kind: str, scratch: Scratch | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Duplicates and the kept reads' keys, for ``edges(qname,rank,ord,key)``.
 
     ``owned(key,parent,owner_rank)`` holds keys taken beforehand. Reads of one key decide
     by one grouped minimum, unless a read of several keys shares it; only the reads around
-    those go through rounds, whose states are a part of the table of their own.
+    those go through rounds, whose states are a part of the table of their own. With
+    ``scratch``, whose tables ``edges`` must come from, a state goes when the next one is
+    written.
     """
-    edges = cut_lineage(edges)
-    open_ = edges
+
+    def store(df, name):
+        return cut_lineage(df) if scratch is None else scratch.table(df, f"{kind}-{name}")
+
+    def drop(*names):
+        if scratch is not None:
+            scratch.drop(*(f"{kind}-{name}" for name in names))
+
+    edges = edges if scratch is not None else cut_lineage(edges)
+    open_ = edges.drop("ord")
     if owned is not None:
         taken = edges.join(owned, "key", "left_semi").select("qname").distinct()
-        open_ = edges.join(taken, "qname", "left_anti")
+        open_ = open_.join(taken, "qname", "left_anti")
     ends = open_.groupBy("qname").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     many = ends.filter("low <> high").select("qname")
     # All keys of a read of several keys are shared ones, so no read has keys of both kinds.
-    shared = open_.join(many, "qname", "left_semi").select("key").distinct()
-    marked = cut_lineage(
+    shared = store(open_.join(many, "qname", "left_semi").select("key").distinct(), "shared")
+    marked = store(
         open_.join(shared.withColumn("shared", F.lit(True)), "key", "left").withColumn(
             "shared", F.coalesce("shared", F.lit(False))
-        )
+        ),
+        "marked",
     )
-    owners = _best_owner(marked.filter(~F.col("shared")))
+    drop("shared")
+    owners = store(_best_owner(marked.filter(~F.col("shared"))), "alone")
     owners = owners if owned is None else owned.unionByName(owners)
-    pending = marked.filter("shared").drop("shared")
+    pending, past, step = marked.filter("shared").drop("shared"), "marked", 0
     while not pending.isEmpty():
         heads = pending.groupBy("key").agg(F.min("rank").alias("head"))
         winners = (
@@ -360,14 +374,21 @@ def _greedy(edges: DataFrame, owned: DataFrame | None, kind: str) -> tuple[DataF
             .groupBy("qname")
             .agg(F.bool_and(F.col("rank") == F.col("head")).alias("won"))
         )
-        state = cut_lineage(pending.join(winners, "qname"))
-        kept = state.filter("won").select(
-            "key", F.col("qname").alias("parent"), F.col("rank").alias("owner_rank")
-        ).distinct()
+        state = store(pending.join(winners, "qname"), f"state{step}")
+        drop(past)
+        kept = store(
+            state.filter("won")
+            .select("key", F.col("qname").alias("parent"), F.col("rank").alias("owner_rank"))
+            .distinct(),
+            f"kept{step}",
+        )
         owners = owners.unionByName(kept)
         rest = state.filter(~F.col("won")).drop("won")
         beaten = rest.join(kept, "key", "left_semi").select("qname").distinct()
-        pending = rest.join(beaten, "qname", "left_anti")
+        pending = store(rest.join(beaten, "qname", "left_anti"), f"pending{step}")
+        drop(f"state{step}")
+        past, step = f"pending{step}", step + 1
+    drop(past)
     return match_keys(edges, owners, kind), owners
 
 
@@ -395,6 +416,9 @@ def find_dups(
     """
     if rank not in ("score", "input"):
         raise ValueError("rank must be 'score' or 'input'")
+    if mode != "picard" and rank == "score":
+        with Scratch(sam.sparkSession) as scratch:
+            return scratch.result(_find_ranked(alignment_keys(sam, mode, paired), mode, incomplete, scratch))
     # Several passes read the keys; they are a small part of a record, so they are
     # written once.
     keyed = cut_lineage(alignment_keys(sam, mode, paired))
@@ -402,26 +426,37 @@ def find_dups(
     pairs = pair_reads(keyed, mode, incomplete).withColumn("key", _pair_key())
     if mode == "picard":
         return _find_picard(pairs, singles)
-    if rank == "input":
-        return _find_first_seen(pairs, singles)
+    return _find_first_seen(pairs, singles)
 
-    scores = _scores(keyed).withColumn("rank", F.struct(-F.col("score"), F.col("qname")))
 
-    def ranked(rows, kind, *more):
-        mine = scores.filter(F.col("kind") == kind).select("qname", "rank")
-        return rows.join(mine, "qname").select(
-            "qname", "rank", F.col("line_no").alias("ord"), "key", *more
-        )
+def _find_ranked(keyed: DataFrame, mode: str, incomplete: str, scratch: Scratch) -> DataFrame:
+    """Duplicates by score. Each step is stored, and removed when no later one reads it."""
+    keyed = scratch.table(keyed, "keyed")
+    scores = scratch.table(
+        _scores(keyed).withColumn("rank", F.struct(-F.col("score"), F.col("qname"))), "scores"
+    )
 
-    pair_edges = cut_lineage(ranked(pairs, "pair", "aln0", "aln1"))
-    pair_dups, pair_owners = _greedy(pair_edges.drop("aln0", "aln1"), None, "paired-end")
+    def ranked(rows, kind, *columns):
+        mine = scores.filter(F.col("kind") == kind).select("qname", "rank")
+        return rows.join(mine, "qname").select("qname", "rank", F.col("line_no").alias("ord"), *columns)
+
+    pairs = scratch.table(pair_reads(keyed, mode, incomplete), "pairs")
+    singles = scratch.table(ranked(keyed.filter(~F.col("is_pair")), "single", "key"), "singles")
+    scratch.drop("keyed")
+    # The key of a pair is made of its ends again where it is read.
+    pair_edges = scratch.table(ranked(pairs, "pair", "aln0", "aln1"), "edges")
+    scratch.drop("pairs", "scores")
+    edges = pair_edges.select("qname", "rank", "ord", _pair_key().alias("key"))
+    pair_dups, pair_owners = _greedy(edges, None, "paired-end", scratch)
+    if singles.isEmpty():
+        return pair_dups
     kept = pair_edges.join(
         pair_owners.select(F.col("parent").alias("qname")).distinct(), "qname", "left_semi"
     )
     ends = _best_owner(
         kept.select("qname", "rank", F.explode(F.array("aln0", "aln1")).alias("key"))
-    ).withColumn("owner_rank", F.lit(None).cast(scores.schema["rank"].dataType))
-    single_dups, _ = _greedy(ranked(singles, "single"), ends, "single-end")
+    ).withColumn("owner_rank", F.lit(None).cast(pair_edges.schema["rank"].dataType))
+    single_dups, _ = _greedy(singles, scratch.table(ends, "ends"), "single-end", scratch)
     return pair_dups.unionByName(single_dups)
 
 

@@ -58,3 +58,27 @@ def test_sam_roundtrip_writes_packed_text(spark, tmp_path, monkeypatch):
     from epilane.plans import tables
 
     assert {r["seq"] for r in back.collect()} == {r["seq"] for r in tables.alignments(spark, folder).collect()}
+
+
+def test_rounds_of_the_duplicate_search_are_dropped(spark, tmp_path):
+    """A chain of reads, each sharing a key with the next, takes a round for every other one."""
+    from epilane.operators.duplicates import _greedy
+
+    rows = [(f"r{i}", (-100 + i, f"r{i}"), k, f"k{i + k}") for i in range(7) for k in range(2)]
+    rows += [("s0", (-9, "s0"), 0, "lone"), ("s1", (-8, "s1"), 0, "lone")]
+    edges = spark.createDataFrame(rows, "qname string, rank struct<score:long,qname:string>, ord long, key string")
+    with Scratch(spark) as scratch:
+        found, _ = _greedy(scratch.table(edges, "edges"), None, "x", scratch)
+        got = {r["qname"]: (r["aln"], r["parent"]) for r in scratch.result(found).collect()}
+        left = {name.rsplit("/", 1)[-1] for name in glob.glob(scratch.path.removeprefix("file://") + "/*")}
+    assert got == {f"r{i}": (f"aln:k{i}", f"r{i - 1}") for i in (1, 3, 5)} | {"s1": ("aln:lone", "s0")}
+    assert left == {"edges", "x-alone", *(f"x-kept{i}" for i in range(4))}
+
+
+def test_ranked_duplicates_leave_no_tables(spark, make_sam):
+    from epilane.operators.duplicates import find_dups
+    from epilane.session import shared_folder
+
+    found = find_dups(make_sam([{"qname": "a", "pos": 5}, {"qname": "b", "pos": 5, "qual": "5" * 10}]))
+    assert not glob.glob(shared_folder(spark).removeprefix("file://") + "/epilane-*")
+    assert [(r["qname"], r["parent"]) for r in found.collect()] == [("b", "a")]
