@@ -9,6 +9,7 @@ from epilane.functions import sam as s
 from epilane.functions.cigar import cigar_indel
 from epilane.functions.sequence import rev_comp, rev_qual
 from epilane.operators.ordered import running
+from epilane.session import cut_lineage
 
 # Where a read counts as placed when copies are sought. Positions differ most, so sorts
 # that begin with them seldom look further.
@@ -155,7 +156,9 @@ def sam_to_fastq_pe(sam: DataFrame) -> DataFrame:
         .when(F.col("close.mated"), F.array(place(before, "1"), place(line, "2", before)))
         .otherwise(F.array(place(line, "unpaired"), place(before, "orphan")))
     )
-    decided = closed.select(F.inline(places)).filter(F.col("line_no").isNotNull())
+    # Some numbers for each record written: stored, so that what led to them goes before the
+    # texts are dealt.
+    decided = cut_lineage(closed.select(F.inline(places)).filter(F.col("line_no").isNotNull()))
     suffix = (
         F.when(F.col("end").isin("1", "orphan"), F.lit(" /1"))
         .when(F.col("end") == "2", F.lit(" /2"))

@@ -470,14 +470,17 @@ def fastq_roundtrip(spark, folder):
 def fastq_pe_roundtrip(spark, folder):
     """Mates written to two folders and read back by place: file number and record."""
     with Scratch(spark) as scratch:
-        path = f"{scratch.path}/fastq"
-        sinks.write_fastq(reads.sam_to_fastq_pe(tables.alignments(spark, folder)), path)
+        path = f"{scratch.path}/fastq.gz"
+        ends = scratch.table(reads.sam_to_fastq_pe(tables.alignments(spark, folder)), "ends")
+        sinks.write_fastq(ends, path)
+        scratch.drop("ends")
 
         def end(k):
             number = F.regexp_extract("file", r"part-(\d+)", 1).alias("number")
-            return sequences.read_fastq(spark, f"{path}/end={k}", places=True).select(
+            found = sequences.read_fastq(spark, f"{path}/end={k}", places=True).select(
                 number, "record", *(F.col(c).alias(f"{c}_{k}") for c in ("name", "seq", "qual"))
             )
+            return scratch.table(found, f"end{k}")
 
         both = end(1).join(end(2), ["number", "record"], "full")
         return scratch.result(both.drop("number", "record"))

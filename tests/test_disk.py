@@ -82,3 +82,28 @@ def test_ranked_duplicates_leave_no_tables(spark, make_sam):
     found = find_dups(make_sam([{"qname": "a", "pos": 5}, {"qname": "b", "pos": 5, "qual": "5" * 10}]))
     assert not glob.glob(shared_folder(spark).removeprefix("file://") + "/epilane-*")
     assert [(r["qname"], r["parent"]) for r in found.collect()] == [("b", "a")]
+
+
+def test_fastq_of_mates_is_packed_and_reads_stored_steps(spark, make_sam, tmp_path, monkeypatch):
+    from epilane.operators import reads
+    from epilane.plans import catalog
+
+    ends = reads.sam_to_fastq_pe(make_sam([{"qname": "a", "flag": 99, "pos": 5, "pnext": 9}, {"qname": "a", "flag": 147, "pos": 9, "pnext": 5}]))
+    assert "Window" not in ends._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["name"] for r in ends.collect()) == ["a /1", "a /2"]
+    lines = []
+
+    def written(df, path, write=sinks.write_fastq):
+        # What is written was stored: the reads are not paired again for sampling and sorting.
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+        write(df, path)
+        for name in glob.glob(path.removeprefix("file://") + "/end=[12]/part-*"):
+            with gzip.open(name) as f:
+                lines.append(len(f.read().splitlines()))
+
+    monkeypatch.setattr(sinks, "write_fastq", written)
+    back = catalog.fastq_pe_roundtrip(spark, lineitem(spark, tmp_path, [(k // 3, k % 3 + 1, k) for k in range(60)]))
+    rows = back.collect()
+    # Orders not divisible by three have a pair.
+    assert len(rows) == 13 and sum(lines) == 13 * 2 * 4
+    assert all(r["name_1"].removesuffix(" /1") == r["name_2"].removesuffix(" /2") for r in rows)
